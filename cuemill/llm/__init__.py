@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> module that holds ``query`` and, where SQL can say it, ``ORACLE_SQL``.
 MODULES = {
+    "op2_packing": "packing",
+    "op6_quality_rules": "quality_rules",
+    "op7_quality_classifier": "quality_classifier",
     "op8_url_filters": "url_filters",
     "op9_license_scans": "license_scans",
     "op10_token_counts": "token_counts",

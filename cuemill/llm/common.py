@@ -10,18 +10,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship_package
+
 #: Rows of a table in one Arrow batch; texts are long, so batches are kept short.
 BATCH_ROWS = 256
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Short Arrow batches, by rows and (where Spark can) by bytes: memory of a Python worker stays bounded."""
+def prepare(spark: SparkSession) -> None:
+    """The package on the executors, and short Arrow batches, by rows and (where Spark can) by bytes: memory of a Python worker stays bounded."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
