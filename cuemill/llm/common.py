@@ -68,7 +68,7 @@ def map_texts(docs: DataFrame, schema: str, make: Callable[[], Callable[[list, l
         for batch in batches:
             if batch.num_rows:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(work(ids, texts), types)], names=fields)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(list(x), t) for x, t in zip(work(ids, texts), types)], names=fields)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
