@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, id_and_text
-from .vocabularies import kept, load_tokenizer, vocabulary, word_ids
+from .vocabularies import kept, load_tokenizer, lowered, vocabulary, word_ids
 
 WINDOW = 2048
 #: Id that ends each document.
@@ -35,7 +35,7 @@ SEQUENCE_COST = 1
 #: Stretches without a document's or sentence's end get possible cuts so many ids apart.
 HARD_STEP = 256
 #: Ids handled at a time, and windows that stay open at the end of a block.
-BLOCK_IDS, OPEN_WINDOWS = 1 << 19, 4
+BLOCK_IDS, OPEN_WINDOWS = 1 << 19, 8
 
 
 def padding(length: int, window: int = WINDOW) -> int:
@@ -47,7 +47,7 @@ def best_cuts(places: list[int], penalties: list[int], window: int = WINDOW) ->
     """The cuts, out of places (ascending, from 0, no gap above the window), that cost least; the first and last stay."""
     cost, back = [0] * len(places), [0] * len(places)
     at = {p: i for i, p in enumerate(places)}
-    powers = [1 << k for k in range(window.bit_length()) if window >= 1 << k >= min(64, window)]
+    powers = [window // 2, window // 4]  # the window itself has no padding anyway; shorter ones make too many sequences
     queue: deque[int] = deque([0])
     keys = [0] * len(places)
     for j in range(1, len(places)):
@@ -128,7 +128,7 @@ class Packer:
         self.sequence = TaskContext.get().partitionId() << 32 if TaskContext.get() else 0
 
     def add(self, doc_ids: list, texts: list[bytes]) -> None:
-        split = [t.split() for t in texts]
+        split = [lowered(t).split() for t in texts]
         self.words.learn({w for ws in split for w in ws})
         flat = [w for ws in split for w in ws]
         places = self.words.places(flat)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
 #: Words that one Python worker remembers; beyond it the memory is emptied and fills again.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 def vocabulary(name: str) -> str:
@@ -26,10 +27,13 @@ def load_tokenizer(path: str):
 
 
 class WordIds:
-    """Token ids of words: ``encode`` is asked once for each distinct word, and results lie in flat arrays."""
+    """Token ids of words: ``encode`` is asked once for each distinct word, and results lie in flat arrays.
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = REMEMBERED):
-        self.encode, self.most = encode, most
+    parts: splits a word in two whose ids one after the other are the word's, or gives None.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], parts: Callable[[bytes], tuple[bytes, bytes] | None] | None = None, most: int = REMEMBERED):
+        self.encode, self.parts, self.most = encode, parts, most
         self._empty()
 
     def _empty(self) -> None:
@@ -39,22 +43,36 @@ class WordIds:
 
     def learn(self, words: set[bytes]) -> None:
         """Makes sure that all of these words are known until the next call."""
-        if self.n + len(words) > self.most:
+        if self.n + 2 * len(words) > self.most:
             self._empty()
         new = [w for w in words if w not in self.at]
-        if not new:
-            return
-        ids = self.encode(new)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        while self.n + len(new) > len(self.start):
+        if self.parts:
+            split = {w: p for w in new if (p := self.parts(w))}
+            single = [w for w in new if w not in split]
+            single += {x for p in split.values() for x in p if x not in self.at}.difference(single)
+            self._encode(single)
+            if split:
+                places = self.places([x for p in split.values() for x in p])
+                self._store(list(split), self.size[places].reshape(-1, 2).sum(1), self.ids(places))
+        else:
+            self._encode(new)
+
+    def _encode(self, words: list[bytes]) -> None:
+        if words:
+            ids = self.encode(words)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._store(words, sizes, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())))
+
+    def _store(self, words: list[bytes], sizes: np.ndarray, flat: np.ndarray) -> None:
+        while self.n + len(words) > len(self.start):
             self.start, self.size = np.concatenate([self.start, self.start * 0]), np.concatenate([self.size, self.size * 0])
-        while self.end + sizes.sum() > len(self.flat):
+        while self.end + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat * 0])
-        self.start[self.n : self.n + len(new)] = self.end + np.cumsum(sizes) - sizes
-        self.size[self.n : self.n + len(new)] = sizes
-        self.flat[self.end : self.end + sizes.sum()] = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
-        self.at.update(zip(new, range(self.n, self.n + len(new))))
-        self.n, self.end = self.n + len(new), self.end + int(sizes.sum())
+        self.start[self.n : self.n + len(words)] = self.end + np.cumsum(sizes) - sizes
+        self.size[self.n : self.n + len(words)] = sizes
+        self.flat[self.end : self.end + len(flat)] = flat
+        self.at.update(zip(words, range(self.n, self.n + len(words))))
+        self.n, self.end = self.n + len(words), self.end + len(flat)
 
     def places(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
@@ -78,12 +96,26 @@ def kept(key, make: Callable):
     return _KEPT[key]
 
 
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def lowered(text: bytes) -> bytes:
+    """A-Z in lower case, for vocabularies of lower case; texts that may have special tokens stay as they are."""
+    return text if b"<|" in text else text.translate(_LOWER)
+
+
+def _stop_parts(word: bytes) -> tuple[bytes, bytes] | None:
+    """Full stops and commas after a-z: no token of a vocabulary whose tokens are all letters or none has both."""
+    core = word.rstrip(b".,")
+    return (core, word[len(core) :]) if len(core) < len(word) and core and 97 <= core[-1] <= 122 else None
+
+
 def word_ids(path: str) -> WordIds:
-    """For vocabularies that drop white space, so that the ids of a text are those of its words one after the other."""
+    """For vocabularies of lower case that drop white space, so that the ids of a text are those of its words one after the other."""
 
     def make() -> WordIds:
         tokenizer = load_tokenizer(path)
-        return WordIds(lambda words: [x.ids for x in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)])
+        return WordIds(lambda words: [x.ids for x in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)], _stop_parts)
 
     return kept(("words", path), make)
 
