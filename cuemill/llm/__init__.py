@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> module that holds ``query`` and, where SQL can say it, ``ORACLE_SQL``.
 MODULES = {
+    "op1_lm_scoring": "lm_scoring",
     "op5_decontamination": "decontamination",
     "op4_substring_dedup": "substring_dedup",
     "op3_ngram_jaccard_join": "jaccard_join",
