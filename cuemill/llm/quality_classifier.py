@@ -11,8 +11,10 @@ bucket, so that scoring a text is a mean of numbers, a projection without a shuf
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +105,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, **how) ->
     return fit([(np.frombuffer(b, "<i4"), np.frombuffer(c, "<i4"), wanted[i]) for i, b, c in got], **how)
 
 
+def _probability(known: WordIds, words: list[bytes], weights: np.ndarray, bias: float) -> float:
+    ids = text_features(known, words, len(weights) - 1)
+    return float(1 / (1 + np.exp(-np.clip(weights[ids].sum() / (len(ids) + PRIOR) + bias, -60, 60))))
+
+
 def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (0 to 1, probability of label 1): one row for each row of ``docs``, no shuffle.
 
@@ -114,20 +121,31 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_
     def make():
         known = _known(len(weights) - 1)
 
-        def one(words):
-            ids = text_features(known, words, len(weights) - 1)
-            return float(1 / (1 + np.exp(-np.clip(weights[ids].sum() / (len(ids) + PRIOR) + bias, -60, 60))))
-
         def work(ids, texts):
             split = [t.split() for t in texts]
             known.learn({w for ws in split for w in ws})
-            return [ids, [one(ws) for ws in split]]
+            return [ids, [_probability(known, ws, weights, bias) for ws in split]]
 
         return work
 
     return map_texts(id_and_text(docs, id_col, text_col), "doc_id long, score double", make)
 
 
+def keep(docs: DataFrame, weights: np.ndarray, bias: float, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores at least ``least``; a null text scores as empty."""
+    weights = np.asarray(weights, np.float64)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = _known(len(weights) - 1)
+            split = [(t or b"").split() for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            known.learn({w for ws in split for w in ws})
+            yield batch.filter(pa.array([_probability(known, ws, weights, bias) >= least for ws in split], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(id_hash() % 5 != 0)
