@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import media
+
+_PARTS = [media]
+
 
 def queries() -> dict:
-    return {}
+    return {k: q for part in _PARTS for k, q in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for part in _PARTS for k, q in part.ORACLES.items()}
