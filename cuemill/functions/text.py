@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def strip(text: Column) -> Column:
@@ -23,13 +24,13 @@ def preview(text: Column, limit: int = 80) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit - 3)), F.lit("..."))).otherwise(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Canonical composition."""
     return texts.str.normalize("NFC")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_legacy(contents: pd.Series) -> pd.Series:
     """Bytes by the first of the charsets that fits; the last always does."""
 

@@ -92,14 +92,14 @@ def apply_proportional(cues: DataFrame, snapped: DataFrame) -> DataFrame:
 def _fold(df: DataFrame, key: str, order: tuple[str, ...], columns: tuple[str, ...], step) -> DataFrame:
     """Ordered fold over the rows of a key; ``step(last, row)`` gives the finished row and the new last one. Rows of one medium are held together."""
     row = F.struct(*order, *[c for c in columns if c not in order])
-    kind = df.select(row.alias("r")).schema["r"].dataType
+    kind = df.select(row.alias("r")).schema["r"].dataType.simpleString()  # all fields may be null
     rows = df.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.struct(F.array().cast(f"array<{kind.simpleString()}>").alias("done"), F.lit(None).cast(kind).alias("last"))
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("last"))
 
     def merge(acc: Column, x: Column) -> Column:
         finished, last = step(acc["last"], x)
         first = acc["last"].isNull()
-        return F.struct(F.when(first, acc["done"]).otherwise(F.concat(acc["done"], F.array(finished.cast(kind)))).alias("done"), F.when(first, x).otherwise(last.cast(kind)).alias("last"))
+        return F.struct(F.when(first, acc["done"]).otherwise(F.concat(acc["done"], F.array(finished.cast(kind)))).alias("done"), F.when(first, x.cast(kind)).otherwise(last.cast(kind)).alias("last"))
 
     folded = F.aggregate("rows", start, merge, lambda acc: F.concat(acc["done"], F.array(acc["last"])))
     return rows.select(key, F.explode(folded).alias("r")).select(key, "r.*")

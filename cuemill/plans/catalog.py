@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import media
+from . import cue_files, media, records
 
-_PARTS = [media]
+_PARTS = [media, cue_files, records]
 
 
 def queries() -> dict:
