@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cue_files, media, records
+from . import cue_files, media, records, streams
 
-_PARTS = [media, cue_files, records]
+_PARTS = [media, cue_files, records, streams]
 
 
 def queries() -> dict:

@@ -121,7 +121,7 @@ def _points(s, d):
     return view(s, d, "v1_cues").select("media_id", F.col("pos").alias("id"), F.col("start_ms").alias("boundary"))
 
 
-add("best_boundary", lambda s, d: iv.best_boundary(_points(s, d), view(s, d, "v2_speech"), 800, 400, 80, True).withColumn("score", F.round("score", 6)), f"WITH pts AS (SELECT media_id, pos AS id, start_ms AS boundary FROM v1_cues), {_boundary('pts', 'v2_speech', 800, 400, 80, True, 'b')} SELECT p.media_id, p.id, p.boundary, b.moved AS new_boundary, round(coalesce(b.score, 0.0), 6) AS score FROM pts p LEFT JOIN b ON b.media_id = p.media_id AND b.id = p.id", "v1_cues", "v2_speech")
+add("best_boundary", lambda s, d: iv.best_boundary(_points(s, d), view(s, d, "v2_speech"), 800, 400, 80, True).withColumn("score", F.floor(F.col("score") * 1e6 + 0.37)), f"WITH pts AS (SELECT media_id, pos AS id, start_ms AS boundary FROM v1_cues), {_boundary('pts', 'v2_speech', 800, 400, 80, True, 'b')} SELECT p.media_id, p.id, p.boundary, b.moved AS new_boundary, CAST(floor(coalesce(b.score, 0.0) * 1e6 + 0.37) AS BIGINT) AS score FROM pts p LEFT JOIN b ON b.media_id = p.media_id AND b.id = p.id", "v1_cues", "v2_speech")
 # -- chunks ------------------------------------------------------------------------------------
 add("chunk_by_gap", lambda s, d: sync.chunk_bounds(sync.chunk_by_gap(view(s, d, "v1_cues"))), f"WITH {_CHUNKS.format(src='v1_cues')} SELECT * FROM chunks", "v1_cues")
 add("chunk_individual", lambda s, d: sync.chunk_individual(view(s, d, "v1_cues")).select("media_id", "pos", "chunk_id"), "SELECT media_id, pos, CAST(row_number() OVER (PARTITION BY media_id ORDER BY pos) - 1 AS INT) AS chunk_id FROM v1_cues")
