@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import timecode as tc
-from ..functions.text import decode_legacy, strip
+from ..functions.text import decode_legacy, strip, truncated
 
 #: Fixed pattern of a cue block.
 CUE_PATTERN = r"(?sU)(\d+)\s+(\d{2}:\d{2}:\d{2},\d{3})\s-->\s(\d{2}:\d{2}:\d{2},\d{3})\s+(.*?)\s*(?=\n\d+\s|\z)"
@@ -135,6 +135,6 @@ def speech_windows(speech: DataFrame, max_s: float = 10, pad_s: float = 0.25) ->
 
 def segment_prompt_lines(cues: DataFrame) -> DataFrame:
     """One prompt text a medium: a line for each entry, its text cut to 200."""
-    line = F.concat(F.lit("- #"), F.col("entry_index").cast("string"), F.lit(" ["), tc.ms_to_tc(F.col("start_ms")), F.lit(" --> "), tc.ms_to_tc(F.col("end_ms")), F.lit("]: "), F.left(F.col("text"), F.lit(200)))
+    line = F.concat(F.lit("- #"), F.col("entry_index").cast("string"), F.lit(" ["), tc.ms_to_tc(F.col("start_ms")), F.lit(" --> "), tc.ms_to_tc(F.col("end_ms")), F.lit("]: "), truncated(F.col("text"), 200))
     rows = cues.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("rows"))
     return rows.select("media_id", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("prompt"))

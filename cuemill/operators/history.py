@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 
 #: Fixed marks that a reconstructed message begins with.
-RECON_TAGS = ("[CONTEXT SUMMARY]", "[RECENT ENTRIES]")
+RECON_TAGS = ("[RECON_ENTRY #", "[RECON_ENTRIES]")
+#: Fixed mark of a summary.
+SUMMARY_MARK = "[WORK SUMMARY]"
 #: Fixed words of the prompts.
-TRANSLATE_MARK, ENTRIES_MARK, CAUTION_MARK = "Translate the following", "Entries:", "CAUTION"
+TRANSLATE_MARK, ENTRIES_MARK, CAUTION_MARK, INSTRUCTION_MARK = "번역할 자막들:", "Entries:", "\n주의사항", "다음 자막들을"
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -53,7 +55,7 @@ def compact_history(history: DataFrame, keep: int, limit: int = 0, upcoming: int
         chosen = F.when(fits, F.lit(max(1, keep - r))).otherwise(chosen)
     at = numbered.join(total.select("conv_id", "n", chosen.alias("kept")), "conv_id")
     old = at.where((F.col("n") > 2 * F.col("kept")) & (F.col("back") > 2 * F.col("kept")))
-    summary = _dump(old.select("conv_id", "turn", "role", "text")).select("conv_id", F.lit(None).cast("long").alias("turn"), F.lit("user").alias("role"), F.col("dump").alias("text"))
+    summary = _dump(old.select("conv_id", "turn", "role", "text")).select("conv_id", F.lit(None).cast("long").alias("turn"), F.lit("model").alias("role"), F.concat(F.lit(SUMMARY_MARK + "\n"), F.col("dump")).alias("text"))
     recent = at.where((F.col("n") <= 2 * F.col("kept")) | (F.col("back") <= 2 * F.col("kept"))).select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     return summary.unionByName(recent)
 
@@ -85,12 +87,13 @@ def history_prefix(history: DataFrame, turn: int, text: str) -> DataFrame:
 def sanitize_user_text(text: Column) -> Column:
     """Of a prompt, the custom part in front and its entries, cut at the caution; of a text with entries, those; else stripped."""
     s = strip(F.coalesce(text, F.lit("")))
-    at = lambda mark: F.instr(s, mark)
-    before = strip(F.left(s, at(TRANSLATE_MARK) - 1))
-    entries = F.substring(s, at(ENTRIES_MARK), F.length(s))
-    cut = strip(F.when(F.instr(entries, CAUTION_MARK) > 0, F.left(entries, F.instr(entries, CAUTION_MARK) - 1)).otherwise(entries))
-    whole = F.when(before == "", cut).otherwise(F.concat(before, F.lit("\n\n"), cut))
-    return F.when((at(TRANSLATE_MARK) > 0) & (at(ENTRIES_MARK) > 0), whole).when(at(ENTRIES_MARK) > 0, strip(entries)).otherwise(s)
+    at = F.instr(s, TRANSLATE_MARK)
+    before, rest = F.left(s, at - 1), F.substring(s, at + len(TRANSLATE_MARK), F.length(s))
+    before = strip(F.when(F.instr(before, INSTRUCTION_MARK) > 0, F.left(before, F.instr(before, INSTRUCTION_MARK) - 1)).otherwise(before))
+    entries = strip(F.when(F.instr(rest, CAUTION_MARK) > 0, F.left(rest, F.instr(rest, CAUTION_MARK) - 1)).otherwise(rest))
+    sections = F.concat_ws("\n\n", F.nullif(before, F.lit("")), F.when(entries != "", F.concat(F.lit(TRANSLATE_MARK + "\n"), entries)))
+    generic = F.when(F.instr(s, ENTRIES_MARK) > 0, strip(F.substring(s, F.instr(s, ENTRIES_MARK), F.length(s)))).otherwise(s)
+    return F.when((at > 0) & (sections != ""), sections).otherwise(generic)
 
 
 def parts_of(history: DataFrame) -> DataFrame:
@@ -105,9 +108,24 @@ def normalize_part(part: Column) -> Column:
     return F.struct(F.coalesce(kind, F.lit("text")).alias("kind"), F.coalesce(part["text"], F.lit("")).alias("text"))
 
 
+#: Fixed text for parts that aren't text, around what they hold.
+PART_TEXTS = {
+    "function_call": "[FUNCTION_CALL] name={} args=",
+    "function_response": "[FUNCTION_RESPONSE] name={} payload=",
+    "file_data": "[FILE_DATA] uri={} mime=unknown",
+    "inline_data": "[INLINE_DATA] mime={}",
+    "executable_code": "[EXECUTABLE_CODE] language={}",
+    "code_execution_result": "[CODE_RESULT] status={}",
+}
+
+
 def part_repr(part: Column) -> Column:
-    """The text where it isn't blank, else the kind in brackets."""
-    return F.when((part["kind"] == "text") & (strip(part["text"]) != ""), part["text"]).otherwise(F.concat(F.lit("["), part["kind"], F.lit(": "), part["text"], F.lit("]")))
+    """The text where it isn't blank; of other kinds a tagged text; else the part as JSON."""
+    out = F.when((part["kind"] == "text") & (strip(part["text"]) != ""), part["text"])
+    for kind, form in PART_TEXTS.items():
+        head, tail = form.split("{}")
+        out = out.when(part["kind"] == kind, F.concat(F.lit(head), part["text"], F.lit(tail)))
+    return out.otherwise(F.to_json(F.struct(part["text"].alias("text"))))
 
 
 def drop_function_calls(messages: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 
 KEY = ["file_id", "entry_index"]
-FAILED_TEXT = "[translation failed]"
+#: Fixed text of a failed entry, around the reason.
+FAILED_TEXT = "-- 번역 실패: no reply --"
 
 
 def match_first_wins(requests: DataFrame, responses: DataFrame) -> DataFrame:
@@ -94,15 +95,19 @@ def rebuild_full_turn(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return done.groupBy("file_id").agg(pack("original").alias("request"), pack("translated").alias("reply"))
 
 
-def recon_entries(pairs: DataFrame, keep: int = 20, most: int = 400) -> DataFrame:
-    """file_id and a digest of its last pairs: a header with counts, then the most recent ones, clipped, on one line each."""
+def _clipped(text: str, most: int):
+    flat = strip(F.regexp_replace(text, "\n", " "))
+    return F.when(F.length(flat) > most, F.concat(F.rtrim(F.left(flat, F.lit(most - 3))), F.lit("..."))).otherwise(flat)
+
+
+def recon_entries(pairs: DataFrame, keep: int = 100) -> DataFrame:
+    """file_id and a digest of its last pairs: a header with counts (fixed text), then the most recent ones, clipped."""
     back = Window.partitionBy("file_id").orderBy(F.desc("entry_index"))
     total = pairs.groupBy("file_id").agg(F.count("*").alias("total"))
-    flat = lambda c, n: F.left(F.regexp_replace(c, "\n", " "), F.lit(n))
-    line = F.concat(F.lit("#$"), F.col("entry_index").cast("string"), F.lit(" "), flat("source", 300), F.lit(" => "), flat("target", 400))
-    recent = pairs.withColumn("back", F.row_number().over(back)).where(F.col("back") <= min(keep, most)).select("file_id", "entry_index", line.alias("line"))
+    line = F.concat(F.lit("#$"), F.col("entry_index").cast("string"), F.lit("\nORIG: "), _clipped("source", 300), F.lit("\nTRANS: "), _clipped("target", 400))
+    recent = pairs.withColumn("back", F.row_number().over(back)).where(F.col("back") <= keep).select("file_id", "entry_index", line.alias("line"))
     rows = recent.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("entry_index", "line"))).alias("rows")).join(total, "file_id")
-    header = F.concat(F.lit("entries "), F.col("total").cast("string"), F.lit(", listed "), F.size("rows").cast("string"))
+    header = F.concat(F.lit("[RECON_ENTRIES]\n총 "), F.col("total").cast("string"), F.lit("개 중 최신 "), F.size("rows").cast("string"), F.lit("개"))
     return rows.select("file_id", F.concat_ws("\n", header, F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("digest"))
 
 

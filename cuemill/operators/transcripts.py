@@ -10,6 +10,8 @@ from ..functions.text import preview, strip, truncated
 from . import cues, intervals, sync
 
 CLIP_S = 30.0
+#: Fixed first line.
+CONTEXT_HEADER = "Preliminary Whisper transcript (context only):"
 
 
 def nonempty_text(asr: DataFrame) -> DataFrame:
@@ -44,10 +46,10 @@ def joined_text(asr: DataFrame) -> DataFrame:
 def asr_context_lines(asr: DataFrame, keep: int = 20) -> DataFrame:
     """The first non-empty lines of each clip behind a header; clips without any: no text."""
     w = Window.partitionBy("media_id", "segment_index").orderBy("start_s", "clip_index")
-    line = F.concat(F.lit("- ["), tc.seconds_to_tc(F.col("start_s")), F.lit("] "), strip(F.col("text")))
+    line = F.concat(F.lit("- ["), tc.seconds_to_tc(F.col("start_s")), F.lit(" --> "), tc.seconds_to_tc(F.col("end_s")), F.lit("] "), truncated(F.col("text"), 200))
     first = nonempty_text(asr).withColumn("k", F.row_number().over(w)).where(F.col("k") <= keep)
     rows = first.groupBy("media_id", "segment_index").agg(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))).alias("rows"))
-    text = F.concat(F.lit("Heard:\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
+    text = F.concat(F.lit(CONTEXT_HEADER + "\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
     return asr.select("media_id", "segment_index").distinct().join(rows, ["media_id", "segment_index"], "left").select("media_id", "segment_index", F.coalesce(text, F.lit("")).alias("text"))
 
 

@@ -72,7 +72,7 @@ add("file_counts", lambda s, d: re_.file_counts(*_rr(s, d)), f"WITH {_FIRST} SEL
 _JSON = lambda c: f"concat('[', string_agg(concat('{{\"index\":', CAST(entry_index AS VARCHAR), ',\"text\":\"', {c}, '\"}}'), ',' ORDER BY entry_index), ']')"
 add("batch_payload", lambda s, d: re_.batch_payload(view(s, d, "v5_requests"), 3), f"SELECT file_id, batch_no, {_JSON('original')} AS payload FROM (SELECT *, CAST((row_number() OVER (PARTITION BY file_id ORDER BY entry_index) - 1) // 3 AS INT) AS batch_no FROM v5_requests) x GROUP BY 1, 2")
 add("rebuild_full_turn", lambda s, d: re_.rebuild_full_turn(*_rr(s, d)), f"WITH {_FILLED} SELECT file_id, {_JSON('original')} AS request, {_JSON('translated')} AS reply FROM filled GROUP BY 1", *_V5)
-add("recon_entries", lambda s, d: re_.recon_entries(_pairs(s, d), 3), f"WITH {_PAIRS}, n AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY entry_index DESC) AS k, count(*) OVER (PARTITION BY file_id) AS total FROM pairs) SELECT file_id, concat('entries ', CAST(total AS VARCHAR), ', listed ', CAST(count(*) AS VARCHAR), chr(10), string_agg(concat('#$', CAST(entry_index AS VARCHAR), ' ', source, ' => ', target), chr(10) ORDER BY entry_index)) AS digest FROM n WHERE k <= 3 GROUP BY file_id, total", *_V5)
+add("recon_entries", lambda s, d: re_.recon_entries(_pairs(s, d), 3), f"WITH {_PAIRS}, n AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY entry_index DESC) AS k, count(*) OVER (PARTITION BY file_id) AS total FROM pairs) SELECT file_id, concat('[RECON_ENTRIES]', chr(10), '총 ', CAST(total AS VARCHAR), '개 중 최신 ', CAST(count(*) AS VARCHAR), '개', chr(10), string_agg(concat('#$', CAST(entry_index AS VARCHAR), chr(10), 'ORIG: ', source, chr(10), 'TRANS: ', target), chr(10) ORDER BY entry_index)) AS digest FROM n WHERE k <= 3 GROUP BY file_id, total", *_V5)
 add("sink_result_events", lambda s, d: re_.to_event_lines(re_.failed_fill(*_rr(s, d))), f"""WITH {_FILLED} SELECT concat('{{"file_id":', CAST(file_id AS VARCHAR), ',"index":', CAST(entry_index AS VARCHAR), ',"original":"', original, '","translated":"', translated, '","error":', CASE WHEN error THEN 'true' ELSE 'false' END, '}}') AS value FROM filled""", *_V5)
 
 
@@ -91,7 +91,7 @@ add("estimate_tokens", lambda s, d: _h(s, d).select("conv_id", "turn", hi.estima
 add("history_tokens", lambda s, d: hi.history_tokens(_h(s, d)), f"SELECT conv_id, sum({_TOK} + 4) AS tokens FROM v4_history GROUP BY 1")
 _DUMP = lambda src, k="conv_id": f"SELECT {k}, string_agg(concat(upper(role), ':', chr(10), {_STRIP('text')}), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY turn) AS dump FROM {src} WHERE {_STRIP('text')} <> '' GROUP BY {k}"
 add("conversation_dump", lambda s, d: hi.conversation_dump(_h(s, d)), _DUMP("v4_history"))
-add("compact_history", lambda s, d: hi.compact_history(_h(s, d), 1), f"WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n FROM v4_history), o AS (SELECT * FROM n WHERE n > 2 AND back > 2), m AS ({_DUMP('o')}) SELECT conv_id, CAST(NULL AS BIGINT) AS turn, 'user' AS role, dump AS text FROM m UNION ALL SELECT conv_id, turn, role, text FROM n WHERE n <= 2 OR back <= 2", "v4_history")
+add("compact_history", lambda s, d: hi.compact_history(_h(s, d), 1), f"WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n FROM v4_history), o AS (SELECT * FROM n WHERE n > 2 AND back > 2), m AS ({_DUMP('o')}) SELECT conv_id, CAST(NULL AS BIGINT) AS turn, 'model' AS role, concat('[WORK SUMMARY]', chr(10), dump) AS text FROM m UNION ALL SELECT conv_id, turn, role, text FROM n WHERE n <= 2 OR back <= 2", "v4_history")
 add("should_snapshot", lambda s, d: hi.should_snapshot(_h(s, d), 100, 10), f"SELECT conv_id, sum({_TOK} + 4) + 10 > 100 AS snapshot FROM v4_history GROUP BY 1")
 add("cumulative_usage", lambda s, d: hi.cumulative_usage(_h(s, d)), f"WITH t AS (SELECT *, {_TOK} + 4 AS k FROM v4_history), u AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent FROM t), w AS (SELECT *, sum(CASE WHEN role = 'model' THEN sent + k ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS usage FROM u) SELECT conv_id, turn, usage FROM w WHERE role = 'model'", "v4_history")
 add("drop_last_turn", lambda s, d: hi.drop_last_turn(_h(s, d)), "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b, count(*) OVER (PARTITION BY conv_id) AS n FROM v4_history) x WHERE n < 2 OR b > 2")
@@ -99,10 +99,10 @@ add("history_prefix", lambda s, d: hi.history_prefix(_h(s, d), 2, "again"), "SEL
 add("drop_function_calls", lambda s, d: hi.drop_function_calls(hi.parts_of(_h(s, d))).select("conv_id", "turn", F.size("parts").alias("n")), "SELECT conv_id, turn, 1 AS n FROM v4_history")
 add("sanitize_history", lambda s, d: hi.sanitize_history(hi.parts_of(_h(s, d))).select("conv_id", "turn", F.size("parts").alias("n"), F.array_join(F.transform("parts", lambda p: p["text"]), "|").alias("texts")), f"""WITH p AS (SELECT *, role = 'model' AND turn % 7 = 3 AS call, {_STRIP('text')} AS t FROM v4_history) SELECT conv_id, turn, CAST(t <> '' AS INT) + CAST(call AS INT) AS n,
 CASE WHEN t <> '' AND call THEN concat(text, '|lookup') WHEN call THEN 'lookup' WHEN role = 'user' THEN t ELSE text END AS texts FROM p WHERE t <> '' OR call""", "v4_history")
-add("sanitize_user_text", lambda s, d: _h(s, d).select("conv_id", "turn", hi.sanitize_user_text(F.concat(F.lit("Be brief. Translate the following. Entries:\n"), F.col("text"), F.lit("\nCAUTION: x"))).alias("text")), f"SELECT conv_id, turn, concat('Be brief.', chr(10), chr(10), {_STRIP('concat(chr(69), chr(110), $$tries:$$, chr(10), text)')}) AS text FROM v4_history")
-add("part_repr", lambda s, d: hi.parts_of(_h(s, d)).select("conv_id", "turn", F.array_join(F.transform("parts", hi.part_repr), "|").alias("shown")), f"SELECT conv_id, turn, concat(CASE WHEN {_STRIP('text')} <> '' THEN text ELSE concat('[text: ', coalesce(text, ''), ']') END, CASE WHEN role = 'model' AND turn % 7 = 3 THEN '|[function_call: lookup]' ELSE '' END) AS shown FROM v4_history")
+add("sanitize_user_text", lambda s, d: _h(s, d).select("conv_id", "turn", hi.sanitize_user_text(F.concat(F.lit("Be brief. 다음 자막들을 x\n번역할 자막들:\n"), F.col("text"), F.lit("\n\n주의사항: x"))).alias("text")), f"SELECT conv_id, turn, concat('Be brief.', CASE WHEN {_STRIP('text')} = '' THEN '' ELSE concat(chr(10), chr(10), '번역할 자막들:', chr(10), {_STRIP('text')}) END) AS text FROM v4_history WHERE text IS NOT NULL")
+add("part_repr", lambda s, d: hi.parts_of(_h(s, d)).select("conv_id", "turn", F.array_join(F.transform("parts", hi.part_repr), "|").alias("shown")), f"SELECT conv_id, turn, concat(CASE WHEN {_STRIP('text')} <> '' THEN text ELSE concat('{{', chr(34), 'text', chr(34), ':', chr(34), coalesce(text, ''), chr(34), '}}') END, CASE WHEN role = 'model' AND turn % 7 = 3 THEN '|[FUNCTION_CALL] name=lookup args=' ELSE '' END) AS shown FROM v4_history")
 add("normalize_part", lambda s, d: _h(s, d).select("conv_id", "turn", hi.normalize_part(F.struct(F.lit("functionCall").alias("kind"), F.col("text").alias("text"))).alias("p")).select("conv_id", "turn", "p.kind", "p.text"), "SELECT conv_id, turn, 'function_call' AS kind, coalesce(text, '') AS text FROM v4_history")
-add("recon_flag", lambda s, d: hi.recon_flag(hi.parts_of(_h(s, d).withColumn("text", F.concat(F.when(F.col("turn") % 2 == 1, "[CONTEXT SUMMARY] ").otherwise(""), F.col("text"))))).select("conv_id", "turn", "is_recon"), "SELECT conv_id, turn, role = 'model' AND turn % 2 = 1 AND text IS NOT NULL AS is_recon FROM v4_history")
+add("recon_flag", lambda s, d: hi.recon_flag(hi.parts_of(_h(s, d).withColumn("text", F.concat(F.when(F.col("turn") % 2 == 1, "[RECON_ENTRIES] ").otherwise(""), F.col("text"))))).select("conv_id", "turn", "is_recon"), "SELECT conv_id, turn, role = 'model' AND turn % 2 = 1 AND text IS NOT NULL AS is_recon FROM v4_history")
 add("sink_history", lambda s, d: hi.sanitize_history(hi.parts_of(_h(s, d))).groupBy("conv_id").agg(F.count("*").alias("messages"), F.length(F.to_json(F.array_sort(F.collect_list(F.struct("turn", "role"))))).alias("json_length")), f"""WITH p AS (SELECT * FROM v4_history WHERE {_STRIP('text')} <> '' OR (role = 'model' AND turn % 7 = 3)) SELECT conv_id, count(*) AS messages, CAST(2 + count(*) - 1 + sum(length(CAST(turn AS VARCHAR)) + length(role) + 19) AS INT) AS json_length FROM p GROUP BY 1""", "v4_history")
 
 # -- states ------------------------------------------------------------------------------------
@@ -179,7 +179,7 @@ add("rebase_absolute", lambda s, d: tr.rebase_absolute(_asr(s, d)).select("media
 add("asr_format", lambda s, d: tr.asr_format(_asr(s, d)), f"SELECT media_id, segment_index, clip_index, row_number() OVER (PARTITION BY media_id, segment_index ORDER BY start_s, clip_index) AS number, {_r('start_s')} AS start, {_r('end_s')} AS end, trim(text) AS text FROM v6_asr")
 add("asr_windows", lambda s, d: tr.asr_windows(_asr(s, d)).drop("preview"), "SELECT media_id, clip_index, round_even(greatest(start_s, 0), 3) AS start_s, round_even(greatest(end_s, start_s, 0), 3) AS end_s, trim(text) AS text FROM v6_asr")
 add("joined_text", lambda s, d: tr.joined_text(_asr(s, d)), "SELECT media_id, segment_index, string_agg(text, ' ' ORDER BY start_s, clip_index) AS text FROM v6_asr WHERE text <> '' GROUP BY 1, 2")
-add("asr_context_lines", lambda s, d: tr.asr_context_lines(_asr(s, d), 2), f"WITH k AS (SELECT *, row_number() OVER (PARTITION BY media_id, segment_index ORDER BY start_s, clip_index) AS k FROM v6_asr WHERE text <> ''), l AS (SELECT media_id, segment_index, concat('Heard:', chr(10), string_agg(concat('- [', {_r('start_s')}, '] ', text), chr(10) ORDER BY k)) AS text FROM k WHERE k <= 2 GROUP BY 1, 2) SELECT media_id, segment_index, coalesce(l.text, '') AS text FROM (SELECT DISTINCT media_id, segment_index FROM v6_asr) a LEFT JOIN l USING (media_id, segment_index)", "v6_asr")
+add("asr_context_lines", lambda s, d: tr.asr_context_lines(_asr(s, d), 2), f"WITH k AS (SELECT *, row_number() OVER (PARTITION BY media_id, segment_index ORDER BY start_s, clip_index) AS k FROM v6_asr WHERE text <> ''), l AS (SELECT media_id, segment_index, concat('{tr.CONTEXT_HEADER}', chr(10), string_agg(concat('- [', {_r('start_s')}, ' --> ', {_r('end_s')}, '] ', text), chr(10) ORDER BY k)) AS text FROM k WHERE k <= 2 GROUP BY 1, 2) SELECT media_id, segment_index, coalesce(l.text, '') AS text FROM (SELECT DISTINCT media_id, segment_index FROM v6_asr) a LEFT JOIN l USING (media_id, segment_index)", "v6_asr")
 _ABS = "ab AS (SELECT media_id, clip_index, segment_index, greatest(segment_index * 30e0 + start_s, 0) AS s, greatest(segment_index * 30e0 + end_s, 0) AS e, text FROM v6_asr WHERE text <> '')"
 add("padding_adjust", lambda s, d: tr.padding_adjust(tr.absolute_entries(_asr(s, d)), (F.floor(F.col("start_s") / 30) + 1) * 30.0).select("media_id", "clip_index", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), "text"), f"WITH {_ABS}, p AS (SELECT *, greatest(s - 0.2, 0) AS ps, (floor(s / 30) + 1) * 30 AS lim FROM ab), q AS (SELECT *, CASE WHEN lim > ps THEN least(e + 0.2, lim) ELSE ps + 0.2 END AS pe FROM p) SELECT media_id, clip_index, round(ps, 6) AS start_s, round(CASE WHEN pe <= ps THEN ps + 0.001 ELSE pe END, 6) AS end_s, text FROM q", "v6_asr")
 _WALK = lambda src: f"""ord AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY s, clip_index) AS k FROM {src}),

@@ -90,8 +90,8 @@ def test_replies(spark):
 
 
 def test_histories(spark):
-    h = spark.createDataFrame([(1, 1, "user", "Keep it short. Translate the following. Entries:\n1 a\nCAUTION: x"), (1, 2, "model", " "), (1, 3, "user", "b c"), (1, 4, "model", "d")], "conv_id long, turn long, role string, text string")
-    assert one(spark, history.sanitize_user_text(F.lit("Keep it short. Translate the following. Entries:\n1 a\nCAUTION: x"))) == "Keep it short.\n\nEntries:\n1 a"
+    h = spark.createDataFrame([(1, 1, "user", "Keep it short.\n번역할 자막들:\n1 a\n주의사항: x"), (1, 2, "model", " "), (1, 3, "user", "b c"), (1, 4, "model", "d")], "conv_id long, turn long, role string, text string")
+    assert one(spark, history.sanitize_user_text(F.lit("Keep it short.\n번역할 자막들:\n1 a\n주의사항: x"))) == "Keep it short.\n\n번역할 자막들:\n1 a"
     assert one(spark, history.sanitize_user_text(F.lit("x Entries: 1"))) == "Entries: 1" and one(spark, history.sanitize_user_text(F.lit(None).cast("string"))) == ""
     assert [r["turn"] for r in history.compact_history(h, 1).orderBy("turn").collect()] == [None, 3, 4]
     assert [r["turn"] for r in history.compact_history(h, 9).orderBy("turn").collect()] == [1, 2, 3, 4]
