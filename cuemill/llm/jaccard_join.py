@@ -10,10 +10,14 @@ and b shingles with a Jaccard similarity of at least p percent differ in at most
   the XOR of the hashes of its shingles.  A shingle that only one of two sets has changes one block.
 * **Pigeonhole.**  A band has more blocks than any two of its sets may differ in, so that linked
   sets agree in some block; there are so many spare blocks that they agree in one that isn't
-  empty, unless both sets have many empty blocks, whose keys then count too.
-* **Verification.**  Pairs that share a block are checked on the whole sets.  First, members
-  of a bucket are checked against its smallest one; components are formed; then members of
-  buckets that still hold several components, against those of other components.
+  empty, unless both sets have many empty blocks, whose keys then count too.  In bands of
+  small sets a few blocks hold much of what many documents share by chance: there, linked sets agree
+  in two or three blocks at least, and the keys are all choices of so many blocks.
+* **Verification.**  First, members of a bucket are checked against its smallest one, on the whole
+  sets, and components are formed.  Buckets that still hold several components are open.  There,
+  members are compared with those of other components by longer parity sketches, in blocks of
+  bounded size: XOR-ing two sketches leaves no more bits than the sets differ in.  Pairs that the
+  sketches allow are checked on the whole sets.
 
 A task first groups what it has itself: of equal sets and of equal blocks one row goes to the
 shuffle, so that a bucket has no more rows there than there are tasks.
@@ -24,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +38,18 @@ from pyspark.sql import functions as F
 
 from .common import documents, id_and_text, written
 from .components import connected_components
-from .vocabularies import REMEMBERED, kept
-
-#: Rounds in which members of open buckets are checked against one other member, before all of the rest are.
-STAR_ROUNDS = 2
+from .vocabularies import kept
+
+#: Members of an open bucket that are compared at a time with as many others.
+CHUNK = 1024
+#: Tables of up to so many short rows are broadcast.
+BROADCAST_ROWS = 400_000
+#: Of a member's open buckets, so many of the smallest keys go along, to give out pairs once (mostly: doubles do no harm).
+KEYS_ALONG = 16
+#: Bits of the sketches of verification: so many for each shingle, a power of two between these.
+SKETCH_BITS, LEAST_BITS, MOST_BITS = 2, 256, 1 << 13
+#: Words whose hashes a Python worker remembers.
+REMEMBERED = 250_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -84,13 +97,16 @@ class Bands:
             low, number = high, number + 1
         return number, low, high - 1
 
-    def blocks(self, last: int) -> tuple[int, int]:
-        """Blocks in which two sets of the band may differ, and number of blocks."""
+    def blocks(self, last: int) -> tuple[int, int, int]:
+        """Blocks in which two sets of the band may differ, number of blocks, and blocks that make a key."""
         differ = 2 * last * (100 - self.percent) // (100 + self.percent)
-        return differ, differ + 3 + differ // 16
+        if not differ:
+            return 0, 1, 1
+        chosen = 3 if differ <= 3 else 2 if differ <= 10 else 1
+        return differ, differ + chosen if chosen > 1 else differ + 3 + differ // 16, chosen
 
-    def of(self, size: int) -> list[tuple[int, int, int]]:
-        """Bands that a set of this size is in: number, blocks that may differ, blocks."""
+    def of(self, size: int) -> list[tuple[int, int, int, int]]:
+        """Bands that a set of this size is in: number, blocks that may differ, blocks, blocks of a key."""
         number, _, last = self.bounds(size)
         out = [(number, *self.blocks(last))]
         if size * 100 // self.percent > last:
@@ -99,21 +115,26 @@ class Bands:
 
 
 def block_keys(shingles: np.ndarray, bands: Bands, memo: dict) -> np.ndarray:
-    """Keys of a set's blocks, one for each bucket that it is in."""
+    """Keys of a set, one for each bucket that it is in."""
     size, out = len(shingles), []
     if size not in memo:
         memo[size] = bands.of(size)
-    for number, differ, blocks in memo[size]:
+    for number, differ, blocks, chosen in memo[size]:
         block = ((shingles >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         block = block[order]
         first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         words = np.bitwise_xor.reduceat(_mixed(shingles[order]), first)
         which = block[first]
-        if blocks - len(which) >= blocks - differ:  # so many empty blocks that they may be all that two sets share
+        if chosen > 1 or blocks - len(which) >= blocks - differ:  # of single blocks, empty ones count only where they may be all that two sets share
             empty = np.setdiff1d(np.arange(blocks), which)
             which, words = np.concatenate([which, empty]), np.concatenate([words, np.zeros(len(empty), np.uint64)])
-        out.append(_mixed(words + _mixed(which.astype(np.uint64) * _ODD[3] + np.uint64(number + 1))))
+        keys = _mixed(words + _mixed(which.astype(np.uint64) * _ODD[3] + np.uint64(number + 1)))
+        if chosen > 1:
+            if (blocks, chosen) not in memo:
+                memo[blocks, chosen] = np.array(list(combinations(range(blocks), chosen)))
+            keys = _mixed(np.bitwise_xor.reduce(keys[np.argsort(which)][memo[blocks, chosen]], axis=1))
+        out.append(keys)
     return np.concatenate(out)
 
 
@@ -161,40 +182,109 @@ def bucket_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "k1 long, k2 long, doc long, lo long, n long")
 
 
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Bits that an odd number of shingles have, as bytes; long sketches fold onto shorter ones by XOR of their halves."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (SKETCH_BITS * max(1, len(shingles)) - 1).bit_length()))
+    odd = np.bincount((_mixed(shingles) >> np.uint64(17)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    while len(sketch) > size:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """doc, n (size of the set), sketch, shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, width).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc", "shingles"])
+            sets = [shingle_set(t, width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity_sketch(x).tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc", "n", "sketch", "shingles"])
 
-    return docs.mapInArrow(run, "doc long, shingles binary")
+    return docs.mapInArrow(run, "doc long, n long, sketch binary, shingles binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough; each document's set is made once and joined to its pairs."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = np.concatenate([x, y])
+                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(both) - common))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    pairs = written(pairs, "pairs")
-    if pairs.isEmpty():
-        return pairs
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = written(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), width).dropDuplicates(["doc"]), "sets")
-    full = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    # sizes and short sketches go first; only pairs that they allow get the whole sets
+    light = lambda end: sets.select(F.col("doc").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}"))
+    full = lambda end: sets.select(F.col("doc").alias(end), F.col("shingles").alias(f"x_{end}"))
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            keep = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+            for i, (x, y) in enumerate(zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist())):
+                if keep[i]:
+                    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                    size = min(len(x), len(y))
+                    keep[i] = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) * (100 + percent) <= int(a[i] + b[i]) * (100 - percent)
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+
+    near = pairs.join(light("a"), "a").join(light("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(allowed, "a long, b long")
+    near = written(near, "pairs")
+    return near.join(full("a"), "a").join(full("b"), "b").select("a", "b", "x_a", "x_b").mapInArrow(run, "a long, b long")
+
+
+def open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of a bucket, in different components, that sketches allow.
+
+    members: k1, doc, component.  Buckets are dealt into chunks, and each two chunks of a bucket meet
+    once: no task holds more than two chunks.  A bucket gives out a pair that the sketches allow, unless a
+    bucket of a smaller key is known to hold both.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        doc, component, n = (table.column(c).to_numpy() for c in ("doc", "component", "n"))
+        part, i, j = (table.column(c).to_numpy() for c in ("part", "i", "j"))
+        k1, keys = table.column("k1")[0].as_py(), table.column("keys").combine_chunks()
+        ends, keys = keys.offsets.to_numpy(), keys.values.to_numpy()
+        smaller = [keys[ends[x] : ends[x + 1]] for x in range(len(doc))]
+        smaller = [set(x[x < k1].tolist()) for x in smaller]
+        sketches = [np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()]
+        size = min(map(len, sketches))
+        bits = np.stack([folded(x, size) for x in sketches]).view(np.uint64)
+        left, right = np.flatnonzero(part == i[0]), np.flatnonzero(part == j[0])
+        a, b = [], []
+        for x in left:
+            differ = np.bitwise_count(bits[right] ^ bits[x]).sum(1, dtype=np.int64)
+            ok = (differ * (100 + percent) <= (n[right] + n[x]) * (100 - percent)) & (component[right] != component[x])
+            if i[0] == j[0]:
+                ok &= doc[right] > doc[x]
+            chosen = [y for y in right[ok].tolist() if smaller[x].isdisjoint(smaller[y])]
+            a.append(np.full(len(chosen), doc[x]))
+            b.append(doc[chosen])
+        a, b = np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)])
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    size = members.groupBy("k1").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    lists = members.groupBy("doc").agg(F.slice(F.sort_array(F.collect_list("k1")), 1, KEYS_ALONG).alias("keys"))  # no more are collected than a set has buckets
+    about = sets.select("doc", "n", "sketch").join(lists, "doc")
+    dealt = members.join(size, "k1").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
+    dealt = dealt.select("k1", "doc", "component", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    dealt = dealt.select("k1", "doc", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    dealt = dealt.join(about, "doc").select("k1", "doc", "component", "part", "i", "j", "n", "sketch", "keys")
+    return dealt.groupBy("k1", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """Marked for broadcast if a count says that it is small; else Spark joins it as it likes."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,37 +297,30 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     """
     docs = id_and_text(docs, id_col, text_col)
     # what a task has grouped already goes anywhere: only the ones that stand for it meet the other tasks' rows
-    spread = Window.partitionBy("k1", "k2", F.when(F.col("lo").isNotNull(), F.col("doc")))
-    rows = bucket_rows(docs, width, percent).withColumn("least", F.min("doc").over(spread)).withColumn("members", F.count(F.lit(1)).over(spread))
+    spread = Window.partitionBy("k1", "k2", "apart")
+    rows = bucket_rows(docs, width, percent).withColumn("apart", F.when(F.col("lo").isNotNull(), F.col("doc")))
+    rows = rows.select("*", F.min("doc").over(spread).alias("least"), F.count(F.lit(1)).over(spread).alias("members"))
     rows = rows.where("k2 IS NOT NULL OR lo IS NOT NULL OR members > 1").select("k1", "k2", "doc", F.coalesce("lo", "least").alias("lo"), "n")
     rows = written(rows, "buckets")
     each = rows.where("k2 IS NOT NULL")
     buckets = rows.where("k2 IS NULL").select("k1", "doc", "lo")
     same = each.where("n > 0 AND doc <> lo").select(F.col("lo").alias("a"), F.col("doc").alias("b"))
-    star = buckets.where("doc <> lo").select(F.col("lo").alias("a"), F.col("doc").alias("b")).distinct()
-    links = written(verified(star, docs, width, percent), "links")
-    labels = written(connected_components(same.union(links)), "components")
-    members = buckets.select("k1", "doc").union(buckets.select("k1", F.col("lo"))).distinct()
-    for turn in range(STAR_ROUNDS + 1):
-        now = members.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        # buckets with several components are open; the rest is settled
-        chosen = F.min_by("doc", F.xxhash64("doc", F.lit(turn))) if turn < STAR_ROUNDS else F.min("doc")
-        still = now.groupBy("k1").agg(F.min("component").alias("low"), F.max("component").alias("high"), chosen.alias("pick"), F.min_by("component", F.xxhash64("doc", F.lit(turn))).alias("pick_of")).where("low < high")
-        now = written(now.join(still, "k1"), "open")
-        members = now.select("k1", "doc")
-        if turn < STAR_ROUNDS:
-            pairs = now.where("component <> pick_of").select(F.least("doc", "pick").alias("a"), F.greatest("doc", "pick").alias("b")).distinct()
-        else:
-            left = now.select("k1", F.col("doc").alias("a"), F.col("component").alias("of_a"))
-            right = now.select("k1", F.col("doc").alias("b"), F.col("component").alias("of_b"))
-            pairs = left.join(right, "k1").where("a < b AND of_a <> of_b").select("a", "b").distinct()
-        pairs = pairs.join(star, ["a", "b"], "left_anti")
-        found = verified(pairs, docs, width, percent)
-        name = labels.select(F.col("node"), "component")
-        found = found.join(name.select(F.col("node").alias("a"), F.col("component").alias("of_a")), "a", "left").join(name.select(F.col("node").alias("b"), F.col("component").alias("of_b")), "b", "left")
-        merged = written(found.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")), "links")
-        if not merged.isEmpty():
-            labels = written(connected_components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(merged)), "components")
+    star = written(buckets.where("doc <> lo").select(F.col("lo").alias("a"), F.col("doc").alias("b")).distinct(), "star")
+    wanted = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct()
+    sets = written(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), width), "sets")
+    labels = written(connected_components(same.union(verified(star, sets, percent))), "components")
+    # a bucket all of whose members are linked to their smallest one is settled; one with a pair that isn't is open
+    label = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    apart = star.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(F.col("a").alias("lo"), F.col("b").alias("doc"))
+    still = written(buckets.join(_small(written(apart, "apart")), ["lo", "doc"]).select("k1").distinct(), "open")
+    members = buckets.join(_small(still), "k1")
+    members = members.select("k1", "doc").union(members.select("k1", F.col("lo"))).distinct()
+    members = members.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("k1", "doc", F.coalesce("component", "doc").alias("component"))
+    found = verified(open_pairs(written(members, "members"), sets, percent), sets, percent)
+    found = found.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    merged = written(found.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")), "links")
+    if not merged.isEmpty():
+        labels = written(connected_components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(merged)), "components")
     out = each.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
