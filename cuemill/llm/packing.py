@@ -118,7 +118,7 @@ class Packer:
 
     def __init__(self, tokenizer_path: str, window: int):
         self.words, self.window = word_ids(tokenizer_path), window
-        self.ends = kept(("sentence ends", tokenizer_path), lambda: sentence_ends(load_tokenizer(tokenizer_path)))
+        self.ends = kept(("sentence ends", tokenizer_path), lambda: sentence_ends(load_tokenizer(tokenizer_path)), small=True)
         self.ids = np.zeros(0, np.int32)
         # documents that have ids in the stream: id, place of the first of them, ids of the document before it, ids in all
         self.doc_ids: list = []

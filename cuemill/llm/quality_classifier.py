@@ -23,6 +23,8 @@ from .vocabularies import WordIds, kept
 
 #: Buckets, length of a vector, lengths of n-grams in bytes.
 BUCKETS, DIM, NGRAMS = 1 << 16, 8, (3, 4)
+#: Words whose features a Python worker remembers.
+REMEMBERED = 300_000
 #: Bound of the training sample: labelled rows, taken in the order of a hash of their id.
 TRAIN_ROWS = 4000
 EPOCHS, RATE, SEED = 6, 0.5, 7
@@ -37,7 +39,7 @@ def word_features(word: bytes, buckets: int = BUCKETS) -> list[int]:
 
 
 def _known(buckets: int) -> WordIds:
-    return kept(("features", buckets), lambda: WordIds(lambda words: [word_features(w, buckets) for w in words]))
+    return kept(("features", buckets), lambda: WordIds(lambda words: [word_features(w, buckets) for w in words], most=REMEMBERED))
 
 
 def text_features(known: WordIds, words: list[bytes], buckets: int) -> np.ndarray:

@@ -89,11 +89,17 @@ class WordIds:
 _KEPT: dict = {}
 
 
-def kept(key, make: Callable):
-    """One of a kind in each Python worker, across the tasks that it runs."""
+def kept(key, make: Callable, small: bool = False):
+    """One of a kind in each Python worker, across the tasks that it runs.
+
+    A worker holds one large thing at a time: workers outlive stages, and what the last stage remembered goes.
+    """
     if key not in _KEPT:
-        _KEPT[key] = make()
-    return _KEPT[key]
+        if not small:
+            for other in [k for k, (_, is_small) in _KEPT.items() if not is_small]:
+                del _KEPT[other]
+        _KEPT[key] = (make(), small)
+    return _KEPT[key][0]
 
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
