@@ -38,10 +38,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document has are cut; documents of which nothing is left go."""
+    """Paragraphs, however wrapped, then lines that came before are cut, however short; documents of which nothing is left go."""
     prepare(spark)
-    cut = substring_dedup.substring_dedup(docs)
-    left = cut.where((F.size("removed_units") == 0) | (F.length(F.trim("text")) > 0)).drop("removed_units")
+    left = docs
+    for unit in ("paragraph", "line"):
+        cut = substring_dedup.substring_dedup(left, unit, 1)
+        left = cut.where((F.size("removed_units") == 0) | (F.length(substring_dedup.normalised(F.col("text"))) > 0)).drop("removed_units")
+        if unit == "paragraph":
+            left = written(left, "paragraphs")
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

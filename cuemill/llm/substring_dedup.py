@@ -3,7 +3,7 @@
 Units are normalised (A-Z in lower case, runs of white space as one space, none at the ends) and
 digested.  Digests are grouped over all documents, each with its earliest occurrence, in the order of
 (doc_id, number of the unit).  All other occurrences are removed; spans of the original text
-say what went.  Only units of at least ``min_words`` words take part.
+say what went.  Units of at least ``min_words`` words take part; units without a word never do.
 
 DataFrame expressions throughout.  The earliest occurrence is a minimum, aggregated before the
 shuffle; units meet their digest in a join that Spark can split, so that a digest of very
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-#: Units of fewer words stay: short lines recur in clean documents too.
+#: Lines of fewer words stay in the query, as its SQL has it; the pipeline takes all lines and paragraphs.
 MIN_WORDS = 20
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,7 +42,7 @@ def substring_dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WO
     rows = rows.withColumn("fp", F.xxhash64("text"))
     units = rows.where(F.length("text") > 0).select("doc", "fp", F.posexplode(F.split("text", separator, -1)).alias("at", "unit"))
     units = units.select("doc", "fp", "at", normalised(F.col("unit")).alias("unit"))
-    units = units.where(F.size(F.split("unit", " ")) >= min_words).select("doc", "fp", "at", F.unhex(F.md5("unit")).alias("digest"))
+    units = units.where((F.col("unit") != "") & (F.size(F.split("unit", " ")) >= min_words)).select("doc", "fp", "at", F.unhex(F.md5("unit")).alias("digest"))
     first = units.groupBy("digest").agg(F.min(F.struct("doc", "fp", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     again = units.join(first, "digest").where("NOT (doc <=> first.doc AND fp = first.fp AND at = first.at)")
     gone = again.groupBy("doc", "fp").agg(F.sort_array(F.collect_set("at")).alias("gone"))

@@ -185,6 +185,18 @@ def test_substring_dedup(docs, none, unit, separator):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+def test_pipeline_cuts_short_lines_and_wrapped_paragraphs(spark):
+    import corpus_pipeline
+
+    passage = "one two three four five six seven eight nine ten eleven twelve".split()
+    wrapped = lambda n: "\n".join(" ".join(passage[i : i + n]) for i in range(0, 12, n))
+    texts = ["first\nA short line of six words\n\n" + wrapped(4), "second\na  short line of SIX words\n\n\nfirst", "third of its own\n\n" + wrapped(3), "First\n\n\n\nsecond", None, ""]
+    table = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.repeated_units(spark, table, "").collect()}
+    expected = {0: texts[0], 1: "second\n\n", 2: "third of its own", 4: None, 5: ""}
+    assert got == {i: (t, None if t is None else len(t)) for i, t in expected.items()}
+
+
 def test_decontamination(spark, docs, none):
     rng = random.Random(9)
     words = vocabulary_of(400, 5)
