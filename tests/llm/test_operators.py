@@ -222,6 +222,48 @@ def test_decontamination(spark, docs, none):
     assert decontamination.decontaminate(none, benchmark).count() == 0 and decontamination.decontaminate(table, benchmark.limit(0)).count() == 0
 
 
+def brute_force_hits(rows, items) -> set[tuple[int, int]]:
+    sizes = list(decontamination.WINDOW_SIZES)
+    while sizes[-1] < max(len(x.split()) for _, x in items):
+        sizes.append(2 * sizes[-1])
+    hits = set()
+    for (i, text), (k, item) in ((r, x) for r in rows for x in items):
+        words, item = text.split(), item.split()
+        for size in sizes:
+            for first in range(0, max(1, len(words) - size // 2 + 1), size // 2):
+                window = words[max(0, first - len(item)) : first + size + len(item)]
+                common, answer = decontamination.lcs_length(item, window), decontamination.has_answer(item, window)
+                if common >= decontamination.LCS_ALONE * len(item) or answer and common >= decontamination.LCS_WITH_ANSWER * len(item):
+                    hits.add((i, k))
+    return hits
+
+
+def paraphrases():
+    rng = random.Random(4)
+    words = vocabulary_of(1500, 5)
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(15, 58)))) for k in range(20)] + [(20, words[0]), (21, " ".join(words[:3]))]
+    rows, planted = [], set()
+    for i in range(120):
+        text, k = [rng.choice(words) for _ in range(rng.randint(20, 300))], i % 20
+        own = items[k][1].split()
+        share = (0.2, 0.3, 0.4, 0.5)[i % 4]
+        for at in rng.sample(range(len(own) - 4), min(len(own) - 4, int(share * len(own)))):
+            own[at] = rng.choice(words)
+        at = rng.randrange(len(text))
+        text[at:at] = own
+        planted.add((i, k))
+        rows.append((i, " ".join(text)))
+    return rows, items, planted
+
+
+def test_decontamination_finds_paraphrases(spark):
+    rows, items, planted = paraphrases()
+    expected = brute_force_hits(rows, items)
+    assert planted <= expected
+    got = decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == sorted(expected)
+
+
 def test_lcs():
     rng = random.Random(2)
     for _ in range(100):
