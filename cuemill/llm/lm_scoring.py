@@ -6,8 +6,9 @@ What is learned comes from the training documents, all of them:
    from them, each distinct word encoded once.
 2. Frequent ids become tokens of their own; each rarer one is a member of a rest token, with its share
    by count.
-3. The attention model is started on windows of a bounded sample.  Then every task goes on with
-   it on windows of all its documents, one a document, and the weights are averaged, by windows.
+3. The attention model is started on windows of a bounded sample, one a document.  Then, in a few
+   rounds, every task goes on with it on consecutive windows of its documents, and the weights are averaged, by
+   windows.  A document is in one round, with all its tokens.
 
 Scoring is one pass: texts fall into overlapping context windows, each token is scored once.
 """
@@ -29,10 +30,12 @@ from . import attention
 from .common import documents, id_and_text, id_hash, written
 from .vocabularies import load_tokenizer, lowered, vocabulary, word_ids
 
-#: Documents whose windows start the model; all go into what follows.
+#: Documents of which a window each starts the model; all, and whole, go into what follows.
 START_DOCS, START_EPOCHS, START_RATE, GO_ON_RATE = 6000, 6, 0.01, 0.002
-#: Tokens of a training window.
-WINDOW = 48
+#: Rounds of training between which weights are averaged; the documents are dealt over them.
+ROUNDS = 3
+#: Tokens of a training window, and windows that a task holds at a time.
+WINDOW, HELD_WINDOWS = 48, 4096
 #: Words whose counts all tasks hold, the most frequent ones, at most so many; counts of the others are joined.
 HEAD_WORDS = 1 << 16
 #: Kinds of tokens that the model tells apart as inputs: the most frequent ones, the rest, and the beginning.
@@ -135,6 +138,29 @@ def training_windows(docs: DataFrame, tokenizer_path: str, tokens: Tokens):
     return windows
 
 
+def whole_windows(docs: Iterator[pa.RecordBatch], tokenizer_path: str, tokens: Tokens) -> Iterator[list[np.ndarray]]:
+    """Consecutive windows that cover each text and its end, ``HELD_WINDOWS`` at a time or, at the end, fewer."""
+    words, held = word_ids(tokenizer_path), []
+    for batch in docs:
+        for text in batch.column(1).cast(pa.binary()).to_pylist():
+            split = lowered(text).split()
+            words.learn(set(split))
+            for at in range(0, len(split) + 1, WINDOW * HELD_WINDOWS):  # a word has a token at least: pieces of a long text
+                piece = split[at : at + WINDOW * HELD_WINDOWS]
+                sequence = tokens.token[words.ids(words.places(piece))].astype(np.int32)
+                if at + len(piece) == len(split):
+                    sequence = np.append(sequence, np.int32(_END))
+                for i in range(0, len(sequence), WINDOW):
+                    held.append(sequence[i : i + WINDOW])
+                    if len(held) == HELD_WINDOWS:
+                        yield held
+                        held = []
+                if at + len(piece) == len(split):
+                    break
+    if held:
+        yield held
+
+
 def fit(docs: DataFrame, tokenizer_path: str, tokens: Tokens) -> dict[str, np.ndarray]:
     """Weights learned from all of ``docs`` (doc_id, text)."""
     windows = training_windows(docs, tokenizer_path, tokens)
@@ -148,11 +174,15 @@ def fit(docs: DataFrame, tokenizer_path: str, tokens: Tokens) -> dict[str, np.nd
     sample = docs.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(collect, "window binary").collect()
     started = attention.train(first, [np.frombuffer(x, "<i4") for x in sorted(bytes(r["window"]) for r in sample)], tokens.kinds, KINDS - 1, START_RATE, epochs=START_EPOCHS)
 
-    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [x for batch in batches for x in windows(batch)]
-        if found:
-            values = attention.flat(attention.train(started, found, tokens.kinds, KINDS - 1, GO_ON_RATE))
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([len(found)], pa.int64()), pa.array([values.tobytes()], pa.binary())], names=["task", "n", "weights"])
+    def round_of(weights: dict[str, np.ndarray]):
+        def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, n = weights, 0
+            for found in whole_windows(batches, tokenizer_path, tokens):
+                own, n = attention.train(own, found, tokens.kinds, KINDS - 1, GO_ON_RATE), n + len(found)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([attention.flat(own).tobytes()], pa.binary())], names=["task", "n", "weights"])
+
+        return go_on
 
     def average(table: pa.Table) -> pa.Table:
         n, total = 0, 0.0
@@ -160,12 +190,12 @@ def fit(docs: DataFrame, tokenizer_path: str, tokens: Tokens) -> dict[str, np.nd
             n, total = n + k, total + k * np.frombuffer(w, np.float32)
         return pa.table({"n": pa.array([n], pa.int64()), "weights": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
 
-    tasks = docs.mapInArrow(go_on, "task long, n long, weights binary")
-    parts = tasks.groupBy(F.pmod("task", F.lit(16)).alias("part")).applyInArrow(average, "n long, weights binary").collect()
-    if not parts:
-        return started
-    total = sum(r["n"] for r in parts)
-    return attention.unflat(sum(r["n"] / total * np.frombuffer(r["weights"], np.float32) for r in parts), started)
+    for k in range(ROUNDS):
+        tasks = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == k).mapInArrow(round_of(started), "task long, n long, weights binary")
+        parts = tasks.groupBy(F.pmod("task", F.lit(16)).alias("part")).applyInArrow(average, "n long, weights binary").collect()
+        if total := sum(r["n"] for r in parts):
+            started = attention.unflat(sum(r["n"] / total * np.frombuffer(r["weights"], np.float32) for r in parts), started)
+    return started
 
 
 def score_texts(docs: DataFrame, params: dict[str, np.ndarray], tokenizer_path: str, tokens: Tokens, head: dict[bytes, int], n_train: int, n_kinds: int) -> DataFrame:

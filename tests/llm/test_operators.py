@@ -374,6 +374,30 @@ def test_lm_scoring(docs, none):
     assert lm_scoring.score_documents(none, none, WORDS).count() == 0
 
 
+def test_lm_training_takes_whole_texts(docs):
+    from cuemill.llm.vocabularies import lowered
+
+    tokens = lm_scoring.Tokens(lm_scoring.id_counts(lm_scoring.word_counts(lm_scoring.id_and_text(docs)), WORDS, load_tokenizer(WORDS).get_vocab_size()))
+    known, texts = lm_scoring.word_ids(WORDS), [t or "" for _, t, *_ in corpus()]
+    texts.append(" ".join(texts[64].split() * 40))  # more than is held at a time
+    expected = []
+    for text in texts:
+        words = lowered(text.encode()).split()
+        known.learn(set(words))
+        expected += [*tokens.token[known.ids(known.places(words))].tolist(), lm_scoring._END]
+    batch = lm_scoring.pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    parts = list(lm_scoring.whole_windows(iter([batch]), WORDS, tokens))
+    assert len(parts) > 1 and all(len(x) <= lm_scoring.HELD_WINDOWS and all(0 < len(w) <= lm_scoring.WINDOW for w in x) for x in parts)
+    assert [t for x in parts for w in x for t in w.tolist()] == expected
+
+    def trained(rows):  # words far from the start of a text, beyond one window, change the weights
+        return lm_scoring.fit(docs.sparkSession.createDataFrame(rows, "doc_id long, text string"), WORDS, tokens)
+
+    before = [(i, " ".join(["one two three"] * 400)) for i in range(4)]
+    a, b = (trained([(i, t + tail) for i, t in before]) for tail in (" one two three " * 400, " mo ta ri su lo ke " * 400))
+    assert (a["slot"] != b["slot"]).any()
+
+
 def test_attention_gradient_and_blocks():
     rng = np.random.default_rng(0)
     params, kinds = attention.init(50), rng.integers(0, 49, attention.CLASSES * attention.SLOTS).astype(np.int32)
