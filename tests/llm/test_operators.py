@@ -264,6 +264,19 @@ def test_decontamination_finds_paraphrases(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == sorted(expected)
 
 
+def test_decontamination_tries_windows_after_the_best_one(spark):
+    rng = random.Random(6)
+    words = vocabulary_of(1500, 5)
+    item = rng.sample(sorted(set(words)), 40)
+    filler = [w for w in words if w not in item]
+    prose = lambda n: [rng.choice(filler) for _ in range(n)]
+    told = [rng.choice(filler) if i % 4 == 1 and i < 36 else w for i, w in enumerate(item)]
+    text = [*prose(100), *item[::-1], *prose(400), *told, *prose(100)]  # the same words the other way round come first
+    docs = [(0, " ".join(text)), *((i, " ".join(prose(200))) for i in range(1, 30))]
+    got = decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["answer"]) for r in got] == [(0, 7, True)] and got[0]["start"] > 300
+
+
 def test_lcs():
     rng = random.Random(2)
     for _ in range(100):
