@@ -38,14 +38,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Paragraphs, however wrapped, then lines that came before are cut, however short; documents of which nothing is left go."""
+    """Lines and paragraphs that came before are cut, however short or wrapped, and passages of 20 words within them.
+
+    Documents of which no word is left go; those with a null, an empty or a blank text stay as they are.
+    """
     prepare(spark)
-    left = docs
-    for unit in ("paragraph", "line"):
-        cut = substring_dedup.substring_dedup(left, unit, 1)
-        left = cut.where((F.size("removed_units") == 0) | (F.length(substring_dedup.normalised(F.col("text"))) > 0)).drop("removed_units")
-        if unit == "paragraph":
-            left = written(left, "paragraphs")
+    done = substring_dedup.substring_dedup(docs, line_words=1)
+    left = done.where((F.size("removed_units") == 0) | (F.length("text") > 0)).drop("removed_units")
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
