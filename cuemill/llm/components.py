@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _minima(links: DataFrame) -> DataFrame:
@@ -34,4 +34,5 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("least"))
         small = large.join(least, "u").where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v")).union(least)
-        now = written(small.where("u <> v").distinct(), "links")
+        before, now = now, written(small.where("u <> v").distinct(), "links")
+        discard(before)

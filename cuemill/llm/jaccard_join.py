@@ -9,10 +9,11 @@ and b shingles with a Jaccard similarity of at least p percent differ in at most
 * **Parity sketch.**  In a band, shingles are dealt by hash to blocks, and every block is
   the XOR of the hashes of its shingles.  A shingle that only one of two sets has changes one block.
 * **Pigeonhole.**  A band has more blocks than any two of its sets may differ in, so that linked
-  sets agree in some block; there are so many spare blocks that they agree in one that isn't
-  empty, unless both sets have many empty blocks, whose keys then count too.  In bands of
-  small sets a few blocks hold much of what many documents share by chance: there, linked sets agree
-  in two or three blocks at least, and the keys are all choices of so many blocks.
+  sets agree in some, at least in as many as there are *spare* ones.  All blocks are ranked by how many shingles they
+  hold, then by hash; a set leaves out the lowest ones, one fewer than are spare.  Of the blocks in which linked
+  sets agree, the highest has so many below it in both sets, so neither leaves it out, while blocks of no or
+  one shingle, which many documents share by chance, give no keys.  In bands of small sets
+  linked sets agree in two or three blocks beyond those left out, and the keys are all choices of so many blocks.
 * **Verification.**  First, members of a bucket are checked against its smallest one, on the whole
   sets, and components are formed.  Buckets that still hold several components are open.  There,
   members are compared with those of other components by longer parity sketches, in blocks of
@@ -36,18 +37,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, id_and_text, written
+from .common import discard, documents, id_and_text, written
 from .components import connected_components
 from .vocabularies import kept
 
 #: Members of an open bucket that are compared at a time with as many others.
 CHUNK = 1024
-#: Tables of up to so many short rows are broadcast.
-BROADCAST_ROWS = 400_000
-#: Of a member's open buckets, so many of the smallest keys go along, to give out pairs once (mostly: doubles do no harm).
-KEYS_ALONG = 16
+#: Tables of one or two numbers a row are broadcast up to so many rows, 8 MB.
+BROADCAST_ROWS = 1 << 19
+#: Keys that a task holds before it hands them on.
+HELD_KEYS = 1 << 21
+#: Rows of open buckets that a task gathers, and pairs of them that it compares, at a time.
+HELD_ROWS, PAIRS = 1 << 13, 1 << 16
 #: Bits of the sketches of verification: so many for each shingle, a power of two between these.
-SKETCH_BITS, LEAST_BITS, MOST_BITS = 2, 256, 1 << 13
+SKETCH_BITS, LEAST_BITS, MOST_BITS = 1, 256, 1 << 13
 #: Words whose hashes a Python worker remembers.
 REMEMBERED = 250_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -98,15 +101,16 @@ class Bands:
         return number, low, high - 1
 
     def blocks(self, last: int) -> tuple[int, int, int]:
-        """Blocks in which two sets of the band may differ, number of blocks, and blocks that make a key."""
+        """Number of blocks, blocks that are left out, and blocks that make a key, where ``last`` is the band's largest size."""
         differ = 2 * last * (100 - self.percent) // (100 + self.percent)
         if not differ:
-            return 0, 1, 1
+            return 1, 0, 1
         chosen = 3 if differ <= 3 else 2 if differ <= 10 else 1
-        return differ, differ + chosen if chosen > 1 else differ + 3 + differ // 16, chosen
+        out = 1 if chosen > 1 else max(2, differ // 8 + 1)
+        return differ + chosen + out, out, chosen
 
     def of(self, size: int) -> list[tuple[int, int, int, int]]:
-        """Bands that a set of this size is in: number, blocks that may differ, blocks, blocks of a key."""
+        """Bands that a set of this size is in: number, blocks, blocks left out, blocks of a key."""
         number, _, last = self.bounds(size)
         out = [(number, *self.blocks(last))]
         if size * 100 // self.percent > last:
@@ -119,21 +123,19 @@ def block_keys(shingles: np.ndarray, bands: Bands, memo: dict) -> np.ndarray:
     size, out = len(shingles), []
     if size not in memo:
         memo[size] = bands.of(size)
-    for number, differ, blocks, chosen in memo[size]:
+    mixed = _mixed(shingles)
+    for number, blocks, left_out, chosen in memo[size]:
         block = ((shingles >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
-        block = block[order]
-        first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-        words = np.bitwise_xor.reduceat(_mixed(shingles[order]), first)
-        which = block[first]
-        if chosen > 1 or blocks - len(which) >= blocks - differ:  # of single blocks, empty ones count only where they may be all that two sets share
-            empty = np.setdiff1d(np.arange(blocks), which)
-            which, words = np.concatenate([which, empty]), np.concatenate([words, np.zeros(len(empty), np.uint64)])
-        keys = _mixed(words + _mixed(which.astype(np.uint64) * _ODD[3] + np.uint64(number + 1)))
+        first = np.flatnonzero(np.append(True, block[order][1:] != block[order][:-1]))
+        words, held = np.zeros(blocks, np.uint64), np.bincount(block, minlength=blocks)
+        words[block[order][first]] = np.bitwise_xor.reduceat(mixed[order], first)
+        keys = _mixed(words + _mixed(np.arange(blocks).astype(np.uint64) * _ODD[3] + np.uint64(number + 1)))
+        keys = keys[np.lexsort((keys, held))[left_out:]]
         if chosen > 1:
-            if (blocks, chosen) not in memo:
-                memo[blocks, chosen] = np.array(list(combinations(range(blocks), chosen)))
-            keys = _mixed(np.bitwise_xor.reduce(keys[np.argsort(which)][memo[blocks, chosen]], axis=1))
+            if (len(keys), chosen) not in memo:
+                memo[len(keys), chosen] = np.array(list(combinations(range(len(keys)), chosen)))
+            keys = _mixed(np.bitwise_xor.reduce(keys[memo[len(keys), chosen]], axis=1))
         out.append(keys)
     return np.concatenate(out)
 
@@ -146,8 +148,9 @@ def bucket_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, memo, first = Bands(percent), {}, {}
-        rows, keys, owners = [], [], []
+        keys, owners, held = [], [], 0
         for batch in batches:
+            rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 shingles = shingle_set(text, width)
                 digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
@@ -163,20 +166,27 @@ def bucket_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 own = block_keys(shingles, bands, memo)
                 keys.append(own)
                 owners.append(np.full(len(own), doc, np.int64))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (*[pa.int64()] * 4, pa.int64()))], names=names)
+                held += len(own)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=names)
+            if held >= HELD_KEYS:
+                yield from grouped(keys, owners)
+                keys, owners, held = [], [], 0
         if keys:
-            key, owner = np.concatenate(keys).view(np.int64), np.concatenate(owners)
-            order = np.lexsort((owner, key))
-            key, owner = key[order], owner[order]
-            fresh = np.append(True, key[1:] != key[:-1])
-            least = owner[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-            use = fresh | (owner != least)
-            key, owner, least, fresh = key[use], owner[use], least[use], fresh[use]
-            for i in range(0, len(key), 1 << 16):
-                part = slice(i, i + (1 << 16))
-                n = len(key[part])
-                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.nulls(n, pa.int64()), pa.array(owner[part]), pa.array(least[part], mask=fresh[part]), pa.nulls(n, pa.int64())], names=names)
+            yield from grouped(keys, owners)
+
+    def grouped(keys: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, owner = np.concatenate(keys).view(np.int64), np.concatenate(owners)
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        fresh = np.append(True, key[1:] != key[:-1])
+        least = owner[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+        use = fresh | (owner != least)
+        key, owner, least, fresh = key[use], owner[use], least[use], fresh[use]
+        for i in range(0, len(key), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            n = len(key[part])
+            yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.nulls(n, pa.int64()), pa.array(owner[part]), pa.array(least[part], mask=fresh[part]), pa.nulls(n, pa.int64())], names=names)
 
     names = ["k1", "k2", "doc", "lo", "n"]
     return docs.mapInArrow(run, "k1 long, k2 long, doc long, lo long, n long")
@@ -241,45 +251,72 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.join(full("a"), "a").join(full("b"), "b").select("a", "b", "x_a", "x_b").mapInArrow(run, "a long, b long")
 
 
+def _sketch_matrix(sketches: list[bytes], size: int) -> np.ndarray:
+    return np.stack([folded(np.frombuffer(x, np.uint8), size) for x in sketches]).view(np.uint64)
+
+
+def _allowed_pairs(rows: dict[str, np.ndarray], sketches: list[bytes], percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Pairs of documents of one group that are in different components and that sizes and sketches allow. rows: group (sorted), doc, component, part, across, n."""
+    group, n, lengths = rows["group"], rows["n"], np.fromiter(map(len, sketches), np.int64, len(sketches))
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    shortest = np.repeat(np.minimum.reduceat(lengths, first), np.diff(np.append(first, len(group))))
+    a, b = [], []
+    for size in np.unique(shortest).tolist():
+        at = np.flatnonzero(shortest == size)
+        bits, own = _sketch_matrix([sketches[i] for i in at], size), group[at]
+        later = np.searchsorted(own, own, "right") - np.arange(len(at)) - 1  # rows of the group behind each one
+        upto = np.cumsum(later)
+        for low in range(0, int(upto[-1]), PAIRS):  # so many pairs at a time, whatever the groups
+            k = np.arange(low, min(low + PAIRS, int(upto[-1])))
+            x = np.searchsorted(upto, k, "right")
+            y = x + 1 + k - (upto[x] - later[x])
+            i, j = at[x], at[y]
+            ok = (rows["component"][i] != rows["component"][j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            ok &= ~rows["across"][i] | (rows["part"][i] != rows["part"][j])
+            x, y, i, j = x[ok], y[ok], i[ok], j[ok]
+            ok = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
+            a.append(np.minimum(rows["doc"][i[ok]], rows["doc"][j[ok]]))
+            b.append(np.maximum(rows["doc"][i[ok]], rows["doc"][j[ok]]))
+    return a, b
+
+
 def open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of a bucket, in different components, that sketches allow.
 
-    members: k1, doc, component.  Buckets are dealt into chunks, and each two chunks of a bucket meet
-    once: no task holds more than two chunks.  A bucket gives out a pair that the sketches allow, unless a
-    bucket of a smaller key is known to hold both.
+    members: k1, doc, component.  Of a bucket of two the only pair was checked before.  Buckets are dealt into
+    chunks, and each two chunks of a bucket meet once: no task holds more than two chunks and some thousand rows besides.
     """
 
-    def compare(table: pa.Table) -> pa.Table:
-        doc, component, n = (table.column(c).to_numpy() for c in ("doc", "component", "n"))
-        part, i, j = (table.column(c).to_numpy() for c in ("part", "i", "j"))
-        k1, keys = table.column("k1")[0].as_py(), table.column("keys").combine_chunks()
-        ends, keys = keys.offsets.to_numpy(), keys.values.to_numpy()
-        smaller = [keys[ends[x] : ends[x + 1]] for x in range(len(doc))]
-        smaller = [set(x[x < k1].tolist()) for x in smaller]
-        sketches = [np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()]
-        size = min(map(len, sketches))
-        bits = np.stack([folded(x, size) for x in sketches]).view(np.uint64)
-        left, right = np.flatnonzero(part == i[0]), np.flatnonzero(part == j[0])
-        a, b = [], []
-        for x in left:
-            differ = np.bitwise_count(bits[right] ^ bits[x]).sum(1, dtype=np.int64)
-            ok = (differ * (100 + percent) <= (n[right] + n[x]) * (100 - percent)) & (component[right] != component[x])
-            if i[0] == j[0]:
-                ok &= doc[right] > doc[x]
-            chosen = [y for y in right[ok].tolist() if smaller[x].isdisjoint(smaller[y])]
-            a.append(np.full(len(chosen), doc[x]))
-            b.append(doc[chosen])
-        a, b = np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)])
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-    size = members.groupBy("k1").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    lists = members.groupBy("doc").agg(F.slice(F.sort_array(F.collect_list("k1")), 1, KEYS_ALONG).alias("keys"))  # no more are collected than a set has buckets
-    about = sets.select("doc", "n", "sketch").join(lists, "doc")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def found(table: pa.Table) -> pa.RecordBatch:
+            k1, i, j = (table.column(c).to_numpy() for c in ("k1", "i", "j"))
+            fresh = np.append(True, (k1[1:] != k1[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+            rows = {c: table.column(c).to_numpy() for c in ("doc", "component", "part", "n")} | {"group": np.cumsum(fresh), "across": i != j}
+            a, b = _allowed_pairs(rows, table.column("sketch").to_pylist(), percent)
+            a, b = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (a, b))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(x.num_rows for x in held) >= HELD_ROWS:
+                table = pa.Table.from_batches(held)
+                k1, i, j = (table.column(c).to_numpy() for c in ("k1", "i", "j"))
+                same = (k1 == k1[-1]) & (i == i[-1]) & (j == j[-1])  # the last group may go on
+                if cut := int(np.argmax(same)):
+                    yield found(table.slice(0, cut))
+                    held = table.slice(cut).to_batches()
+        if held:
+            yield found(pa.Table.from_batches(held))
+
+    size = members.groupBy("k1").agg(F.count(F.lit(1)).alias("size")).where("size > 2").select("k1", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
     dealt = members.join(size, "k1").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
     dealt = dealt.select("k1", "doc", "component", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     dealt = dealt.select("k1", "doc", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    dealt = dealt.join(about, "doc").select("k1", "doc", "component", "part", "i", "j", "n", "sketch", "keys")
-    return dealt.groupBy("k1", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    dealt = dealt.join(sets.select("doc", "n", "sketch"), "doc").select("k1", "doc", "component", "part", "i", "j", "n", "sketch")
+    return dealt.repartition("k1", "i", "j").sortWithinPartitions("k1", "i", "j").mapInArrow(compare, "a long, b long").distinct()
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -302,25 +339,30 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     rows = rows.select("*", F.min("doc").over(spread).alias("least"), F.count(F.lit(1)).over(spread).alias("members"))
     rows = rows.where("k2 IS NOT NULL OR lo IS NOT NULL OR members > 1").select("k1", "k2", "doc", F.coalesce("lo", "least").alias("lo"), "n")
     rows = written(rows, "buckets")
-    each = rows.where("k2 IS NOT NULL")
+    each = written(rows.where("k2 IS NOT NULL"), "documents")
     buckets = rows.where("k2 IS NULL").select("k1", "doc", "lo")
     same = each.where("n > 0 AND doc <> lo").select(F.col("lo").alias("a"), F.col("doc").alias("b"))
     star = written(buckets.where("doc <> lo").select(F.col("lo").alias("a"), F.col("doc").alias("b")).distinct(), "star")
     wanted = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct()
-    sets = written(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), width), "sets")
+    sets = written(shingle_sets(docs.join(_small(wanted), "doc_id", "left_semi"), width), "sets")
     labels = written(connected_components(same.union(verified(star, sets, percent))), "components")
     # a bucket all of whose members are linked to their smallest one is settled; one with a pair that isn't is open
     label = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
     apart = star.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(F.col("a").alias("lo"), F.col("b").alias("doc"))
-    still = written(buckets.join(_small(written(apart, "apart")), ["lo", "doc"]).select("k1").distinct(), "open")
+    apart = written(apart, "apart")
+    still = written(buckets.join(_small(apart), ["lo", "doc"]).select("k1").distinct(), "open")
     members = buckets.join(_small(still), "k1")
     members = members.select("k1", "doc").union(members.select("k1", F.col("lo"))).distinct()
     members = members.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("k1", "doc", F.coalesce("component", "doc").alias("component"))
-    found = verified(open_pairs(written(members, "members"), sets, percent), sets, percent)
+    members = written(members, "members")
+    discard(apart, still)
+    found = verified(open_pairs(members, sets, percent), sets, percent)
     found = found.join(label("a"), "a", "left").join(label("b"), "b", "left")
     merged = written(found.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")), "links")
     if not merged.isEmpty():
-        labels = written(connected_components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(merged)), "components")
+        old, labels = labels, written(connected_components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(merged)), "components")
+        discard(old)
+    discard(rows, star, sets, members, merged)
     out = each.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
