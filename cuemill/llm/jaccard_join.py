@@ -47,10 +47,12 @@ CHUNK = 1024
 BROADCAST_ROWS = 1 << 19
 #: Keys that a task holds before it hands them on.
 HELD_KEYS = 1 << 21
+#: Of a member's open buckets, so many of the smallest keys go along, to give out pairs once (mostly: doubles do no harm).
+KEYS_ALONG = 16
 #: Rows of open buckets that a task gathers, and pairs of them that it compares, at a time.
 HELD_ROWS, PAIRS = 1 << 13, 1 << 16
 #: Bits of the sketches of verification: so many for each shingle, a power of two between these.
-SKETCH_BITS, LEAST_BITS, MOST_BITS = 1, 256, 1 << 13
+SKETCH_BITS, LEAST_BITS, MOST_BITS = 2, 256, 1 << 13
 #: Words whose hashes a Python worker remembers.
 REMEMBERED = 250_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -255,8 +257,11 @@ def _sketch_matrix(sketches: list[bytes], size: int) -> np.ndarray:
     return np.stack([folded(np.frombuffer(x, np.uint8), size) for x in sketches]).view(np.uint64)
 
 
-def _allowed_pairs(rows: dict[str, np.ndarray], sketches: list[bytes], percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Pairs of documents of one group that are in different components and that sizes and sketches allow. rows: group (sorted), doc, component, part, across, n."""
+def _allowed_pairs(rows: dict[str, np.ndarray], sketches: list[bytes], keys: list[np.ndarray], percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Pairs of documents of one group that are in different components and that sizes and sketches allow, but for those that another group gives out.
+
+    rows: group (sorted), k1, doc, component, part, across, n.  keys: of each row, its smallest keys.
+    """
     group, n, lengths = rows["group"], rows["n"], np.fromiter(map(len, sketches), np.int64, len(sketches))
     first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     shortest = np.repeat(np.minimum.reduceat(lengths, first), np.diff(np.append(first, len(group))))
@@ -275,8 +280,11 @@ def _allowed_pairs(rows: dict[str, np.ndarray], sketches: list[bytes], percent:
             ok &= ~rows["across"][i] | (rows["part"][i] != rows["part"][j])
             x, y, i, j = x[ok], y[ok], i[ok], j[ok]
             ok = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
-            a.append(np.minimum(rows["doc"][i[ok]], rows["doc"][j[ok]]))
-            b.append(np.maximum(rows["doc"][i[ok]], rows["doc"][j[ok]]))
+            i, j = i[ok], j[ok]
+            here = [np.intersect1d(keys[x], keys[y])[:1].tolist() in ([], [k]) for x, y, k in zip(i.tolist(), j.tolist(), rows["k1"][i].tolist())]
+            i, j = i[here], j[here]
+            a.append(np.minimum(rows["doc"][i], rows["doc"][j]))
+            b.append(np.maximum(rows["doc"][i], rows["doc"][j]))
     return a, b
 
 
@@ -285,6 +293,7 @@ def open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     members: k1, doc, component.  Of a bucket of two the only pair was checked before.  Buckets are dealt into
     chunks, and each two chunks of a bucket meet once: no task holds more than two chunks and some thousand rows besides.
+    A pair is given out by the bucket of the smallest key that is known to hold both.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,8 +302,10 @@ def open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         def found(table: pa.Table) -> pa.RecordBatch:
             k1, i, j = (table.column(c).to_numpy() for c in ("k1", "i", "j"))
             fresh = np.append(True, (k1[1:] != k1[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
-            rows = {c: table.column(c).to_numpy() for c in ("doc", "component", "part", "n")} | {"group": np.cumsum(fresh), "across": i != j}
-            a, b = _allowed_pairs(rows, table.column("sketch").to_pylist(), percent)
+            rows = {c: table.column(c).to_numpy() for c in ("k1", "doc", "component", "part", "n")} | {"group": np.cumsum(fresh), "across": i != j}
+            lists = table.column("keys").combine_chunks()
+            keys = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+            a, b = _allowed_pairs(rows, table.column("sketch").to_pylist(), keys, percent)
             a, b = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (a, b))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -312,10 +323,12 @@ def open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield found(pa.Table.from_batches(held))
 
     size = members.groupBy("k1").agg(F.count(F.lit(1)).alias("size")).where("size > 2").select("k1", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    dealt = members.join(size, "k1").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
+    members = members.join(size, "k1")
+    lists = members.groupBy("doc").agg(F.slice(F.sort_array(F.collect_list("k1")), 1, KEYS_ALONG).alias("keys"))  # no more are collected than a set has buckets
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
     dealt = dealt.select("k1", "doc", "component", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     dealt = dealt.select("k1", "doc", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    dealt = dealt.join(sets.select("doc", "n", "sketch"), "doc").select("k1", "doc", "component", "part", "i", "j", "n", "sketch")
+    dealt = dealt.join(sets.select("doc", "n", "sketch").join(lists, "doc"), "doc").select("k1", "doc", "component", "part", "i", "j", "n", "sketch", "keys")
     return dealt.repartition("k1", "i", "j").sortWithinPartitions("k1", "i", "j").mapInArrow(compare, "a long, b long").distinct()
 
 
