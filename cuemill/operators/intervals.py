@@ -47,12 +47,39 @@ def interval_pairs(left: DataFrame, right: DataFrame, bucket_ms: float = BUCKET_
     return both.where(F.floor(F.greatest("start_ms", "seg_start") / bucket_ms) == F.col("bucket")).drop("bucket")
 
 
+def paired_rows(cues: DataFrame, speech: DataFrame, key: tuple[str, ...] = ("media_id", "pos"), bucket_ms: float = BUCKET_MS) -> DataFrame:
+    """Every cue with the segments that it overlaps: row (all its columns), key, start_ms, end_ms, seg_id, seg_start, seg_end; null ones without any.
+
+    The rows go along, so that no join back is needed; a cue lies in one bucket mostly.
+    """
+    touched = lambda s, e: F.explode_outer(F.sequence(F.floor(s / bucket_ms), F.floor(F.greatest(s, e) / bucket_ms))).alias("bucket")
+    a = cues.select(F.struct(*cues.columns).alias("row"), *key, "start_ms", "end_ms", touched(F.col("start_ms"), F.col("end_ms"))).alias("a")
+    b = speech.select("media_id", "seg_id", F.col("start_ms").alias("seg_start"), F.col("end_ms").alias("seg_end"), touched(F.col("start_ms"), F.col("end_ms"))).alias("b")
+    meet = (F.col("a.media_id") == F.col("b.media_id")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("start_ms") < F.col("seg_end")) & (F.col("seg_start") < F.col("end_ms"))
+    meet &= F.floor(F.greatest("start_ms", "seg_start") / bucket_ms) == F.col("a.bucket")
+    return a.join(b, meet, "left").select("row", *[F.col(f"a.{k}").alias(k) for k in key], "start_ms", "end_ms", "seg_id", "seg_start", "seg_end")
+
+
 def with_overlap(cues: DataFrame, speech: DataFrame, key: tuple[str, ...] = ("media_id", "pos")) -> DataFrame:
-    """cues with overlap_ms: the sum over segments, 0 without any.  Texts don't go through the interval join."""
-    slim = cues.select(*key, "start_ms", "end_ms")
-    common = F.least("end_ms", "seg_end") - F.greatest("start_ms", "seg_start")
-    sums = interval_pairs(slim, speech).groupBy(*key).agg(F.sum(common).alias("overlap_ms"))
-    return cues.join(sums, list(key), "left").withColumn("overlap_ms", F.coalesce("overlap_ms", F.lit(0.0)))
+    """cues with overlap_ms: the sum over segments, 0 without any.  The key tells cues apart."""
+    common = F.when(F.col("seg_start").isNotNull(), F.least("end_ms", "seg_end") - F.greatest("start_ms", "seg_start"))
+    sums = paired_rows(cues, speech, key).groupBy(*key).agg(F.first("row").alias("row"), F.sum(common).alias("overlap_ms"))
+    return sums.select("row.*", F.coalesce("overlap_ms", F.lit(0.0)).alias("overlap_ms"))
+
+
+def silence_measures(cues: DataFrame, speech: DataFrame, edge_ms: float = 50) -> DataFrame:
+    """cues with overlap_ms, and of their stretches without speech total and longest (ms; 0 without any) and at_edge (one begins or ends near an end of the cue)."""
+    met = F.col("seg_start").isNotNull()
+    pairs = paired_rows(cues, speech).withColumns({"s": F.when(met, F.greatest("start_ms", "seg_start")), "e": F.when(met, F.least("end_ms", "seg_end"))})
+    order = Window.partitionBy("media_id", "pos").orderBy("s", "seg_id")
+    reached = F.coalesce(F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("start_ms"))
+    gap = F.when(F.col("s").isNotNull(), F.greatest(F.col("s") - F.col("reached"), F.lit(0.0)))
+    edge = (gap > 0) & ((F.abs(F.col("reached") - F.col("start_ms")) < edge_ms) | (F.abs(F.col("s") - F.col("end_ms")) < edge_ms))
+    sums = pairs.withColumn("reached", reached).groupBy("media_id", "pos").agg(
+        F.first("row").alias("row"), F.first("end_ms").alias("end_ms"), F.sum(F.col("e") - F.col("s")).alias("overlap_ms"), F.sum(gap).alias("inner"), F.max(gap).alias("longest"), F.bool_or(edge).alias("edge"), F.coalesce(F.max("e"), F.first("start_ms")).alias("last")
+    )
+    tail, zero = F.greatest(F.col("end_ms") - F.col("last"), F.lit(0.0)), F.lit(0.0)
+    return sums.select("row.*", F.coalesce("overlap_ms", zero).alias("overlap_ms"), (F.coalesce("inner", zero) + tail).alias("total"), F.greatest(F.coalesce("longest", zero), tail).alias("longest"), (F.coalesce("edge", F.lit(False)) | (tail > 0)).alias("at_edge"))
 
 
 def entries_for_segment(cues: DataFrame, segments: DataFrame) -> DataFrame:
@@ -77,24 +104,21 @@ def silence_totals(gaps: DataFrame) -> DataFrame:
     return gaps.groupBy("media_id", "pos").agg(F.sum(length).alias("total_ms"), F.max(length).alias("max_ms"))
 
 
+def _is_noise(ratio: float) -> Column:
+    whole = F.col("end_ms") - F.col("start_ms")
+    return (whole > 0) & (F.col("total") > 0) & ((F.col("total") / whole <= ratio) | (~F.col("at_edge") & (F.col("longest") / whole <= ratio)))
+
+
 def silence_noise_flag(cues: DataFrame, speech: DataFrame, ratio: float = 0.15, edge_ms: float = 50) -> DataFrame:
     """cues with is_noise: little silence in all, or only short ones away from both ends; no silence: false."""
-    gaps = silence_gaps(cues, speech).join(cues.select("media_id", "pos", "start_ms", "end_ms"), ["media_id", "pos"])
-    edge = (F.abs(F.col("gap_start") - F.col("start_ms")) < edge_ms) | (F.abs(F.col("gap_end") - F.col("end_ms")) < edge_ms)
-    length = F.col("gap_end") - F.col("gap_start")
-    sums = gaps.groupBy("media_id", "pos").agg(F.sum(length).alias("total"), F.max(length).alias("longest"), F.bool_or(edge).alias("at_edge"))
-    flagged = cues.join(sums, ["media_id", "pos"], "left")
-    whole = F.col("end_ms") - F.col("start_ms")
-    noise = (whole > 0) & ((F.col("total") / whole <= ratio) | (~F.col("at_edge") & (F.col("longest") / whole <= ratio)))
-    return flagged.withColumn("is_noise", F.coalesce(noise, F.lit(False))).drop("total", "longest", "at_edge")
+    return silence_measures(cues, speech, edge_ms).select(*cues.columns, F.coalesce(_is_noise(ratio), F.lit(False)).alias("is_noise"))
 
 
-def filter_silent_entries(cues: DataFrame, speech: DataFrame, share: float = 0.1, least_ms: float = 120) -> DataFrame:
+def filter_silent_entries(cues: DataFrame, speech: DataFrame, share: float = 0.1, least_ms: float = 120, ratio: float = 0.15) -> DataFrame:
     """Entries with enough speech, or whose silence is noise; media without speech pass whole."""
-    flagged = with_overlap(silence_noise_flag(cues, speech), speech)
     spoken = speech.select("media_id").distinct().withColumn("spoken", F.lit(True))
     enough = F.col("overlap_ms") >= F.greatest(F.lit(float(least_ms)), (F.col("end_ms") - F.col("start_ms")) * share)
-    return flagged.join(spoken, "media_id", "left").where(F.col("spoken").isNull() | F.col("is_noise") | enough).select(*cues.columns)
+    return silence_measures(cues, speech).join(spoken, "media_id", "left").where(F.col("spoken").isNull() | F.coalesce(_is_noise(ratio), F.lit(False)) | enough).select(*cues.columns)
 
 
 def remove_silent_entries(cues: DataFrame, speech: DataFrame, share: float = 0.1, least_ms: float = 120, short_ms: float = 1200, enabled: bool = True) -> DataFrame:
@@ -114,6 +138,11 @@ def remove_silent_entries(cues: DataFrame, speech: DataFrame, share: float = 0.1
     return measured.where(keep).select(*cues.columns)
 
 
+def boundary_score(target: Column, boundary: Column, s: Column, e: Column) -> Column:
+    """Nearness of a segment's edge to a boundary, and the segment's length."""
+    return 0.7 / (1.0 + F.abs(target - boundary) / 100.0) + 0.3 * F.least((e - s) / 1000.0, F.lit(1.0))
+
+
 def best_boundary(points: DataFrame, speech: DataFrame, lookback: float, lookahead: float, pad: float, is_start: bool) -> DataFrame:
     """points (media_id, id, boundary) with new_boundary and score: the best segment near, the first on ties; none: null and 0."""
     width = max(BUCKET_MS, 2 * (lookback + lookahead))
@@ -121,8 +150,7 @@ def best_boundary(points: DataFrame, speech: DataFrame, lookback: float, lookahe
     s = speech.select("media_id", "seg_id", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.explode(F.sequence(F.floor(F.col("start_ms") / width), F.floor(F.greatest("start_ms", "end_ms") / width))).alias("bucket"))
     near = p.join(s, ["media_id", "bucket"]).where((F.col("e") >= F.col("boundary") - lookback) & (F.col("s") <= F.col("boundary") + lookahead))
     target = F.col("s") if is_start else F.col("e")
-    score = 0.7 / (1.0 + F.abs(target - F.col("boundary")) / 100.0) + 0.3 * F.least((F.col("e") - F.col("s")) / 1000.0, F.lit(1.0))
-    near = near.withColumn("score", score).withColumn("moved", target + (-pad if is_start else pad))
+    near = near.withColumn("score", boundary_score(target, F.col("boundary"), F.col("s"), F.col("e"))).withColumn("moved", target + (-pad if is_start else pad))
     best = near.groupBy("media_id", "id").agg(F.max_by(F.struct("moved", "score"), F.struct("score", -F.col("s"), -F.col("seg_id"))).alias("b"))
     out = points.join(best, ["media_id", "id"], "left")
     return out.select("media_id", "id", "boundary", F.col("b.moved").alias("new_boundary"), F.coalesce("b.score", F.lit(0.0)).alias("score"))

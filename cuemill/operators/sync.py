@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import intervals
 
 
+#: Fixed text of a transcript without entries.
+NO_SPEECH = "[NO SPEECH DETECTED]"
+
+
 @dataclass(frozen=True)
 class SyncConfig:
+    """Names and defaults of the options."""
+
     chunk_mode: str = "grouped"
     gap_threshold_ms: float = 200
     lookback_start_ms: float = 800
@@ -60,13 +68,19 @@ def snap_chunks(chunks: DataFrame, speech: DataFrame, config: SyncConfig = SyncC
     ends = intervals.best_boundary(keyed.select("media_id", "id", F.col("end_ms").alias("boundary")), speech, c.lookback_end_ms, c.lookahead_end_ms, c.pad_ms, False)
     near = keyed.join(starts.select("media_id", "id", F.col("new_boundary").alias("to_start"), F.col("score").alias("start_score")), ["media_id", "id"]).join(ends.select("media_id", "id", F.col("new_boundary").alias("to_end"), F.col("score").alias("end_score")), ["media_id", "id"])
     order = Window.partitionBy("media_id").orderBy("id")
-    moved_start = F.greatest(F.least("to_start", F.col("start_ms") + c.max_left_expand_ms), F.col("start_ms") - c.max_left_shift_ms)
-    moved_end = F.greatest(F.least("to_end", F.col("end_ms") + c.max_right_expand_ms), F.col("end_ms") - c.max_right_shift_ms)
     near = near.withColumn("before", F.lag("end_ms").over(order)).withColumn("after", F.lead("start_ms").over(order))
-    near = near.withColumn("s", F.when(F.col("to_start").isNotNull() & (F.col("start_score") >= c.threshold_score), F.greatest(moved_start, F.col("before"))).otherwise(F.col("start_ms")))
-    near = near.withColumn("e", F.when(F.col("to_end").isNotNull() & (F.col("end_score") >= c.threshold_score), F.least(moved_end, F.col("after"))).otherwise(F.col("end_ms")))
-    short = F.col("e") - F.col("s") < c.min_entry_duration_ms
-    return near.select("media_id", F.col("id").alias("chunk_id"), "start_ms", "end_ms", "n", F.when(short, F.col("start_ms")).otherwise(F.col("s")).alias("new_start"), F.when(short, F.col("end_ms")).otherwise(F.col("e")).alias("new_end"))
+    new_start, new_end = _snapped(c)
+    return near.select("media_id", F.col("id").alias("chunk_id"), "start_ms", "end_ms", "n", new_start.alias("new_start"), new_end.alias("new_end"))
+
+
+def _snapped(c: SyncConfig, start: str = "start_ms", end: str = "end_ms") -> tuple[Column, Column]:
+    """New ends of a chunk, from to_start, start_score, to_end, end_score (null and 0 without a segment near), before and after (null at the ends of a medium)."""
+    moved_start = F.greatest(F.least("to_start", F.col(start) + c.max_left_expand_ms), F.col(start) - c.max_left_shift_ms)
+    moved_end = F.greatest(F.least("to_end", F.col(end) + c.max_right_expand_ms), F.col(end) - c.max_right_shift_ms)
+    s = F.when(F.col("to_start").isNotNull() & (F.col("start_score") >= c.threshold_score), F.greatest(moved_start, F.col("before"))).otherwise(F.col(start))
+    e = F.when(F.col("to_end").isNotNull() & (F.col("end_score") >= c.threshold_score), F.least(moved_end, F.col("after"))).otherwise(F.col(end))
+    short = e - s < c.min_entry_duration_ms
+    return F.when(short, F.col(start)).otherwise(s), F.when(short, F.col(end)).otherwise(e)
 
 
 _ENTRY = ("entry_index", "start_ms", "end_ms", "text")
@@ -89,39 +103,58 @@ def apply_proportional(cues: DataFrame, snapped: DataFrame) -> DataFrame:
     return joined.select(*[c for c in cues.columns if c not in ("start_ms", "end_ms")], moved("start_ms"), moved("end_ms"))
 
 
-def _fold(df: DataFrame, key: str, order: tuple[str, ...], columns: tuple[str, ...], step) -> DataFrame:
-    """Ordered fold over the rows of a key; ``step(last, row)`` gives the finished row and the new last one. Rows of one medium are held together."""
-    row = F.struct(*order, *[c for c in columns if c not in order])
-    kind = df.select(row.alias("r")).schema["r"].dataType.simpleString()  # all fields may be null
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("last"))
+def _fold(rows: DataFrame, order: tuple[str, ...], step: Callable[[dict, dict], None]) -> DataFrame:
+    """Ordered fold over the rows of each run (columns media_id and run); ``step(last, row)`` changes the two rows.
+
+    Runs are dealt over all tasks, and a task holds one row besides its Arrow batches, however long a run is.
+    """
+    names, schema = rows.columns, rows.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                if last is not None:
+                    if (row["media_id"], row["run"]) == (last["media_id"], last["run"]):
+                        step(last, row)
+                    done.append(last)
+                last = row
+            if done:
+                yield pa.RecordBatch.from_pylist(done, batch.schema)
+            kind = batch.schema
+        if last is not None:
+            yield pa.RecordBatch.from_pylist([last], kind)
 
-    def merge(acc: Column, x: Column) -> Column:
-        finished, last = step(acc["last"], x)
-        first = acc["last"].isNull()
-        return F.struct(F.when(first, acc["done"]).otherwise(F.concat(acc["done"], F.array(finished.cast(kind)))).alias("done"), F.when(first, x.cast(kind)).otherwise(last.cast(kind)).alias("last"))
+    return rows.repartition("media_id", "run").sortWithinPartitions("media_id", "run", *order).mapInArrow(run, schema).select(*names).drop("run")
 
-    folded = F.aggregate("rows", start, merge, lambda acc: F.concat(acc["done"], F.array(acc["last"])))
-    return rows.select(key, F.explode(folded).alias("r")).select(key, "r.*")
+
+def _runs(rows: DataFrame, order: tuple[str, ...], fresh: Callable[[Window], Column]) -> DataFrame:
+    """rows with run: it begins where ``fresh`` is true, or null as on the first row of a medium."""
+    w = Window.partitionBy("media_id").orderBy(*order)
+    return rows.withColumn("run", F.coalesce(fresh(w), F.lit(True)).cast("long")).withColumn("run", F.sum("run").over(w))
 
 
 def fix_overlaps(cues: DataFrame, min_duration: float = 300, min_gap: float = 10) -> DataFrame:
-    """Where an entry begins before the end of the one before, both are cut about the middle, with a least length each."""
+    """Where an entry begins before the end of the one before, both are cut about the middle, with a least length each.
 
-    def step(last: Column, x: Column) -> tuple[Column, Column]:
+    An entry that begins later depends on nothing before it: entries are folded run by run.
+    """
+
+    def step(last: dict, x: dict) -> None:
+        if last["end_ms"] is None or x["start_ms"] is None or not last["end_ms"] > x["start_ms"]:
+            return
         middle = (last["end_ms"] + x["start_ms"]) / 2
-        short_before = middle - min_gap / 2 - last["start_ms"] < min_duration
-        end1 = F.when(short_before, last["start_ms"] + min_duration).otherwise(middle - min_gap / 2)
-        start1 = F.when(short_before, last["start_ms"] + min_duration + min_gap).otherwise(middle + min_gap / 2)
-        short_now = x["end_ms"] - start1 < min_duration
-        start2 = F.when(short_now, x["end_ms"] - min_duration).otherwise(start1)
-        end2 = F.when(short_now, x["end_ms"] - min_duration - min_gap).otherwise(end1)
-        overlaps = last["end_ms"] > x["start_ms"]
-        end = F.when(overlaps, F.greatest(last["start_ms"] + min_duration, end2)).otherwise(last["end_ms"])
-        start = F.when(overlaps, F.least(x["end_ms"] - min_duration, start2)).otherwise(x["start_ms"])
-        return last.withField("end_ms", end), x.withField("start_ms", start)
+        end, start = middle - min_gap / 2, middle + min_gap / 2
+        if end - last["start_ms"] < min_duration:
+            end, start = last["start_ms"] + min_duration, last["start_ms"] + min_duration + min_gap
+        if x["end_ms"] - start < min_duration:
+            start, end = x["end_ms"] - min_duration, x["end_ms"] - min_duration - min_gap
+        last["end_ms"], x["start_ms"] = max(last["start_ms"] + min_duration, end), min(x["end_ms"] - min_duration, start)
 
-    return _fold(cues, "media_id", ("entry_index", "pos"), ("entry_index", "pos", "start_ms", "end_ms", "text"), step)
+    order = ("entry_index", "pos")
+    rows = cues.select("media_id", "entry_index", "pos", F.col("start_ms").cast("double"), F.col("end_ms").cast("double"), "text")
+    return _fold(_runs(rows, order, lambda w: ~(F.lag("end_ms").over(w) > F.col("start_ms"))), order, step)
 
 
 def overlap_count(cues: DataFrame) -> DataFrame:
@@ -131,13 +164,16 @@ def overlap_count(cues: DataFrame) -> DataFrame:
 
 def pack_speech(speech: DataFrame, max_ms: float) -> DataFrame:
     """speech with group_id (from 0): a segment joins while the group stays within the limit, or if it alone reaches it."""
-    rows = speech.withColumn("group_id", F.lit(0)).withColumn("group_start", F.col("start_ms"))
-
-    def step(last: Column, x: Column) -> tuple[Column, Column]:
-        joins = (x["end_ms"] - last["group_start"] <= max_ms) | (x["end_ms"] - x["start_ms"] >= max_ms)
-        return last, x.withField("group_id", F.when(joins, last["group_id"]).otherwise(last["group_id"] + 1)).withField("group_start", F.when(joins, last["group_start"]).otherwise(x["start_ms"]))
+    def step(last: dict, x: dict) -> None:
+        if x["end_ms"] - last["group_start"] <= max_ms or x["end_ms"] - x["start_ms"] >= max_ms:
+            x["opens"], x["group_start"] = 0, last["group_start"]
 
-    return _fold(rows, "media_id", ("start_ms", "seg_id"), ("start_ms", "seg_id", "end_ms", "group_id", "group_start"), step)
+    # a segment that reaches further than the limit from the start of the one before opens a group, whatever came before
+    order = ("start_ms", "seg_id")
+    far = lambda w: (F.col("end_ms") - F.lag("start_ms").over(w) > max_ms) & (F.col("end_ms") - F.col("start_ms") < max_ms)
+    rows = speech.select("media_id", "start_ms", "seg_id", "end_ms", F.lit(1).alias("opens"), F.col("start_ms").alias("group_start"))
+    folded = _fold(_runs(rows, order, far), order, step)
+    return folded.withColumn("group_id", (F.sum("opens").over(Window.partitionBy("media_id").orderBy(*order)) - 1).cast("int")).drop("opens")
 
 
 def split_plan(speech: DataFrame, media: DataFrame, minutes: float) -> DataFrame:
@@ -160,58 +196,94 @@ def utterance_segments(speech: DataFrame, media: DataFrame, min_s: float = 0.5)
 def monotone_clamp(entries: DataFrame, media: DataFrame, min_s: float = 0.001) -> DataFrame:
     """entries (media_id, clip_index, start_s, end_s, text) in order of start, none before the end of the one before; media without any: a default row."""
     empty = media.select("media_id").join(entries.select("media_id").distinct(), "media_id", "left_anti")
-    default = empty.select("media_id", F.lit(0).cast(entries.schema["clip_index"].dataType).alias("clip_index"), F.lit(0.0).alias("start_s"), F.lit(0.5).alias("end_s"), F.lit("[NO SPEECH DETECTED]").alias("text"))
+    default = empty.select("media_id", F.lit(0).cast(entries.schema["clip_index"].dataType).alias("clip_index"), F.lit(0.0).alias("start_s"), F.lit(0.5).alias("end_s"), F.lit(NO_SPEECH).alias("text"))
     rows = entries.select("media_id", "clip_index", "start_s", "end_s", "text").unionByName(default).withColumn("at", F.col("start_s"))
     fit = lambda start, end: F.when(end <= start, start + min_s).otherwise(end)
     rows = rows.withColumn("start_s", F.greatest("start_s", F.lit(0.0))).withColumn("end_s", fit(F.col("start_s"), F.col("end_s")))
 
-    def step(last: Column, x: Column) -> tuple[Column, Column]:
-        start = F.greatest(x["start_s"], last["end_s"])
-        return last, x.withField("start_s", start).withField("end_s", fit(start, x["end_s"]))
+    def step(last: dict, x: dict) -> None:
+        x["start_s"] = max(x["start_s"], last["end_s"])
+        if x["end_s"] <= x["start_s"]:
+            x["end_s"] = x["start_s"] + min_s
 
-    return _fold(rows, "media_id", ("at", "clip_index"), ("at", "clip_index", "start_s", "end_s", "text"), step).drop("at")
+    # each entry before can have pushed an end by ``min_s`` at most
+    order = ("at", "clip_index")
+    clear = lambda w: F.col("start_s") >= F.max("end_s").over(w.rowsBetween(Window.unboundedPreceding, -1)) + F.row_number().over(w) * min_s + 1e-6
+    return _fold(_runs(rows, order, clear), order, step).drop("at")
 
 
 def prepared_speech(speech: DataFrame, config: SyncConfig = SyncConfig()) -> DataFrame:
     return intervals.filter_short_segments(intervals.merge_close_segments(intervals.valid_segments(speech), config.merge_gap_ms), config.min_speech_ms)
 
 
-def _corrected(cues: DataFrame, speech: DataFrame, c: SyncConfig) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _retimed(cues: DataFrame, speech: DataFrame, c: SyncConfig) -> DataFrame:
+    """Cues after the removal of silent ones and the snapping of chunks, with what the statistics count.
+
+    media_id, pos, entry_index, start_ms, end_ms, text, vad_segments (null: no speech, the row is as it came), fresh
+    (first of a chunk), corrected (the chunk moved).  One set of rows goes through: a row carries what it needs to the
+    next step, so that nothing is computed twice and joined back.
+    """
     segments = prepared_speech(speech, c)
-    spoken = segments.select("media_id").distinct()
-    entries = intervals.remove_silent_entries(cues.join(spoken, "media_id", "left_semi"), segments, c.min_coverage_ratio, c.min_coverage_ms, c.min_silence_entry_ms, c.remove_silent_entries)
-    chunked = chunk_by_gap(entries, c.gap_threshold_ms) if c.chunk_mode == "grouped" else chunk_individual(entries)
-    snapped = snap_chunks(chunk_bounds(chunked), segments, c)
-    applied = (apply_edge_only if c.entry_mode == "edge-only" else apply_proportional)(chunked, snapped)
-    return segments, entries, snapped, applied
+    rows = cues.select("media_id", "pos", *_ENTRY).join(segments.groupBy("media_id").agg(F.count("*").alias("vad_segments")), "media_id", "left")
+    if c.remove_silent_entries:
+        rows = intervals.remove_silent_entries(rows, segments, c.min_coverage_ratio, c.min_coverage_ms, c.min_silence_entry_ms)
+    w = Window.partitionBy("media_id").orderBy("pos")
+    rows = rows.withColumns({"before": F.lag("end_ms").over(w), "after": F.lead("start_ms").over(w)})
+    opens = F.coalesce(F.col("start_ms") - F.col("before") > c.gap_threshold_ms, F.lit(True)) if c.chunk_mode == "grouped" else F.lit(True)
+    rows = rows.withColumn("fresh", opens).withColumn("chunk_id", F.sum(F.col("fresh").cast("int")).over(w))
+    whole = Window.partitionBy("media_id", "chunk_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    entry = F.struct(*_ENTRY)
+    rows = rows.withColumns({"c_start": F.first("start_ms").over(whole), "c_end": F.last("end_ms").over(whole), "before": F.first("before").over(whole), "after": F.last("after").over(whole), "as_first": entry.eqNullSafe(F.first(entry).over(whole)), "as_last": entry.eqNullSafe(F.last(entry).over(whole))})
+    # both boundaries of a chunk are searched in one join, from its first row
+    width = max(intervals.BUCKET_MS, 2 * (c.lookback_start_ms + c.lookahead_start_ms), 2 * (c.lookback_end_ms + c.lookahead_end_ms))
+    near = lambda at, back, ahead: F.sequence(F.floor((F.col(at) - back) / width), F.floor((F.col(at) + ahead) / width))
+    wanted = F.when(F.col("fresh") & F.col("vad_segments").isNotNull(), F.array_union(near("c_start", c.lookback_start_ms, c.lookahead_start_ms), near("c_end", c.lookback_end_ms, c.lookahead_end_ms)))
+    a = rows.select(F.struct(*rows.columns).alias("row"), "media_id", "pos", "c_start", "c_end", F.explode_outer(wanted).alias("bucket")).alias("a")
+    b = segments.select("media_id", "seg_id", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.explode(F.sequence(F.floor(F.col("start_ms") / width), F.floor(F.greatest("start_ms", "end_ms") / width))).alias("bucket")).alias("b")
+    at_start = (F.col("e") >= F.col("c_start") - c.lookback_start_ms) & (F.col("s") <= F.col("c_start") + c.lookahead_start_ms)
+    at_end = (F.col("e") >= F.col("c_end") - c.lookback_end_ms) & (F.col("s") <= F.col("c_end") + c.lookahead_end_ms)
+    pairs = a.join(b, (F.col("a.media_id") == F.col("b.media_id")) & (F.col("a.bucket") == F.col("b.bucket")) & (at_start | at_end), "left")
+
+    def best(use: Column, target: str, boundary: str, pad: float) -> Column:
+        score = intervals.boundary_score(F.col(target), F.col(boundary), F.col("s"), F.col("e"))
+        return F.max_by(F.struct((F.col(target) + pad).alias("moved"), score.alias("score")), F.when(use, F.struct(score, -F.col("s"), -F.col("seg_id"))))
+
+    found = pairs.groupBy("a.media_id", "a.pos").agg(F.first("row").alias("row"), best(at_start, "s", "c_start", -c.pad_ms).alias("to_s"), best(at_end, "e", "c_end", c.pad_ms).alias("to_e"))
+    found = found.select("row.*", "to_s", "to_e").withColumns({"to_s": F.first("to_s").over(whole), "to_e": F.first("to_e").over(whole)})
+    found = found.withColumns({"to_start": F.col("to_s.moved"), "start_score": F.coalesce("to_s.score", F.lit(0.0)), "to_end": F.col("to_e.moved"), "end_score": F.coalesce("to_e.score", F.lit(0.0))})
+    new_start, new_end = _snapped(c, "c_start", "c_end")
+    found = found.withColumns({"new_start": new_start, "new_end": new_end})
+    if c.entry_mode == "edge-only":
+        start, end = (F.when(F.col(flag), F.col(new)).otherwise(F.col(old)) for flag, new, old in (("as_first", "new_start", "start_ms"), ("as_last", "new_end", "end_ms")))
+    else:
+        scale = (F.col("new_end") - F.col("new_start")) / (F.col("c_end") - F.col("c_start"))
+        start, end = (F.when(F.col("c_end") > F.col("c_start"), F.col("new_start") + (F.col(x) - F.col("c_start")) * scale).otherwise(F.col(x)) for x in ("start_ms", "end_ms"))
+    spoken = F.col("vad_segments").isNotNull()
+    corrected = (F.abs(F.col("new_start") - F.col("c_start")) > 1) | (F.abs(F.col("new_end") - F.col("c_end")) > 1)
+    return found.select("media_id", "pos", "entry_index", F.when(spoken, start).otherwise(F.col("start_ms")).alias("start_ms"), F.when(spoken, end).otherwise(F.col("end_ms")).alias("end_ms"), "text", "vad_segments", "fresh", (F.col("fresh") & corrected).alias("corrected"))
 
 
 def sync_pipeline(cues: DataFrame, speech: DataFrame, config: SyncConfig = SyncConfig()) -> DataFrame:
     """Cues re-timed to speech: media_id, entry_index, start_ms, end_ms, text; media without speech come back unchanged."""
-    segments, _, _, applied = _corrected(cues, speech, config)
-    fixed = fix_overlaps(applied, config.min_entry_duration_ms, config.min_gap_ms) if config.fix_overlaps else applied
+    rows = _retimed(cues, speech, config)
     columns = ["media_id", "entry_index", "start_ms", "end_ms", "text"]
-    return fixed.select(*columns).unionByName(cues.join(segments.select("media_id").distinct(), "media_id", "left_anti").select(*columns))
+    if not config.fix_overlaps:
+        return rows.select(*columns)
+    spoken = F.col("vad_segments").isNotNull()
+    return fix_overlaps(rows.where(spoken), config.min_entry_duration_ms, config.min_gap_ms).select(*columns).unionByName(rows.where(~spoken).select(*columns))
 
 
 def sync_stats(cues: DataFrame, speech: DataFrame, config: SyncConfig = SyncConfig()) -> DataFrame:
     """A row for each medium: status, entries, chunks, vad_segments, corrections, overlaps_fixed, silent_removed."""
-    segments, entries, snapped, applied = _corrected(cues, speech, config)
+    order = Window.partitionBy("media_id").orderBy("entry_index", "pos")
+    rows = _retimed(cues, speech, config).withColumn("over", F.lag("end_ms").over(order) > F.col("start_ms"))
+    counts = rows.groupBy("media_id").agg(F.count("*").alias("left"), F.max("vad_segments").alias("segments"), F.count_if("fresh").alias("opened"), F.count_if("corrected").alias("moved"), F.count_if("over").alias("over"))
     before = cues.groupBy("media_id").agg(F.count("*").alias("n_before"))
-    moved = (F.abs(F.col("new_start") - F.col("start_ms")) > 1) | (F.abs(F.col("new_end") - F.col("end_ms")) > 1)
-    parts = [
-        entries.groupBy("media_id").agg(F.count("*").alias("entries")),
-        snapped.groupBy("media_id").agg(F.count("*").alias("chunks"), F.count_if(moved).alias("corrections")),
-        segments.groupBy("media_id").agg(F.count("*").alias("vad_segments")),
-        overlap_count(applied).withColumnRenamed("overlaps", "overlaps_fixed"),
-    ]
-    out = before
-    for part in parts:
-        out = out.join(part, "media_id", "left")
-    zero = lambda x: F.coalesce(x, F.lit(0)).cast("long").alias(x)
-    status = F.when(F.col("vad_segments").isNull(), "no_segments").otherwise("success")
-    entries_n = F.when(status == "no_segments", F.col("n_before")).otherwise(F.coalesce("entries", F.lit(0)))
-    return out.select("media_id", status.alias("status"), entries_n.cast("long").alias("entries"), zero("chunks"), zero("vad_segments"), zero("corrections"), zero("overlaps_fixed"), (F.col("n_before") - entries_n).cast("long").alias("silent_removed"))
+    spoken = prepared_speech(speech, config).groupBy("media_id").agg(F.count("*").alias("spoken"))  # of media all of whose entries went, too
+    out = before.join(counts, "media_id", "left").join(spoken, "media_id", "left")
+    of = lambda x: F.when(F.col("spoken").isNotNull(), F.coalesce(x, F.lit(0))).otherwise(0).cast("long")
+    entries = F.when(F.col("spoken").isNull(), F.col("n_before")).otherwise(F.coalesce("left", F.lit(0))).cast("long")
+    return out.select("media_id", F.when(F.col("spoken").isNull(), "no_segments").otherwise("success").alias("status"), entries.alias("entries"), of("opened").alias("chunks"), of("spoken").alias("vad_segments"), of("moved").alias("corrections"), of("over").alias("overlaps_fixed"), (F.col("n_before") - entries).cast("long").alias("silent_removed"))
 
 
 def cleanup_pipeline(cues: DataFrame, speech: DataFrame, config: SyncConfig = SyncConfig()) -> DataFrame:
