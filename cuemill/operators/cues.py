@@ -11,6 +11,9 @@ from ..functions.text import decode_legacy, strip, truncated
 #: Fixed pattern of a cue block.
 CUE_PATTERN = r"(?sU)(\d+)\s+(\d{2}:\d{2}:\d{2},\d{3})\s-->\s(\d{2}:\d{2}:\d{2},\d{3})\s+(.*?)\s*(?=\n\d+\s|\z)"
 
+#: The same of one block taken out of its file.
+_ONE_CUE = CUE_PATTERN.removesuffix(r"(?=\n\d+\s|\z)") + r"\z"
+
 
 def read_cue_files(spark: SparkSession, path: str) -> DataFrame:
     """media_id (path) and text of cue files: UTF-8 as it is, without a byte-order mark; anything else by the first legacy charset that fits."""
@@ -18,9 +21,9 @@ def read_cue_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decoded(files: DataFrame) -> DataFrame:
-    plain = F.regexp_replace(F.col("content").cast("string"), "^﻿", "")
-    valid = F.is_valid_utf8(F.col("content").cast("string"))
-    return files.where(valid).select("media_id", plain.alias("text")).unionByName(files.where(~valid).select("media_id", decode_legacy("content").alias("text")))
+    text = F.col("content").cast("string")
+    legacy = decode_legacy(F.when(~F.is_valid_utf8(text), F.col("content")))
+    return files.select("media_id", F.when(F.is_valid_utf8(text), F.regexp_replace(text, "^\ufeff", "")).otherwise(legacy).alias("text"))
 
 
 def strict_text(uploads: DataFrame) -> DataFrame:
@@ -30,9 +33,9 @@ def strict_text(uploads: DataFrame) -> DataFrame:
 
 def parse_cues(files: DataFrame) -> DataFrame:
     """media_id, pos, entry_index, start, end, text from files (media_id, text)."""
-    groups = [F.regexp_extract_all("text", F.lit(CUE_PATTERN), F.lit(i)) for i in range(1, 5)]
-    cues = files.select("media_id", F.posexplode(F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("entry_index", "start", "end", "text"))])).alias("pos", "cue"))
-    return cues.select("media_id", (F.col("pos") + 1).alias("pos"), F.col("cue.entry_index").try_cast("int").alias("entry_index"), F.col("cue.start").alias("start"), F.col("cue.end").alias("end"), strip(F.regexp_replace("cue.text", "\n", " ")).alias("text"))
+    whole = files.select("media_id", F.posexplode(F.regexp_extract_all("text", F.lit(CUE_PATTERN), F.lit(0))).alias("pos", "block"))
+    group = lambda i: F.regexp_extract("block", _ONE_CUE, i)
+    return whole.select("media_id", (F.col("pos") + 1).alias("pos"), group(1).try_cast("int").alias("entry_index"), group(2).alias("start"), group(3).alias("end"), strip(F.regexp_replace(group(4), "\n", " ")).alias("text"))
 
 
 def cues_to_ms(parsed: DataFrame) -> DataFrame:
@@ -101,9 +104,12 @@ def snapshot_times(bounds: DataFrame) -> DataFrame:
     return at.select("media_id", "batch_no", "i", (F.col("start_s") + (F.col("end_s") - F.col("start_s")) * F.col("i") / (F.col("k") + 1)).alias("at_s"))
 
 
-def even_times(media: DataFrame, count: int) -> DataFrame:
-    """Points that divide a whole duration evenly. media: media_id, duration_ms."""
-    return media.select("media_id", F.explode(F.sequence(F.lit(1), F.lit(count))).alias("i"), "duration_ms").select("media_id", "i", (F.col("duration_ms") / 1000 * F.col("i") / (count + 1)).alias("at_s"))
+def even_times(media: DataFrame, count: int, margin_s: float = 0.2) -> DataFrame:
+    """Points that divide a whole duration, without a margin at both ends, evenly. media: media_id, duration_ms."""
+    start = max(0.0, margin_s)
+    length = F.greatest(F.lit(start + margin_s), F.col("duration_ms") / 1000 - margin_s) - start
+    points = media.select("media_id", "duration_ms", F.explode(F.sequence(F.lit(1), F.lit(count))).alias("i")) if count > 0 else media.select("media_id", "duration_ms", F.lit(1).alias("i")).limit(0)
+    return points.select("media_id", "i", (start + length * F.col("i") / (count + 1)).alias("at_s"))
 
 
 def time_bin_entries(cues: DataFrame, minutes: float) -> DataFrame:

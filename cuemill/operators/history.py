@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ def _dump(history: DataFrame) -> DataFrame:
     block = F.concat(F.upper("role"), F.lit(":\n"), strip(F.col("text")))
     said = history.where(strip(F.coalesce("text", F.lit(""))) != "")
     rows = said.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))).alias("rows"))
-    return rows.select("conv_id", F.array_join(F.transform("rows", lambda r: r["b"]), "\n\n---\n\n").alias("dump"))
+    return rows.select("conv_id", F.array_join(F.transform("rows", lambda r: r["b"]), DUMP_SEPARATOR).alias("dump"))
 
 
 def conversation_dump(history: DataFrame) -> DataFrame:
@@ -45,19 +47,46 @@ def _back(history: DataFrame) -> DataFrame:
     return history.withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))))
 
 
-def compact_history(history: DataFrame, keep: int, limit: int = 0, upcoming: int = 0, rounds: int = 3) -> DataFrame:
-    """The last 2*keep messages behind a summary row (turn null first); fewer are kept, up to three rounds, until the estimate fits."""
+#: What stands between the messages of a dump; fixed text.
+DUMP_SEPARATOR = "\n\n---\n\n"
+
+
+def compact_history(history: DataFrame, keep: int, limit: int = 0, upcoming: int = 0, summarise: Callable[[Column], Column] = lambda dump: dump, rounds: int = 3) -> DataFrame:
+    """Histories whose estimate with ``upcoming`` is above the limit: older messages give way to a summary row (turn null).
+
+    Round r keeps the last 2 * max(0, keep - r) messages behind a summary of all that went before, the summary of the round before
+    included, until the estimate fits, at most ``rounds`` times.  A history stays as it is if it fits, if it has no
+    more messages than would be kept, or if what would go is blank.  ``summarise`` makes the summary's text from the dump of what goes
+    (a model's reply is a column that the caller brings); the default takes the dump itself.  limit 0: one round, whatever the estimate.
+    """
+    if not limit:
+        rounds = 1
+    kept = [2 * max(0, keep - r) for r in range(rounds)]
+    block = F.concat(F.upper("role"), F.lit(":\n"), strip(F.col("text")))
+    said = strip(F.coalesce("text", F.lit(""))) != ""
     numbered = message_tokens(_back(history))
-    total = numbered.groupBy("conv_id").agg(F.count("*").alias("n"), *[F.sum(F.when(F.col("back") <= 2 * max(1, keep - r), F.col("tokens")).otherwise(0)).alias(f"t{r}") for r in range(rounds)])
-    chosen = F.lit(max(1, keep - rounds + 1))
-    for r in reversed(range(rounds)):
-        fits = F.lit(True) if not limit else F.col(f"t{r}") + upcoming <= limit
-        chosen = F.when(fits, F.lit(max(1, keep - r))).otherwise(chosen)
-    at = numbered.join(total.select("conv_id", "n", chosen.alias("kept")), "conv_id")
-    old = at.where((F.col("n") > 2 * F.col("kept")) & (F.col("back") > 2 * F.col("kept")))
-    summary = _dump(old.select("conv_id", "turn", "role", "text")).select("conv_id", F.lit(None).cast("long").alias("turn"), F.lit("model").alias("role"), F.concat(F.lit(SUMMARY_MARK + "\n"), F.col("dump")).alias("text"))
-    recent = at.where((F.col("n") <= 2 * F.col("kept")) | (F.col("back") <= 2 * F.col("kept"))).select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    return summary.unionByName(recent)
+
+    def dumped(goes: Column) -> Column:
+        rows = F.array_sort(F.collect_list(F.when(goes & said, F.struct("turn", block.alias("b")))))
+        return F.array_join(F.transform(rows, lambda r: r["b"]), DUMP_SEPARATOR)
+
+    goes = [F.col("back") > kept[0], *((F.col("back") <= kept[r - 1]) & (F.col("back") > kept[r]) for r in range(1, rounds))]
+    measures = [x for r in range(rounds) for x in (dumped(goes[r]).alias(f"d{r}"), F.sum(F.when(F.col("back") <= kept[r], F.col("tokens")).otherwise(0)).alias(f"t{r}"))]
+    at = numbered.groupBy("conv_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("total"), *measures)
+    for r in range(rounds):
+        dump = F.col(f"d{r}") if r == 0 else F.concat_ws(DUMP_SEPARATOR, F.concat(F.lit("MODEL:\n"), strip(F.col(f"s{r - 1}"))), F.nullif(F.col(f"d{r}"), F.lit("")))
+        at = at.withColumn(f"s{r}", F.concat(F.lit(SUMMARY_MARK + "\n"), summarise(dump)))
+        at = at.withColumn(f"fits{r}", (estimate_tokens(F.col(f"s{r}")) + 4 + F.col(f"t{r}") + upcoming <= limit) if limit else F.lit(True))
+    stays = (F.col("n") <= kept[0]) | (F.col("d0") == "")
+    if limit:
+        stays |= F.col("total") + upcoming <= limit
+    chosen = F.lit(rounds - 1)
+    for r in reversed(range(rounds - 1)):
+        chosen = F.when(F.col(f"fits{r}"), F.lit(r)).otherwise(chosen)
+    at = at.select("conv_id", F.when(~stays, F.array(*[F.struct(F.lit(kept[r]).alias("kept"), F.col(f"s{r}").alias("text")) for r in range(rounds)])[chosen]).alias("to"))
+    summary = at.where("to IS NOT NULL").select("conv_id", F.lit(None).cast("long").alias("turn"), F.lit("model").alias("role"), F.col("to.text").alias("text"))
+    recent = numbered.join(at.select("conv_id", F.col("to.kept").alias("kept")), "conv_id").where("kept IS NULL OR back <= kept")
+    return summary.unionByName(recent.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text"))
 
 
 def should_snapshot(history: DataFrame, limit: int, prompt_tokens: int) -> DataFrame:
@@ -141,5 +170,5 @@ def sanitize_history(messages: DataFrame) -> DataFrame:
 
 
 def recon_flag(messages: DataFrame) -> DataFrame:
-    tagged = F.exists("parts", lambda p: F.lit(False) if not RECON_TAGS else (F.startswith(p["text"], F.lit(RECON_TAGS[0])) | F.startswith(p["text"], F.lit(RECON_TAGS[1]))))
+    tagged = F.exists("parts", lambda p: F.startswith(p["text"], F.lit(RECON_TAGS[0])) | F.startswith(p["text"], F.lit(RECON_TAGS[1])))
     return messages.withColumn("is_recon", (F.col("role") == "model") & tagged)

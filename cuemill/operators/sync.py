@@ -135,10 +135,10 @@ def _runs(rows: DataFrame, order: tuple[str, ...], fresh: Callable[[Window], Col
     return rows.withColumn("run", F.coalesce(fresh(w), F.lit(True)).cast("long")).withColumn("run", F.sum("run").over(w))
 
 
-def fix_overlaps(cues: DataFrame, min_duration: float = 300, min_gap: float = 10) -> DataFrame:
+def fix_overlaps(cues: DataFrame, min_duration: float = 300, min_gap: float = 10, untouched: Column | None = None) -> DataFrame:
     """Where an entry begins before the end of the one before, both are cut about the middle, with a least length each.
 
-    An entry that begins later depends on nothing before it: entries are folded run by run.
+    untouched: media that stay as they are.  An entry that begins later depends on nothing before it: entries are folded run by run.
     """
 
     def step(last: dict, x: dict) -> None:
@@ -153,8 +153,9 @@ def fix_overlaps(cues: DataFrame, min_duration: float = 300, min_gap: float = 10
         last["end_ms"], x["start_ms"] = max(last["start_ms"] + min_duration, end), min(x["end_ms"] - min_duration, start)
 
     order = ("entry_index", "pos")
-    rows = cues.select("media_id", "entry_index", "pos", F.col("start_ms").cast("double"), F.col("end_ms").cast("double"), "text")
-    return _fold(_runs(rows, order, lambda w: ~(F.lag("end_ms").over(w) > F.col("start_ms"))), order, step)
+    alone = F.lit(False) if untouched is None else untouched
+    rows = cues.select("media_id", "entry_index", "pos", F.col("start_ms").cast("double"), F.col("end_ms").cast("double"), "text", alone.alias("alone"))
+    return _fold(_runs(rows, order, lambda w: F.col("alone") | ~(F.lag("end_ms").over(w) > F.col("start_ms"))).drop("alone"), order, step)
 
 
 def overlap_count(cues: DataFrame) -> DataFrame:
@@ -269,8 +270,7 @@ def sync_pipeline(cues: DataFrame, speech: DataFrame, config: SyncConfig = SyncC
     columns = ["media_id", "entry_index", "start_ms", "end_ms", "text"]
     if not config.fix_overlaps:
         return rows.select(*columns)
-    spoken = F.col("vad_segments").isNotNull()
-    return fix_overlaps(rows.where(spoken), config.min_entry_duration_ms, config.min_gap_ms).select(*columns).unionByName(rows.where(~spoken).select(*columns))
+    return fix_overlaps(rows, config.min_entry_duration_ms, config.min_gap_ms, F.col("vad_segments").isNull()).select(*columns)
 
 
 def sync_stats(cues: DataFrame, speech: DataFrame, config: SyncConfig = SyncConfig()) -> DataFrame:

@@ -82,7 +82,7 @@ add("chunk_time_bounds", _bounds, f"WITH {_B} SELECT * FROM b", "v1_cues")
 _K = "1 + greatest((n - 10) // 10, 0)"
 add("snapshot_count", lambda s, d: _v1(s, d).groupBy("media_id").agg(cu.snapshot_count(F.count("*")).alias("k")), f"SELECT media_id, CAST({_K} AS INT) AS k FROM (SELECT media_id, count(*) AS n FROM v1_cues GROUP BY 1) x")
 add("snapshot_times", lambda s, d: cu.snapshot_times(_bounds(s, d)).withColumn("at_s", F.round("at_s", 6)), f"WITH {_B} SELECT media_id, batch_no, i, round(start_s + (end_s - start_s) * i / (k + 1), 6) AS at_s FROM (SELECT *, {_K} AS k, unnest(range(1, CAST({_K} AS BIGINT) + 1)) AS i FROM b) x", "v1_cues")
-add("even_times", lambda s, d: cu.even_times(_media(s, d), 5).withColumn("at_s", F.round("at_s", 6)), f"SELECT media_id, i, round({DURATION_MS / 1000} * i / 6, 6) AS at_s FROM (SELECT DISTINCT media_id FROM v1_cues) m, (SELECT unnest(range(1, 6)) AS i) r")
+add("even_times", lambda s, d: cu.even_times(_media(s, d), 5).withColumn("at_s", F.round("at_s", 6)), f"SELECT media_id, i, round(0.2e0 + ({DURATION_MS / 1000}e0 - 0.4e0) * i / 6, 6) AS at_s FROM (SELECT DISTINCT media_id FROM v1_cues) m, (SELECT unnest(range(1, 6)) AS i) r")
 add("time_bin_entries", lambda s, d: cu.time_bin_entries(_v1(s, d), 0.5), """WITH span AS (SELECT media_id, arg_min(start_ms, pos) AS f, arg_max(end_ms, pos) AS l FROM v1_cues GROUP BY 1),
 bins AS (SELECT media_id, f, l, unnest(range(0, CAST(ceil((l - f) / 30000) AS BIGINT))) AS bin FROM span),
 g AS (SELECT b.media_id, bin, count(*) AS n, arg_min(start_ms, pos) AS start_ms, arg_max(end_ms, pos) AS end_ms FROM bins b JOIN v1_cues c ON c.media_id = b.media_id AND c.start_ms < f + (bin + 1) * 30000 AND c.end_ms > f + bin * 30000 GROUP BY 1, 2)

@@ -92,6 +92,16 @@ add("history_tokens", lambda s, d: hi.history_tokens(_h(s, d)), f"SELECT conv_id
 _DUMP = lambda src, k="conv_id": f"SELECT {k}, string_agg(concat(upper(role), ':', chr(10), {_STRIP('text')}), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY turn) AS dump FROM {src} WHERE {_STRIP('text')} <> '' GROUP BY {k}"
 add("conversation_dump", lambda s, d: hi.conversation_dump(_h(s, d)), _DUMP("v4_history"))
 add("compact_history", lambda s, d: hi.compact_history(_h(s, d), 1), f"WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n FROM v4_history), o AS (SELECT * FROM n WHERE n > 2 AND back > 2), m AS ({_DUMP('o')}) SELECT conv_id, CAST(NULL AS BIGINT) AS turn, 'model' AS role, concat('[WORK SUMMARY]', chr(10), dump) AS text FROM m UNION ALL SELECT conv_id, turn, role, text FROM n WHERE n <= 2 OR back <= 2", "v4_history")
+# keep 2, limit 700 with 40 to come; a summary is the first 300 characters of what goes
+_EST = lambda c: f"(CASE WHEN {_STRIP(c)} = '' THEN 0 ELSE greatest(length({_STRIP(c)}) // 4, len(regexp_split_to_array({_STRIP(c)}, '\\s+')), 1) END)"
+_PART = lambda low, high: f"coalesce(string_agg(concat(upper(role), ':', chr(10), {_STRIP('text')}), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY turn) FILTER (WHERE {_STRIP('text')} <> '' AND back > {low} AND back <= {high}), '')"
+_NEXT = lambda s, d: f"concat('[WORK SUMMARY]', chr(10), left(concat('MODEL:', chr(10), {_STRIP(s)}, CASE WHEN {d} = '' THEN '' ELSE concat(chr(10), chr(10), '---', chr(10), chr(10), {d}) END), 300))"
+add("compact_history_limited", lambda s, d: hi.compact_history(_h(s, d), 2, 700, 40, lambda dump: F.left(dump, F.lit(300))), f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM v4_history),
+a AS (SELECT conv_id, count(*) AS n, sum({_TOK} + 4) AS total, sum(CASE WHEN back <= 4 THEN {_TOK} + 4 ELSE 0 END) AS t0, sum(CASE WHEN back <= 2 THEN {_TOK} + 4 ELSE 0 END) AS t1, {_PART(4, 99999)} AS d0, {_PART(2, 4)} AS d1, {_PART(0, 2)} AS d2 FROM n GROUP BY 1),
+b AS (SELECT *, concat('[WORK SUMMARY]', chr(10), left(d0, 300)) AS s0 FROM a), c AS (SELECT *, {_NEXT('s0', 'd1')} AS s1 FROM b), e AS (SELECT *, {_NEXT('s1', 'd2')} AS s2 FROM c),
+f AS (SELECT *, CASE WHEN {_EST('s0')} + 4 + t0 + 40 <= 700 THEN 0 WHEN {_EST('s1')} + 4 + t1 + 40 <= 700 THEN 1 ELSE 2 END AS r FROM e WHERE total + 40 > 700 AND n > 4 AND d0 <> '')
+SELECT conv_id, CAST(NULL AS BIGINT) AS turn, 'model' AS role, CASE r WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END AS text FROM f
+UNION ALL SELECT conv_id, turn, role, text FROM n LEFT JOIN (SELECT conv_id, r FROM f) x USING (conv_id) WHERE r IS NULL OR back <= 4 - 2 * r""", "v4_history")
 add("should_snapshot", lambda s, d: hi.should_snapshot(_h(s, d), 100, 10), f"SELECT conv_id, sum({_TOK} + 4) + 10 > 100 AS snapshot FROM v4_history GROUP BY 1")
 add("cumulative_usage", lambda s, d: hi.cumulative_usage(_h(s, d)), f"WITH t AS (SELECT *, {_TOK} + 4 AS k FROM v4_history), u AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent FROM t), w AS (SELECT *, sum(CASE WHEN role = 'model' THEN sent + k ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS usage FROM u) SELECT conv_id, turn, usage FROM w WHERE role = 'model'", "v4_history")
 add("drop_last_turn", lambda s, d: hi.drop_last_turn(_h(s, d)), "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b, count(*) OVER (PARTITION BY conv_id) AS n FROM v4_history) x WHERE n < 2 OR b > 2")
@@ -177,7 +187,7 @@ _r = lambda x: _TC(f"round_even({x} * 1000, 0)")
 add("nonempty_text", lambda s, d: tr.nonempty_text(_asr(s, d)).select("clip_index"), "SELECT clip_index FROM v6_asr WHERE text <> ''")
 add("rebase_absolute", lambda s, d: tr.rebase_absolute(_asr(s, d)).select("media_id", "clip_index", "start_tc", "end_tc", F.round("abs_start", 6).alias("abs_start"), F.round("abs_end", 6).alias("abs_end"), "abs_start_tc", "abs_end_tc"), f"SELECT media_id, clip_index, {_r('s')} AS start_tc, {_r('e')} AS end_tc, round(b + s, 6) AS abs_start, round(b + e, 6) AS abs_end, {_r('(b + s)')} AS abs_start_tc, {_r('(b + e)')} AS abs_end_tc FROM (SELECT *, greatest(start_s, 0) AS s, greatest(end_s, greatest(start_s, 0) + 0.05) AS e, segment_index * 30e0 AS b FROM v6_asr) x")
 add("asr_format", lambda s, d: tr.asr_format(_asr(s, d)), f"SELECT media_id, segment_index, clip_index, row_number() OVER (PARTITION BY media_id, segment_index ORDER BY start_s, clip_index) AS number, {_r('start_s')} AS start, {_r('end_s')} AS end, trim(text) AS text FROM v6_asr")
-add("asr_windows", lambda s, d: tr.asr_windows(_asr(s, d)).drop("preview"), "SELECT media_id, clip_index, round_even(greatest(start_s, 0), 3) AS start_s, round_even(greatest(end_s, start_s, 0), 3) AS end_s, trim(text) AS text FROM v6_asr")
+add("asr_windows", lambda s, d: tr.asr_windows(_asr(s, d)).drop("preview"), "SELECT media_id, clip_index, row_number() OVER (PARTITION BY media_id, segment_index ORDER BY start_s, clip_index) AS number, round_even(greatest(start_s, 0), 3) AS start_s, round_even(greatest(end_s, greatest(start_s, 0) + 0.05e0), 3) AS end_s, trim(text) AS text FROM v6_asr")
 add("joined_text", lambda s, d: tr.joined_text(_asr(s, d)), "SELECT media_id, segment_index, string_agg(text, ' ' ORDER BY start_s, clip_index) AS text FROM v6_asr WHERE text <> '' GROUP BY 1, 2")
 add("asr_context_lines", lambda s, d: tr.asr_context_lines(_asr(s, d), 2), f"WITH k AS (SELECT *, row_number() OVER (PARTITION BY media_id, segment_index ORDER BY start_s, clip_index) AS k FROM v6_asr WHERE text <> ''), l AS (SELECT media_id, segment_index, concat('{tr.CONTEXT_HEADER}', chr(10), string_agg(concat('- [', {_r('start_s')}, ' --> ', {_r('end_s')}, '] ', text), chr(10) ORDER BY k)) AS text FROM k WHERE k <= 2 GROUP BY 1, 2) SELECT media_id, segment_index, coalesce(l.text, '') AS text FROM (SELECT DISTINCT media_id, segment_index FROM v6_asr) a LEFT JOIN l USING (media_id, segment_index)", "v6_asr")
 _ABS = "ab AS (SELECT media_id, clip_index, segment_index, greatest(segment_index * 30e0 + start_s, 0) AS s, greatest(segment_index * 30e0 + end_s, 0) AS e, text FROM v6_asr WHERE text <> '')"
@@ -206,4 +216,3 @@ def _segment_metadata(s, d):
 
 
 add("segment_metadata_table", _segment_metadata, "SELECT media_id, CAST(count(*) AS INT) AS n, sum(end_ms - start_ms) AS total_ms FROM v2_speech GROUP BY 1")
-_ = tc

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cuemill.functions import text as tx
 from cuemill.functions import timecode as tc
-from cuemill.operators import cues, history, intervals, responses, sync, urls
+from cuemill.operators import cues, history, intervals, responses, sync, telemetry, transcripts, urls
 
 CUES = "media_id long, pos int, entry_index int, start_ms double, end_ms double, text string"
 SPEECH = "media_id long, seg_id long, start_ms double, end_ms double"
@@ -107,3 +107,82 @@ def test_names_and_urls(spark):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], CUES), spark.createDataFrame([], SPEECH)
     assert sync.sync_pipeline(*empty).count() == 0 and sync.sync_stats(*empty).count() == 0 and cues.export_transcript(empty[0]).count() == 0
+
+
+def test_even_times_keep_a_margin(spark):
+    media = spark.createDataFrame([(1, 10_000.0), (2, 300.0)], "media_id long, duration_ms double")
+    got = {(m, i): round(x, 6) for m, i, x in rows(cues.even_times(media, 3), "media_id", "i", "at_s")}
+    assert got == {(1, 1): 2.6, (1, 2): 5.0, (1, 3): 7.4, (2, 1): 0.25, (2, 2): 0.3, (2, 3): 0.35}
+    assert cues.even_times(media, 0).count() == 0
+
+
+def test_asr_windows_have_a_least_length_and_numbers(spark):
+    asr = spark.createDataFrame([(1, 0, 5, -1.0, -0.5, " a "), (1, 0, 6, 2.0, 2.01, "b"), (1, 0, 7, 3.0, None, "c"), (1, 1, 8, 1.0, 4.0, None)], "media_id long, segment_index int, clip_index long, start_s double, end_s double, text string")
+    got = rows(transcripts.asr_windows(asr), "clip_index", "number", "start_s", "end_s")
+    assert got == [(5, 1, 0.0, 0.05), (6, 2, 2.0, 2.05), (7, 3, 3.0, 3.1), (8, 1, 1.0, 4.0)]
+
+
+def test_compact_history_under_a_limit(spark):
+    turns = [(c, t, "model" if t % 2 else "user", "word " * 10) for c in (1, 2, 3) for t in range(6 if c < 3 else 2)]  # 12 + 4 tokens each
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+
+    def kept(limit, summarise=lambda dump: dump):
+        out = history.compact_history(df.where("conv_id = 1"), 2, limit, 10, summarise).collect()
+        return sorted((r["turn"] is not None, r["turn"]) for r in out), [r["text"] for r in out if r["turn"] is None]
+
+    assert kept(1_000_000) == ([(True, t) for t in range(6)], [])  # it fits whole
+    assert kept(106) == kept(1_000_000)  # 6 * 16 + 10
+    short = lambda dump: F.lit("short")
+    at, text = kept(105, short)  # 4 * 16 + 5 + 4 + 10 fit
+    assert at == [(False, None), (True, 2), (True, 3), (True, 4), (True, 5)] and text == ["[WORK SUMMARY]\nshort"]
+    assert kept(60, short)[0] == [(False, None), (True, 4), (True, 5)]
+    assert kept(20, short)[0] == [(False, None)]  # nothing is kept in the third round, fitting or not
+    nested = kept(60)[1][0]
+    assert nested.startswith("[WORK SUMMARY]\nMODEL:\n[WORK SUMMARY]\nMODEL:\n[WORK SUMMARY]\nUSER:\nword")
+    assert history.compact_history(df.where("conv_id = 3"), 2, 5, 10).count() == 2  # no more than would be kept
+
+
+def test_retry_delay_forms(spark):
+    said = [
+        ('{"retryDelay": "5s"}', 5.0), ('{"retryDelay": " 2.5 SEC "}', 2.5), ('{"retryDelay": "7 seconds"}', 7.0), ('{"retryDelay": 3}', 3.0), ('{"retryDelay": -3}', 0.0), ('{"retryDelay": "soon"}', None),
+        ('{"details": [{"a": 1}, {"retryDelay": "soon"}, {"retryDelay": "9s"}]}', 9.0), ('{"details": [{"details": [{"retryDelay": "4s"}]}, {"retryDelay": "9s"}]}', 4.0), ('[{"x": 1}, {"retryDelay": "6s"}]', 6.0),
+        ("error: {'retryDelay': '8s'}", 8.0), ("RETRYDELAY: 1.5s and more", 1.5), ("retry in 4 s", None), (None, None),
+    ]
+    df = spark.createDataFrame([(i, p, 503 if i else 400) for i, (p, _) in enumerate(said)], "event_id long, payload string, code int")
+    got = {r["event_id"]: (r["delay_s"], r["is_server_error"]) for r in telemetry.retry_delay(df).collect()}
+    assert got == {i: (d, i > 0) for i, (_, d) in enumerate(said)}
+
+
+def test_folds_of_one_long_run(spark):
+    """Every entry overlaps the one before: the whole medium is one run."""
+    n = 5000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("media_id"), F.col("id").cast("int").alias("pos"), F.col("id").cast("int").alias("entry_index"), (F.col("id") * 400.0).alias("start_ms"), (F.col("id") * 400.0 + 700).alias("end_ms"), F.lit("x").alias("text"))
+    got = rows(sync.fix_overlaps(df), "pos", "start_ms", "end_ms")
+    last, expected = [0.0, 700.0], []
+    for k in range(1, n):
+        start, end = k * 400.0, k * 400.0 + 700
+        middle = (last[1] + start) / 2
+        e, s = (middle - 5, middle + 5) if middle - 5 - last[0] >= 300 else (last[0] + 300, last[0] + 310)
+        s, e = (end - 300, end - 310) if end - s < 300 else (s, e)
+        expected.append((k - 1, last[0], max(last[0] + 300, e)))
+        last = [min(end - 300, s), end]
+    assert got == [*expected, (n - 1, *last)]
+
+
+def test_sync_plans_shuffle_little(spark):
+    from cuemill.plans import catalog
+
+    for name, most in (("sync_stats", 12), ("sync_pipeline", 12), ("filter_silent_entries", 8)):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(" Exchange ") <= most, name
+
+
+def test_cue_files_round_trip(spark, tmp_path):
+    text = "1\n00:00:01,000 --> 00:00:02,000\nhéllo\n\n2\n00:00:03,000 --> 00:00:04,500\ntwo\n"
+    (tmp_path / "a.srt").write_bytes(b"\xef\xbb\xbf" + text.encode())
+    (tmp_path / "b.srt").write_bytes(text.replace("héllo", "안녕").encode("cp949"))
+    files = cues.read_cue_files(spark, str(tmp_path))
+    parsed = cues.cues_to_ms(cues.parse_cues(files))
+    assert [(r["media_id"][-5:], r["pos"], r["start_ms"], r["end_ms"], r["text"]) for r in parsed.orderBy("media_id", "pos").collect()] == [("a.srt", 1, 1000.0, 2000.0, "héllo"), ("a.srt", 2, 3000.0, 4500.0, "two"), ("b.srt", 1, 1000.0, 2000.0, "안녕"), ("b.srt", 2, 3000.0, 4500.0, "two")]
+    shown = {r["media_id"][-5:]: r["content"] for r in cues.export_cues(parsed).collect()}
+    assert shown["a.srt"] == text
