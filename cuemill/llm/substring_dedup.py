@@ -169,6 +169,12 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return doc[fresh], start[fresh], reach[last]
 
 
+def _later(fresh: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Of rows sorted by digest and place, those that are another occurrence than the first of their digest; repeats of a row are the same one."""
+    first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    return np.logical_or.reduce([x != x[first] for x in place])
+
+
 def span_rows(rows: DataFrame, min_words: int, line_words: int, ranges: int) -> DataFrame:
     """bucket (range of digests; below 0: spans known to be removed), spans (packed): what tasks hand on. rows: doc, fp, text."""
 
@@ -178,7 +184,8 @@ def span_rows(rows: DataFrame, min_words: int, line_words: int, ranges: int) ->
         order = np.lexsort((start, fps[doc], ids[doc], all_["d2"], all_["d1"]))
         all_ = {k: v[order] for k, v in all_.items()}
         fresh = np.append(True, (all_["d1"][1:] != all_["d1"][:-1]) | (all_["d2"][1:] != all_["d2"][:-1]))[: len(order)]
-        gone = _merged(all_["doc"][~fresh], all_["start"][~fresh], (all_["start"] + all_["length"])[~fresh])
+        later = _later(fresh, ids[all_["doc"]], fps[all_["doc"]], all_["start"])
+        gone = _merged(all_["doc"][later], all_["start"][later], (all_["start"] + all_["length"])[later])
         all_ = {k: v[fresh] for k, v in all_.items()}
         bucket = ((all_["d1"] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
         bounds = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]).tolist()
@@ -221,8 +228,8 @@ def removed_spans(handed: DataFrame) -> DataFrame:
         if table.column("bucket")[0].as_py() >= 0:
             order = np.lexsort((x["start"], x["fp"], x["id"], x["d2"], x["d1"]))
             x = {k: v[order] for k, v in x.items()}
-            gone[0] = False
-            gone[1:] = (x["d1"][1:] == x["d1"][:-1]) & (x["d2"][1:] == x["d2"][:-1])
+            fresh = np.append(True, (x["d1"][1:] != x["d1"][:-1]) | (x["d2"][1:] != x["d2"][:-1]))
+            gone = _later(fresh, x["id"], x["fp"], x["start"])
         start = x["start"][gone].astype(np.int32)
         return pa.table({"doc": pa.array(x["id"][gone]), "fp": pa.array(x["fp"][gone]), "start": pa.array(start), "end": pa.array(start + x["length"][gone].astype(np.int32))})
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from cuemill.llm import attention, components, decontamination, jaccard_join, license_scans, lm_scoring, packing, quality_classifier, quality_rules, substring_dedup, token_counts, url_filters
 from cuemill.llm.common import prepare
@@ -163,28 +163,81 @@ def test_connected_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("unit,separator", [("line", "\n"), ("paragraph", "\n\n")])
-def test_substring_dedup(docs, none, unit, separator):
-    seen, expected = set(), []
-    rows = {(i, t) for i, t, *_ in corpus()}
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        kept, spans, at = [], [], 0
-        for line in (t or "").split(separator):
-            norm = re.sub(r"[\x20\x09-\x0D]+", " ", lower(line)).strip(" ")
-            if len(norm.split(" ")) >= 10 and norm in seen:
-                spans.append((at, at + len(line)))
+def naive_spans(words: list[re.Match], text: str, min_words: int, line_words: int) -> set[tuple[int, int]]:
+    """Spans of word numbers, word by word."""
+    gap = lambda k: text[words[k - 1].end() : words[k].start()]
+    upper = lambda w: unicodedata.category(w[0]) == "Lu"
+    opens = [k for k in range(len(words)) if k == 0 or words[k - 1][0][-1] in ".!?" or gap(k).count("\n") > 1 or upper(words[k][0])]
+    ends = [*opens[1:], len(words)]
+    out = {(a, next(e for e in ends if e - a >= min_words)) for a in opens if len(words) - a >= min_words}
+    out |= {(max(a for a in opens if e - a >= min_words), e) for e in ends if e >= min_words}
+    for least in (1, 2):
+        first = [k for k in range(len(words)) if k == 0 or gap(k).count("\n") >= least]
+        out |= {(a, e) for a, e in zip(first, [*first[1:], len(words)]) if e - a >= line_words}
+    return out if words else set()
+
+
+def naive_dedup(rows: set[tuple], min_words: int, line_words: int) -> dict[tuple, tuple[str | None, tuple]]:
+    seen, out, space = {}, {}, "\t\n\x0b\x0c\r "
+    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        words = list(re.finditer(r"[^\x20\x09-\x0D]+", text or ""))
+        gone = set()
+        for a, e in sorted(naive_spans(words, text, min_words, line_words)):
+            content = tuple(lower(w[0]) for w in words[a:e])
+            if content in seen:
+                gone |= set(range(a, e))
             else:
-                kept.append(line)
-            if len(norm.split(" ")) >= 10:
-                seen.add(norm)
-            at += len(line) + len(separator)
-        expected += [(i, None if t is None else separator.join(kept), tuple(spans))] * sum((x[0], x[1]) == (i, t) for x in corpus())
-    got = substring_dedup.substring_dedup(docs, unit, 10)
-    assert got.columns == [*docs.columns, "removed_units"]
-    assert sorted(((r["doc_id"], r["text"], tuple(tuple(s) for s in r["removed_units"])) for r in got.collect()), key=key) == sorted(expected, key=key)
+                seen[content] = (i, a)
+        left = text and text[: words[0].start() if words else len(text)] + "".join(text[w.start() : (words[k + 1].start() if k + 1 < len(words) else len(text))] for k, w in enumerate(words) if k not in gone)
+        if words and len(words) - 1 in gone:
+            left = left.rstrip(space)
+        starts = [k for k in sorted(gone) if k - 1 not in gone]
+        stops = [k for k in sorted(gone) if k + 1 not in gone]
+        out[i, text] = (left, tuple((words[a].start(), words[b].end()) for a, b in zip(starts, stops)))
+    return out
+
+
+@pytest.mark.parametrize("min_words,line_words", [(20, 5), (6, 1), (3, 100)])
+def test_substring_dedup(spark, docs, none, min_words, line_words):
+    rng, words = random.Random(7), vocabulary_of(300, 2)
+    sentence = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + rng.choice(".!?")
+    passages = [" ".join(sentence(rng.randint(3, 25)) for _ in range(rng.randint(2, 6))) for _ in range(6)]
+    made = []
+    for i in range(60):  # passages inside other text, wrapped, in other case, one after the other, at both ends
+        own = [" ".join(sentence(rng.randint(1, 12)) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 4))]
+        for p in rng.sample(passages, rng.randint(0, 2)):
+            p = rng.choice([p, p.upper(), p.replace(" ", "\n", 3), p.replace(" ", "  ")])
+            at = rng.randrange(len(own))
+            cut = own[at].split(" ")
+            cut.insert(rng.randint(0, len(cut)), p)
+            own[at] = " ".join(cut)
+        made.append((1000 + i, rng.choice(["\n", "\n\n", "\n \n\n"]).join(own), None, None, None))
+    rows = corpus() + made + [(2000, (passages[0] + " ") * 3, 1.0, 7, 3), (2001, "É. " * 40, 1.0, 7, 3), (2002, " \n" + passages[1] + " \t", 1.0, 7, 3), (2003, passages[2] * 400, 1.0, 7, 3)]
+    expected = naive_dedup({(r[0], r[1]) for r in rows}, min_words, line_words)
+    table = spark.createDataFrame(rows, DOCS).repartition(5)
+    got = substring_dedup.substring_dedup(table, min_words, line_words)
+    assert got.columns == [*table.columns, "removed_units"]
+    result = sorted(((r["doc_id"], r["text"], tuple(tuple(s) for s in r["removed_units"])) for r in got.collect()), key=key)
+    assert result == sorted(((r[0], *expected[r[0], r[1]]) for r in rows), key=key)
+    assert any(x[2] for x in result)
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+def test_substring_dedup_catches_passages_of_over_50_words(spark):
+    """Passages set into the middle of other texts' sentences go from all but the first; the other words stay."""
+    rng, words = random.Random(8), [w.lower() for w in vocabulary_of(900, 3)]
+    sentence = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
+    prose = lambda n: " ".join(sentence(rng.randint(2, 15)) for _ in range(n))
+    passage = " ".join(sentence(n) for n in (9, 21, 14, 12))
+    texts = []
+    for _ in range(12):
+        before, after = prose(6).split(" "), prose(6)
+        texts.append(" ".join(before[: rng.randint(3, len(before))]) + " " + passage + " " + after)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.substring_dedup(table).collect()}
+    assert got == {i: t if i == 0 else t.replace(passage + " ", "") for i, t in enumerate(texts)}
+
+
 def test_pipeline_cuts_short_lines_and_wrapped_paragraphs(spark):
     import corpus_pipeline
 
@@ -193,7 +246,7 @@ def test_pipeline_cuts_short_lines_and_wrapped_paragraphs(spark):
     texts = ["first\nA short line of six words\n\n" + wrapped(4), "second\na  short line of SIX words\n\n\nfirst", "third of its own\n\n" + wrapped(3), "First\n\n\n\nsecond", None, ""]
     table = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.repeated_units(spark, table, "").collect()}
-    expected = {0: texts[0], 1: "second\n\n", 2: "third of its own", 4: None, 5: ""}
+    expected = {0: texts[0], 1: "second", 2: "third of its own", 4: None, 5: ""}
     assert got == {i: (t, None if t is None else len(t)) for i, t in expected.items()}
 
 
@@ -452,4 +505,3 @@ def test_pipeline_stages(spark):
         docs = kept
     ids = {r["doc_id"] for r in docs.collect()}
     assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).select("doc_id").distinct().collect()} == ids
-    assert F is not None
