@@ -161,8 +161,11 @@ def loss_and_gradient(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.
     for name, d in flows.items():
         g[name] = x.reshape(-1, DIM).T @ d.reshape(-1, DIM)
         d_x += d @ p[name].T
+    kind, d_x = inputs.ravel(), d_x.reshape(-1, DIM)
+    order = np.argsort(kind, kind="stable")
+    at = np.flatnonzero(np.append(True, kind[order][1:] != kind[order][:-1]))
     g["embed"] = np.zeros_like(p["embed"])
-    np.add.at(g["embed"], inputs.ravel(), d_x.reshape(-1, DIM))
+    g["embed"][kind[order][at]] = np.add.reduceat(d_x[order], at)
     return loss, g
 
 

@@ -1,14 +1,18 @@
 """Language-model scoring: a causal self-attention model in numpy on the ids of a public vocabulary.
 
-What is learned comes from the training documents, all of them:
+What is learned comes from the training documents, all of them and whole:
 
 1. Counts of words, summed in each task and then over all tasks; counts of subword ids follow
    from them, each distinct word encoded once.
 2. Frequent ids become tokens of their own; each rarer one is a member of a rest token, with its share
    by count.
 3. The attention model is started on windows of a bounded sample, one a document.  Then, in a few
-   rounds, every task goes on with it on consecutive windows of its documents, and the weights are averaged, by
-   windows.  A document is in one round, with all its tokens.
+   rounds, shards of documents go on with it on consecutive windows, and the weights are averaged, by
+   windows.  A document is in one round, with all its tokens; shards go by hash, so that neither weights nor scores
+   depend on how the table is cut into partitions.
+4. The vocabulary folds away how words are spelled (letters beyond A-Z in either case) and where white space stands.
+   Both get probabilities of their own: of each id, that it is attached to the one before, and of each word, its
+   share among the words of the same ids.  With them the score is that of the text's words, as the base's is.
 
 Scoring is one pass: texts fall into overlapping context windows, each token is scored once.
 """
@@ -19,21 +23,25 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import attention
 from .common import documents, id_and_text, id_hash, written
-from .vocabularies import load_tokenizer, lowered, vocabulary, word_ids
+from .vocabularies import kept, load_tokenizer, lowered, vocabulary, word_ids
 
 #: Documents of which a window each starts the model; all, and whole, go into what follows.
-START_DOCS, START_EPOCHS, START_RATE, GO_ON_RATE = 6000, 6, 0.01, 0.002
-#: Rounds of training between which weights are averaged; the documents are dealt over them.
-ROUNDS = 3
+START_DOCS, START_EPOCHS, START_RATE, GO_ON_RATE = 6000, 6, 0.01, 0.012
+#: Rounds of training between which weights are averaged; the documents are dealt over them, and in a round over shards: one for so many documents, at most so many.
+ROUNDS, SHARD_DOCS, MOST_SHARDS = 3, 4096, 1 << 13
+#: Windows of a training step.
+STEP_WINDOWS = 256
 #: Tokens of a training window, and windows that a task holds at a time.
 WINDOW, HELD_WINDOWS = 48, 4096
 #: Words whose counts all tasks hold, the most frequent ones, at most so many; counts of the others are joined.
@@ -85,28 +93,81 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _begins(sizes: np.ndarray) -> np.ndarray:
+    """Of ids of words one after the other, which begin a word."""
+    out = np.zeros(int(sizes.sum()), bool)
+    out[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    return out
+
+
+def closing_ids(tokenizer_path: str) -> np.ndarray:
+    """Ids after which a word may end: those with the vocabulary's mark for it, or all if it has none."""
+
+    def make() -> np.ndarray:
+        vocab = load_tokenizer(tokenizer_path).get_vocab(with_added_tokens=True)
+        out = np.zeros(max(vocab.values()) + 1, bool)
+        out[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        return out if out.any() else ~out
+
+    return kept(("closing ids", tokenizer_path), make, small=True)
+
+
+def _attachable(ids: np.ndarray, begins: np.ndarray, closing: np.ndarray) -> np.ndarray:
+    """Ids inside a word that could as well begin one: the id before closes."""
+    return ~begins & np.append(False, closing[ids[:-1]])[: len(ids)]
+
+
 def id_counts(words: DataFrame, tokenizer_path: str, size: int) -> np.ndarray:
-    """How often each id comes, from the words and their counts; tasks send sums."""
+    """Counts of each id, from the words and their counts, in three rows: all; beginning a word; attached to an id after which a word may end. Tasks send sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = word_ids(tokenizer_path), np.zeros(size, np.int64)
+        known, total, closing = word_ids(tokenizer_path), np.zeros((3, size), np.int64), closing_ids(tokenizer_path)
         for batch in batches:
-            words = batch.column(0).to_pylist()
+            words = batch.column("word").to_pylist()
             known.learn(set(words))
             places = known.places(words)
             flat, sizes = known.ids(places), known.size[places]
-            total += np.bincount(flat, np.repeat(batch.column(1).to_numpy(), sizes), size).astype(np.int64)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
-
-    out = np.zeros(size)
-    for r in words.where("word <> X''").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        out[r["id"]] = r["n"]
+            times, begins = np.repeat(batch.column("n").to_numpy(), sizes), _begins(sizes)
+            for row, use in enumerate((slice(None), begins, _attachable(flat, begins, closing))):
+                total[row] += np.bincount(flat[use], times[use], size).astype(np.int64)
+        at = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(x[at]) for x in total)], names=["id", "n", "begins", "attached"])
+
+    out = np.zeros((3, size))
+    sums = [F.sum(c).alias(c) for c in ("n", "begins", "attached")]
+    for r in words.where("word <> X''").select("word", "n").mapInArrow(run, "id long, n long, begins long, attached long").groupBy("id").agg(*sums).collect():
+        out[:, r["id"]] = r["n"], r["begins"], r["attached"]
     return out
 
 
-def frequent_words(counts: DataFrame, most: int = HEAD_WORDS) -> dict[bytes, int]:
-    """The most frequent words, at most ``most``, and the end: a histogram of counts gives the bound that they are filtered by."""
+def _ids_key(known, words: list[bytes]) -> list[int]:
+    places = known.places(words)
+    ends = np.cumsum(known.size[places])
+    flat = known.ids(places).astype("<i4")
+    return [xxhash.xxh64_intdigest(flat[e - n : e].tobytes()) - (1 << 63) for e, n in zip(ends.tolist(), known.size[places].tolist())]
+
+
+def spelled_words(counts: DataFrame, tokenizer_path: str) -> tuple[DataFrame, DataFrame]:
+    """words: word, n, spelled (natural log of its share among the words of the same ids); kinds: key of ids, their words' total and number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = word_ids(tokenizer_path)
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            known.learn(set(words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_ids_key(known, words), pa.int64())], names=["word", "n", "key"])
+
+    keyed = counts.select("word", "n").mapInArrow(run, "word binary, n long, key long")
+    kinds = keyed.groupBy("key").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("forms"))
+    return keyed.join(kinds, "key").select("word", "n", _share(F.col("n")).alias("spelled")), kinds
+
+
+def _share(n: Column) -> Column:
+    return F.log((n + 0.1) / (F.coalesce("total", F.lit(0)) + 0.1 * (F.coalesce("forms", F.lit(0)) + 1)))
+
+
+def frequent_words(counts: DataFrame, most: int = HEAD_WORDS) -> dict[bytes, tuple[int, float]]:
+    """Counts and spelling of the most frequent words, at most ``most``, and of the end: a histogram of counts gives the bound that they are filtered by."""
     step = F.floor(F.log2("n") * 16)
     steps = sorted(((r["step"], r["k"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
     total, least = 0, None
@@ -116,7 +177,7 @@ def frequent_words(counts: DataFrame, most: int = HEAD_WORDS) -> dict[bytes, int
             break
         least = at
     chosen = counts.where((F.col("word") == F.lit(b"")) | ((step >= least) if least is not None else F.lit(False)))
-    return {bytes(r["word"]): r["n"] for r in chosen.collect()}
+    return {bytes(r["word"]): (r["n"], r["spelled"]) for r in chosen.collect()}
 
 
 def training_windows(docs: DataFrame, tokenizer_path: str, tokens: Tokens):
@@ -161,8 +222,8 @@ def whole_windows(docs: Iterator[pa.RecordBatch], tokenizer_path: str, tokens: T
         yield held
 
 
-def fit(docs: DataFrame, tokenizer_path: str, tokens: Tokens) -> dict[str, np.ndarray]:
-    """Weights learned from all of ``docs`` (doc_id, text)."""
+def fit(docs: DataFrame, tokenizer_path: str, tokens: Tokens, n_docs: int) -> dict[str, np.ndarray]:
+    """Weights learned from all of ``docs`` (doc_id, text; ``n_docs`` rows)."""
     windows = training_windows(docs, tokenizer_path, tokens)
     first = attention.init(KINDS)
 
@@ -173,35 +234,56 @@ def fit(docs: DataFrame, tokenizer_path: str, tokens: Tokens) -> dict[str, np.nd
     chosen = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_DOCS)
     sample = docs.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(collect, "window binary").collect()
     started = attention.train(first, [np.frombuffer(x, "<i4") for x in sorted(bytes(r["window"]) for r in sample)], tokens.kinds, KINDS - 1, START_RATE, epochs=START_EPOCHS)
+    shards = min(MOST_SHARDS, max(1, -(-n_docs // SHARD_DOCS)))
+    dealt = docs.withColumn("at", F.xxhash64("doc_id", "text")).withColumn("shard", F.pmod("at", F.lit(shards * ROUNDS)))
 
     def round_of(weights: dict[str, np.ndarray]):
+        def texts_of(batches: Iterator[pa.RecordBatch]):
+            """Rows come sorted by shard: (shard, its batches) one shard after the other, a batch at a time."""
+            pieces = (batch.slice(a, b - a) for batch in batches if batch.num_rows for a, b in _stretches(batch.column("shard").to_numpy()))
+            return groupby(pieces, lambda piece: piece.column("shard")[0].as_py())
+
         def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, n = weights, 0
-            for found in whole_windows(batches, tokenizer_path, tokens):
-                own, n = attention.train(own, found, tokens.kinds, KINDS - 1, GO_ON_RATE), n + len(found)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([attention.flat(own).tobytes()], pa.binary())], names=["task", "n", "weights"])
+            for shard, own_batches in texts_of(batches):
+                own, n = weights, 0
+                for found in whole_windows(own_batches, tokenizer_path, tokens):
+                    own, n = attention.train(own, found, tokens.kinds, KINDS - 1, GO_ON_RATE, batch=STEP_WINDOWS), n + len(found)
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([n], pa.int64()), pa.array([attention.flat(own).tobytes()], pa.binary())], names=["shard", "n", "weights"])
 
         return go_on
 
     def average(table: pa.Table) -> pa.Table:
+        table = table.sort_by("shard")
         n, total = 0, 0.0
         for k, w in zip(table.column("n").to_pylist(), table.column("weights").to_pylist()):
-            n, total = n + k, total + k * np.frombuffer(w, np.float32)
-        return pa.table({"n": pa.array([n], pa.int64()), "weights": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
+            n, total = n + k, total + k * np.frombuffer(w, np.float32).astype(np.float64)
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int64()), "n": pa.array([n], pa.int64()), "weights": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
 
     for k in range(ROUNDS):
-        tasks = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == k).mapInArrow(round_of(started), "task long, n long, weights binary")
-        parts = tasks.groupBy(F.pmod("task", F.lit(16)).alias("part")).applyInArrow(average, "n long, weights binary").collect()
+        own = dealt.where(F.col("shard") % ROUNDS == k).repartition("shard").sortWithinPartitions("shard", "at", "doc_id")
+        tasks = own.select("doc_id", "text", "shard").mapInArrow(round_of(started), "shard long, n long, weights binary")
+        grouped = tasks.withColumn("part", F.pmod(F.floor(F.col("shard") / ROUNDS), F.lit(-(-shards // 64)))).groupBy("part")
+        parts = sorted(grouped.applyInArrow(average, "part long, n long, weights binary").collect(), key=lambda r: r["part"])
         if total := sum(r["n"] for r in parts):
-            started = attention.unflat(sum(r["n"] / total * np.frombuffer(r["weights"], np.float32) for r in parts), started)
+            started = attention.unflat(sum(r["n"] / total * np.frombuffer(r["weights"], np.float32).astype(np.float64) for r in parts), started)
     return started
 
 
-def score_texts(docs: DataFrame, params: dict[str, np.ndarray], tokenizer_path: str, tokens: Tokens, head: dict[bytes, int], n_train: int, n_kinds: int) -> DataFrame:
-    """row (unique), doc_id, n_tokens, known (of the head), base (natural log, of the head and the end), rest (other words), score (natural log)."""
+def _stretches(values: np.ndarray) -> list[tuple[int, int]]:
+    bounds = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return list(zip(bounds, bounds[1:]))
+
+
+def attachment(counts: np.ndarray) -> np.ndarray:
+    """Natural logs, 2 x ids: that an id after one that closes begins a word, and that it is attached."""
+    return np.log((counts[1:] + 0.1) / (counts[1] + counts[2] + 0.2)).astype(np.float32)
+
+
+def score_texts(docs: DataFrame, params: dict[str, np.ndarray], tokenizer_path: str, tokens: Tokens, attach: np.ndarray, head: dict[bytes, tuple[int, float]], n_train: int, n_kinds: int) -> DataFrame:
+    """row (unique), doc_id, n_tokens, known (of the head), base (natural log, of the head and the end), rest (other words, with keys of their ids), score (natural log, without the spelling of the rest)."""
     floor = math.log(n_train + 0.1 * (n_kinds + 1))
-    logs = {w: math.log(n + 0.1) - floor for w, n in head.items()}
+    logs = {w: math.log(n + 0.1) - floor for w, (n, _) in head.items()}
+    spelling = {w: x for w, (_, x) in head.items()}
     end_log, end_known = logs.get(b"", math.log(0.1) - floor), int(b"" in head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,15 +291,17 @@ def score_texts(docs: DataFrame, params: dict[str, np.ndarray], tokenizer_path:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
             split = [t.translate(_LOWER).split() for t in texts]
-            known, base, rest = [], [], []
+            known, base, rest, spelled = [], [], [], []
             for ws in split:
                 got = list(map(logs.get, ws))
                 other = [w for w, x in zip(ws, got) if x is None]
                 rest.append(other)
+                spelled.append(math.fsum(map(spelling.get, ws, repeat(0.0))))
                 known.append(len(ws) - len(other) + end_known)
                 base.append(math.fsum(x for x in got if x is not None) + end_log)
             own = [s if b"<|" not in t else lowered(t).split() for s, t in zip(split, texts)]
-            words.learn({w for ws in own for w in ws})
+            words.learn({w for ws in (*own, *split) for w in ws})
+            keyed = [[{"word": w, "key": k} for w, k in zip(ws, _ids_key(words, ws))] for ws in rest]
             scores: list[float] = []
             at = 0
             while at < len(own):
@@ -225,13 +309,24 @@ def score_texts(docs: DataFrame, params: dict[str, np.ndarray], tokenizer_path:
                 while upto < len(own) and (size == 0 or size + len(own[upto]) < 60_000):
                     size += len(own[upto]) + 1
                     upto += 1
-                scores += _scores(params, [words.ids(words.places(ws)) for ws in own[at:upto]], tokens)
+                places = [words.places(ws) for ws in own[at:upto]]
+                scores += [x + y for x, y in zip(_scores(params, [words.ids(p) for p in places], tokens), _attached(words, places, attach, closing_ids(tokenizer_path)))]
                 at = upto
+            scores = [x + y for x, y in zip(scores, spelled)]
             n = len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), ids, pa.array([len(ws) + 1 for ws in split], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rest, pa.list_(pa.binary())), pa.array(scores, pa.float64())], names=["row", "doc_id", "n_tokens", "known", "base", "rest", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), ids, pa.array([len(ws) + 1 for ws in split], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(keyed, pa.list_(pa.struct([("word", pa.binary()), ("key", pa.int64())]))), pa.array(scores, pa.float64())], names=["row", "doc_id", "n_tokens", "known", "base", "rest", "score"])
             row += n
 
-    return docs.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, rest array<binary>, score double")
+    return docs.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, rest array<struct<word:binary,key:long>>, score double")
+
+
+def _attached(words, places: list[np.ndarray], attach: np.ndarray, closing: np.ndarray) -> list[float]:
+    """Natural log probability of where white space stands in each text."""
+    out = []
+    for p in places:
+        ids, begins = words.ids(p), _begins(words.size[p])
+        out.append(float(attach[0, ids[begins]].sum(dtype=np.float64) + attach[1, ids[_attachable(ids, begins, closing)]].sum(dtype=np.float64)))
+    return out
 
 
 def _scores(params: dict[str, np.ndarray], ids: list[np.ndarray], tokens: Tokens) -> list[float]:
@@ -258,16 +353,21 @@ def score_documents(docs: DataFrame, training: DataFrame, tokenizer_path: str, i
     counts = written(word_counts(training), "words")
     totals = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).first()
     n_train, n_kinds = totals["n"] or 0, totals["kinds"]
-    head = frequent_words(counts)
+    words, kinds = (written(x, name) for x, name in zip(spelled_words(counts, tokenizer_path), ("spelled", "kinds")))
+    head = frequent_words(words)
     size = load_tokenizer(tokenizer_path).get_vocab_size()
-    tokens = Tokens(id_counts(counts, tokenizer_path, size))
-    params = fit(training, tokenizer_path, tokens)
-    scored = written(score_texts(docs, params, tokenizer_path, tokens, head, n_train, n_kinds), "scored")
-    rest = scored.select("row", F.explode("rest").alias("word")).groupBy("word", "row").agg(F.count(F.lit(1)).alias("times"))
+    found = id_counts(counts, tokenizer_path, size)
+    tokens, attach = Tokens(found[0]), attachment(found)
+    params = fit(training, tokenizer_path, tokens, int(counts.where("word = X''").agg(F.sum("n")).first()[0] or 0))
+    scored = written(score_texts(docs, params, tokenizer_path, tokens, attach, head, n_train, n_kinds), "scored")
+    rest = scored.select("row", F.explode("rest").alias("w")).groupBy("w.word", "w.key", "row").agg(F.count(F.lit(1)).alias("times"))
     floor = math.log(n_train + 0.1 * (n_kinds + 1))
-    rest = rest.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known_rest"), F.sum(F.col("times") * (F.log(F.coalesce("n", F.lit(0)) + F.lit(0.1)) - F.lit(floor))).alias("base_rest"))
+    rest = rest.join(words, "word", "left").join(kinds, "key", "left")
+    base, spelled = F.log(F.coalesce("n", F.lit(0)) + F.lit(0.1)) - F.lit(floor), F.coalesce("spelled", _share(F.lit(0)))
+    rest = rest.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known_rest"), F.sum(F.col("times") * base).alias("base_rest"), F.sum(F.col("times") * spelled).alias("spelled_rest"))
     out = scored.drop("rest").join(rest, "row", "left")
-    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("known_rest", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), ((F.col("base") + F.coalesce("base_rest", F.lit(0.0))) / math.log(10)).alias("base_score"), (F.col("score") / math.log(10)).alias("score"))
+    log10 = lambda x, more: ((F.col(x) + F.coalesce(more, F.lit(0.0))) / math.log(10)).alias
+    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("known_rest", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), log10("base", "base_rest")("base_score"), log10("score", "spelled_rest")("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -440,10 +440,63 @@ def test_lm_scoring(docs, none):
     assert lm_scoring.score_documents(none, none, WORDS).count() == 0
 
 
+def test_lm_score_is_that_of_a_naive_loop(docs):
+    """The text's probability token by token: model, share of the id in its token, attachment and spelling."""
+    training = [(i, t) for i, t, *_ in corpus() if i is not None and i % 5]
+    got = {}
+    for r in lm_scoring.score_documents(docs, docs.where("doc_id % 5 <> 0"), WORDS).collect():
+        got.setdefault(r["doc_id"], set()).add(round(r["score"], 2))
+    tokenizer, counts = load_tokenizer(WORDS), Counter()
+    for _, t in training:
+        counts.update(words_of(lower(t or "")))
+    ids_of = lambda w: tokenizer.encode(w, add_special_tokens=False).ids
+    closes = {i for token, i in tokenizer.get_vocab(with_added_tokens=True).items() if token.endswith("</w>")}
+    id_n, begins, attached, forms = Counter(), Counter(), Counter(), {}
+    for w, n in counts.items():
+        ids = ids_of(w)
+        forms.setdefault(tuple(ids), []).append(n)
+        for k, i in enumerate(ids):
+            id_n[i] += n
+            begins[i] += n * (k == 0)
+            attached[i] += n * (k > 0 and ids[k - 1] in closes)
+    size = tokenizer.get_vocab_size()
+    table = np.zeros(size)
+    table[list(id_n)] = list(id_n.values())
+    tokens = lm_scoring.Tokens(table)
+    n_docs = len(training)
+    params = lm_scoring.fit(lm_scoring.id_and_text(docs.where("doc_id % 5 <> 0")), WORDS, tokens, n_docs)
+    for doc, text, *_ in [r for r in corpus() if r[0] in (0, 9, 60, 61, 62, 63, 65, 66, 69, 70)]:
+        words = words_of(lower(text or ""))
+        ids = [i for w in words for i in ids_of(w)]
+        if "<|" in (text or ""):
+            continue  # special strings are ids of their own
+        sequence = [*tokens.token[ids].tolist(), lm_scoring._END]
+        total = float(tokens.inside[ids].sum(dtype=np.float64)) if ids else 0.0
+        for k, target in enumerate(sequence):  # one place at a time, from the window of its block and the one before
+            begin = max(0, (k // attention.BLOCK - 1) * attention.BLOCK)
+            x = attention.blocks_of([np.array(sequence[begin : k + 1], np.int32)], tokens.kinds, lm_scoring.KINDS - 1)
+            if begin:
+                x[0][0, 0] = tokens.kinds[sequence[begin - 1]]
+            total += float(attention.log_probabilities(params, x[0], x[1], x[2])[x[3]][-1])
+        for w in words:
+            own = ids_of(w)
+            for k, i in enumerate(own):
+                if k == 0 or own[k - 1] in closes:
+                    total += math.log(((begins if k == 0 else attached)[i] + 0.1) / (begins[i] + attached[i] + 0.2))
+            known = forms.get(tuple(own), [])
+            total += math.log((counts[w] + 0.1) / (sum(known) + 0.1 * (len(known) + 1)))
+        assert any(abs(total / math.log(10) - x) < 0.02 + 1e-4 * abs(x) for x in got[doc]), (doc, total / math.log(10), got[doc])
+
+
+def test_lm_scores_do_not_hang_on_partitions(docs):
+    one, many = ({r["doc_id"]: round(r["score"], 3) for r in lm_scoring.score_documents(x, x.where("doc_id % 5 <> 0"), WORDS).where("doc_id < 70").collect()} for x in (docs.coalesce(1), docs.repartition(7)))
+    assert one == many
+
+
 def test_lm_training_takes_whole_texts(docs):
     from cuemill.llm.vocabularies import lowered
 
-    tokens = lm_scoring.Tokens(lm_scoring.id_counts(lm_scoring.word_counts(lm_scoring.id_and_text(docs)), WORDS, load_tokenizer(WORDS).get_vocab_size()))
+    tokens = lm_scoring.Tokens(lm_scoring.id_counts(lm_scoring.word_counts(lm_scoring.id_and_text(docs)), WORDS, load_tokenizer(WORDS).get_vocab_size())[0])
     known, texts = lm_scoring.word_ids(WORDS), [t or "" for _, t, *_ in corpus()]
     texts.append(" ".join(texts[64].split() * 40))  # more than is held at a time
     expected = []
@@ -457,7 +510,7 @@ def test_lm_training_takes_whole_texts(docs):
     assert [t for x in parts for w in x for t in w.tolist()] == expected
 
     def trained(rows):  # words far from the start of a text, beyond one window, change the weights
-        return lm_scoring.fit(docs.sparkSession.createDataFrame(rows, "doc_id long, text string"), WORDS, tokens)
+        return lm_scoring.fit(docs.sparkSession.createDataFrame(rows, "doc_id long, text string"), WORDS, tokens, len(rows))
 
     before = [(i, " ".join(["one two three"] * 400)) for i in range(4)]
     a, b = (trained([(i, t + tail) for i, t in before]) for tail in (" one two three " * 400, " mo ta ri su lo ke " * 400))
