@@ -46,11 +46,11 @@ CHUNK = 1024
 #: Tables of one or two numbers a row are broadcast up to so many rows, 8 MB.
 BROADCAST_ROWS = 1 << 19
 #: Keys that a task holds before it hands them on.
-HELD_KEYS = 1 << 21
+HELD_KEYS = 1 << 19
 #: Of a member's open buckets, so many of the smallest keys go along, to give out pairs once (mostly: doubles do no harm).
 KEYS_ALONG = 16
-#: Rows of open buckets that a task gathers, and pairs of them that it compares, at a time.
-HELD_ROWS, PAIRS = 1 << 13, 1 << 16
+#: Rows of open buckets that a task gathers, and bytes of sketches that it compares, at a time.
+HELD_ROWS, PAIR_BYTES = 1 << 12, 1 << 22
 #: Bits of the sketches of verification: so many for each shingle, a power of two between these.
 SKETCH_BITS, LEAST_BITS, MOST_BITS = 2, 256, 1 << 13
 #: Words whose hashes a Python worker remembers.
@@ -271,8 +271,8 @@ def _allowed_pairs(rows: dict[str, np.ndarray], sketches: list[bytes], keys: lis
         bits, own = _sketch_matrix([sketches[i] for i in at], size), group[at]
         later = np.searchsorted(own, own, "right") - np.arange(len(at)) - 1  # rows of the group behind each one
         upto = np.cumsum(later)
-        for low in range(0, int(upto[-1]), PAIRS):  # so many pairs at a time, whatever the groups
-            k = np.arange(low, min(low + PAIRS, int(upto[-1])))
+        for low in range(0, int(upto[-1]), PAIR_BYTES // size):  # so many pairs at a time, whatever the groups
+            k = np.arange(low, min(low + PAIR_BYTES // size, int(upto[-1])))
             x = np.searchsorted(upto, k, "right")
             y = x + 1 + k - (upto[x] - later[x])
             i, j = at[x], at[y]

@@ -39,7 +39,7 @@ from .vocabularies import kept
 #: Words of a span of sentences, and of a line or paragraph, at least.
 MIN_WORDS, LINE_WORDS = 20, 5
 #: Spans that a task holds before it hands them on, and words whose hashes it remembers.
-HELD_SPANS, REMEMBERED = 1 << 20, 250_000
+HELD_SPANS, REMEMBERED = 1 << 19, 250_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _STOP = np.isin(np.arange(256), list(b".!?"))
