@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,6 +70,16 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@cache
+def lean_worker() -> None:
+    """In a Python worker, once: what batches and large arrays free goes back to the system at once, instead of staying with the worker."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    limit = getattr(ctypes.CDLL(None), "mallopt", None)
+    if limit:
+        limit(-3, 1 << 20)  # M_MMAP_THRESHOLD: arrays from 1 MB on are mapped, and unmapped when freed
+        limit(-1, 1 << 20)  # M_TRIM_THRESHOLD: free memory at the end of the heap beyond 1 MB goes back
+
+
 def map_texts(docs: DataFrame, schema: str, make: Callable[[], Callable[[list, list[bytes]], list]], names: list[str] | None = None) -> DataFrame:
     """Runs a function over Arrow batches of (doc_id, text).
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, documents, id_and_text, written
+from .common import discard, documents, id_and_text, lean_worker, written
 from .components import connected_components
 from .vocabularies import kept
 
@@ -149,6 +149,7 @@ def bucket_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         bands, memo, first = Bands(percent), {}, {}
         keys, owners, held = [], [], 0
         for batch in batches:
@@ -211,6 +212,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """doc, n (size of the set), sketch, shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity_sketch(x).tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc", "n", "sketch", "shingles"])
@@ -222,6 +224,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
@@ -237,6 +240,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     full = lambda end: sets.select(F.col("doc").alias(end), F.col("shingles").alias(f"x_{end}"))
 
     def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         for batch in batches:
             a, b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
             keep = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
@@ -297,6 +301,7 @@ def open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         held: list[pa.RecordBatch] = []
 
         def found(table: pa.Table) -> pa.RecordBatch:

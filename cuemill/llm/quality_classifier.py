@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_and_text, id_hash, map_texts
+from .common import documents, id_and_text, id_hash, lean_worker, map_texts
 from .vocabularies import WordIds, kept
 
 #: Buckets, length of a vector, lengths of n-grams in bytes.
@@ -139,6 +139,7 @@ def keep(docs: DataFrame, weights: np.ndarray, bias: float, least: float, text_c
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         for batch in batches:
             known = _known(len(weights) - 1)
             split = [(t or b"").split() for t in batch.column(at).cast(pa.binary()).to_pylist()]
