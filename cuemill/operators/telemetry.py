@@ -153,10 +153,23 @@ def job_public_view(intake: DataFrame) -> DataFrame:
     return intake.select("id", data["target_lang"].alias("target_lang"), data["batch_size"].alias("batch_size"), (F.coalesce(data["video_path"], F.lit("")) != "").alias("has_video_context"))
 
 
-def upsert_latest(rows: DataFrame, key: str, version: str) -> DataFrame:
-    """One row a key: the last version."""
+def upsert_latest(rows: DataFrame, key: str, version: str, deleted: Column | None = None) -> DataFrame:
+    """One row a key: the last version, of equal versions the largest row; keys whose last row is ``deleted`` go."""
     columns = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), version).alias("r")).select(key, "r.*")
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(version, *columns)).alias("r")).select(key, "r.*")
+    return last if deleted is None else last.where(~F.coalesce(deleted, F.lit(False)))
+
+
+def list_presets(presets: DataFrame, name: str | None = None) -> DataFrame:
+    """Cleaned presets in order of their names, or the one of that name."""
+    clean = preset_cleaning(presets)
+    return clean.orderBy("name") if name is None else clean.where(F.col("name") == name)
+
+
+def param_fallback(requests: DataFrame, jobs: DataFrame, name: str) -> DataFrame:
+    """id and a parameter: the request's where it isn't blank, else the stored job's."""
+    stored = jobs.select("id", F.col(name).alias("stored"))
+    return requests.join(stored, "id", "left").select("id", F.coalesce(F.when(F.trim(name) != "", F.col(name)), "stored").alias(name))
 
 
 def retention_old(rows: DataFrame, at: str, as_of: Column, days: int) -> DataFrame:

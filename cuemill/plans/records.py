@@ -160,7 +160,7 @@ add("upsert_latest", lambda s, d: te.upsert_latest(_c(s, d), "cfg_key", "version
 add("list_presets", lambda s, d: te.upsert_latest(_c(s, d), "cfg_key", "version").select(F.col("cfg_key").alias("name"), F.when(F.col("version") % 2 == 0, "auto").otherwise(F.col("version").cast("string")).alias("budget")).orderBy("name"), "SELECT cfg_key AS name, CASE WHEN max(version) % 2 = 0 THEN 'auto' ELSE CAST(max(version) AS VARCHAR) END AS budget FROM v8_config GROUP BY 1")
 add("retention_old_jobs", lambda s, d: te.retention_old(_j(s, d), "created_at", F.to_timestamp(F.lit("1998-01-31")), 30).select("id"), "SELECT id FROM v8_jobs WHERE created_at <= TIMESTAMP '1998-01-31' - INTERVAL 30 DAY")
 add("retention_old_files", lambda s, d: te.retention_old(_j(s, d).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("path"), F.col("created_at").alias("modified")), "modified", F.to_timestamp(F.lit("1998-01-31")), 3).select("path"), "SELECT concat('f', CAST(id AS VARCHAR)) AS path FROM v8_jobs WHERE created_at <= TIMESTAMP '1998-01-31' - INTERVAL 3 DAY")
-add("job_param_fallback", lambda s, d: te.job_json(_j(s, d)).select("id", F.coalesce(F.nullif(F.when(F.col("id") % 3 == 0, F.lit("X")).otherwise(""), F.lit("")), F.col("target_lang")).alias("target_lang")), "SELECT id, CASE WHEN id % 3 = 0 THEN 'X' ELSE json_extract_string(data, '$.target_lang') END AS target_lang FROM v8_jobs")
+add("job_param_fallback", lambda s, d: te.param_fallback(_j(s, d).select("id", F.when(F.col("id") % 3 == 0, F.lit("X")).otherwise("").alias("target_lang")), te.job_json(_j(s, d)), "target_lang"), "SELECT id, CASE WHEN id % 3 = 0 THEN 'X' ELSE json_extract_string(data, '$.target_lang') END AS target_lang FROM v8_jobs")
 add("job_intake", lambda s, d: te.job_intake(_j(s, d)), """SELECT id, concat('{"target_lang":"', json_extract_string(data, '$.target_lang'), '","batch_size":', json_extract_string(data, '$.batch_size'), ',"video_path":"/media/', CAST(id AS VARCHAR), '"}') AS data FROM v8_jobs""")
 add("job_public_view", lambda s, d: te.job_public_view(te.job_intake(_j(s, d))), "SELECT id, json_extract_string(data, '$.target_lang') AS target_lang, CAST(json_extract_string(data, '$.batch_size') AS INT) AS batch_size, true AS has_video_context FROM v8_jobs")
 add("preset_cleaning", lambda s, d: te.preset_cleaning(_c(s, d).select(F.col("cfg_key").alias("name"), F.when(F.col("version") % 4 == 0, "x").otherwise(F.col("cfg_value")).alias("batch_size"), (F.col("version") % 5 - 2).cast("string").alias("thinking_budget"))), "SELECT cfg_key AS name, CASE WHEN version % 4 = 0 THEN NULL ELSE CAST(cfg_value AS INT) END AS batch_size, CASE WHEN version % 5 >= 1 THEN CAST(version % 5 - 2 AS INT) END AS thinking_budget, CASE WHEN version % 5 = 1 THEN 'auto' WHEN version % 5 > 1 THEN CAST(version % 5 - 2 AS VARCHAR) END AS shown FROM v8_config")

@@ -10,7 +10,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.responses import parse_event_lines
@@ -22,25 +22,27 @@ def json_objects(buffer: str) -> tuple[list[dict], str]:
     An object that can't be decoded is skipped (it would block everything behind it forever).
     """
     found, depth, start, quoted, escaped, used = [], 0, 0, False, False, 0
+    named, following = -1, buffer.find('"index"')  # the last index so far, and the next one
     for i, c in enumerate(buffer):
+        if 0 <= following <= i - 7:
+            named, following = following, buffer.find('"index"', following + 1)
         if quoted:
             quoted, escaped = (escaped or c != '"'), (c == "\\" and not escaped)
         elif c == '"':
             quoted = depth > 0
         elif c == "{":
-            if depth == 0 or '"index"' not in buffer[start:i]:
+            if depth == 0 or named < start:
                 start = i
             depth += 1
         elif c == "}" and depth:
             depth -= 1
-            text = buffer[start : i + 1]
-            if '"index"' in text:
+            if named >= start:
                 try:
-                    found.append(json.loads(text))
+                    found.append(json.loads(buffer[start : i + 1]))
                 except ValueError:
                     pass
                 used, depth = i + 1, 0
-    return found, buffer[used:]
+    return found, buffer[used:] if depth else ""
 
 
 def stream_json_objects(fragments: DataFrame) -> DataFrame:
@@ -70,6 +72,37 @@ def stream_dedupe_results(results: DataFrame, watermark: str = "1 hour") -> Data
     return results.withWatermark("at", watermark).dropDuplicatesWithinWatermark(["file_id", "entry_index"]) if results.isStreaming else results.groupBy("file_id", "entry_index").agg(F.min_by(F.struct("text", "at"), "at").alias("r")).select("file_id", "entry_index", "r.*")
 
 
+def store_last_results(results: DataFrame, path: str, checkpoint: str):
+    """The started query that stores the last result of each file and index. results: file_id, entry_index, text, at.
+
+    A batch is a folder of its own, written anew if the batch is tried again; ``last_results`` takes the last of all.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        _last(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return results.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).start()
+
+
+def last_results(spark: SparkSession, path: str) -> DataFrame:
+    return _last(spark.read.parquet(path))
+
+
+def _last(results: DataFrame) -> DataFrame:
+    return results.groupBy("file_id", "entry_index").agg(F.max_by(F.struct("text", "at"), F.struct("at", "text")).alias("r")).select("file_id", "entry_index", "r.*")
+
+
+def stream_attempts(responses: DataFrame, most: int = 5) -> DataFrame:
+    """file_id, batch_no, confirmed, attempts, status of batches whose entries are asked for until all came, at most ``most`` times (update mode).
+
+    responses: file_id, batch_no, requested (array of indexes), attempt, entry_index (null if an attempt gave nothing).
+    """
+    own = F.when(F.array_contains("requested", F.col("entry_index")), F.col("entry_index"))
+    rows = responses.groupBy("file_id", "batch_no").agg(F.max("requested").alias("requested"), F.array_sort(F.collect_set(own)).alias("confirmed"), F.max("attempt").alias("attempts"))
+    left = F.size(F.array_except("requested", "confirmed"))
+    return rows.select("file_id", "batch_no", "confirmed", "attempts", F.when(left == 0, "completed").when(F.col("attempts") >= most, "failed").otherwise("running").alias("status"))
+
+
 def stream_progress(events: DataFrame) -> DataFrame:
     """file_id, received, completed: running counts of result lines (update mode)."""
     rows = parse_event_lines(events)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from cuemill.streaming import jobs
 
 
@@ -37,6 +40,63 @@ def test_stream_progress(spark, tmp_path):
     assert got == [(1, 4, True)] == sorted(tuple(r) for r in jobs.stream_progress(df).collect())
 
 
+def test_json_objects_outside_text_is_not_kept():
+    assert jobs.json_objects("no object here ] , ") == ([], "")
+    found, rest = jobs.json_objects('{"index": 1, "text": "a"} , then {"index": 2, ')
+    assert [o["index"] for o in found] == [1] and rest.endswith('{"index": 2, ')
+    many = "".join('{"index": %d, "text": "x"},' % i for i in range(5000))
+    assert [o["index"] for o in jobs.json_objects("[" + many)[0]] == list(range(5000))
+
+
+def results(spark):
+    """Three results of each of ten keys, a second apart."""
+    return spark.createDataFrame([(i % 2, i % 10, f"t{i // 10}", i) for i in range(30)], "file_id long, entry_index int, text string, s long").select("file_id", "entry_index", "text", F.timestamp_seconds("s").alias("at"))
+
+
+def test_stream_dedupe_results(spark, tmp_path):
+    df = results(spark)
+    got = drained(spark, tmp_path, df, jobs.stream_dedupe_results, "append")
+    assert sorted(r[:2] for r in got) == sorted(tuple(r)[:2] for r in jobs.stream_dedupe_results(df).collect())
+
+
+def test_store_last_results(spark, tmp_path):
+    df = results(spark)
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = jobs.store_last_results(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    query.processAllAvailable()
+    query.stop()
+    got = jobs.last_results(spark, str(tmp_path / "out")).select("file_id", "entry_index", "text").collect()
+    assert sorted(map(tuple, got)) == [(i % 2, i, "t2") for i in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)]
+
+
+@pytest.mark.parametrize("name", ["batch_state", "request_rate", "gap_chunks", "partial_asr"])
+def test_streams_give_what_batches_give(spark, tmp_path, name):
+    at = lambda c: F.timestamp_seconds(c)
+    made = spark.range(60).withColumn("key", F.col("id") % 3)
+    df, build = {
+        "batch_state": (made.select(F.col("key").alias("batch_id"), F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("status"), F.col("id").cast("string").alias("message"), at(F.col("id") * 5).alias("at")), jobs.stream_batch_state),
+        "request_rate": (made.select(F.col("key").alias("client_id"), at(F.col("id") * 7).alias("at")), jobs.stream_request_rate),
+        "gap_chunks": (made.select(F.col("key").alias("media_id"), at(F.col("id") * F.col("id") / 20).alias("at"), at(F.col("id") * F.col("id") / 20 + 3).alias("end_at")), jobs.stream_gap_chunks),
+        "partial_asr": (made.select(F.col("key").alias("media_id"), (F.col("id") == 58).alias("is_last")), jobs.stream_partial_asr),
+    }[name]
+    got = drained(spark, tmp_path, df, build, "complete")
+    assert got == sorted(tuple(r) for r in build(df).collect()) and len(got) >= 3
+
+
+def test_request_rate_slides(spark):
+    df = spark.createDataFrame([(1, s) for s in (0, 30, 59, 60)], "client_id long, s long").select("client_id", F.timestamp_seconds("s").alias("at"))
+    got = {r["until"]: r["used"] for r in jobs.stream_request_rate(df).select(F.unix_seconds("until").alias("until"), "used").collect()}
+    assert (got[10], got[60], got[70], got[90], got[120]) == (1, 3, 3, 3, 1)
+
+
+def test_stream_attempts(spark, tmp_path):
+    rows = [(1, 0, [1, 2], 1, 1), (1, 0, [1, 2], 2, 2), (1, 0, [1, 2], 2, 9), (1, 1, [3, 4], 1, 3), (2, 0, [5], 5, None)]
+    df = spark.createDataFrame(rows, "file_id long, batch_no int, requested array<int>, attempt int, entry_index int")
+    expected = [(1, 0, [1, 2], 2, "completed"), (1, 1, [3], 1, "running"), (2, 0, [], 5, "failed")]
+    assert drained(spark, tmp_path, df, jobs.stream_attempts, "complete") == expected == sorted(tuple(r) for r in jobs.stream_attempts(df).collect())
+
+
 def test_stream_last_updates(spark, tmp_path):
     df = spark.createDataFrame([(1, i, str(i)) for i in range(10)], "batch_id long, at int, message string").coalesce(1)
     got = drained(spark, tmp_path, df, lambda s: jobs.stream_last_updates(s, 3), "update")
