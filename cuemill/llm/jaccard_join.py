@@ -54,7 +54,7 @@ HELD_ROWS, PAIR_BYTES = 1 << 12, 1 << 22
 #: Bits of the sketches of verification: so many for each shingle, a power of two between these.
 SKETCH_BITS, LEAST_BITS, MOST_BITS = 2, 256, 1 << 13
 #: Words whose hashes a Python worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 1 << 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
