@@ -23,7 +23,7 @@ from .common import documents, id_and_text, map_texts
 #: Fixed phrases of the contract and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Fixed wording of public notices, in template markup.
+#: Fixed wording of public notices and license texts, in template markup: fixed values.
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license version 2 0 <<optional>> the license <<end>> <<optional>> you may not use this file except in compliance with the license <<end>>",
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this <<var:4>> to deal in the <<var:4>> without restriction",
@@ -32,6 +32,37 @@ TEMPLATES = {
     "gpl-notice": "licensed under the <<optional>> terms of the <<end>> gnu <<optional>> lesser <<end>> <<optional>> affero <<end>> general public license <<optional>> as published by the free software foundation <<end>> <<optional>> version <<var:1>> <<end>>",
     "cc-by-notice": "licensed under <<optional>> a <<end>> <<optional>> the <<end>> <<optional>> creative commons <<end>> cc by <<optional>> nc <<end>> <<optional>> sa <<end>> <<optional>> nd <<end>> <<optional>> <<var:1>> 0 <<end>>",
     "copyright-reserved": "copyright <<var:7>> all rights reserved",
+    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+        You may obtain a copy of the License at <<var:1>> www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,
+        software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+        See the License for the specific language governing permissions and limitations under the License.""",
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+        (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+        distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+        following conditions: The above copyright notice and this permission notice <<optional>> (including the next paragraph) <<end>> shall be included in all
+        copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING
+        BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var:12>> BE LIABLE
+        FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+        SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "bsd-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: <<optional>> 1. <<end>> Redistributions of source code must retain the above copyright notice, this list of conditions and the
+        following disclaimer. <<optional>> 2. <<end>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+        following disclaimer in the documentation and/or other materials provided with the distribution. <<optional>> <<optional>> 3. <<end>> Neither the name of
+        <<var:12>> may be used to endorse or promote products derived from this software without specific prior written permission. <<end>> THIS SOFTWARE
+        IS PROVIDED BY <<var:12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND
+        FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var:12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+        CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+        INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+        ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "isc-text": """Permission to use, copy, modify, <<optional>> and/or <<end>> distribute this software for any purpose with or without fee is hereby granted,
+        provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var:8>> DISCLAIMS ALL
+        WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var:8>> BE LIABLE FOR ANY
+        SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+        CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "gpl-grant": """is free software you can redistribute it and/or modify it under the terms of the GNU <<optional>> Lesser <<end>> <<optional>> Affero <<end>>
+        General Public License as published by the Free Software Foundation, either version <<var:2>> of the License, or (at your option) any later version.""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or
+        distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
 }
 
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -49,19 +80,23 @@ class Automaton(NamedTuple):
     moves: tuple[tuple[tuple[bytes | None, int], ...], ...]
     #: skips[s]: states reached without a word
     skips: tuple[tuple[int, ...], ...]
-    n_mandatory: int
 
 
-def compile_template(template: str) -> Automaton:
+def markup(template: str) -> list[str]:
+    """Regions and words of a template; words as those of texts, so that templates can be written as published."""
     parts = re.findall(r"<<optional>>|<<end>>|<<var:\d+>>|[^\s<>]+", template)
-    moves, skips, start, opened, leading, mandatory = [[]], [[]], [], [], True, 0
+    return [x for part in parts for x in ([part] if part.startswith("<<") else map(bytes.decode, text_words(part.encode())))]
+
+
+def compile_template(template: str) -> Automaton:
+    moves, skips, start, opened, leading = [[]], [[]], [], [], True
 
     def state() -> int:
         moves.append([])
         skips.append([])
         return len(moves) - 1
 
-    for part in parts:
+    for part in markup(template):
         here = len(moves) - 1
         if part == "<<optional>>":
             opened.append(here)
@@ -77,12 +112,11 @@ def compile_template(template: str) -> Automaton:
         else:
             word = part.encode()
             moves[here].append((word, state()))
-            mandatory += not opened
             if leading:
                 start.append(word)
     if not start:
         raise ValueError("a template starts with a mandatory word")
-    return Automaton(tuple(start), tuple(map(tuple, moves)), tuple(map(tuple, skips)), mandatory)
+    return Automaton(tuple(start), tuple(map(tuple, moves)), tuple(map(tuple, skips)))
 
 
 def _closure(automaton: Automaton, states: set[int]) -> set[int]:
@@ -150,3 +184,38 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir)).drop("places")
+
+
+def pattern_of(template: str) -> tuple[str, str, int]:
+    """First word, regular expression over words that each have a space behind them, and most words of a place."""
+    parts, out, most = markup(template), "", 0
+    for part in parts:
+        if part.startswith("<<var:"):
+            out, most = out + f"(?:[^ ]+ ){{0,{part[6:-2]}}}", most + int(part[6:-2])
+        else:
+            out += {"<<optional>>": "(?:", "<<end>>": ")?"}.get(part, f"{part} ")
+            most += not part.startswith("<<")
+    return parts[0], "^" + out, most
+
+
+_RULES = ",\n  ".join(f"('{label}', {base}, '{first}', '{pattern}', {most})" for base, rules in (("true", [(v, k) for k, v in PHRASES.items()]), ("false", TEMPLATES.items())) for label, text in rules for first, pattern, most in [pattern_of(text)])
+
+ORACLE_SQL = rf"""
+WITH rules(label, base, first, pattern, most) AS (VALUES
+  {_RULES}),
+texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+words AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM texts),
+starts AS (
+  SELECT r, label, base, i, regexp_extract(array_to_string(ws[i : i + most - 1], ' ') || ' ', pattern) AS found
+  FROM words JOIN rules ON w = first JOIN texts USING (r)),
+places AS (SELECT r, label, base, i - 1 AS i, length(found) - length(replace(found, ' ', '')) AS n FROM starts WHERE found <> ''),
+covered AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + n)) AS j FROM places) x GROUP BY r),
+listed AS (
+  SELECT r, count(*) FILTER (WHERE base) AS n_base, min(i) FILTER (WHERE base) AS first_word, max(i) FILTER (WHERE base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM places GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n IS NULL THEN 0.0::DOUBLE ELSE n::DOUBLE / len(ws) END AS score
+FROM texts LEFT JOIN listed USING (r) LEFT JOIN covered USING (r)
+"""

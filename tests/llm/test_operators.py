@@ -10,12 +10,14 @@ import zlib
 from collections import Counter
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 
 from cuemill.llm import attention, components, decontamination, jaccard_join, license_scans, lm_scoring, packing, quality_classifier, quality_rules, substring_dedup, token_counts, url_filters
 from cuemill.llm.common import prepare
 from cuemill.llm.vocabularies import load_tokenizer, vocabulary
+from tests.comparing import duck_rows, spark_rows
 
 DOCS = "doc_id long, text string, score double, n_words long, start long"
 BPE, WORDS, PIECES = (vocabulary(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -423,6 +425,35 @@ def test_license_scans(spark, none):
     assert license_scans.scan_licenses(none).count() == 0
 
 
+def test_license_texts_match_whole_and_nothing_less(spark):
+    filled = {k: re.sub(r"<<var:(\d+)>>", lambda m: "any " * int(m[1]), re.sub(r"<<optional>>|<<end>>", "", v)) for k, v in license_scans.TEMPLATES.items()}
+    bare = {k: re.sub(r"<<var:\d+>>", "", re.sub(r"<<optional>>(?:(?!<<optional>>|<<end>>).)*<<end>>", "", re.sub(r"<<optional>>(?:(?!<<optional>>|<<end>>).)*<<end>>", "", v, flags=re.S), flags=re.S)) for k, v in license_scans.TEMPLATES.items()}
+    rows = [(k, f"x {t.upper()} y\n{t}") for texts in (filled, bare) for k, t in texts.items()]
+    rows += [(f"-{k}", " ".join(t.split()[:-1])) for k, t in filled.items() if k.endswith("-text")]
+    got = license_scans.scan_licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string"), phrases={}).collect()
+    for r in got:
+        k = rows[r["doc_id"]][0]
+        assert (k.removeprefix("-") in r["labels"].split(",")) == (not k.startswith("-")), k
+        assert sum(x["label"] == k for x in r["places"]) == (0 if k.startswith("-") else 2)
+
+
+def test_license_scans_equal_their_sql(spark, docs):
+    """Null ids, repeated rows, clashing columns, very long texts, and wording cut, stretched and interleaved at random."""
+    rng = random.Random(11)
+    bits = [w for t in (*license_scans.TEMPLATES.values(), *license_scans.PHRASES) for w in [re.sub(r"<<[a-z:0-9]+>>", "", t)]]
+    made = []
+    for i in range(300):
+        t = " ".join(rng.choice(bits) if rng.random() < 0.6 else rng.choice(["a b c", "all", "É", "copyright", "x" * 50]) for _ in range(rng.randint(1, 5))).split()
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            t.insert(rng.randrange(len(t) + 1), rng.choice(["the", "cc", "2", "--", "license"]))
+        made.append((1000 + i if rng.random() < 0.9 else None, " ".join(t[: rng.randint(1, len(t))]), None, None, None))
+    made += [(5000, " ".join(["all rights reserved copyright cc by"] * 5000), 0.0, 1, 2), made[0], made[0]]
+    table = docs.unionByName(spark.createDataFrame(made, DOCS))
+    c = duckdb.connect()
+    c.register("documents", table.select("doc_id", "text").toArrow())
+    assert spark_rows(license_scans.scan_licenses(table).drop("places")) == duck_rows(c, license_scans.ORACLE_SQL)
+
+
 def test_lm_scoring(docs, none):
     training = docs.where("doc_id % 5 <> 0")
     got = lm_scoring.score_documents(docs, training, WORDS).collect()
