@@ -277,7 +277,8 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int
         found = ((t, r) if r is None else cut(t, [(x["start"], x["end"]) for x in r]) for t, r in zip(texts.to_pylist(), gone.to_pylist()))
         return pa.array([{"text": t, "removed": r} for t, r in found], kind)
 
-    done = out.withColumn("cut", cut_all(F.when(F.col("gone").isNotNull(), F.col("text")), F.col("gone")))
+    # a deterministic function would run a second time, in a second Python worker of each task, for a filter on its result
+    done = out.withColumn("cut", cut_all.asNondeterministic()(F.when(F.col("gone").isNotNull(), F.col("text")), F.col("gone")))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.col("cut.text")).alias(text_col)
     none = F.array().cast("array<struct<start:int,end:int>>")
     return done.select(*[text if c == text_col else F.col("row")[c].alias(c) for c in docs.columns], F.coalesce("cut.removed", none).alias("removed_units"))
