@@ -136,3 +136,17 @@ def piece_ids(path: str) -> WordIds:
         return WordIds(lambda words: model.encode([w.decode("utf-8", "replace") for w in words], num_threads=1))
 
     return kept(("pieces", path), make)
+
+
+def load_ranks(path: str):
+    """A vocabulary of ranks, and which of its ids are one byte of a longer character."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    lone = np.zeros(max(ranks.values()) + 1, bool)
+    lone[[rank for token, rank in ranks.items() if len(token) == 1 and token[0] >= 0x80]] = True
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), lone

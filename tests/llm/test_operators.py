@@ -16,11 +16,11 @@ import pytest
 
 from cuemill.llm import attention, components, decontamination, jaccard_join, license_scans, lm_scoring, packing, quality_classifier, quality_rules, substring_dedup, token_counts, url_filters
 from cuemill.llm.common import prepare
-from cuemill.llm.vocabularies import load_tokenizer, vocabulary
+from cuemill.llm.vocabularies import load_ranks, load_tokenizer, vocabulary
 from tests.comparing import duck_rows, spark_rows
 
 DOCS = "doc_id long, text string, score double, n_words long, start long"
-BPE, WORDS, PIECES = (vocabulary(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
+BPE, WORDS, PIECES, RANKS = (vocabulary(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"))
 
 
 def vocabulary_of(n: int, seed: int) -> list[str]:
@@ -351,12 +351,46 @@ def test_quality_rules(docs, none):
         lines = [x for x in text.split("\n") if words_of(x)]
         return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(again), len(ws) < 50 or 100 * len(again) > 50 * len(ws)
 
-    got = quality_rules.quality_rules(docs, PIECES)
+    got = quality_rules.quality_rules(docs, PIECES, RANKS)
     rows = got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()
     assert sorted(map(tuple, rows), key=key) == sorted(((i, *base(t)) for i, t, *_ in corpus()), key=key)
     assert got.where("kept AND (base_failed OR reason IS NOT NULL)").count() == 0
-    assert quality_rules.quality_rules(none, PIECES).count() == 0
-    assert quality_rules.script_of("мир") == "cyrillic" and quality_rules.script_of("123") == "other" and quality_rules.script_of("né") == "latin"
+    assert quality_rules.quality_rules(none, PIECES, RANKS).count() == 0
+    assert quality_rules.script_of("мир") == "cyrillic" and quality_rules.script_of("123") == quality_rules.script_of("1 → €") == "none" and quality_rules.script_of("שלום") == "other" and quality_rules.script_of("né") == "latin"
+
+
+def test_quality_rules_measure_as_naive_loops_do(spark, docs):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    ranks, _ = load_ranks(RANKS)
+    both = (lambda w: [model.id_to_piece(i).startswith("<0x") for i in model.encode(w)], lambda w: [len(x := ranks.decode_single_token_bytes(i)) == 1 and x[0] > 127 for i in ranks.encode_ordinary(" " + w)])
+    ids = (model.encode, lambda w: ranks.encode_ordinary(" " + w))
+
+    def naive(text):
+        out = []
+        for encode, bare in zip(ids, both):
+            tokens = [i for w in words_of(text) for i in encode(w)]
+            n = len(tokens)
+            entropy = -sum(k / n * math.log2(k / n) for k in Counter(tokens).values())
+            out += [sum(map(len, words_of(text))) / n, sum(x for w in words_of(text) for x in bare(w)) / n, entropy] if n else [None] * 3
+        return out
+
+    rows = [(200, "人人生而自由 在尊严和权利上一律平等 ① ⑳ 𐍈𐍈"), (201, "مساواة"), (202, "1 2 3 ½"), (203, "Ωμέγα ὦ ἄνθρωπε"), (204, "qxz " * 400), (205, "zqj-xv" * 60)]
+    table = docs.unionByName(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS))
+    columns = [f"{x}{end}" for end in ("", "_ranks") for x in ("chars_per_token", "fallback_share", "token_entropy")]
+    texts = {i: t for i, t, *_ in corpus()} | dict(rows)
+    for r in quality_rules.quality_rules(table, PIECES, RANKS).where("doc_id IS NOT NULL").collect():
+        assert [r[c] for c in columns] == pytest.approx(naive(texts[r["doc_id"]])), r["doc_id"]
+        assert (r["reason"] is None) == (not any(r[c] is not None and quality_rules.outside([r[x] for x in some], sum(len(e(w)) for w in words_of(texts[r["doc_id"]])), band) for some, e, band in zip((columns[:3], columns[3:]), ids, quality_rules.BANDS[r["script"]]) for c in some[:1]))
+
+
+def test_quality_rules_keep_documents_that_labels_call_good(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    judged = quality_rules.query(spark, sf).where("NOT base_failed").join(labels, "doc_id").groupBy("quality").agg({"*": "count", "reason": "count"}).collect()
+    rejected = {r["quality"]: (r["count(reason)"], r["count(1)"]) for r in judged}
+    assert rejected[1][0] == 0 and rejected[1][1] > 300 and rejected[0][0] > 0
 
 
 def test_quality_classifier(spark):
