@@ -95,13 +95,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS,
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, **how) -> tuple[np.ndarray, float]:
-    """Fits on at most ``rows`` of the labelled documents (label: column ``quality``; null labels don't count).
+    """Fits on at most ``rows`` of the labelled documents (label: column ``quality``; null labels and ids don't count).
 
-    Only this sample's features come to the driver; what it is joined by is bounded by ``rows``.
+    Only this sample's features come to the driver, one row for each id (of rows that repeat an id, the smallest text), so that
+    ``rows`` bounds them.  Without any labelled document the weights are those of chance, and all texts score near one half.
     """
     sample = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    chosen = id_and_text(docs).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
+    chosen = id_and_text(docs).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     wanted = {r["doc_id"]: int(r["quality"] > 0) for r in sample.collect()}
     got = sorted(map(tuple, features(chosen, how.get("buckets", BUCKETS)).collect()), key=lambda r: (r[0], bytes(r[1])))
     return fit([(np.frombuffer(b, "<i4"), np.frombuffer(c, "<i4"), wanted[i]) for i, b, c in got], **how)

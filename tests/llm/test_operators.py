@@ -414,6 +414,48 @@ def test_quality_classifier(spark):
     assert quality_classifier.keep(table, weights, bias, 0.3).columns == table.columns
 
 
+def test_classifier_scores_and_steps_as_naive_loops_do(spark, docs, none):
+    buckets = 64
+    features = lambda ws: [b for w in ws for b in quality_classifier.word_features(w.encode(), buckets)] + [buckets for a, b in zip(ws, ws[1:]) if a == b]
+    weights = np.random.default_rng(1).standard_normal(buckets + 1)
+    got = quality_classifier.score(docs, weights, 0.2)
+    expected = []
+    for i, t, *_ in corpus():
+        found = features(words_of(t))
+        expected.append((i, 1 / (1 + math.exp(-(sum(weights[b] for b in found) / (len(found) + quality_classifier.PRIOR) + 0.2)))))
+    assert [x for r in sorted(map(tuple, got.collect()), key=key) for x in r if x is not None] == pytest.approx([x for r in sorted(expected, key=key) for x in r if x is not None])
+    assert quality_classifier.score(none, weights, 0.2).count() == quality_classifier.keep(none, weights, 0.2, 0.5).count() == 0
+    # one step for one text: the gradient of its loss, by differences
+    counts = Counter(features("ta ri ri mo".split()))
+    row = (np.array(sorted(counts), "<i4"), np.array([counts[b] for b in sorted(counts)], "<i4"), 1)
+    rng = np.random.default_rng(7)
+    vectors, out = rng.uniform(-1 / 3, 1 / 3, (buckets + 1, 3)).astype(np.float32), np.zeros((3, 2), np.float32)
+    hidden = sum(n * vectors[b].astype(float) for b, n in counts.items()) / (sum(counts.values()) + quality_classifier.PRIOR)
+
+    def loss(out, bias):
+        z = hidden @ out + bias
+        return math.log(sum(math.exp(x) for x in z)) - z[1]
+
+    step = 1e-4
+    grad = np.array([[(loss(out + step * e, np.zeros(2)) - loss(out - step * e, np.zeros(2))) / (2 * step) for e in (np.outer(np.eye(3)[i], np.eye(2)[j]) for j in (0, 1))] for i in range(3)])
+    bias = np.array([(loss(out, step * np.eye(2)[j]) - loss(out, -step * np.eye(2)[j])) / (2 * step) for j in (0, 1)])
+    moved, own = quality_classifier.fit([row], buckets, dim=3, epochs=1, rate=0.5)
+    after = -0.5 * grad  # the map was zero, so the vectors do not move in the first step
+    assert own == pytest.approx(-0.5 * (bias[1] - bias[0]), abs=1e-5) and moved == pytest.approx(vectors @ (after[:, 1] - after[:, 0]), abs=1e-5)
+
+
+def test_classifier_training_takes_one_row_an_id(spark, docs, none):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 60, 2)] + [(1, 1), (3, 0), (1, 1), (None, 1)], "doc_id long, quality int")
+    weights, bias = quality_classifier.train(docs, labels)
+    again = quality_classifier.train(docs.unionByName(docs).unionByName(docs), labels)
+    assert bias == again[1] and (weights == again[0]).all()
+    for table, some in ((none, labels), (docs, labels.limit(0))):
+        weights, bias = quality_classifier.train(table, some)
+        assert bias == 0 and all(abs(r["score"] - 0.5) < 0.1 for r in quality_classifier.score(docs, weights, bias).collect())
+    kept = quality_classifier.keep(docs, weights, bias, 0.0)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=key) == sorted(map(tuple, docs.collect()), key=key)
+
+
 def test_url_filters(spark):
     urls = ["http://a.example.net/en/x", "http://example.net/en", "http://EXAMPLE.com/de/", "http://x.org/fr/", "http://xorg/fr/", "http://net", "http://a.net/", "net/", None, "", "https://h.com/a/login/b?x=http://y", "http://casino-7.example.com/q", "http://h.com/robots.txt#a", "://:80/net/", "http://myexample.net/en/", "ftp://u@a.example.com:8/de/é"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(0, urls[0]), (None, urls[1])], "page_id long, url string")
