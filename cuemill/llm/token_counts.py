@@ -14,6 +14,7 @@ stands further away, and both sides are encoded as if they stood alone (*stable
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 from .common import documents, id_and_text, map_texts
 from .vocabularies import REMEMBERED, kept, load_tokenizer, vocabulary
 
-#: Texts of more characters than this are encoded in overlapping chunks.
-HUGE_CHARS = 1 << 16
-CHUNK_CHARS = 1 << 15
+#: Texts of more characters than this are encoded in overlapping chunks (a quarter of all text in the check tool's tables).
+HUGE_CHARS = 1 << 14
+CHUNK_CHARS = 1 << 13
 OVERLAP_CHARS = 256
 
 #: A space or newline after other white space is no stable boundary (\\s is wider than the tokenizer's class, so this errs on the safe side).
@@ -48,13 +49,15 @@ def chunked_count(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int =
                 return total + len(here)
             there = tokenizer.encode(text[reach:end], add_special_tokens=False)
             # the character before a stable boundary is no space, so that offsets, trimmed of spaces or not, end there
-            ends_here, ends_there = {begin + o[1] for o in here.offsets}, {reach} | {reach + o[1] for o in there.offsets}
+            starts, ends = zip(*here.offsets)  # both ascend: only ends in the overlap are looked at
+            ends_here = {begin + e for e in ends[bisect_left(ends, reach - begin) :]}
+            ends_there = {reach} | {reach + o[1] for o in there.offsets}
             common = [p for p in stable_boundaries(text, reach, end - 1) if p in ends_here and p in ends_there]
             if common:
                 break
             width *= 4
         cut = common[-1]
-        total += sum(1 for o in here.offsets if begin + o[0] < cut)
+        total += bisect_left(starts, cut - begin)
         begin = cut
     return total
 

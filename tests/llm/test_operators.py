@@ -75,6 +75,15 @@ def test_token_counts(docs, none):
     assert token_counts.count_tokens(none, BPE).count() == 0
 
 
+def test_spliced_counts_equal_those_of_whole_texts():
+    """Runs of white space, joiners, special strings and bytes of all kinds at the cuts; overlaps too narrow to align."""
+    tokenizer, rng = load_tokenizer(BPE), random.Random(5)
+    bits = ["the", " ", "  ", "\n", "\n\n", "\t", "é", "人人", "123", "'s", "!", "\u00a0", "\u200b", "x" * 40, "<|endoftext|>", "\r\n", "𐍈", "\x0b"]
+    for _ in range(400):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 200)))
+        assert token_counts.chunked_count(tokenizer, text, rng.randint(1, 60), rng.randint(1, 20)) == len(tokenizer.encode(text, add_special_tokens=False)), text
+
+
 def test_packing(docs, none):
     tokenizer = load_tokenizer(WORDS)
     got = packing.pack(docs, WORDS, 256).collect()
