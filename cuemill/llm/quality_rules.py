@@ -66,7 +66,8 @@ def repeated_words(places: np.ndarray) -> int:
     if n < 4:
         return 0
     _, local = np.unique(places, return_inverse=True)
-    codes = (local[:-2].astype(np.int64) * n + local[1:-1]) * n + local[2:]
+    _, pairs = np.unique(local[:-2].astype(np.int64) * n + local[1:-1], return_inverse=True)  # so that codes stay below n * n
+    codes = pairs.astype(np.int64) * n + local[2:]
     order = np.argsort(codes, kind="stable")
     same = codes[order][1:] == codes[order][:-1]
     if not same.any():

@@ -261,7 +261,8 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int
     is removed, the white space before it goes too.  A null id ranks before all
     others.  Rows with the same id and text are the same document: they are ranked once and get the same
     result.  An empty table gives an empty table.  Texts are taken whole, however long.
-    Columns named like the ones used inside don't clash: the rows' own columns are held in one struct.
+    Columns named like the ones used inside don't clash: the rows' own columns are held in one struct.  A column
+    removed_units of ``docs`` gives way to the result's.
     """
     ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
@@ -281,7 +282,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int
     done = out.withColumn("cut", cut_all.asNondeterministic()(F.when(F.col("gone").isNotNull(), F.col("text")), F.col("gone")))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.col("cut.text")).alias(text_col)
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return done.select(*[text if c == text_col else F.col("row")[c].alias(c) for c in docs.columns], F.coalesce("cut.removed", none).alias("removed_units"))
+    return done.select(*[text if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c != "removed_units"], F.coalesce("cut.removed", none).alias("removed_units"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

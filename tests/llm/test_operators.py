@@ -286,6 +286,22 @@ def test_decontamination(spark, docs, none):
     assert decontamination.decontaminate(none, benchmark).count() == 0 and decontamination.decontaminate(table, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_of_odd_tables(spark):
+    """Ties, repeated rows, clashing columns, very long texts, items that repeat or have null ids."""
+    rng = random.Random(2)
+    words = vocabulary_of(300, 6)
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+    item = " ".join(prose(40))
+    long = prose(15000)
+    long[9000:9000] = item.split()
+    rows = [(1, item, 1, 0.5), (1, item, 1, 0.5), (2, f"{item} {' '.join(prose(300))} {item}", 2, None), (3, " ".join(long), 3, 0.1), (4, " ".join(prose(15000)), None, None), (None, item, 5, 0.2), (5, " \n ", 6, 0.3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, item_id long, cosine double")
+    benchmark = spark.createDataFrame([(7, item, 1), (7, item, 2), (8, item, 3), (None, item, 4)], "item_id long, text string, doc_id long")
+    got = decontamination.decontaminate(table, benchmark).collect()
+    assert Counter((r["doc_id"], r["item_id"]) for r in got) == Counter({(i, k): 2 if i == 1 else 1 for i in (1, 2, 3, None) for k in (7, 8)})
+    assert len({(r["start"], r["lcs"]) for r in got if r["doc_id"] == 2}) == 1 and {r["lcs"] for r in got} == {40}, "items of the same text have the same windows"
+
+
 def brute_force_hits(rows, items) -> set[tuple[int, int]]:
     sizes = list(decontamination.WINDOW_SIZES)
     while sizes[-1] < max(len(x.split()) for _, x in items):
@@ -484,6 +500,18 @@ def test_url_filters(spark):
     assert url_filters.filter_urls(pages.limit(0), rules).count() == 0
 
 
+def test_url_filters_of_odd_tables(spark):
+    """Clashing columns, null ids, repeated rows and very long urls."""
+    urls = ["http://example.net/en/" + "casino/" * 20000, "http://" + "a." * 5000 + "net/x", "x" * 100000, "http://h.org/fr" + "?" * 50000, None]
+    rows = [(i if i != 3 else None, u, "r", "v", "h", "t") for i, u in enumerate(urls)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, rule string, verdict string, host string, token string")
+    plain = url_filters.filter_urls(pages.select("page_id", "url"), url_filters.BASE_RULES + url_filters.OWN_RULES).select("page_id", "host", "path", "rule", "verdict")
+    clashing = url_filters.filter_urls(pages, url_filters.BASE_RULES + url_filters.OWN_RULES).select("page_id", "host", "path", "rule", "verdict")
+    found = sorted(map(tuple, clashing.collect()), key=key)
+    assert found == sorted(map(tuple, plain.collect()), key=key) and len(found) == 10
+    assert {(r[0], r[3], r[4]) for r in found if r[0] in (0, 1)} == {(0, "example.net/en/", "allow"), (1, "net/", "block")}
+
+
 def test_license_scans(spark, none):
     texts = {
         1: "x CC BY y. General\npublic-license! cc by",
@@ -657,6 +685,33 @@ def test_attention_gradient_and_blocks():
         assert abs((diffs[0] - diffs[1]) / 2e-2 - g[at]) < 2e-4 + 0.05 * abs(g[at])
 
 
+def test_pipeline_stages_of_odd_tables(spark):
+    """Null ids and texts, empty, blank and very long texts, repeated rows, clashing columns, no rows."""
+    import corpus_pipeline
+
+    sf, rng = "/root/testdata/sf0.001", random.Random(8)
+    words = vocabulary_of(200, 2)
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    same, long = prose(80), prose(15000)
+    texts = [(1, same), (2, same), (None, same), (None, None), (3, None), (4, ""), (5, " \n\t"), (6, long), (6, long), (7, "word"), (8, "word"), (9, prose(60))]
+    table = spark.createDataFrame([(i, t, "en", "web", 1, 2, 3, "x", "y") for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long, component_id long, start long, fp string, removed string")
+    ids = lambda df: Counter(r["doc_id"] for r in df.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, table.limit(0), sf).count() == 0
+        kept = stage(spark, table, sf)
+        if name != "packing":
+            assert kept.columns == table.columns
+        left = ids(kept if name != "packing" else kept.select("doc_id").distinct())
+        if name == "ngram_jaccard_join":
+            assert left == Counter([1, None, None, 3, 4, 5, 6, 6, 7, 9])
+        if name == "substring_dedup":  # a null id ranks first; of the same words in later documents nothing is left
+            assert left == Counter([None, None, 3, 4, 5, 6, 6, 7, 9])
+        if name == "decontamination":
+            assert left == Counter(i for i, _ in texts)
+        if name == "packing":
+            assert set(left) == {i for i, _ in texts}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
