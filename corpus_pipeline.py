@@ -40,7 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines and paragraphs that came before are cut, however short or wrapped, and passages of 20 words within them.
 
-    Documents of which no word is left go; those with a null, an empty or a blank text stay as they are.
+    Documents of which no word is left go; those with a null, an empty or a blank text stay as they are.  A null id ranks
+    before all others, and rows of the same id and text are one document.  No rows give no rows.
     """
     prepare(spark)
     done = substring_dedup.substring_dedup(docs, line_words=1)
@@ -49,14 +50,14 @@ def repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark item go; rows with a null id stay."""
+    """Documents with a benchmark item go; rows with a null id stay, and so do those without a text or a word.  No rows, or no items: nothing goes."""
     prepare(spark)
     hits = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
     return docs.join(hits, "doc_id", "left_anti")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences: a row for each piece, with its ids."""
+    """Training sequences: a row for each piece, with its ids.  A null or empty text is its end alone; null ids stay null; no rows give no rows."""
     prepare(spark)
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
