@@ -24,6 +24,9 @@ MODULES = {
     "op8_url_filters": "url_filters",
     "op9_license_scans": "license_scans",
     "op10_token_counts": "token_counts",
+    "op11_spelling_variants": "spelling_variants",
+    "op12_merkle_manifest": "merkle_manifest",
+    "op13_secret_scans": "secret_scans",
 }
 
 
