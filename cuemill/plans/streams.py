@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship_package
 from ..operators import responses as re_
 from ..sources.fixtures import view, with_views
 from ..streaming import jobs
@@ -19,18 +20,26 @@ def add(name: str, run, sql: str, *views: str) -> None:
 
 
 def _fragments(s, d):
-    """Each reply as an object cut into two fragments."""
+    """Each reply as an object with another one nested in it, before or behind its index, cut into two fragments; some aren't JSON, and some have no index that is a number."""
     r = view(s, d, "v5_responses")
-    text = F.to_json(F.struct(F.col("entry_index").alias("index"), "text"))
-    cut = r.select("file_id", "attempt", "seq", text.alias("j"))
-    return cut.select("file_id", "attempt", (F.col("seq") * 2).alias("seq"), F.left("j", F.lit(7)).alias("fragment")).unionByName(cut.select("file_id", "attempt", (F.col("seq") * 2 + 1).alias("seq"), F.substring("j", 8, 1000).alias("fragment")))
+    index = F.when(F.col("seq") % 13 == 0, '"x"').otherwise(F.col("entry_index").cast("string"))
+    own = F.concat(F.lit('"index":'), index, F.when(F.col("seq") % 17 == 0, "").otherwise(","), F.expr("substring(to_json(struct(text)), 2, length(to_json(struct(text))) - 2)"))
+    nested = F.lit('"meta":{"quoted":"} { \\"index\\"","deep":{"k":[1,{"k":2}]}}')
+    whole = F.concat(F.lit("{"), F.when(F.col("seq") % 2 == 0, F.concat(own, F.lit(","), nested)).otherwise(F.concat(nested, F.lit(","), own)), F.lit("}, "))
+    cut = r.select("file_id", "attempt", "seq", whole.alias("j"))
+    return cut.select("file_id", "attempt", (F.col("seq") * 2).alias("seq"), F.left("j", F.lit(30)).alias("fragment")).unionByName(cut.select("file_id", "attempt", (F.col("seq") * 2 + 1).alias("seq"), F.substring("j", 31, 1000).alias("fragment")))
+
+
+def _entries(s, d):
+    ship_package(s)
+    return jobs.join_json_objects(_fragments(s, d))
 
 
 def _stamped(s, d):
     return view(s, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("at"))
 
 
-add("stream_json_objects", lambda s, d: jobs.join_json_objects(_fragments(s, d)), "SELECT file_id, attempt, entry_index, text FROM v5_responses")
+add("stream_json_objects", _entries, "SELECT file_id, attempt, entry_index, text FROM v5_responses WHERE seq % 13 <> 0 AND seq % 17 <> 0")
 add("stream_dedupe_results", lambda s, d: jobs.stream_dedupe_results(view(s, d, "v5_responses").withColumnRenamed("seq", "at").select("file_id", "entry_index", "text", "at")), "SELECT file_id, entry_index, arg_min(text, seq) AS text, min(seq) AS at FROM v5_responses GROUP BY 1, 2")
 add("stream_progress", lambda s, d: jobs.stream_progress(re_.to_event_lines(re_.match_first_wins(view(s, d, "v5_requests"), view(s, d, "v5_responses")).withColumn("error", F.lit(False)))), "SELECT file_id, count(*) AS received, false AS completed FROM (SELECT DISTINCT file_id, entry_index FROM v5_responses) x GROUP BY 1", "v5_requests", "v5_responses")
 add("stream_batch_state", lambda s, d: jobs.stream_batch_state(view(s, d, "v6_updates").select("batch_id", "status", "message", F.struct("updated_us", "event_id").alias("at"))), "SELECT batch_id, arg_max(status, updated_us * 100000 + event_id % 100000) AS status, arg_max(message, updated_us * 100000 + event_id % 100000) AS message, count(*) AS updates FROM v6_updates GROUP BY 1")

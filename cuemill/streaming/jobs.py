@@ -6,65 +6,70 @@ data has an event time of its own and no rule for late rows.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.replies import entry_of, reply_entries, scan_objects
 from ..operators.responses import parse_event_lines
 
 
-def json_objects(buffer: str) -> tuple[list[dict], str]:
-    """Complete objects with an index at the front of a buffer, and what is left. Braces inside quoted text don't count.
+#: The store that keyed state needs: Spark's own, on local disks of executors and checkpointed with the stream.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    An object that can't be decoded is skipped (it would block everything behind it forever).
-    """
-    found, depth, start, quoted, escaped, used = [], 0, 0, False, False, 0
-    named, following = -1, buffer.find('"index"')  # the last index so far, and the next one
-    for i, c in enumerate(buffer):
-        if 0 <= following <= i - 7:
-            named, following = following, buffer.find('"index"', following + 1)
-        if quoted:
-            quoted, escaped = (escaped or c != '"'), (c == "\\" and not escaped)
-        elif c == '"':
-            quoted = depth > 0
-        elif c == "{":
-            if depth == 0 or named < start:
-                start = i
-            depth += 1
-        elif c == "}" and depth:
-            depth -= 1
-            if named >= start:
-                try:
-                    found.append(json.loads(buffer[start : i + 1]))
-                except ValueError:
-                    pass
-                used, depth = i + 1, 0
-    return found, buffer[used:] if depth else ""
-
-
-def stream_json_objects(fragments: DataFrame) -> DataFrame:
-    """file_id, attempt, entry_index, text of fragments (file_id, attempt, seq, fragment): the buffer is state, keyed by file and attempt."""
 
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        buffer = state.get[0] if state.exists else ""
-        rows = pd.concat(list(frames)).sort_values("seq")
-        found, rest = json_objects(buffer + "".join(rows["fragment"]))
-        state.update((rest,))
-        yield pd.DataFrame([(key[0], key[1], int(o["index"]), str(o.get("text", ""))) for o in found], columns=["file_id", "attempt", "entry_index", "text"])
+def _keyed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, mode: str = "append", time: str = "processingTime") -> DataFrame:
+    """Keyed state with timers and life times; the session gets the state store that these need."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return stream.groupBy(*keys).transformWithStateInPandas(processor, schema, mode, time)
+
+
+class _Replies(StatefulProcessor):
+    """The text of each reply that isn't done with yet; a reply that gets nothing more for ``ttl_ms`` is forgotten."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.buffer = handle.getValueState("buffer", "text string", self.ttl_ms or None)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        came = pd.concat(list(rows)).sort_values("seq")
+        kept = self.buffer.get()[0] if self.buffer.exists() else ""
+        found, rest = scan_objects(kept + "".join(came["fragment"].dropna()))
+        if rest:
+            self.buffer.update((rest,))
+        elif kept:
+            self.buffer.clear()
+        entries = [(*key, *e) for o in found if (e := entry_of(o))]
+        yield pd.DataFrame(entries, columns=["file_id", "attempt", "entry_index", "text"])
 
-    return fragments.groupBy("file_id", "attempt").applyInPandasWithState(step, "file_id long, attempt int, entry_index int, text string", "buffer string", "append", "NoTimeout")
+    def close(self) -> None:
+        pass
+
+
+REPLY_ENTRY = "file_id long, attempt int, entry_index int, text string"
+
+
+def stream_json_objects(fragments: DataFrame, ttl: timedelta = timedelta(hours=1)) -> DataFrame:
+    """file_id, attempt, entry_index, text of the objects in fragments of replies (file_id, attempt, seq, fragment).
+
+    State is what a reply (a file's attempt) has of an unfinished object, kept until nothing came for ``ttl`` (0: for ever).
+    Fragments of a batch come in the order of seq, those of a later batch after them.  Objects nested in one, before or behind its index, belong
+    to it; objects that aren't JSON, and those whose index is no whole number, are left out; what follows them is read.  A null fragment is empty.
+    """
+    return _keyed(fragments, ["file_id", "attempt"], _Replies(int(ttl.total_seconds() * 1000)), REPLY_ENTRY)
 
 
 def join_json_objects(fragments: DataFrame) -> DataFrame:
-    """The batch twin: fragments in order as one text, and its objects."""
+    """The batch twin: fragments in order as one text, and its objects, by the same scanner."""
     rows = fragments.groupBy("file_id", "attempt").agg(F.array_sort(F.collect_list(F.struct("seq", "fragment"))).alias("rows"))
     text = F.array_join(F.transform("rows", lambda r: r["fragment"]), "")
-    objects = F.regexp_extract_all(text, F.lit(r'\{[^{}]*"index"(?:[^"{}]|"(?:[^"\\]|\\.)*")*\}'), F.lit(0))
-    parsed = rows.select("file_id", "attempt", F.explode(objects).alias("o")).select("file_id", "attempt", F.from_json("o", "index INT, text STRING").alias("o"))
-    return parsed.where("o.index IS NOT NULL").select("file_id", "attempt", F.col("o.index").alias("entry_index"), F.coalesce("o.text", F.lit("")).alias("text"))
+    return rows.select("file_id", "attempt", F.inline(reply_entries(text)))
 
 
 def stream_dedupe_results(results: DataFrame, watermark: str = "1 hour") -> DataFrame:

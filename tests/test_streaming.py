@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from cuemill.functions.replies import entry_of, scan_objects
 from cuemill.streaming import jobs
 
 
@@ -19,18 +20,71 @@ def drained(spark, tmp_path, df, build, mode):
     return sorted(tuple(r) for r in spark.table("out").collect())
 
 
-def test_json_objects_ignore_quoted_braces():
-    found, rest = jobs.json_objects('[{"index": 1, "text": "a } {"}, {"index": 2, "text": "b"}, {"index": 3, ')
-    assert [o["index"] for o in found] == [1, 2] and '"index": 3' in rest
-    assert jobs.json_objects('{"translations": [{"index": 4, "text": "x"}')[0] == [{"index": 4, "text": "x"}]
+def until_done(spark, stream, tmp_path, mode="append", name="done"):
+    """Rows of a stream that was run over all that there is (a few files a batch), and the keys that still have state."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else batches for timers go on for ever
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    try:
+        assert query.awaitTermination(100)
+    finally:
+        query.stop()
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    return sorted(map(tuple, spark.table(name).collect()), key=str), query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+REPLIES = [
+    # text, entries (index, text)
+    ('[{"index": 1, "text": "a } {"}, {"index": 2, "text": "b"}, {"index": 3, ', [(1, "a } {"), (2, "b")]),
+    ('{"translations": [{"index": 4, "text": "x"}', [(4, "x")]),
+    ('{"index": 1, "text": "a", "meta": {"k": 1}}', [(1, "a")]),
+    ('{"meta": {"k": 1}, "index": 2, "text": "b"}{"index": 3, "text": "c"}', [(2, "b"), (3, "c")]),
+    ('{"meta": {"index": 7, "text": "in"}, "index": 2}', [(7, "in")]),  # an object is done with at its end
+    ('{"index": 1, "meta": {"index": 7}}', [(1, None)]),
+    ('{"index": 1 "text": "no comma"}, {"index": 2, "text": "b"}', [(2, "b")]),
+    ('{"index": "x", "text": "a"}{"index": null}{"index": 1.5}{"index": 1e400}{"index": [1]}{"index": 3.0, "text": "c"}', [(3, "c")]),
+    ('{"index": 1, "text": 5}{"index": 2, "text": null}{"index": 3, "text": {"b": "é", "a": 1}}', [(1, "5"), (2, None), (3, '{"b": "é", "a": 1}')]),
+    ('{"text": "say \\"index\\": 5 }", "index": 6}', [(6, 'say "index": 5 }')]),
+    ('no object " here ] , } {"other": 1} "index" {"index": 8, "text": "h"}', [(8, "h")]),
+    ('{"index": 1, "index": 2, "text": "last wins"}', [(2, "last wins")]),
+    ("", []),
+]
+
+
+@pytest.mark.parametrize("text,expected", REPLIES)
+def test_scanner(text, expected):
+    found, rest = scan_objects(text)
+    assert [e for o in found if (e := entry_of(o))] == expected
+    for cut in range(len(text)):  # in two fragments, wherever they are cut
+        first, kept = scan_objects(text[:cut])
+        second, left = scan_objects(kept + text[cut:])
+        assert (first + second, left) == (found, rest)
+
+
+def test_scanner_keeps_only_what_is_open():
+    assert scan_objects('no object here ] , "') == ([], "")
+    found, rest = scan_objects('{"index": 1, "text": "a"} , then {"index": 2, ')
+    assert len(found) == 1 and rest == '{"index": 2, '
+    many = "".join('{"index": %d, "text": "x"},' % i for i in range(50_000))
+    found, rest = scan_objects('{"translations": [' + many)
+    assert [entry_of(o)[0] for o in found] == list(range(50_000)) and rest == ""
+    assert scan_objects('{"a": {"b": {"index": 1, "t')[1] == '{"index": 1, "t'
+    deep = '{"index": 1, "text": "x", "meta": ' + '{"k": ' * 100_000 + "1" + "}" * 100_001
+    assert [entry_of(o) for o in scan_objects(deep + '{"index": 2}')[0]][1:] == [(2, None)]
 
 
 def test_stream_json_objects(spark, tmp_path):
-    objects = [(1, 1, i, json.dumps({"index": i, "text": "t } %d" % i})) for i in range(5)]
-    df = spark.createDataFrame([(f, a, s, t) for f, a, s, t in objects], "file_id long, attempt int, seq int, fragment string")
-    got = drained(spark, tmp_path, df, jobs.stream_json_objects, "append")
-    assert got == [(1, 1, i, "t } %d" % i) for i in range(5)]
-    assert sorted(tuple(r) for r in jobs.join_json_objects(df).collect()) == got
+    """Replies of every kind, cut into fragments of a few characters that come in four batches."""
+    rows = [(n, 1 + n % 2, i, text[i : i + 7]) for n, (text, _) in enumerate(REPLIES) for i in range(0, len(text), 7)]
+    schema = "file_id long, attempt int, seq int, fragment string"
+    df = spark.createDataFrame([*rows, (0, 1, 10_000, None)], schema)
+    expected = sorted(((n, 1 + n % 2, *e) for n, (_, es) in enumerate(REPLIES) for e in es), key=str)
+    assert sorted(map(tuple, jobs.join_json_objects(df).collect()), key=str) == expected
+    for k in range(4):
+        df.where(f"seq >= {k * 21} AND (seq < {(k + 1) * 21} OR {k} = 3)").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got, left = until_done(spark, jobs.stream_json_objects(files), tmp_path)
+    assert got == expected
+    assert left == sum(scan_objects(text)[1] != "" for text, _ in REPLIES)  # replies that are done with have no state
 
 
 def test_stream_progress(spark, tmp_path):
@@ -40,14 +94,6 @@ def test_stream_progress(spark, tmp_path):
     assert got == [(1, 4, True)] == sorted(tuple(r) for r in jobs.stream_progress(df).collect())
 
 
-def test_json_objects_outside_text_is_not_kept():
-    assert jobs.json_objects("no object here ] , ") == ([], "")
-    found, rest = jobs.json_objects('{"index": 1, "text": "a"} , then {"index": 2, ')
-    assert [o["index"] for o in found] == [1] and rest.endswith('{"index": 2, ')
-    many = "".join('{"index": %d, "text": "x"},' % i for i in range(5000))
-    assert [o["index"] for o in jobs.json_objects("[" + many)[0]] == list(range(5000))
-
-
 def results(spark):
     """Three results of each of ten keys, a second apart."""
     return spark.createDataFrame([(i % 2, i % 10, f"t{i // 10}", i) for i in range(30)], "file_id long, entry_index int, text string, s long").select("file_id", "entry_index", "text", F.timestamp_seconds("s").alias("at"))
