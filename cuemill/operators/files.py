@@ -37,10 +37,10 @@ def read_event_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def history_files(messages: DataFrame, stamp: Column) -> DataFrame:
-    """conv_id, file_name, content: a history's roles and parts as JSON, in order of turns. messages: conv_id, turn, role, parts."""
+    """conv_id, file_name, content: a history's roles and parts as JSON, in order of turns. messages: conv_id, turn, role, parts (JSON texts)."""
     rows = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "parts"))).alias("rows"))
     name = F.concat(F.lit("history_"), label(F.col("conv_id").cast("string")), F.lit("_"), stamp, F.lit(".json"))
-    return rows.select("conv_id", name.alias("file_name"), F.to_json(F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["parts"].alias("parts")))).alias("content"))
+    return rows.select("conv_id", name.alias("file_name"), F.to_json(F.transform("rows", lambda r: F.struct(r["role"].alias("role"), F.transform(r["parts"], F.try_parse_json).alias("parts")))).alias("content"))
 
 
 def nested_segments(segments: DataFrame, speech: DataFrame) -> DataFrame:

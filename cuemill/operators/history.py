@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.parts import has_kind, normalized_parts, part_field, part_texts, text_of, text_part
 from ..functions.text import strip
 
 #: Fixed marks that a reconstructed message begins with.
@@ -25,6 +26,10 @@ def estimate_tokens(text: Column) -> Column:
 
 
 def message_tokens(history: DataFrame) -> DataFrame:
+    """Of each message: the estimate of its text, or of all its parts as they are shown, and 4."""
+    if "parts" in history.columns:
+        each = F.transform(part_texts(F.col("parts")), estimate_tokens)
+        return history.withColumn("tokens", F.aggregate(each, F.lit(4), lambda a, x: a + x))
     return history.withColumn("tokens", estimate_tokens(F.col("text")) + 4)
 
 
@@ -125,50 +130,41 @@ def sanitize_user_text(text: Column) -> Column:
     return F.when((at > 0) & (sections != ""), sections).otherwise(generic)
 
 
-def parts_of(history: DataFrame) -> DataFrame:
-    """parts: one text part of each message, and a call of every seventh turn's model message."""
-    call = F.when((F.col("role") == "model") & (F.col("turn") % 7 == 3), F.array(F.struct(F.lit("function_call").alias("kind"), F.lit("lookup").alias("text")))).otherwise(F.array().cast("array<struct<kind:string,text:string>>"))
-    return history.select("conv_id", "turn", "role", F.concat(F.array(F.struct(F.lit("text").alias("kind"), F.coalesce("text", F.lit("")).alias("text"))), call).alias("parts"))
+def text_messages(history: DataFrame) -> DataFrame:
+    """conv_id, turn, role, parts of a history of texts: each message has one text part."""
+    return history.select("conv_id", "turn", "role", F.array(text_part(F.col("text"))).alias("parts"))
 
 
-def normalize_part(part: Column) -> Column:
-    """Kind in snake case, null text as empty."""
-    kind = F.lower(F.regexp_replace(part["kind"], "([a-z])([A-Z])", "$1_$2"))
-    return F.struct(F.coalesce(kind, F.lit("text")).alias("kind"), F.coalesce(part["text"], F.lit("")).alias("text"))
+def normalize_messages(messages: DataFrame) -> DataFrame:
+    """Messages with normalised parts, as the functions below take them. parts: array of JSON texts."""
+    return messages.withColumn("parts", normalized_parts(F.col("parts")))
 
 
-#: Fixed text for parts that aren't text, around what they hold.
-PART_TEXTS = {
-    "function_call": "[FUNCTION_CALL] name={} args=",
-    "function_response": "[FUNCTION_RESPONSE] name={} payload=",
-    "file_data": "[FILE_DATA] uri={} mime=unknown",
-    "inline_data": "[INLINE_DATA] mime={}",
-    "executable_code": "[EXECUTABLE_CODE] language={}",
-    "code_execution_result": "[CODE_RESULT] status={}",
-}
-
-
-def part_repr(part: Column) -> Column:
-    """The text where it isn't blank; of other kinds a tagged text; else the part as JSON."""
-    out = F.when((part["kind"] == "text") & (strip(part["text"]) != ""), part["text"])
-    for kind, form in PART_TEXTS.items():
-        head, tail = form.split("{}")
-        out = out.when(part["kind"] == kind, F.concat(F.lit(head), part["text"], F.lit(tail)))
-    return out.otherwise(F.to_json(F.struct(part["text"].alias("text"))))
+def _calls(part: Column) -> Column:
+    """A part that holds a function call that isn't empty."""
+    return F.coalesce(~F.get_json_object(part, "$.function_call").isin("", "{}", "[]", "0", "false"), F.lit(False))
 
 
 def drop_function_calls(messages: DataFrame) -> DataFrame:
-    left = messages.withColumn("parts", F.filter("parts", lambda p: p["kind"] != "function_call"))
-    return left.where(F.size("parts") > 0)
+    """Messages without their calls; those that held nothing else go."""
+    left = messages.withColumn("left", F.filter("parts", lambda p: ~_calls(p)))
+    return left.where((F.size("left") > 0) | (F.size("parts") == 0)).withColumn("parts", F.col("left")).drop("left")
 
 
 def sanitize_history(messages: DataFrame) -> DataFrame:
-    """Texts (the user's sanitised) and the model's calls; empty parts go, then empty messages."""
-    clean = lambda p: F.struct(p["kind"].alias("kind"), F.when((F.col("role") == "user") & (p["kind"] == "text"), sanitize_user_text(p["text"])).otherwise(p["text"]).alias("text"))
-    keep = lambda p: ((p["kind"] == "text") & (strip(p["text"]) != "")) | ((p["kind"] == "function_call") & (F.col("role") == "model"))
-    return messages.withColumn("parts", F.filter(F.transform("parts", clean), keep)).where(F.size("parts") > 0)
+    """Texts (the user's sanitised, others stripped) and the model's calls and tools' responses; empty parts go, then empty messages."""
+    user, model = F.col("role") == "user", F.col("role") == "model"
+
+    def kept(p: Column) -> Column:
+        text = F.when(user, sanitize_user_text(text_of(p))).otherwise(strip(text_of(p)))
+        out = F.when(has_kind(p, "text"), F.when(text != "", text_part(text)))
+        for kind in ("function_call", "tool_response"):
+            out = out.when(model & has_kind(p, kind), F.to_json(F.struct(part_field(p, kind, "variant").alias(kind))))
+        return out
+
+    return messages.withColumn("parts", F.filter(F.transform("parts", kept), lambda p: p.isNotNull())).where(F.size("parts") > 0)
 
 
 def recon_flag(messages: DataFrame) -> DataFrame:
-    tagged = F.exists("parts", lambda p: F.startswith(p["text"], F.lit(RECON_TAGS[0])) | F.startswith(p["text"], F.lit(RECON_TAGS[1])))
-    return messages.withColumn("is_recon", (F.col("role") == "model") & tagged)
+    tagged = F.exists("parts", lambda p: F.startswith(text_of(p), F.lit(RECON_TAGS[0])) | F.startswith(text_of(p), F.lit(RECON_TAGS[1])))
+    return messages.withColumn("is_recon", (F.col("role") == "model") & F.coalesce(tagged, F.lit(False)))

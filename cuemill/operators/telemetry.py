@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.delays import DELAY_MESSAGE, payload_delay
+
 ITEM, SEGMENT = ["batch_id", "item_id"], ["batch_id", "item_id", "segment_idx"]
 
 
@@ -71,38 +73,15 @@ def rolling_requests(requests: DataFrame, cap: int = 9, window_s: int = 60) -> D
     return requests.select("event_id", used.alias("used"), F.greatest(F.lit(cap) - used, F.lit(0)).alias("remaining"), (oldest + window_s - F.col("ts_s")).alias("reset_s"))
 
 
-#: Fixed patterns: a delay as a value, and in the text of a message.
-DELAY_VALUE, DELAY_MESSAGE = r"(?i)^\s*(\d+(?:\.\d+)?)\s*(?:s|sec|seconds)?\s*$", r"(?i)retryDelay['\"]?\s*:\s*'?(\d+(?:\.\d+)?)s"
-#: Levels of ``details`` inside ``details`` that are looked through.
-DETAIL_DEPTH = 4
-
-
-def _delay_value(value: Column) -> Column:
-    """Seconds of a number, at least 0, or of a text with or without a unit; else null."""
-    below = F.when(F.regexp_like(value, F.lit(r"^-\d+(\.\d+)?$")), F.lit(0.0))
-    return F.coalesce(F.nullif(F.regexp_extract(value, DELAY_VALUE, 1), F.lit("")).try_cast("double"), below)
-
-
 def retry_delay(errors: DataFrame) -> DataFrame:
     """event_id, delay_s, is_server_error.
 
     The delay is the first one found in the JSON payload (an object or a list of objects): its own ``retryDelay``, then that of each of its
-    ``details`` in order, and of theirs; else the one that the message's text names (column ``message``, or the payload's text).
+    ``details`` in order, and of theirs, at any depth; else the one that the message's text names (column ``message``, or the payload's text).
     """
-    kind = "struct<retryDelay:string>"
-    for _ in range(DETAIL_DEPTH):
-        kind = f"struct<retryDelay:string,details:array<{kind}>>"
-
-    def first_of(x: Column, depth: int) -> Column:
-        own = _delay_value(x["retryDelay"])
-        if not depth:
-            return own
-        return F.coalesce(own, F.get(F.filter(F.transform(x["details"], lambda y: first_of(y, depth - 1)), lambda d: d.isNotNull()), 0))
-
-    whole = F.when(F.startswith(F.ltrim("payload"), F.lit("[")), F.concat(F.lit('{"details":'), F.col("payload"), F.lit("}"))).otherwise(F.col("payload"))
     message = F.coalesce("message", "payload") if "message" in errors.columns else F.col("payload")
     said = F.nullif(F.regexp_extract(message, DELAY_MESSAGE, 1), F.lit("")).try_cast("double")
-    return errors.select("event_id", F.coalesce(first_of(F.from_json(whole, kind), DETAIL_DEPTH), said).alias("delay_s"), F.col("code").between(500, 599).alias("is_server_error"))
+    return errors.select("event_id", F.coalesce(payload_delay(F.col("payload")), said).alias("delay_s"), F.col("code").between(500, 599).alias("is_server_error"))
 
 
 def mask_secret(secret: Column) -> Column:

@@ -88,7 +88,35 @@ _STRIP = lambda c: f"regexp_replace(coalesce({c}, ''), '^\\s+|\\s+$', '', 'g')"
 _TOK = f"(CASE WHEN {_STRIP('text')} = '' THEN 0 ELSE greatest(length({_STRIP('text')}) // 4, len(regexp_split_to_array({_STRIP('text')}, '\\s+')), 1) END)"
 _h = lambda s, d: view(s, d, "v4_history")
 add("estimate_tokens", lambda s, d: _h(s, d).select("conv_id", "turn", hi.estimate_tokens(F.col("text")).alias("tokens")), f"SELECT conv_id, turn, {_TOK} AS tokens FROM v4_history")
-add("history_tokens", lambda s, d: hi.history_tokens(_h(s, d)), f"SELECT conv_id, sum({_TOK} + 4) AS tokens FROM v4_history GROUP BY 1")
+
+
+def _messages(s, d):
+    """Messages of several parts: texts (some null), calls and responses with nulls and nested values, files, data, code and results."""
+    ship_package(s)
+    t = F.col("turn").cast("string")
+    text = F.when(F.col("turn") % 5 == 4, F.lit('{"text":null}')).otherwise(hi.text_part(F.col("text")))
+    call = F.when((F.col("role") == "model") & (F.col("turn") % 7 == 3), F.concat(F.lit('{"functionCall":{"name":"lookup","args":{"b":[1,null,{"z":null,"y":"é"}],"a":'), t, F.lit(',"n":null}}}')))
+    other = F.element_at(F.array(
+        F.lit('{"codeExecutionResult":{"outcome":"OK","n":null}}'), F.lit('{"functionResponse":{"name":"lookup","response":{"b":1,"a":"x y"}}}'),
+        F.concat(F.lit('{"fileData":{"uri":"u/'), t, F.lit('","mimeType":"video/mp4"}}')), F.concat(F.lit('{"inlineData":{"mimeType":"audio/wav","sizeBytes":'), t, F.lit("}}"))), (F.col("turn") % 4 + 1).cast("int"))
+    last = F.when(F.col("turn") % 3 == 0, other)
+    return _h(s, d).select("conv_id", "turn", "role", F.array_compact(F.array(text, call, last)).alias("parts"))
+
+
+_IS_CALL = "role = 'model' AND turn % 7 = 3"
+_SHOWN = [
+    "CASE WHEN turn % 5 = 4 THEN '{\"text\": \"\"}' ELSE text END",
+    f"CASE WHEN {_IS_CALL} THEN concat('[FUNCTION_CALL] name=lookup args={{\"a\": ', turn, ', \"b\": [1, {{\"y\": \"é\"}}]}}') END",
+    "CASE WHEN turn % 3 <> 0 THEN NULL WHEN turn % 4 = 0 THEN '[CODE_RESULT] status=OK' WHEN turn % 4 = 1 THEN '[FUNCTION_RESPONSE] name=lookup payload={\"b\": 1, \"a\": \"x y\"}' WHEN turn % 4 = 2 THEN concat('[FILE_DATA] uri=u/', turn, ' mime=video/mp4') ELSE concat('[INLINE_DATA] mime=audio/wav size=', turn) END",
+]
+_NORMAL = [
+    "CASE WHEN turn % 5 = 4 THEN '{\"text\":\"\"}' ELSE CAST(to_json({'text': text}) AS VARCHAR) END",
+    f"CASE WHEN {_IS_CALL} THEN concat('{{\"function_call\":{{\"args\":{{\"a\":', turn, ',\"b\":[1,{{\"y\":\"é\"}}]}},\"name\":\"lookup\"}}}}') END",
+    "CASE WHEN turn % 3 <> 0 THEN NULL WHEN turn % 4 = 0 THEN '{\"code_execution_result\":{\"outcome\":\"OK\"}}' WHEN turn % 4 = 1 THEN '{\"function_response\":{\"name\":\"lookup\",\"response\":{\"a\":\"x y\",\"b\":1}}}' WHEN turn % 4 = 2 THEN concat('{\"file_data\":{\"mimeType\":\"video/mp4\",\"uri\":\"u/', turn, '\"}}') ELSE concat('{\"inline_data\":{\"mimeType\":\"audio/wav\",\"sizeBytes\":', turn, '}}') END",
+]
+_PARTS_TOK = " + ".join(f"coalesce({x}, 0)" for x in (f"(SELECT CASE WHEN t = '' THEN 0 ELSE greatest(length(t) // 4, len(regexp_split_to_array(t, '\\s+')), 1) END FROM (SELECT {_STRIP(y)} AS t))" for y in ("p0", "p1", "p2")))
+_SHOWN_PARTS = f"shown AS (SELECT *, {', '.join(f'{x} AS p{n}' for n, x in enumerate(_SHOWN))} FROM v4_history)"
+add("history_tokens", lambda s, d: hi.history_tokens(_messages(s, d)), f"WITH {_SHOWN_PARTS} SELECT conv_id, sum(4 + {_PARTS_TOK}) AS tokens FROM shown GROUP BY 1", "v4_history")
 _DUMP = lambda src, k="conv_id": f"SELECT {k}, string_agg(concat(upper(role), ':', chr(10), {_STRIP('text')}), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY turn) AS dump FROM {src} WHERE {_STRIP('text')} <> '' GROUP BY {k}"
 add("conversation_dump", lambda s, d: hi.conversation_dump(_h(s, d)), _DUMP("v4_history"))
 add("compact_history", lambda s, d: hi.compact_history(_h(s, d), 1), f"WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n FROM v4_history), o AS (SELECT * FROM n WHERE n > 2 AND back > 2), m AS ({_DUMP('o')}) SELECT conv_id, CAST(NULL AS BIGINT) AS turn, 'model' AS role, concat('[WORK SUMMARY]', chr(10), dump) AS text FROM m UNION ALL SELECT conv_id, turn, role, text FROM n WHERE n <= 2 OR back <= 2", "v4_history")
@@ -106,14 +134,15 @@ add("should_snapshot", lambda s, d: hi.should_snapshot(_h(s, d), 100, 10), f"SEL
 add("cumulative_usage", lambda s, d: hi.cumulative_usage(_h(s, d)), f"WITH t AS (SELECT *, {_TOK} + 4 AS k FROM v4_history), u AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent FROM t), w AS (SELECT *, sum(CASE WHEN role = 'model' THEN sent + k ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS usage FROM u) SELECT conv_id, turn, usage FROM w WHERE role = 'model'", "v4_history")
 add("drop_last_turn", lambda s, d: hi.drop_last_turn(_h(s, d)), "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b, count(*) OVER (PARTITION BY conv_id) AS n FROM v4_history) x WHERE n < 2 OR b > 2")
 add("history_prefix", lambda s, d: hi.history_prefix(_h(s, d), 2, "again"), "SELECT conv_id, turn, role, CASE WHEN turn = 2 THEN 'again' ELSE text END AS text FROM v4_history WHERE turn <= 2 AND conv_id IN (SELECT conv_id FROM v4_history WHERE turn = 2 AND role = 'user')", "v4_history")
-add("drop_function_calls", lambda s, d: hi.drop_function_calls(hi.parts_of(_h(s, d))).select("conv_id", "turn", F.size("parts").alias("n")), "SELECT conv_id, turn, 1 AS n FROM v4_history")
-add("sanitize_history", lambda s, d: hi.sanitize_history(hi.parts_of(_h(s, d))).select("conv_id", "turn", F.size("parts").alias("n"), F.array_join(F.transform("parts", lambda p: p["text"]), "|").alias("texts")), f"""WITH p AS (SELECT *, role = 'model' AND turn % 7 = 3 AS call, {_STRIP('text')} AS t FROM v4_history) SELECT conv_id, turn, CAST(t <> '' AS INT) + CAST(call AS INT) AS n,
-CASE WHEN t <> '' AND call THEN concat(text, '|lookup') WHEN call THEN 'lookup' WHEN role = 'user' THEN t ELSE text END AS texts FROM p WHERE t <> '' OR call""", "v4_history")
+add("drop_function_calls", lambda s, d: hi.drop_function_calls(hi.normalize_messages(_messages(s, d).withColumn("parts", F.when(F.col("turn") == 3, F.filter("parts", lambda p: ~F.startswith(p, F.lit('{"text"')))).otherwise(F.col("parts"))))).select("conv_id", "turn", F.array_join(hi.part_texts(F.col("parts")), "|").alias("shown")), f"WITH {_SHOWN_PARTS} SELECT conv_id, turn, concat_ws('|', CASE WHEN turn <> 3 THEN p0 END, p2) AS shown FROM shown WHERE turn <> 3 OR p2 IS NOT NULL OR p1 IS NULL", "v4_history")
+add("sanitize_history", lambda s, d: hi.sanitize_history(hi.normalize_messages(_messages(s, d))).select("conv_id", "turn", F.size("parts").alias("n"), F.array_join(hi.part_texts(F.col("parts")), "|").alias("texts")), f"""WITH {_SHOWN_PARTS}, k AS (SELECT conv_id, turn, CASE WHEN turn % 5 <> 4 THEN nullif({_STRIP('p0')}, '') END AS t, p1 FROM shown)
+SELECT conv_id, turn, CAST(t IS NOT NULL AS INT) + CAST(p1 IS NOT NULL AS INT) AS n, concat_ws('|', t, p1) AS texts FROM k WHERE t IS NOT NULL OR p1 IS NOT NULL""", "v4_history")
 add("sanitize_user_text", lambda s, d: _h(s, d).select("conv_id", "turn", hi.sanitize_user_text(F.concat(F.lit("Be brief. 다음 자막들을 x\n번역할 자막들:\n"), F.col("text"), F.lit("\n\n주의사항: x"))).alias("text")), f"SELECT conv_id, turn, concat('Be brief.', CASE WHEN {_STRIP('text')} = '' THEN '' ELSE concat(chr(10), chr(10), '번역할 자막들:', chr(10), {_STRIP('text')}) END) AS text FROM v4_history WHERE text IS NOT NULL")
-add("part_repr", lambda s, d: hi.parts_of(_h(s, d)).select("conv_id", "turn", F.array_join(F.transform("parts", hi.part_repr), "|").alias("shown")), f"SELECT conv_id, turn, concat(CASE WHEN {_STRIP('text')} <> '' THEN text ELSE concat('{{', chr(34), 'text', chr(34), ':', chr(34), coalesce(text, ''), chr(34), '}}') END, CASE WHEN role = 'model' AND turn % 7 = 3 THEN '|[FUNCTION_CALL] name=lookup args=' ELSE '' END) AS shown FROM v4_history")
-add("normalize_part", lambda s, d: _h(s, d).select("conv_id", "turn", hi.normalize_part(F.struct(F.lit("functionCall").alias("kind"), F.col("text").alias("text"))).alias("p")).select("conv_id", "turn", "p.kind", "p.text"), "SELECT conv_id, turn, 'function_call' AS kind, coalesce(text, '') AS text FROM v4_history")
-add("recon_flag", lambda s, d: hi.recon_flag(hi.parts_of(_h(s, d).withColumn("text", F.concat(F.when(F.col("turn") % 2 == 1, "[RECON_ENTRIES] ").otherwise(""), F.col("text"))))).select("conv_id", "turn", "is_recon"), "SELECT conv_id, turn, role = 'model' AND turn % 2 = 1 AND text IS NOT NULL AS is_recon FROM v4_history")
-add("sink_history", lambda s, d: hi.sanitize_history(hi.parts_of(_h(s, d))).groupBy("conv_id").agg(F.count("*").alias("messages"), F.length(F.to_json(F.array_sort(F.collect_list(F.struct("turn", "role"))))).alias("json_length")), f"""WITH p AS (SELECT * FROM v4_history WHERE {_STRIP('text')} <> '' OR (role = 'model' AND turn % 7 = 3)) SELECT conv_id, count(*) AS messages, CAST(2 + count(*) - 1 + sum(length(CAST(turn AS VARCHAR)) + length(role) + 19) AS INT) AS json_length FROM p GROUP BY 1""", "v4_history")
+add("part_repr", lambda s, d: _messages(s, d).select("conv_id", "turn", F.array_join(hi.part_texts(F.col("parts")), "|").alias("shown")), f"WITH {_SHOWN_PARTS} SELECT conv_id, turn, concat_ws('|', p0, p1, p2) AS shown FROM shown", "v4_history")
+_as_json = lambda p: F.to_json(F.try_parse_json(p))
+add("normalize_part", lambda s, d: hi.normalize_messages(_messages(s, d)).select("conv_id", "turn", F.posexplode("parts").alias("n", "p")).select("conv_id", "turn", "n", _as_json(F.col("p")).alias("part"), hi.part_field(F.col("p"), "function_call.args.b[1].y").alias("nested")), f"SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1 AS INT) AS n, p AS part, CASE WHEN k = 1 THEN 'é' END AS nested FROM ({' UNION ALL '.join(f'SELECT conv_id, turn, {k} AS k, {x} AS p FROM v4_history' for k, x in enumerate(_NORMAL))}) x WHERE p IS NOT NULL", "v4_history")
+add("recon_flag", lambda s, d: hi.recon_flag(hi.text_messages(_h(s, d).withColumn("text", F.concat(F.when(F.col("turn") % 2 == 1, "[RECON_ENTRIES] ").otherwise(""), F.col("text"))))).select("conv_id", "turn", "is_recon"), "SELECT conv_id, turn, role = 'model' AND turn % 2 = 1 AND text IS NOT NULL AS is_recon FROM v4_history")
+add("sink_history", lambda s, d: hi.sanitize_history(hi.normalize_messages(_messages(s, d))).groupBy("conv_id").agg(F.count("*").alias("messages"), F.length(F.to_json(F.array_sort(F.collect_list(F.struct("turn", "role"))))).alias("json_length")), f"""WITH p AS (SELECT * FROM v4_history WHERE ({_STRIP('text')} <> '' AND turn % 5 <> 4) OR (role = 'model' AND turn % 7 = 3)) SELECT conv_id, count(*) AS messages, CAST(2 + count(*) - 1 + sum(length(CAST(turn AS VARCHAR)) + length(role) + 19) AS INT) AS json_length FROM p GROUP BY 1""", "v4_history")
 
 # -- states ------------------------------------------------------------------------------------
 _u = lambda s, d: view(s, d, "v6_updates")
@@ -137,7 +166,20 @@ _asr = lambda s, d: view(s, d, "v6_asr")
 add("segment_ratio", lambda s, d: _asr(s, d).select("clip_index", F.round(te.segment_ratio(F.col("end_s"), F.lit(15.0), F.lit(30.0)), 6).alias("ratio")), "SELECT clip_index, round(greatest(least(CASE WHEN end_s >= 15 THEN end_s - 15 ELSE end_s END / 30, 1), 0), 6) AS ratio FROM v6_asr")
 _q = lambda s, d: view(s, d, "v7_requests")
 add("rolling_requests", lambda s, d: te.rolling_requests(_q(s, d), 2, 43200), "SELECT event_id, count(*) OVER w AS used, greatest(2 - count(*) OVER w, 0) AS remaining, min(ts_s) OVER w + 43200 - ts_s AS reset_s FROM v7_requests WINDOW w AS (PARTITION BY client_id ORDER BY ts_s RANGE BETWEEN 43200 PRECEDING AND CURRENT ROW)")
-add("retry_delay", lambda s, d: te.retry_delay(_q(s, d)), "SELECT event_id, CAST(event_id % 60 AS DOUBLE) AS delay_s, code BETWEEN 500 AND 599 AS is_server_error FROM v7_requests")
+
+
+def _errors(s, d):
+    """Payloads that say a delay at the top, in details, five levels deep, in a list in a list behind other things, in the message's text alone, or nowhere."""
+    ship_package(s)
+    n = (F.col("event_id") % 60).cast("string")
+    own = F.concat(F.lit('{"retryDelay":"'), n, F.lit('s"}'))
+    deep = F.concat(F.lit('{"details":[{"details":[{"details":[{"details":[{"details":['), own, F.lit("]}]}]}]}]}"))
+    mixed = F.concat(F.lit('[null,"x",{"retryDelay":"soon","details":["x",5,[[],['), own, F.lit(',{"retryDelay":"99s"}]],{"retryDelay":98}]}]'))
+    kinds = [own, F.concat(F.lit('{"code":1,"details":[{"a":1},{"retryDelay":'), n, F.lit("}]}")), deep, mixed, F.concat(F.lit("quota: retryDelay: '"), n, F.lit("s'")), F.lit('{"details":{"retryDelay":"9"}}')]
+    return _q(s, d).withColumn("payload", F.element_at(F.array(*kinds), (F.col("event_id") % 6 + 1).cast("int")))
+
+
+add("retry_delay", lambda s, d: te.retry_delay(_errors(s, d)), "SELECT event_id, CASE WHEN event_id % 6 < 5 THEN CAST(event_id % 60 AS DOUBLE) END AS delay_s, code BETWEEN 500 AND 599 AS is_server_error FROM v7_requests")
 
 
 def _names(s, d):

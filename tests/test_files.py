@@ -45,10 +45,10 @@ def test_event_lines(spark, tmp_path):
 
 def test_history_files(spark, tmp_path):
     said = spark.createDataFrame([(5, 2, "model", "yes"), (5, 1, "user", "is it?"), (6, 1, "user", " ")], "conv_id long, turn long, role string, text string")
-    out = files.history_files(history.sanitize_history(history.parts_of(said)), F.lit("20240101"))
+    out = files.history_files(history.sanitize_history(history.text_messages(said)), F.lit("20240101"))
     files.write_texts(out, str(tmp_path / "out"), "file_name")
     got = files.read_texts(spark, str(tmp_path / "out"), "file_name").collect()
-    assert [(r["file_name"], json.loads(r["content"])) for r in got] == [("history_5_20240101.json", [{"role": r, "parts": [{"kind": "text", "text": t}]} for r, t in (("user", "is it?"), ("model", "yes"))])]
+    assert [(r["file_name"], json.loads(r["content"])) for r in got] == [("history_5_20240101.json", [{"role": r, "parts": [{"text": t}]} for r, t in (("user", "is it?"), ("model", "yes"))])]
 
 
 def test_segment_table(spark, tmp_path):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from cuemill.functions import text as tx
@@ -186,3 +189,78 @@ def test_cue_files_round_trip(spark, tmp_path):
     assert [(r["media_id"][-5:], r["pos"], r["start_ms"], r["end_ms"], r["text"]) for r in parsed.orderBy("media_id", "pos").collect()] == [("a.srt", 1, 1000.0, 2000.0, "héllo"), ("a.srt", 2, 3000.0, 4500.0, "two"), ("b.srt", 1, 1000.0, 2000.0, "안녕"), ("b.srt", 2, 3000.0, 4500.0, "two")]
     shown = {r["media_id"][-5:]: r["content"] for r in cues.export_cues(parsed).collect()}
     assert shown["a.srt"] == text
+
+
+DEEP = '{"retryDelay": "8s"}'
+for _ in range(300):
+    DEEP = '{"details": [%s]}' % DEEP
+
+
+@pytest.mark.parametrize(
+    "payload,delay",
+    [
+        ('{"details":[{"details":[{"details":[{"details":[{"details":[{"retryDelay":"7s"}]}]}]}]}]}', 7.0),
+        ('{"details":[[{"retryDelay":"5s"}]]}', 5.0),
+        ('{"details":["x", null, 3, {"retryDelay":"7 seconds"}]}', 7.0),
+        ('[{"a": 1}, {"details": [{"retryDelay": 2.5}]}, {"retryDelay": 9}]', 2.5),
+        ('{"details": [{"retryDelay": "1s"}], "retryDelay": "3s"}', 3.0),  # an object's own goes first
+        ('{"retryDelay": "later", "details": [{"retryDelay": "4s"}]}', 4.0),
+        ('{"retryDelay": -3}', 0.0),
+        ('{"retryDelay": "-3"}', None),
+        ('{"retryDelay": true}', 1.0),
+        ('{"retryDelay": null}', None),
+        ('{"retryDelay": " 6 SEC "}', 6.0),
+        ('{"details": {"retryDelay": "3s"}}', None),
+        ("not JSON, retryDelay: '12.5s'", 12.5),
+        (DEEP, 8.0),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_retry_delay_at_any_depth(spark, payload, delay):
+    # a message of its own, so that the payload's text isn't searched as well
+    got = telemetry.retry_delay(spark.createDataFrame([(1, payload, 500, payload if payload and payload.startswith("not") else "error")], "event_id long, payload string, code int, message string"))
+    assert got.first()["delay_s"] == delay
+
+
+#: part, normalised, shown, tokens: worked by hand.
+PARTS = [
+    ('{"text": "hello big world"}', '{"text": "hello big world"}', "hello big world", 3),
+    ('{"text": null}', '{"text": ""}', '{"text": ""}', 3),
+    ('{"text": "  ", "thought": null}', '{"text": "  "}', '{"text": "  "}', 3),
+    ("{}", '{"text": ""}', '{"text": ""}', 3),
+    ('{"text": 5}', '{"text": "5"}', "5", 1),
+    ('{"functionCall": {"name": "f", "args": {"b": 1, "a": {"d": null, "c": ["é", null]}}, "id": null}}', '{"function_call": {"name": "f", "args": {"b": 1, "a": {"c": ["é"]}}}}', '[FUNCTION_CALL] name=f args={"a": {"c": ["é"]}, "b": 1}', 13),
+    ('{"functionCall": {"args": 7}}', '{"function_call": {"args": 7}}', "[FUNCTION_CALL] name= args=7", 7),
+    ('{"function_call": "odd"}', '{"function_call": "odd"}', "[FUNCTION_CALL] name= args=", 6),
+    ('{"functionResponse": {"name": "f", "response": {"b": 1.5, "a": true}}}', '{"function_response": {"name": "f", "response": {"b": 1.5, "a": true}}}', '[FUNCTION_RESPONSE] name=f payload={"b": 1.5, "a": true}', 14),
+    ('{"fileData": {"file_uri": "u", "uri": "v", "mimeType": "m"}}', '{"file_data": {"file_uri": "u", "uri": "v", "mimeType": "m"}}', "[FILE_DATA] uri=u mime=m", 6),
+    ('{"fileData": {}}', '{"file_data": {}}', "[FILE_DATA] uri=unknown mime=unknown", 9),
+    ('{"inlineData": {"mime_type": "m", "size_bytes": 0}}', '{"inline_data": {"mime_type": "m", "size_bytes": 0}}', "[INLINE_DATA] mime=m", 5),
+    ('{"inlineData": {"mimeType": "m", "sizeBytes": 12}}', '{"inline_data": {"mimeType": "m", "sizeBytes": 12}}', "[INLINE_DATA] mime=m size=12", 7),
+    ('{"executable_code": {"language": "PYTHON"}}', '{"executable_code": {"language": "PYTHON"}}', "[EXECUTABLE_CODE] language=PYTHON", 8),
+    ('{"codeExecutionResult": {"outcome": "OK"}}', '{"code_execution_result": {"outcome": "OK"}}', "[CODE_RESULT] status=OK", 5),
+    ('{"videoMetadata": {"fps": 2, "x": null}}', '{"video_metadata": {"fps": 2}}', '{"video_metadata": {"fps": 2}}', 7),
+    ("not JSON", '{"text": "not JSON"}', "not JSON", 2),
+]
+
+
+def test_parts(spark):
+    rows = [(n, n, "user", [p]) for n, (p, *_) in enumerate(PARTS)] + [(100, 0, "user", [p for p, *_ in PARTS]), (101, 0, "user", []), (102, 0, "user", None), (103, 0, "user", [None])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, parts array<string>").repartition(3)
+    got = {r["conv_id"]: r for r in history.normalize_messages(df).withColumn("shown", history.part_texts(F.col("parts"))).collect()}
+    for n, (_, normal, shown, _) in enumerate(PARTS):
+        assert (json.loads(got[n]["parts"][0]), got[n]["shown"]) == (json.loads(normal), [shown])
+        assert list(json.loads(got[n]["parts"][0])) == list(json.loads(normal))  # in their order
+    assert got[100]["shown"] == [p[2] for p in PARTS] and got[101]["parts"] == got[102]["parts"] == []
+    tokens = {r["conv_id"]: r["tokens"] for r in history.history_tokens(df).collect()}
+    assert tokens == {n: 4 + t for n, (*_, t) in enumerate(PARTS)} | {100: 4 + sum(p[3] for p in PARTS), 101: 4, 102: 4, 103: 7}
+
+
+def test_parts_of_texts_stay_in_the_jvm(spark):
+    """Arrow gets nulls only for messages that hold texts alone, and a filter by kind needs none at all."""
+    df = spark.createDataFrame([(1, 0, "model", ['{"text": "a"}', '{"function_call": {"name": "f"}}']), (1, 1, "model", ['{"function_call": {}}']), (1, 2, "model", ['{"function_call": {"name": "g"}}'])], "conv_id long, turn long, role string, parts array<string>")
+    out = history.drop_function_calls(df)
+    assert "Arrow" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["turn"], r["parts"]) for r in out.collect()) == [(0, ['{"text": "a"}']), (1, ['{"function_call": {}}'])]
+    assert [(r["turn"], len(r["parts"])) for r in history.sanitize_history(df).collect()] == [(0, 2), (1, 1), (2, 1)]
