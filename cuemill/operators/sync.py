@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship_package
 from . import intervals
 
 
@@ -103,30 +106,37 @@ def apply_proportional(cues: DataFrame, snapped: DataFrame) -> DataFrame:
     return joined.select(*[c for c in cues.columns if c not in ("start_ms", "end_ms")], moved("start_ms"), moved("end_ms"))
 
 
-def _fold(rows: DataFrame, order: tuple[str, ...], step: Callable[[dict, dict], None]) -> DataFrame:
-    """Ordered fold over the rows of each run (columns media_id and run); ``step(last, row)`` changes the two rows.
+def _fold(rows: DataFrame, order: tuple[str, ...], numbers: tuple[str, ...], step: Callable[[list[list], int], None]) -> DataFrame:
+    """Ordered fold over the rows of each run (columns media_id and run): ``step`` gets the columns of ``numbers`` as lists, and the place of a row
+    whose run began before it; it changes that row and the one before.
 
-    Runs are dealt over all tasks, and a task holds one row besides its Arrow batches, however long a run is.
+    Runs are dealt over all tasks, and a task holds one row besides its Arrow batches, however long a run is.  Other columns are passed on as they came,
+    and so are all columns of batches in which every row begins a run.
     """
     names, schema = rows.columns, rows.schema
 
+    def same(column: pa.Array) -> np.ndarray:
+        before, after = column.slice(0, len(column) - 1), column.slice(1)
+        return pc.if_else(pc.and_(before.is_null(), after.is_null()), True, pc.fill_null(pc.equal(before, after), False)).to_numpy(zero_copy_only=False)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        held = None
         for batch in batches:
-            done = []
-            for row in batch.to_pylist():
-                if last is not None:
-                    if (row["media_id"], row["run"]) == (last["media_id"], last["run"]):
-                        step(last, row)
-                    done.append(last)
-                last = row
-            if done:
-                yield pa.RecordBatch.from_pylist(done, batch.schema)
-            kind = batch.schema
-        if last is not None:
-            yield pa.RecordBatch.from_pylist([last], kind)
-
-    return rows.repartition("media_id", "run").sortWithinPartitions("media_id", "run", *order).mapInArrow(run, schema).select(*names).drop("run")
+            if held is not None:
+                batch = pa.concat_batches([held, batch.cast(held.schema)])
+            if batch.num_rows > 1 and len(at := np.flatnonzero(same(batch["media_id"]) & same(batch["run"])) + 1):
+                lists = [batch[n].to_pylist() for n in numbers]
+                for i in at.tolist():
+                    step(lists, i)
+                for n, values in zip(numbers, lists):
+                    batch = batch.set_column(names.index(n), batch.schema.field(n), pa.array(values, batch.schema.field(n).type))
+            if batch.num_rows:
+                yield batch.slice(0, batch.num_rows - 1)
+                held = batch.slice(batch.num_rows - 1)
+        if held is not None:
+            yield held
+
+    return rows.repartition("media_id", "run").sortWithinPartitions("media_id", "run", *order).mapInArrow(run, schema).drop("run")
 
 
 def _runs(rows: DataFrame, order: tuple[str, ...], fresh: Callable[[Window], Column]) -> DataFrame:
@@ -141,21 +151,22 @@ def fix_overlaps(cues: DataFrame, min_duration: float = 300, min_gap: float = 10
     untouched: media that stay as they are.  An entry that begins later depends on nothing before it: entries are folded run by run.
     """
 
-    def step(last: dict, x: dict) -> None:
-        if last["end_ms"] is None or x["start_ms"] is None or not last["end_ms"] > x["start_ms"]:
+    def step(lists: list[list], i: int) -> None:
+        starts, ends = lists
+        if ends[i - 1] is None or starts[i] is None or not ends[i - 1] > starts[i]:
             return
-        middle = (last["end_ms"] + x["start_ms"]) / 2
+        middle = (ends[i - 1] + starts[i]) / 2
         end, start = middle - min_gap / 2, middle + min_gap / 2
-        if end - last["start_ms"] < min_duration:
-            end, start = last["start_ms"] + min_duration, last["start_ms"] + min_duration + min_gap
-        if x["end_ms"] - start < min_duration:
-            start, end = x["end_ms"] - min_duration, x["end_ms"] - min_duration - min_gap
-        last["end_ms"], x["start_ms"] = max(last["start_ms"] + min_duration, end), min(x["end_ms"] - min_duration, start)
+        if end - starts[i - 1] < min_duration:
+            end, start = starts[i - 1] + min_duration, starts[i - 1] + min_duration + min_gap
+        if ends[i] - start < min_duration:
+            start, end = ends[i] - min_duration, ends[i] - min_duration - min_gap
+        ends[i - 1], starts[i] = max(starts[i - 1] + min_duration, end), min(ends[i] - min_duration, start)
 
     order = ("entry_index", "pos")
     alone = F.lit(False) if untouched is None else untouched
     rows = cues.select("media_id", "entry_index", "pos", F.col("start_ms").cast("double"), F.col("end_ms").cast("double"), "text", alone.alias("alone"))
-    return _fold(_runs(rows, order, lambda w: F.col("alone") | ~(F.lag("end_ms").over(w) > F.col("start_ms"))).drop("alone"), order, step)
+    return _fold(_runs(rows, order, lambda w: F.col("alone") | ~(F.lag("end_ms").over(w) > F.col("start_ms"))).drop("alone"), order, ("start_ms", "end_ms"), step)
 
 
 def overlap_count(cues: DataFrame) -> DataFrame:
@@ -163,18 +174,108 @@ def overlap_count(cues: DataFrame) -> DataFrame:
     return cues.withColumn("over", F.lag("end_ms").over(order) > F.col("start_ms")).groupBy("media_id").agg(F.count_if("over").alias("overlaps"))
 
 
+#: A block of packing spans so many times the limit.
+PACK_BLOCK = 64
+
+
+def _block_groups(start: np.ndarray, end: np.ndarray, first: float, max_ms: float) -> dict:
+    """What a block of segments makes of the group that is open before it.
+
+    A group opens at the first short segment that ends further than the limit from the start of the group before.  That segment ends later than all short ones before
+    it, so only such ones are listed, up to the first that no earlier group could take (``first``: where the block begins): their ends, and for each the start of the
+    last group of the block and the number of groups, if a group opens there.
+    """
+    short = np.flatnonzero(end - start < max_ms)
+    begin, latest = start[short], np.maximum.accumulate(end[short]) if len(short) else end[short]
+
+    def next_of(at: np.ndarray) -> np.ndarray:
+        found = np.searchsorted(latest, at + max_ms, "right")
+        for shift in (-1, 1):  # the sum above may be rounded another way than the difference
+            while True:
+                near = np.clip(found + min(shift, 0), 0, max(len(latest) - 1, 0))
+                beyond = latest[near] - at > max_ms if len(latest) else np.zeros(len(at), bool)
+                wrong = (found > 0) & beyond if shift < 0 else (found < len(latest)) & ~beyond
+                if not wrong.any():
+                    break
+                found = found + shift * wrong
+        return found
+
+    following, last, count = next_of(begin), begin.copy(), np.ones(len(short), np.int64)
+    for j in range(len(short) - 1, -1, -1):
+        if (k := following[j]) < len(short):
+            last[j], count[j] = last[k], count[k] + 1
+    new = np.flatnonzero(np.diff(latest, prepend=-np.inf) > 0)
+    wide = np.flatnonzero(latest[new] - first > max_ms)
+    new = new[: wide[0] + 1] if len(wide) else new
+    k = int(next_of(start[:1])[0])
+    fresh = (float(last[k]), int(count[k]) + 1) if k < len(short) else (float(start[0]), 1)
+    return {"ends": latest[new].tolist(), "last": last[new].tolist(), "count": count[new].tolist(), "fresh_last": fresh[0], "fresh_count": fresh[1]}
+
+
+def _open_groups(rows: DataFrame, max_ms: float) -> DataFrame:
+    """media_id, block, group_start, groups: the group that is open before each block but a medium's first, and how many have opened. rows: media_id, block, start_ms, seg_id, end_ms."""
+    media_type = rows.schema["media_id"].dataType.simpleString()
+    blocks = f"media_id {media_type}, block long, ends array<double>, last array<double>, count array<long>, fresh_last double, fresh_count long"
+
+    def summed(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("start_ms", "ascending"), ("seg_id", "ascending")])
+        made = _block_groups(table["start_ms"].to_numpy(), table["end_ms"].to_numpy(), key[1].as_py() * PACK_BLOCK * max(max_ms, 1.0), max_ms)
+        return pa.Table.from_pylist([{"media_id": key[0].as_py(), "block": key[1].as_py()} | made], arrow)
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        media = start = groups = None
+        for batch in batches:
+            out = []
+            for b in batch.to_pylist():
+                if groups is None or b["media_id"] != media:
+                    media, start, groups = b["media_id"], b["fresh_last"], b["fresh_count"]
+                    continue
+                out.append({"media_id": media, "block": b["block"], "group_start": start, "groups": groups})
+                at = next((k for k, e in enumerate(b["ends"]) if e - start > max_ms), None)
+                if at is not None:
+                    start, groups = b["last"][at], groups + b["count"][at]
+            yield pa.RecordBatch.from_pylist(out, state)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    states = f"media_id {media_type}, block long, group_start double, groups long"
+    arrow, state = (to_arrow_schema(StructType.fromDDL(x)) for x in (blocks, states))
+    made = rows.groupBy("media_id", "block").applyInArrow(summed, blocks)
+    return made.repartition("media_id").sortWithinPartitions("media_id", "block").mapInArrow(opened, states)
+
+
 def pack_speech(speech: DataFrame, max_ms: float) -> DataFrame:
-    """speech with group_id (from 0): a segment joins while the group stays within the limit, or if it alone reaches it."""
-    def step(last: dict, x: dict) -> None:
-        if x["end_ms"] - last["group_start"] <= max_ms or x["end_ms"] - x["start_ms"] >= max_ms:
-            x["opens"], x["group_start"] = 0, last["group_start"]
+    """media_id, start_ms, seg_id, end_ms, group_start, group_id (from 0): a segment joins while the group stays within the limit, or if it alone reaches it.
 
-    # a segment that reaches further than the limit from the start of the one before opens a group, whatever came before
-    order = ("start_ms", "seg_id")
-    far = lambda w: (F.col("end_ms") - F.lag("start_ms").over(w) > max_ms) & (F.col("end_ms") - F.col("start_ms") < max_ms)
-    rows = speech.select("media_id", "start_ms", "seg_id", "end_ms", F.lit(1).alias("opens"), F.col("start_ms").alias("group_start"))
-    folded = _fold(_runs(rows, order, far), order, step)
-    return folded.withColumn("group_id", (F.sum("opens").over(Window.partitionBy("media_id").orderBy(*order)) - 1).cast("int")).drop("opens")
+    Media are cut into blocks of time, which are dealt over all tasks.  Where a medium has several, each block first says what it would make of any group that is open
+    before it, in a few numbers; these are followed from block to block, and then every block is packed from the group that is open there.
+    """
+    ship_package(speech.sparkSession)
+    block = F.floor(F.col("start_ms") / (PACK_BLOCK * max(max_ms, 1.0))).alias("block")
+    rows = speech.select("media_id", F.col("start_ms").cast("double"), "seg_id", F.col("end_ms").cast("double"), block)
+    several = rows.groupBy("media_id").agg((F.min("block") < F.max("block")).alias("several")).where("several").select("media_id")
+    opened = _open_groups(rows.join(several, "media_id", "left_semi"), max_ms)
+    names = ["media_id", "start_ms", "seg_id", "end_ms", "group_start", "group_id"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        media = at = start = group = None
+        for batch in batches:
+            where = list(zip(batch["media_id"].to_pylist(), batch["block"].to_pylist()))
+            starts, groups = [], []
+            for i, (b, e, before, opened_so_far) in enumerate(zip(*(batch[c].to_pylist() for c in ("start_ms", "end_ms", "group_start", "groups")))):
+                if group is None or where[i] != (media, at):
+                    (media, at), start, group = where[i], before, -1 if before is None else opened_so_far - 1
+                if start is None or not (e - start <= max_ms or e - b >= max_ms):
+                    start, group = b, group + 1
+                starts.append(start)
+                groups.append(group)
+            columns = [batch[c] for c in names[:4]] + [pa.array(starts, pa.float64()), pa.array(groups, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    dealt = rows.join(opened, ["media_id", "block"], "left").repartition("media_id", "block").sortWithinPartitions("media_id", "block", "start_ms", "seg_id")
+    return dealt.mapInArrow(pack, ", ".join(f"{n} {fields[n]}" for n in names[:4]) + ", group_start double, group_id int")
 
 
 def split_plan(speech: DataFrame, media: DataFrame, minutes: float) -> DataFrame:
@@ -202,15 +303,16 @@ def monotone_clamp(entries: DataFrame, media: DataFrame, min_s: float = 0.001) -
     fit = lambda start, end: F.when(end <= start, start + min_s).otherwise(end)
     rows = rows.withColumn("start_s", F.greatest("start_s", F.lit(0.0))).withColumn("end_s", fit(F.col("start_s"), F.col("end_s")))
 
-    def step(last: dict, x: dict) -> None:
-        x["start_s"] = max(x["start_s"], last["end_s"])
-        if x["end_s"] <= x["start_s"]:
-            x["end_s"] = x["start_s"] + min_s
+    def step(lists: list[list], i: int) -> None:
+        starts, ends = lists
+        starts[i] = max(starts[i], ends[i - 1])
+        if ends[i] <= starts[i]:
+            ends[i] = starts[i] + min_s
 
     # each entry before can have pushed an end by ``min_s`` at most
     order = ("at", "clip_index")
     clear = lambda w: F.col("start_s") >= F.max("end_s").over(w.rowsBetween(Window.unboundedPreceding, -1)) + F.row_number().over(w) * min_s + 1e-6
-    return _fold(_runs(rows, order, clear), order, step).drop("at")
+    return _fold(_runs(rows, order, clear), order, ("start_s", "end_s"), step).drop("at")
 
 
 def prepared_speech(speech: DataFrame, config: SyncConfig = SyncConfig()) -> DataFrame:

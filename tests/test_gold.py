@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,6 +173,42 @@ def test_folds_of_one_long_run(spark):
     assert got == [*expected, (n - 1, *last)]
 
 
+def packed(segments: list[tuple], max_ms: float) -> list[tuple]:
+    """media, seg_id, group, its start: one segment after the other."""
+    out, at = [], {}
+    for media, seg, start, end in sorted(segments, key=lambda s: (s[0], s[2], s[1])):
+        opened, group = at.get(media, (None, -1))
+        if opened is None or not (end - opened <= max_ms or end - start >= max_ms):
+            opened, group = start, group + 1
+        at[media] = opened, group
+        out.append((media, seg, group, opened))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_packing_by_blocks(spark, monkeypatch, block):
+    """Long segments, gaps, ties, fractions and a medium that begins with a segment longer than the limit."""
+    monkeypatch.setattr(sync, "PACK_BLOCK", block)
+    rng, segments = random.Random(block), [(9, 0, 0.0, 5000.0), (9, 1, 10.0, 20.0), (9, 2, 5000.5, 5001.5), (8, 0, 7.0, 7.0)]
+    for media in range(6):
+        at = 0.0
+        for seg in range(rng.choice([1, 40, 400])):
+            at += rng.choice([0, 0, 3.1, 40, 200, 200.7, 900, 7000])
+            segments.append((media, seg, at, at + rng.choice([0.1, 30, 250.3, 800, 999.9, 1000, 1500, 4000])))
+    df = spark.createDataFrame(segments, SPEECH).repartition(5)
+    assert rows(sync.pack_speech(df, 1000.0), "media_id", "seg_id", "group_id", "group_start") == packed(segments, 1000.0)
+
+
+def test_packing_of_one_long_medium(spark):
+    """A medium of 200,000 segments without a gap is packed in many blocks, none of which holds more than a few thousand rows."""
+    made = spark.range(200_000).select(F.lit(1).cast("long").alias("media_id"), F.col("id").alias("seg_id"), (F.col("id") * 300.0).alias("start_ms"), (F.col("id") * 300.0 + 100 + F.col("id") * 7919 % 650).alias("end_ms"))
+    out = sync.pack_speech(made, 10_000.0)
+    segments = [(1, i, i * 300.0, i * 300.0 + 100 + i * 7919 % 650) for i in range(200_000)]
+    assert rows(out, "media_id", "seg_id", "group_id", "group_start") == packed(segments, 10_000.0)
+    assert made.groupBy(F.floor(F.col("start_ms") / (sync.PACK_BLOCK * 10_000.0))).count().agg(F.max("count")).first()[0] < 3000
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sync_plans_shuffle_little(spark):
     from cuemill.plans import catalog
 
