@@ -75,10 +75,19 @@ def export_asr_plain(cues: DataFrame) -> DataFrame:
     return render(_numbered(cues), F.col("number"), tc.seconds_to_tc_truncated(F.col("start_ms") / 1000), tc.seconds_to_tc_truncated(F.col("end_ms") / 1000), strip(F.col("text")), ("pos",))
 
 
-def export_translated(results: DataFrame) -> DataFrame:
-    """results: media_id, entry_index, start, end, original, translated, error. Error rows print the original."""
+def export_translated(results: DataFrame, name: Column | None = None) -> DataFrame:
+    """media_id, content, file_name of results (media_id, entry_index, start, end, original, translated, error). Error rows print the original.
+
+    name: of the file that was translated (a column that is the same for all rows of a medium), without its ending .srt; the medium's id where there is none.
+    """
     text = F.when(F.col("error"), F.col("original")).otherwise(F.col("translated"))
-    return render(results, F.col("entry_index"), F.col("start"), F.col("end"), text, ("entry_index",)).withColumn("file_name", F.concat(F.lit("[번역] "), F.col("media_id").cast("string"), F.lit(".srt")))
+    shown = render(results, F.col("entry_index"), F.col("start"), F.col("end"), text, ("entry_index",))
+    if name is None:
+        base = F.col("media_id").cast("string")
+    else:
+        names = results.groupBy("media_id").agg(F.regexp_replace(F.max(name), r"(?i)\.srt$", "").alias("base"))
+        shown, base = shown.join(names, "media_id"), F.coalesce("base", F.col("media_id").cast("string"))
+    return shown.select("media_id", "content", F.concat(F.lit("[번역] "), base, F.lit(".srt")).alias("file_name"))
 
 
 def fixed_batches(cues: DataFrame, size: int = 10) -> DataFrame:

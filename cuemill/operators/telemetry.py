@@ -151,9 +151,10 @@ def param_fallback(requests: DataFrame, jobs: DataFrame, name: str) -> DataFrame
     return requests.join(stored, "id", "left").select("id", F.coalesce(F.when(F.trim(name) != "", F.col(name)), "stored").alias(name))
 
 
-def retention_old(rows: DataFrame, at: str, as_of: Column, days: int) -> DataFrame:
-    """Candidates for deletion; nothing is deleted."""
-    return rows.where(F.col(at) <= as_of - F.make_dt_interval(F.lit(days)))
+def retention_old(rows: DataFrame, at: str, as_of: Column, days: int, strict: bool = False) -> DataFrame:
+    """Candidates for deletion; nothing is deleted. Those of exactly the age are old as well (jobs), or with ``strict`` not yet (files)."""
+    limit = as_of - F.make_dt_interval(F.lit(days))
+    return rows.where(F.col(at) < limit if strict else F.col(at) <= limit)
 
 
 def config_typed_updates(forms: DataFrame, ints: tuple[str, ...], flags: tuple[str, ...]) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import timecode as tc
 from ..functions.shipping import ship_package
+from ..functions.tables import shared_path
 from ..operators import cues as cu
 from ..sources.fixtures import view, with_views
+from ..sources.named_files import read_named_files, write_named_files
 from .media import _TC, DURATION_MS, _media
 
 QUERIES: dict = {}
@@ -64,7 +66,14 @@ def _translated(s, d):
     return _v1(s, d).select("media_id", "entry_index", tc.ms_to_tc(F.col("start_ms")).alias("start"), tc.ms_to_tc(F.col("end_ms")).alias("end"), F.col("text").alias("original"), F.upper("text").alias("translated"), (F.col("event_id") % 5 == 0).alias("error"))
 
 
-add("export_translated", lambda s, d: cu.export_translated(_translated(s, d)), f"SELECT *, concat('[번역] ', CAST(media_id AS VARCHAR), '.srt') AS file_name FROM ({_P(_TC('start_ms'), _TC('end_ms'), 'CASE WHEN event_id % 5 = 0 THEN text ELSE upper(text) END', 'entry_index')}) x", "v1_cues")
+def _translated_files(s, d):
+    """The files as they are found under their names."""
+    path = shared_path(s, "translated")
+    write_named_files(cu.export_translated(_translated(s, d), F.concat(F.lit("show "), F.col("media_id").cast("string"), F.lit(".SRT"))), path)
+    return read_named_files(s, path)
+
+
+add("export_translated", _translated_files, f"SELECT concat('[번역] show ', CAST(media_id AS VARCHAR), '.srt') AS file_name, content FROM ({_P(_TC('start_ms'), _TC('end_ms'), 'CASE WHEN event_id % 5 = 0 THEN text ELSE upper(text) END', 'entry_index')}) x", "v1_cues")
 _tc_ms = _TC("start_ms")
 add("tc_to_ms", lambda s, d: _v1(s, d).select("event_id", tc.tc_to_ms(tc.ms_to_tc(F.col("start_ms"))).alias("ms"), tc.tc_to_ms(F.col("text")).alias("bad")), "SELECT event_id, start_ms AS ms, CAST(0 AS DOUBLE) AS bad FROM v1_cues")
 add("ms_to_tc", lambda s, d: _v1(s, d).select("event_id", tc.ms_to_tc(F.col("end_ms") * 1000.25).alias("t")), f"SELECT event_id, {_TC('floor(end_ms * 1000.25)')} AS t FROM v1_cues")

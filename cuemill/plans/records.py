@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import timecode as tc
 from ..functions.shipping import ship_package
+from ..functions.tables import shared_path
+from ..operators import files as fi
 from ..operators import history as hi
 from ..operators import responses as re_
 from ..operators import telemetry as te
 from ..operators import transcripts as tr
 from ..operators import urls as ur
 from ..sources.fixtures import view, with_views
+from ..sources.named_files import read_named_files, write_named_files
 from .media import _TC, _media
 
 QUERIES: dict = {}
@@ -142,7 +145,17 @@ add("part_repr", lambda s, d: _messages(s, d).select("conv_id", "turn", F.array_
 _as_json = lambda p: F.to_json(F.try_parse_json(p))
 add("normalize_part", lambda s, d: hi.normalize_messages(_messages(s, d)).select("conv_id", "turn", F.posexplode("parts").alias("n", "p")).select("conv_id", "turn", "n", _as_json(F.col("p")).alias("part"), hi.part_field(F.col("p"), "function_call.args.b[1].y").alias("nested")), f"SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1 AS INT) AS n, p AS part, CASE WHEN k = 1 THEN 'é' END AS nested FROM ({' UNION ALL '.join(f'SELECT conv_id, turn, {k} AS k, {x} AS p FROM v4_history' for k, x in enumerate(_NORMAL))}) x WHERE p IS NOT NULL", "v4_history")
 add("recon_flag", lambda s, d: hi.recon_flag(hi.text_messages(_h(s, d).withColumn("text", F.concat(F.when(F.col("turn") % 2 == 1, "[RECON_ENTRIES] ").otherwise(""), F.col("text"))))).select("conv_id", "turn", "is_recon"), "SELECT conv_id, turn, role = 'model' AND turn % 2 = 1 AND text IS NOT NULL AS is_recon FROM v4_history")
-add("sink_history", lambda s, d: hi.sanitize_history(hi.normalize_messages(_messages(s, d))).groupBy("conv_id").agg(F.count("*").alias("messages"), F.length(F.to_json(F.array_sort(F.collect_list(F.struct("turn", "role"))))).alias("json_length")), f"""WITH p AS (SELECT * FROM v4_history WHERE ({_STRIP('text')} <> '' AND turn % 5 <> 4) OR (role = 'model' AND turn % 7 = 3)) SELECT conv_id, count(*) AS messages, CAST(2 + count(*) - 1 + sum(length(CAST(turn AS VARCHAR)) + length(role) + 19) AS INT) AS json_length FROM p GROUP BY 1""", "v4_history")
+
+
+def _history_files(s, d):
+    """The files as they are found under their names."""
+    path = shared_path(s, "history")
+    write_named_files(fi.history_files(hi.sanitize_history(hi.normalize_messages(_messages(s, d))), F.lit("20240101")), path)
+    return read_named_files(s, path)
+
+
+add("sink_history", _history_files, f"""WITH {_SHOWN_PARTS}, k AS (SELECT conv_id, turn, role, CASE WHEN turn % 5 <> 4 THEN nullif({_STRIP('p0')}, '') END AS t, CASE WHEN p1 IS NOT NULL THEN {_NORMAL[1]} END AS c FROM shown)
+SELECT concat('history_', conv_id, '_20240101.json') AS file_name, concat('[', string_agg(concat('{{"role":"', role, '","parts":[', concat_ws(',', CASE WHEN t IS NOT NULL THEN CAST(to_json({{'text': t}}) AS VARCHAR) END, c), ']}}'), ',' ORDER BY turn), ']') AS content FROM k WHERE t IS NOT NULL OR c IS NOT NULL GROUP BY conv_id""", "v4_history")
 
 # -- states ------------------------------------------------------------------------------------
 _u = lambda s, d: view(s, d, "v6_updates")
@@ -168,7 +181,7 @@ _q = lambda s, d: view(s, d, "v7_requests")
 add("rolling_requests", lambda s, d: te.rolling_requests(_q(s, d), 2, 43200), "SELECT event_id, count(*) OVER w AS used, greatest(2 - count(*) OVER w, 0) AS remaining, min(ts_s) OVER w + 43200 - ts_s AS reset_s FROM v7_requests WINDOW w AS (PARTITION BY client_id ORDER BY ts_s RANGE BETWEEN 43200 PRECEDING AND CURRENT ROW)")
 
 
-def _errors(s, d):
+def _payloads(s, d):
     """Payloads that say a delay at the top, in details, five levels deep, in a list in a list behind other things, in the message's text alone, or nowhere."""
     ship_package(s)
     n = (F.col("event_id") % 60).cast("string")
@@ -179,7 +192,7 @@ def _errors(s, d):
     return _q(s, d).withColumn("payload", F.element_at(F.array(*kinds), (F.col("event_id") % 6 + 1).cast("int")))
 
 
-add("retry_delay", lambda s, d: te.retry_delay(_errors(s, d)), "SELECT event_id, CASE WHEN event_id % 6 < 5 THEN CAST(event_id % 60 AS DOUBLE) END AS delay_s, code BETWEEN 500 AND 599 AS is_server_error FROM v7_requests")
+add("retry_delay", lambda s, d: te.retry_delay(_payloads(s, d)), "SELECT event_id, CASE WHEN event_id % 6 < 5 THEN CAST(event_id % 60 AS DOUBLE) END AS delay_s, code BETWEEN 500 AND 599 AS is_server_error FROM v7_requests")
 
 
 def _names(s, d):
@@ -199,9 +212,21 @@ _c = lambda s, d: view(s, d, "v8_config")
 add("src_job_json", lambda s, d: te.job_json(_j(s, d)), "SELECT id, created_at, CAST(json_extract_string(data, '$.batch_size') AS INT) AS batch_size, json_extract_string(data, '$.target_lang') AS target_lang FROM v8_jobs")
 add("src_config_kv", lambda s, d: te.config_values(_c(s, d)), "SELECT cfg_key, version, cfg_value AS value FROM v8_config")
 add("upsert_latest", lambda s, d: te.upsert_latest(_c(s, d), "cfg_key", "version"), "SELECT cfg_key, arg_max(cfg_value, version) AS cfg_value, max(version) AS version FROM v8_config GROUP BY 1")
-add("list_presets", lambda s, d: te.upsert_latest(_c(s, d), "cfg_key", "version").select(F.col("cfg_key").alias("name"), F.when(F.col("version") % 2 == 0, "auto").otherwise(F.col("version").cast("string")).alias("budget")).orderBy("name"), "SELECT cfg_key AS name, CASE WHEN max(version) % 2 = 0 THEN 'auto' ELSE CAST(max(version) AS VARCHAR) END AS budget FROM v8_config GROUP BY 1")
+_presets = lambda s, d: te.upsert_latest(_c(s, d), "cfg_key", "version").select(F.col("cfg_key").alias("name"), F.when(F.col("version") % 4 == 0, "x").otherwise(F.col("cfg_value")).alias("batch_size"), (F.col("version") % 5 - 2).cast("string").alias("thinking_budget"))
+add("list_presets", lambda s, d: te.list_presets(_presets(s, d)), "SELECT cfg_key AS name, CASE WHEN v % 4 = 0 THEN NULL ELSE CAST(value AS INT) END AS batch_size, CASE WHEN v % 5 >= 1 THEN CAST(v % 5 - 2 AS INT) END AS thinking_budget, CASE WHEN v % 5 = 1 THEN 'auto' WHEN v % 5 > 1 THEN CAST(v % 5 - 2 AS VARCHAR) END AS shown FROM (SELECT cfg_key, arg_max(cfg_value, version) AS value, max(version) AS v FROM v8_config GROUP BY 1) x", "v8_config")
 add("retention_old_jobs", lambda s, d: te.retention_old(_j(s, d), "created_at", F.to_timestamp(F.lit("1998-01-31")), 30).select("id"), "SELECT id FROM v8_jobs WHERE created_at <= TIMESTAMP '1998-01-31' - INTERVAL 30 DAY")
-add("retention_old_files", lambda s, d: te.retention_old(_j(s, d).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("path"), F.col("created_at").alias("modified")), "modified", F.to_timestamp(F.lit("1998-01-31")), 3).select("path"), "SELECT concat('f', CAST(id AS VARCHAR)) AS path FROM v8_jobs WHERE created_at <= TIMESTAMP '1998-01-31' - INTERVAL 3 DAY")
+
+
+def _old_files(s, d):
+    """Histories written as files; as of an hour from now, none is three days old, and as of four days from now, all are."""
+    path = shared_path(s, "old")
+    write_named_files(fi.history_files(hi.text_messages(_h(s, d)), F.lit("20240101")), path)
+    old = lambda hours: fi.old_files(s, [path], F.current_timestamp() + F.make_dt_interval(hours=F.lit(hours)))
+    return old(96).join(old(1).select("path"), "path", "left_anti").select(F.regexp_extract("path", "([^/]*)$", 1).alias("file_name"), "length")
+
+
+_PLAIN_HISTORY = "concat('[', string_agg(concat('{\"role\":\"', role, '\",\"parts\":[', to_json({'text': coalesce(text, '')}), ']}'), ',' ORDER BY turn), ']')"
+add("retention_old_files", _old_files, f"SELECT concat('history_', conv_id, '_20240101.json') AS file_name, CAST(strlen({_PLAIN_HISTORY}) AS BIGINT) AS length FROM v4_history GROUP BY conv_id", "v4_history")
 add("job_param_fallback", lambda s, d: te.param_fallback(_j(s, d).select("id", F.when(F.col("id") % 3 == 0, F.lit("X")).otherwise("").alias("target_lang")), te.job_json(_j(s, d)), "target_lang"), "SELECT id, CASE WHEN id % 3 = 0 THEN 'X' ELSE json_extract_string(data, '$.target_lang') END AS target_lang FROM v8_jobs")
 add("job_intake", lambda s, d: te.job_intake(_j(s, d)), """SELECT id, concat('{"target_lang":"', json_extract_string(data, '$.target_lang'), '","batch_size":', json_extract_string(data, '$.batch_size'), ',"video_path":"/media/', CAST(id AS VARCHAR), '"}') AS data FROM v8_jobs""")
 add("job_public_view", lambda s, d: te.job_public_view(te.job_intake(_j(s, d))), "SELECT id, json_extract_string(data, '$.target_lang') AS target_lang, CAST(json_extract_string(data, '$.batch_size') AS INT) AS batch_size, true AS has_video_context FROM v8_jobs")
@@ -252,9 +277,13 @@ add("transcript_pipeline", _transcript, f"WITH RECURSIVE {_ABS}, {_DEFAULT.forma
 
 
 def _segment_metadata(s, d):
-    seg = view(s, d, "v2_speech")
-    nested = seg.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms"))).alias("speech_segments"))
-    return nested.select("media_id", F.size("speech_segments").alias("n"), F.aggregate("speech_segments", F.lit(0.0), lambda a, x: a + x["end_ms"] - x["start_ms"]).alias("total_ms"))
+    """Segments of half a minute with their speech, stored, read back and asked for what is spoken for half a second and more in the second minute."""
+    part = lambda name, table: view(s, d, table).select("media_id", F.floor(F.col("start_ms") / 30000).cast("int").alias("segment_idx"), "start_ms", "end_ms")
+    segments = part("cues", "v1_cues").groupBy("media_id", "segment_idx").agg(F.count("*").alias("cues"))
+    path = shared_path(s, "segments")
+    fi.write_segments(fi.nested_segments(segments, part("speech", "v2_speech")), path)
+    found = fi.spoken_between(fi.read_segments(s, path), 60000, 120000, 500)
+    return found.select("media_id", "segment_idx", "cues", F.size("speech").alias("n"), F.aggregate("speech", F.lit(0.0), lambda a, x: a + x["end_ms"] - x["start_ms"]).alias("total_ms"))
 
 
-add("segment_metadata_table", _segment_metadata, "SELECT media_id, CAST(count(*) AS INT) AS n, sum(end_ms - start_ms) AS total_ms FROM v2_speech GROUP BY 1")
+add("segment_metadata_table", _segment_metadata, "WITH c AS (SELECT media_id, CAST(floor(start_ms / 30000) AS INT) AS segment_idx, count(*) AS cues FROM v1_cues GROUP BY 1, 2), p AS (SELECT media_id, CAST(floor(start_ms / 30000) AS INT) AS segment_idx, CAST(count(*) AS INT) AS n, sum(end_ms - start_ms) AS total_ms, bool_or(start_ms < 120000 AND end_ms > 60000 AND end_ms - start_ms >= 500) AS asked FROM v2_speech GROUP BY 1, 2) SELECT media_id, segment_idx, cues, n, total_ms FROM c JOIN p USING (media_id, segment_idx) WHERE asked", "v1_cues", "v2_speech")

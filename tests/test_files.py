@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from cuemill.operators import cues, files, history, telemetry
+from cuemill.sources import named_files
 
 RESULTS = "file_id long, entry_index int, original string, translated string, error boolean"
 EVENTS = [(1, 1, "하나", "one", False), (1, 2, "둘", None, True), (2, 1, 'a "quoted"\nline', "x", False)]
@@ -24,10 +26,59 @@ def test_cue_texts(spark, tmp_path):
 
 
 def test_translated_files_are_named(spark, tmp_path):
-    results = spark.createDataFrame([(7, 1, "00:00:01,000", "00:00:02,000", "a", "b", False), (7, 2, "00:00:03,000", "00:00:04,000", "c", "d", True)], "media_id long, entry_index int, start string, end string, original string, translated string, error boolean")
-    files.write_texts(cues.export_translated(results), str(tmp_path / "out"), "file_name")
-    got = files.read_texts(spark, str(tmp_path / "out"), "file_name").collect()
-    assert [r["file_name"] for r in got] == ["[번역] 7.srt"] and "\nb\n" in got[0]["content"] and "\nc\n" in got[0]["content"]
+    results = spark.createDataFrame([(7, "My show.SRT", 1, "00:00:01,000", "00:00:02,000", "a", "b", False), (7, "My show.SRT", 2, "00:00:03,000", "00:00:04,000", "c", "d", True), (8, "a+b %20.srt", 1, "00:00:01,000", "00:00:02,000", "한", "é", False)], "media_id long, name string, entry_index int, start string, end string, original string, translated string, error boolean")
+    named_files.write_named_files(cues.export_translated(results, F.col("name")), str(tmp_path / "out"))
+    assert sorted(os.listdir(tmp_path / "out")) == ["[번역] My show.srt", "[번역] a+b %20.srt"]
+    assert (tmp_path / "out" / "[번역] My show.srt").read_text() == "1\n00:00:01,000 --> 00:00:02,000\nb\n\n2\n00:00:03,000 --> 00:00:04,000\nc\n"
+    got = {r["file_name"]: r["content"] for r in named_files.read_named_files(spark, str(tmp_path / "out")).collect()}
+    assert got["[번역] a+b %20.srt"] == "1\n00:00:01,000 --> 00:00:02,000\né\n" and len(got) == 2
+
+
+def test_named_files_are_whole(spark, tmp_path):
+    """A job that fails half way changes nothing; one whose tasks fail and are tried again gives each file once; names that aren't of one file are refused."""
+    out, schema = str(tmp_path / "out"), "file_name string, content string"
+    named_files.write_named_files(spark.createDataFrame([(f"{i}.txt", f"old {i}") for i in range(20)], schema), out)
+    texts = lambda: {n: (tmp_path / "out" / n).read_text() for n in os.listdir(out)}
+    old = {f"{i}.txt": f"old {i}" for i in range(20)}
+    assert texts() == old
+    for bad in ("", "a/b", "..", None, "3.txt"):
+        rows = [(f"{i}.txt", "new") for i in range(20)] + [(bad, "x")]
+        with pytest.raises(Exception, match="not the name of one file"):
+            named_files.write_named_files(spark.createDataFrame(rows, schema).repartition(4), out)
+        assert texts() == old
+
+    writer = named_files._NamedFilesWriter(out)  # two attempts of one task, the first of which never ends, and a task that another writer has begun
+    class Context:
+        def __init__(self, n):
+            self.taskAttemptId = lambda: n
+
+    def attempt(n, rows):
+        named_files.TaskContext, kept = type("T", (), {"get": staticmethod(lambda: Context(n))}), named_files.TaskContext
+        try:
+            return writer.write(iter(rows))
+        finally:
+            named_files.TaskContext = kept
+
+    def broken():
+        yield {"file_name": "1.txt", "content": "half"}
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        attempt(1, broken())
+    assert texts_of(out) == old
+    done = [attempt(2, [{"file_name": "1.txt", "content": "new"}, {"file_name": "새 파일.txt", "content": None}])]
+    assert texts_of(out) == old
+    writer.commit([*done, None])
+    assert texts() == old | {"1.txt": "new", "새 파일.txt": ""}
+    other = named_files._NamedFilesWriter(out)
+    writer = other
+    attempt(3, [{"file_name": "2.txt", "content": "never"}])
+    other.abort([])
+    assert texts() == old | {"1.txt": "new", "새 파일.txt": ""}
+
+
+def texts_of(out) -> dict[str, str]:
+    return {n: open(f"{out}/{n}").read() for n in os.listdir(out) if not n.startswith("_staging-")}
 
 
 def test_event_lines(spark, tmp_path):
@@ -46,18 +97,35 @@ def test_event_lines(spark, tmp_path):
 def test_history_files(spark, tmp_path):
     said = spark.createDataFrame([(5, 2, "model", "yes"), (5, 1, "user", "is it?"), (6, 1, "user", " ")], "conv_id long, turn long, role string, text string")
     out = files.history_files(history.sanitize_history(history.text_messages(said)), F.lit("20240101"))
-    files.write_texts(out, str(tmp_path / "out"), "file_name")
-    got = files.read_texts(spark, str(tmp_path / "out"), "file_name").collect()
+    named_files.write_named_files(out, str(tmp_path / "out"))
+    got = named_files.read_named_files(spark, str(tmp_path / "out")).collect()
     assert [(r["file_name"], json.loads(r["content"])) for r in got] == [("history_5_20240101.json", [{"role": r, "parts": [{"text": t}]} for r, t in (("user", "is it?"), ("model", "yes"))])]
 
 
 def test_segment_table(spark, tmp_path):
     segments = spark.createDataFrame([(1, 0, "a.mp4"), (1, 1, "b.mp4")], "media_id long, segment_idx int, path string")
     speech = spark.createDataFrame([(1, 0, 5.0, 9.0), (1, 0, 1.0, 2.0)], "media_id long, segment_idx int, start_ms double, end_ms double")
-    files.nested_segments(segments, speech).write.parquet(str(tmp_path / "segments"))
-    stored = spark.read.parquet(str(tmp_path / "segments"))
-    assert {r["segment_idx"]: [tuple(s) for s in r["speech"]] for r in stored.collect()} == {0: [(1.0, 2.0), (5.0, 9.0)], 1: []}
+    files.write_segments(files.nested_segments(segments, speech), str(tmp_path / "segments"))
+    stored = files.read_segments(spark, str(tmp_path / "segments"))
+    assert {r["segment_idx"]: ([tuple(s) for s in r["speech"]], r["speech_from_ms"], r["speech_to_ms"]) for r in stored.collect()} == {0: ([(1.0, 2.0), (5.0, 9.0)], 1.0, 9.0), 1: ([], None, None)}
     assert sorted(map(tuple, files.speech_of(stored).collect())) == sorted(map(tuple, speech.collect()))
+    found = lambda *how: [r["segment_idx"] for r in files.spoken_between(stored, *how).collect()]
+    assert (found(0, 100), found(2, 5), found(2, 5.1), found(0, 3, 2), found(0, 6, 2), found(9, 20)) == ([0], [], [0], [], [0], [])
+
+
+def test_segment_table_reads_what_it_needs(spark, tmp_path):
+    """Of the nested speech only the field that is asked for is read, and the bounds of speech are compared by the scan."""
+    segments = spark.range(1000).select(F.lit(1).cast("long").alias("media_id"), F.col("id").cast("int").alias("segment_idx"), F.lit("a.mp4").alias("path"))
+    speech = spark.range(1000).select(F.lit(1).cast("long").alias("media_id"), F.col("id").cast("int").alias("segment_idx"), (F.col("id") * 1000.0).alias("start_ms"), (F.col("id") * 1000.0 + 500).alias("end_ms"))
+    files.write_segments(files.nested_segments(segments, speech), str(tmp_path / "segments"))
+    stored = files.read_segments(spark, str(tmp_path / "segments"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    starts = plan(stored.select("media_id", F.explode("speech.start_ms")))
+    assert "ReadSchema: struct<media_id:bigint,speech:array<struct<start_ms:double>>>" in starts and "end_ms" not in starts.split("ReadSchema")[1]
+    between = files.spoken_between(stored, 5000, 7000).select("segment_idx")
+    assert "LessThan(speech_from_ms,7000.0)" in plan(between) and "GreaterThan(speech_to_ms,5000.0)" in plan(between) and "path" not in plan(between).split("ReadSchema")[1]
+    assert sorted(r[0] for r in between.collect()) == [5, 6]
 
 
 def test_old_files(spark, tmp_path):
@@ -66,7 +134,7 @@ def test_old_files(spark, tmp_path):
         (tmp_path / name).write_text("x")
         os.utime(tmp_path / name, (at, at))
     got = files.old_files(spark, [str(tmp_path)], F.timestamp_seconds(F.lit(2_000_000)))
-    assert sorted(os.path.basename(r["path"]) for r in got.collect()) == ["edge", "old"]
+    assert sorted(os.path.basename(r["path"]) for r in got.collect()) == ["old"]  # one of exactly three days stays
     assert "content" not in got._jdf.queryExecution().executedPlan().toString()
 
 
