@@ -10,12 +10,13 @@ from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from ..functions.replies import entry_of, reply_entries, scan_objects
-from ..operators.responses import parse_event_lines
+from ..operators.responses import FAILED_TEXT, parse_event_lines
 
 
 #: The store that keyed state needs: Spark's own, on local disks of executors and checkpointed with the stream.
@@ -77,35 +78,145 @@ def stream_dedupe_results(results: DataFrame, watermark: str = "1 hour") -> Data
     return results.withWatermark("at", watermark).dropDuplicatesWithinWatermark(["file_id", "entry_index"]) if results.isStreaming else results.groupBy("file_id", "entry_index").agg(F.min_by(F.struct("text", "at"), "at").alias("r")).select("file_id", "entry_index", "r.*")
 
 
-def store_last_results(results: DataFrame, path: str, checkpoint: str):
-    """The started query that stores the last result of each file and index. results: file_id, entry_index, text, at.
+#: Buckets of a table of last results, unless a job says otherwise.
+BUCKETS = 64
 
-    A batch is a folder of its own, written anew if the batch is tried again; ``last_results`` takes the last of all.
-    """
 
-    def store(batch: DataFrame, number: int) -> None:
-        _last(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+class LastResults:
+    """A table of the last result of each key, in buckets by its hash; every bucket is one file.
+
+    ``merge`` writes the buckets that a batch touches anew, as a version of the number of the batch, and
+    takes away what they replace.  A version counts once it is whole; a batch that is tried again changes nothing.
+    """
 
-    return results.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).start()
+    def __init__(self, path: str, keys: tuple[str, ...] = ("file_id", "entry_index"), buckets: int = BUCKETS):
+        self.path, self.keys, self.buckets = path, keys, buckets
+
+    def _list(self, spark: SparkSession, folder: str) -> list[str]:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return [f.getPath().getName() for f in store.listStatus(place)] if store.exists(place) else []
+
+    def _versions(self, spark: SparkSession) -> list[int]:
+        named = (n.removeprefix("version=") for n in self._list(spark, self.path))
+        return sorted(int(n) for n in named if n.isdigit() and "_SUCCESS" in self._list(spark, f"{self.path}/version={n}"))
+
+    def _current(self, spark: SparkSession) -> dict[int, str]:
+        """The folder of each bucket: that of its last version."""
+        found = {}
+        for version in self._versions(spark):
+            for name in self._list(spark, f"{self.path}/version={version}"):
+                if name.startswith("bucket="):
+                    found[int(name.removeprefix("bucket="))] = f"{self.path}/version={version}/{name}"
+        return found
+
+    def read(self, spark: SparkSession, schema: StructType) -> DataFrame:
+        folders = list(self._current(spark).values())
+        return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+    def merge(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if number in self._versions(spark):
+            return
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("bucket")
+        new = _last(batch, self.keys)
+        touched = sorted(r[0] for r in new.select(bucket).distinct().collect())
+        current = self._current(spark)
+        old = [current[b] for b in touched if b in current]
+        rows = _last(new.unionByName(spark.read.schema(new.schema).parquet(*old)), self.keys) if old else new
+        # numbered by their place among those touched: a task for each bucket, and so a file
+        rows.withColumn("bucket", bucket).repartition(max(1, len(touched)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/version={number}")
+        for folder in old:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def store_last_results(results: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS):
+    """The started query that keeps a table of the last result of each file and index (``LastResults``). results: file_id, entry_index, text, at."""
+    table = LastResults(path, buckets=buckets)
+    return results.writeStream.foreachBatch(table.merge).option("checkpointLocation", checkpoint).start()
 
 
 def last_results(spark: SparkSession, path: str) -> DataFrame:
-    return _last(spark.read.parquet(path))
+    return LastResults(path).read(spark, StructType.fromDDL("file_id long, entry_index int, text string, at timestamp"))
+
+
+def _last(results: DataFrame, keys: tuple[str, ...] = ("file_id", "entry_index")) -> DataFrame:
+    return results.groupBy(*keys).agg(F.max_by(F.struct("text", "at"), F.struct("at", "text")).alias("r")).select(*keys, "r.*")
+
+
+RESULT = "file_id long, batch_no int, entry_index int, translated string, attempt int, error boolean"
+
 
+class _Attempts(StatefulProcessor):
+    """Of each batch of entries, those that have no reply yet, with their originals; a batch that is done with has no state."""
+
+    def __init__(self, most: int, patience_ms: int, failed_text: str):
+        self.most, self.patience_ms, self.failed_text = most, patience_ms, failed_text
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.missing = handle.getMapState("missing", "entry_index int", "original string")
+        self.begun = handle.getValueState("begun", "yes boolean")
+
+    def _frame(self, key, rows: list[tuple]) -> pd.DataFrame:
+        found = pd.DataFrame([(*key, *r) for r in rows], columns=["file_id", "batch_no", "entry_index", "translated", "attempt", "error"])
+        return found.astype({"attempt": "Int32"})
+
+    def _end(self) -> None:
+        self.missing.clear()
+        self.begun.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+
+    def _failures(self) -> list[tuple]:
+        return [(k[0], self.failed_text, None, True) for k, _ in sorted(self.missing.iterator())]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        came = pd.concat(list(rows)).sort_values(["attempt", "seq"], na_position="last")
+        if not self.begun.exists():
+            self.begun.update((True,))
+            for r in came["requested"].iloc[0]:
+                self.missing.updateValue((int(r["entry_index"]),), (r["original"],))
+        open_ = {k[0]: v[0] for k, v in self.missing.iterator()}
+        out = []
+        for index, text, attempt in zip(came["entry_index"], came["text"], came["attempt"]):
+            if not pd.isna(index):
+                if (index := int(index)) in open_:
+                    original = open_.pop(index)
+                    self.missing.removeKey((index,))
+                    out.append((index, original if pd.isna(text) else text, int(attempt), False))
+            elif attempt >= self.most:
+                out += self._failures()
+                open_ = {}
+            if not open_:
+                break
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if not open_:
+            self._end()
+        elif self.patience_ms:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
+        yield self._frame(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = self._failures()
+        self._end()
+        yield self._frame(key, out)
 
-def _last(results: DataFrame) -> DataFrame:
-    return results.groupBy("file_id", "entry_index").agg(F.max_by(F.struct("text", "at"), F.struct("at", "text")).alias("r")).select("file_id", "entry_index", "r.*")
+    def close(self) -> None:
+        pass
 
 
-def stream_attempts(responses: DataFrame, most: int = 5) -> DataFrame:
-    """file_id, batch_no, confirmed, attempts, status of batches whose entries are asked for until all came, at most ``most`` times (update mode).
+def stream_attempts(responses: DataFrame, most: int = 5, patience: timedelta = timedelta(hours=1), failed_text: str = FAILED_TEXT) -> DataFrame:
+    """file_id, batch_no, entry_index, translated, attempt, error: the first reply to each entry of a batch, as it comes, and an error row for each that gets none.
 
-    responses: file_id, batch_no, requested (array of indexes), attempt, entry_index (null if an attempt gave nothing).
+    responses: file_id, batch_no, requested (array of entry_index, original), attempt, seq, entry_index, text.  A row whose entry_index is null says that the attempt has
+    ended; when attempt ``most`` has, or when nothing came for ``patience`` (0: wait for ever), the entries that are missing have failed.  Replies without a text stand for the
+    original; replies to what wasn't asked, and more than one to an entry, are left out.  A batch of which all entries are answered or failed
+    leaves no state, and rows that come for it later begin it anew.
     """
-    own = F.when(F.array_contains("requested", F.col("entry_index")), F.col("entry_index"))
-    rows = responses.groupBy("file_id", "batch_no").agg(F.max("requested").alias("requested"), F.array_sort(F.collect_set(own)).alias("confirmed"), F.max("attempt").alias("attempts"))
-    left = F.size(F.array_except("requested", "confirmed"))
-    return rows.select("file_id", "batch_no", "confirmed", "attempts", F.when(left == 0, "completed").when(F.col("attempts") >= most, "failed").otherwise("running").alias("status"))
+    return _keyed(responses, ["file_id", "batch_no"], _Attempts(most, int(patience.total_seconds() * 1000), failed_text), RESULT)
 
 
 def stream_progress(events: DataFrame) -> DataFrame:
@@ -120,16 +231,54 @@ def stream_batch_state(updates: DataFrame, watermark: str = "1 hour") -> DataFra
     return source.groupBy("batch_id").agg(F.max_by(F.struct("status", "message"), F.struct("at", "status", "message")).alias("s"), F.count("*").alias("updates")).select("batch_id", "s.status", "s.message", "updates")
 
 
-def stream_last_updates(updates: DataFrame, keep: int = 32) -> DataFrame:
-    """Queue of the last ``keep`` updates of each batch, oldest dropped: batch_id, queue (of messages). Streams only."""
+#: Fixed: states in which a batch has ended; updates that a subscriber's queue holds.
+ENDED, QUEUE = ("completed", "failed"), 32
+
+
+class _Updates(StatefulProcessor):
+    """The last updates of each batch that goes on."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.queue = handle.getListState("queue", "message string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        came = pd.concat(list(rows)).sort_values(["at", "seq"])
+        queue, out, status = [m[0] for m in self.queue.get()] if self.queue.exists() else [], [], None
+        for status, message in zip(came["status"], came["message"]):
+            queue = [*queue, message][-self.keep :]
+            if status in ENDED:
+                out.append((key[0], status, queue))
+                queue = []
+        if queue:
+            self.queue.put([(m,) for m in queue])
+            out.append((key[0], status, queue))
+        elif self.queue.exists():
+            self.queue.clear()
+        yield pd.DataFrame(out, columns=["batch_id", "status", "queue"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_last_updates(updates: DataFrame, keep: int = QUEUE) -> DataFrame:
+    """batch_id, status, queue: whenever updates of a batch come, its newest status and its last ``keep`` messages, the oldest dropped. updates: batch_id, status, message, at, seq.
+
+    An update that a batch is completed or has failed is its last: its queue is given out as it is then, and forgotten; updates after that begin a new one.
+    """
+    return _keyed(updates, ["batch_id"], _Updates(keep), "batch_id long, status string, queue array<string>")
 
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        queue = list(state.get[0]) if state.exists else []
-        queue = (queue + pd.concat(list(frames)).sort_values("at")["message"].tolist())[-keep:]
-        state.update((queue,))
-        yield pd.DataFrame({"batch_id": [key[0]], "queue": [queue]})
 
-    return updates.groupBy("batch_id").applyInPandasWithState(step, "batch_id long, queue array<string>", "queue array<string>", "update", "NoTimeout")
+def last_updates(updates: DataFrame, keep: int = QUEUE) -> DataFrame:
+    """The batch twin: batch_id, status, queue at each end."""
+    w = Window.partitionBy("batch_id").orderBy("at", "seq")
+    ended = F.col("status").isin(*ENDED)
+    run = F.coalesce(F.sum(ended.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = updates.withColumn("run", run).withColumn("back", F.row_number().over(Window.partitionBy("batch_id", "run").orderBy(F.desc("at"), F.desc("seq")))).where(F.col("back") <= keep)
+    last = rows.groupBy("batch_id", "run").agg(F.max_by("status", F.struct("at", "seq")).alias("status"), F.array_sort(F.collect_list(F.struct("at", "seq", "message"))).alias("q"))
+    return last.where(ended).select("batch_id", "status", F.transform("q", lambda x: x["message"]).alias("queue"))
 
 
 def stream_request_rate(requests: DataFrame, watermark: str = "1 hour", span: str = "60 seconds", slide: str = "10 seconds") -> DataFrame:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import random
+import time
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from cuemill.functions.replies import entry_of, scan_objects
+from cuemill.operators import responses
 from cuemill.streaming import jobs
 
 
@@ -105,15 +109,41 @@ def test_stream_dedupe_results(spark, tmp_path):
     assert sorted(r[:2] for r in got) == sorted(tuple(r)[:2] for r in jobs.stream_dedupe_results(df).collect())
 
 
+def test_last_results(spark, tmp_path):
+    """Each batch replaces the files of the buckets that it touches; old results, and batches tried again, change nothing."""
+    table = jobs.LastResults(str(tmp_path / "out"), buckets=4)
+    files_of = lambda: sorted(str(f) for f in (tmp_path / "out").rglob("*.parquet"))
+    make = lambda rows: spark.createDataFrame(rows, "file_id long, entry_index int, text string, s long").select("file_id", "entry_index", "text", F.timestamp_seconds("s").alias("at"))
+    expected: dict = {}
+    rng = random.Random(7)
+    for number in range(6):
+        rows = [(rng.randint(0, 3), rng.randint(0, 9), f"b{number} {i}", rng.randint(0, 100)) for i in range(rng.choice([1, 5, 60]))]
+        for f, e, text, at in rows:
+            expected[f, e] = max(expected.get((f, e), (-1, "")), (at, text))
+        table.merge(make(rows), number)
+        before = files_of()
+        table.merge(make([(0, 0, "again", 10_000)]), number)
+        assert files_of() == before and len(before) <= 4  # a file for each bucket
+        got = {(r["file_id"], r["entry_index"]): (int(r["at"].timestamp()), r["text"]) for r in jobs.last_results(spark, str(tmp_path / "out")).collect()}
+        assert got == expected
+    broken = tmp_path / "out" / "version=6" / "bucket=0"  # a version that was never whole
+    broken.mkdir(parents=True)
+    (broken / "part-0.parquet").write_bytes(b"half")
+    assert jobs.last_results(spark, str(tmp_path / "out")).count() == len(expected)
+    table.merge(make([(0, 0, "newest", 10_000)]), 6)
+    assert jobs.last_results(spark, str(tmp_path / "out")).where("text = 'newest'").count() == 1 and len(files_of()) <= 4
+
+
 def test_store_last_results(spark, tmp_path):
     df = results(spark)
     df.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = jobs.store_last_results(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    query = jobs.store_last_results(stream, str(tmp_path / "out"), str(tmp_path / "cp"), 4)
     query.processAllAvailable()
     query.stop()
     got = jobs.last_results(spark, str(tmp_path / "out")).select("file_id", "entry_index", "text").collect()
     assert sorted(map(tuple, got)) == [(i % 2, i, "t2") for i in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)]
+    assert len(list((tmp_path / "out").rglob("*.parquet"))) <= 4
 
 
 @pytest.mark.parametrize("name", ["batch_state", "request_rate", "gap_chunks", "partial_asr"])
@@ -136,14 +166,67 @@ def test_request_rate_slides(spark):
     assert (got[10], got[60], got[70], got[90], got[120]) == (1, 3, 3, 3, 1)
 
 
+def in_batches(spark, tmp_path, df, parts):
+    """A stream of the rows of each condition, one after the other."""
+    for where in parts:
+        df.where(where).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
 def test_stream_attempts(spark, tmp_path):
-    rows = [(1, 0, [1, 2], 1, 1), (1, 0, [1, 2], 2, 2), (1, 0, [1, 2], 2, 9), (1, 1, [3, 4], 1, 3), (2, 0, [5], 5, None)]
-    df = spark.createDataFrame(rows, "file_id long, batch_no int, requested array<int>, attempt int, entry_index int")
-    expected = [(1, 0, [1, 2], 2, "completed"), (1, 1, [3], 1, "running"), (2, 0, [], 5, "failed")]
-    assert drained(spark, tmp_path, df, jobs.stream_attempts, "complete") == expected == sorted(tuple(r) for r in jobs.stream_attempts(df).collect())
+    """Batches that are answered at once, in the last attempt, in part, not at all, twice, or without a text; compared with all requests and their first replies."""
+    rng, requests, rows = random.Random(3), [], []
+    for file in range(12):
+        asked = [(i, f"o{i}") for i in range(rng.randint(1, 6))]
+        requests += [(file, i, o) for i, o in asked]
+        missing, seq = {i for i, _ in asked}, 0
+        for attempt in range(1, 6):
+            for i in sorted(missing):
+                if rng.random() < (0.9 if file % 3 else 0.2):
+                    for _ in range(rng.choice([1, 1, 2])):
+                        seq += 1
+                        rows.append((file, 0, asked, attempt, seq, i, rng.choice([f"t{seq}", None])))
+                    missing.discard(i)
+            rows.append((file, 0, asked, attempt, seq + 1, 77, "not asked for"))
+            rows.append((file, 0, asked, attempt, seq + 2, None, None))
+            seq += 2
+            if not missing:
+                rows = rows[:-2]  # nothing comes for a batch that is done with
+                break
+    df = spark.createDataFrame(rows, "file_id long, batch_no int, requested array<struct<entry_index:int,original:string>>, attempt int, seq int, entry_index int, text string")
+    stream = in_batches(spark, tmp_path, df, ["attempt < 3", "attempt IN (3, 4)", "attempt = 5"])
+    got, left = until_done(spark, jobs.stream_attempts(stream), tmp_path)
+    asked = spark.createDataFrame(requests, "file_id long, entry_index int, original string")
+    expected = responses.failed_fill(asked, df.where("entry_index IS NOT NULL")).select("file_id", "entry_index", "translated", "error").collect()
+    assert sorted((f, i, t, e) for f, _, i, t, _, e in got) == sorted(map(tuple, expected)) and left == 0
+    assert {e for *_, e in got} == {True, False} and all((a is None) == e for *_, a, e in got)
+
+
+def test_attempts_that_stop(spark, tmp_path):
+    """A batch that nothing comes for any more fails by its timer."""
+    schema = "file_id long, batch_no int, requested array<struct<entry_index:int,original:string>>, attempt int, seq int, entry_index int, text string"
+    asked = [(1, "a"), (2, "b")]
+    df = spark.createDataFrame([(1, 0, asked, 1, 1, 1, "x"), (2, 0, [(5, "c")], 1, 1, 5, "y")], schema)
+    stream = in_batches(spark, tmp_path, df, ["true"])
+    query = jobs.stream_attempts(stream, patience=timedelta(milliseconds=1)).writeStream.format("memory").queryName("stopped").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            if spark.table("stopped").count() == 3:
+                break
+    finally:
+        query.stop()
+    assert sorted(map(tuple, spark.table("stopped").collect()), key=str) == [(1, 0, 1, "x", 1, False), (1, 0, 2, responses.FAILED_TEXT, None, True), (2, 0, 5, "y", 1, False)]
 
 
 def test_stream_last_updates(spark, tmp_path):
-    df = spark.createDataFrame([(1, i, str(i)) for i in range(10)], "batch_id long, at int, message string").coalesce(1)
-    got = drained(spark, tmp_path, df, lambda s: jobs.stream_last_updates(s, 3), "update")
-    assert all(len(q) <= 3 for _, q in got)
+    """The oldest are dropped; a batch ends with its queue as it was then, and leaves no state."""
+    rows = [(1, "completed" if i in (9, 40) else "running", f"m{i}", i, i) for i in range(41)] + [(2, "running", f"n{i}", i, 1) for i in range(3)] + [(3, "failed", "only", 20, 1)]
+    df = spark.createDataFrame(rows, "batch_id long, status string, message string, at long, seq int")
+    stream = in_batches(spark, tmp_path, df, ["at < 5", "at >= 5 AND at < 30", "at >= 30"])
+    got, left = until_done(spark, jobs.stream_last_updates(stream, 4), tmp_path)
+    ended = sorted((b, s, q) for b, s, q in got if s != "running")
+    assert ended == [(1, "completed", ["m37", "m38", "m39", "m40"]), (1, "completed", ["m6", "m7", "m8", "m9"]), (3, "failed", ["only"])]
+    assert ended == sorted(map(tuple, jobs.last_updates(df, 4).collect()))
+    assert [(b, q) for b, s, q in got if s == "running"] == [(1, ["m1", "m2", "m3", "m4"]), (1, ["m26", "m27", "m28", "m29"]), (2, ["n0", "n1", "n2"])]
+    assert left == 1  # the queue of the batch that goes on
