@@ -96,19 +96,35 @@ def rebuild_full_turn(requests: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def _clipped(text: str, most: int):
-    flat = strip(F.regexp_replace(text, "\n", " "))
+    flat = strip(F.regexp_replace(F.coalesce(text, F.lit("")), "\n", " "))
     return F.when(F.length(flat) > most, F.concat(F.rtrim(F.left(flat, F.lit(most - 3))), F.lit("..."))).otherwise(flat)
 
 
-def recon_entries(pairs: DataFrame, keep: int = 100) -> DataFrame:
-    """file_id and a digest of its last pairs: a header with counts (fixed text), then the most recent ones, clipped."""
+#: Fixed texts of a reconstruction: its mark, and what stands for a file without pairs.
+RECON_MARK, NO_PAIRS = "[RECON_ENTRIES]", "번역된 자막이 아직 없습니다."
+#: Fixed: pairs that a summary is made from.
+SUMMARY_PAIRS = 400
+
+
+def recon_entries(pairs: DataFrame, keep: int = 100, files: DataFrame | None = None, most: int = SUMMARY_PAIRS) -> DataFrame:
+    """file_id, digest, summary_input of files. pairs: file_id, entry_index, source, target.
+
+    digest: a header with counts, then the last ``keep`` pairs, clipped; a fixed text for files without pairs.  summary_input: the last ``most`` pairs whole, as the messages
+    of which a summary is made; empty without pairs.  files: those to give rows for (file_id); None: those that have pairs.
+    Spark keeps the last pairs of each file before they are shuffled, so that no more than those of a task meet; the numbers of pairs are summed up beside them.
+    """
     back = Window.partitionBy("file_id").orderBy(F.desc("entry_index"))
-    total = pairs.groupBy("file_id").agg(F.count("*").alias("total"))
     line = F.concat(F.lit("#$"), F.col("entry_index").cast("string"), F.lit("\nORIG: "), _clipped("source", 300), F.lit("\nTRANS: "), _clipped("target", 400))
-    recent = pairs.withColumn("back", F.row_number().over(back)).where(F.col("back") <= keep).select("file_id", "entry_index", line.alias("line"))
-    rows = recent.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("entry_index", "line"))).alias("rows")).join(total, "file_id")
-    header = F.concat(F.lit("[RECON_ENTRIES]\n총 "), F.col("total").cast("string"), F.lit("개 중 최신 "), F.size("rows").cast("string"), F.lit("개"))
-    return rows.select("file_id", F.concat_ws("\n", header, F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("digest"))
+    said = F.concat(F.lit("#"), F.col("entry_index").cast("string"), F.lit(" 원문: "), F.coalesce("source", F.lit("")), F.lit("\n번역: "), F.coalesce("target", F.lit("")))
+    recent = pairs.withColumn("back", F.row_number().over(back)).where(F.col("back") <= max(keep, most))
+    in_order = lambda within, text: F.transform(F.array_sort(F.collect_list(F.when(F.col("back") <= within, F.struct("entry_index", text.alias("t"))))), lambda r: r["t"])
+    rows = recent.groupBy("file_id").agg(in_order(keep, line).alias("lines"), in_order(most, said).alias("said"))
+    total = pairs.groupBy("file_id").agg(F.count("*").alias("total"))
+    out = rows.join(total, "file_id")
+    out = out if files is None else files.select("file_id").distinct().join(out, "file_id", "left")
+    header = F.concat(F.lit(f"{RECON_MARK}\n총 "), F.col("total").cast("string"), F.lit("개 중 최신 "), F.size("lines").cast("string"), F.lit("개"))
+    digest = F.when(F.col("total").isNull(), f"{RECON_MARK}\n{NO_PAIRS}").otherwise(F.array_join(F.concat(F.array(header), F.col("lines")), "\n"))
+    return out.select("file_id", digest.alias("digest"), F.coalesce("said", F.array().cast("array<string>")).alias("summary_input"))
 
 
 #: Schema of a line of a result stream; every field may be absent.

@@ -75,7 +75,8 @@ add("file_counts", lambda s, d: re_.file_counts(*_rr(s, d)), f"WITH {_FIRST} SEL
 _JSON = lambda c: f"concat('[', string_agg(concat('{{\"index\":', CAST(entry_index AS VARCHAR), ',\"text\":\"', {c}, '\"}}'), ',' ORDER BY entry_index), ']')"
 add("batch_payload", lambda s, d: re_.batch_payload(view(s, d, "v5_requests"), 3), f"SELECT file_id, batch_no, {_JSON('original')} AS payload FROM (SELECT *, CAST((row_number() OVER (PARTITION BY file_id ORDER BY entry_index) - 1) // 3 AS INT) AS batch_no FROM v5_requests) x GROUP BY 1, 2")
 add("rebuild_full_turn", lambda s, d: re_.rebuild_full_turn(*_rr(s, d)), f"WITH {_FILLED} SELECT file_id, {_JSON('original')} AS request, {_JSON('translated')} AS reply FROM filled GROUP BY 1", *_V5)
-add("recon_entries", lambda s, d: re_.recon_entries(_pairs(s, d), 3), f"WITH {_PAIRS}, n AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY entry_index DESC) AS k, count(*) OVER (PARTITION BY file_id) AS total FROM pairs) SELECT file_id, concat('[RECON_ENTRIES]', chr(10), '총 ', CAST(total AS VARCHAR), '개 중 최신 ', CAST(count(*) AS VARCHAR), '개', chr(10), string_agg(concat('#$', CAST(entry_index AS VARCHAR), chr(10), 'ORIG: ', source, chr(10), 'TRANS: ', target), chr(10) ORDER BY entry_index)) AS digest FROM n WHERE k <= 3 GROUP BY file_id, total", *_V5)
+_LINES = lambda text, within: f"string_agg({text}, chr(10) ORDER BY entry_index) FILTER (k <= {within})"
+add("recon_entries", lambda s, d: re_.recon_entries(_pairs(s, d), 3, view(s, d, "v5_requests"), 4).withColumn("summary_input", F.array_join("summary_input", "|")), f"WITH {_PAIRS}, n AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY entry_index DESC) AS k FROM pairs), d AS (SELECT file_id, concat('[RECON_ENTRIES]', chr(10), '총 ', count(*), '개 중 최신 ', least(count(*), 3), '개', chr(10), {_LINES("concat('#$', entry_index, chr(10), 'ORIG: ', source, chr(10), 'TRANS: ', target)", 3)}) AS digest, string_agg(concat('#', entry_index, ' 원문: ', source, chr(10), '번역: ', target), '|' ORDER BY entry_index) FILTER (k <= 4) AS said FROM n GROUP BY file_id) SELECT file_id, coalesce(digest, concat('[RECON_ENTRIES]', chr(10), '번역된 자막이 아직 없습니다.')) AS digest, coalesce(said, '') AS summary_input FROM (SELECT DISTINCT file_id FROM v5_requests) f LEFT JOIN d USING (file_id)", *_V5)
 add("sink_result_events", lambda s, d: re_.to_event_lines(re_.failed_fill(*_rr(s, d))), f"""WITH {_FILLED} SELECT concat('{{"file_id":', CAST(file_id AS VARCHAR), ',"index":', CAST(entry_index AS VARCHAR), ',"original":"', original, '","translated":"', translated, '","error":', CASE WHEN error THEN 'true' ELSE 'false' END, '}}') AS value FROM filled""", *_V5)
 
 

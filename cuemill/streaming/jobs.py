@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.replies import entry_of, reply_entries, scan_objects
 from ..operators.responses import FAILED_TEXT, parse_event_lines
+from ..operators.sync import chunk_by_gap
 
 
 #: The store that keyed state needs: Spark's own, on local disks of executors and checkpointed with the stream.
@@ -287,14 +288,66 @@ def stream_request_rate(requests: DataFrame, watermark: str = "1 hour", span: st
     return source.groupBy("client_id", F.window("at", span, slide).alias("w")).agg(F.count("*").alias("used")).select("client_id", F.col("w.end").alias("until"), "used")
 
 
+class _GapChunks(StatefulProcessor):
+    """Of each medium: cues that the watermark hasn't passed, put in order when it does, and the chunk that is open."""
+
+    def __init__(self, gap_ms: int):
+        self.gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, pos long, until long")
+        self.chunk = handle.getValueState("chunk", "n long, begin long, until long")
+
+    def _advance(self, key, cues: list[tuple], watermark: int) -> pd.DataFrame:
+        """Takes the cues in order up to the watermark; a chunk ends at a cue further than the gap after its last one, or when no such near cue can come any more."""
+        cues, out = sorted(cues), []
+        chunk = tuple(self.chunk.get()) if self.chunk.exists() else None
+        ready = [c for c in cues if c[0] <= watermark]
+        for at, _, until in ready:
+            if chunk and at - chunk[2] <= self.gap_ms:
+                chunk = (chunk[0] + 1, chunk[1], until)
+            else:
+                out += [chunk] if chunk else []
+                chunk = (1, at, until)
+        left = cues[len(ready) :]
+        if chunk and not any(c[0] - chunk[2] <= self.gap_ms for c in left[:1]) and watermark > chunk[2] + self.gap_ms:
+            out.append(chunk)
+            chunk = None
+        self.waiting.put(left) if left else self.waiting.clear()
+        self.chunk.update(chunk) if chunk else self.chunk.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if left or chunk:
+            self.handle.registerTimer(max(watermark, left[0][0] if left else chunk[2] + self.gap_ms) + 1)
+        return pd.DataFrame([(key[0], n, pd.Timestamp(b, unit="ms"), pd.Timestamp(u, unit="ms")) for n, b, u in out], columns=["media_id", "n", "begin", "until"])
+
+    def _waiting(self) -> list[tuple]:
+        return [tuple(c) for c in self.waiting.get()] if self.waiting.exists() else []
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        came = pd.concat(list(rows))
+        ms = lambda column: came[column].astype("datetime64[ms]").astype("int64")
+        yield self._advance(key, self._waiting() + list(zip(ms("at").tolist(), came["pos"].tolist(), ms("end_at").tolist())), timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._advance(key, self._waiting(), timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
 def stream_gap_chunks(cues: DataFrame, watermark: str = "1 hour", gap_ms: int = 200) -> DataFrame:
-    """media_id, n, begin, until of sessions whose gap is at most the threshold. cues: media_id, at, end_at (timestamps).
+    """media_id, n, begin, until (the last cue's end) of chunks: a new one begins where a cue's start is further than the gap after the end of the cue before it.
 
-    Unlike chunk_by_gap, a session ends after the latest end so far, not the previous row's.
+    cues: media_id, at, end_at (timestamps), pos (order of equal starts).  Cues may come in any order within the watermark; they wait as state until it has passed their
+    start, and a chunk is given out when no cue can come that belongs to it.  Times are whole milliseconds.  In batches: the same chunks, at once.
     """
-    source = cues.withWatermark("at", watermark) if cues.isStreaming else cues
-    length = F.concat(((F.unix_millis("end_at") - F.unix_millis("at")) + gap_ms).cast("string"), F.lit(" milliseconds"))
-    return source.groupBy("media_id", F.session_window("at", length).alias("w")).agg(F.count("*").alias("n"), F.min("at").alias("begin"), F.max("end_at").alias("until")).select("media_id", "n", "begin", "until")
+    if cues.isStreaming:
+        return _keyed(cues.withWatermark("at", watermark), ["media_id"], _GapChunks(gap_ms), "media_id long, n long, begin timestamp, until timestamp", time="eventTime")
+    rows = chunk_by_gap(cues.select("media_id", "pos", F.unix_millis("at").alias("start_ms"), F.unix_millis("end_at").alias("end_ms")), gap_ms, ("start_ms", "pos"))
+    last = F.timestamp_millis(F.max_by("end_ms", F.struct("start_ms", "pos"))).alias("until")
+    return rows.groupBy("media_id", "chunk_id").agg(F.count("*").alias("n"), F.timestamp_millis(F.min("start_ms")).alias("begin"), last).drop("chunk_id")
 
 
 def stream_partial_asr(segments: DataFrame) -> DataFrame:
