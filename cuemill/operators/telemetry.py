@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,14 +124,36 @@ def config_values(config: DataFrame) -> DataFrame:
     return config.select("cfg_key", "version", F.coalesce(F.to_json(parsed), F.col("cfg_value")).alias("value"))
 
 
-def job_intake(jobs: DataFrame) -> DataFrame:
-    typed = job_json(jobs)
-    return typed.select("id", F.to_json(F.struct("target_lang", "batch_size", F.concat(F.lit("/media/"), F.col("id").cast("string")).alias("video_path"))).alias("data"))
+#: Fixed: fields of a stored job, and what stands for those that a form leaves out.
+JOB = "files array<struct<name:string,text:string>>, target_lang string, batch_size int, custom_prompt string, thinking_budget int, context_compression int, context_limit int, model string, youtube_url string, video_path string, video_name string"
+JOB_DEFAULTS = {"target_lang": "한국어", "batch_size": 10, "thinking_budget": 0, "model": "gemini-flash-latest"}
+PASTED = "pasted.srt"
+
+
+def job_intake(forms: DataFrame) -> DataFrame:
+    """id and data (JSON, every field of a job) of forms: id and any of files (array of name, text), srt_text and the fields of a job, as texts.
+
+    Without files, a text that isn't blank is the one file; forms with neither are turned away.  Numbers that can't be read are the defaults, a limit of context none;
+    a link is left out where there is a video.
+    """
+    field = lambda name: F.col(name).cast("string") if name in forms.columns else F.lit(None).cast("string")
+    pasted = F.when(F.trim(field("srt_text")) != "", F.array(F.struct(F.lit(PASTED).alias("name"), field("srt_text").alias("text"))))
+    files = F.coalesce(F.when(F.size("files") > 0, F.col("files")), pasted) if "files" in forms.columns else pasted
+    number = lambda name: safe_int(field(name), JOB_DEFAULTS.get(name)).alias(name)
+    trimmed = lambda name: F.trim(F.coalesce(field(name), F.lit("")))
+    data = F.struct(
+        files.alias("files"), F.coalesce(field("target_lang"), F.lit(JOB_DEFAULTS["target_lang"])).alias("target_lang"), number("batch_size"), F.coalesce(field("custom_prompt"), F.lit("")).alias("custom_prompt"), number("thinking_budget"),
+        parse_flag(trimmed("context_compression"), "exact").cast("int").alias("context_compression"), number("context_limit"), F.coalesce(F.nullif(trimmed("model"), F.lit("")), F.lit(JOB_DEFAULTS["model"])).alias("model"),
+        F.when(field("video_path").isNotNull(), "").otherwise(trimmed("youtube_url")).alias("youtube_url"), field("video_path").alias("video_path"), field("video_name").alias("video_name"),
+    )
+    return forms.where(files.isNotNull()).select("id", F.to_json(data, {"ignoreNullFields": "false"}).alias("data"))
 
 
 def job_public_view(intake: DataFrame) -> DataFrame:
-    data = F.from_json("data", "target_lang STRING, batch_size INT, video_path STRING")
-    return intake.select("id", data["target_lang"].alias("target_lang"), data["batch_size"].alias("batch_size"), (F.coalesce(data["video_path"], F.lit("")) != "").alias("has_video_context"))
+    """id and the fields of stored jobs, but for the path of the video; instead, whether there is one."""
+    data = F.from_json("data", JOB)
+    shown = [f.split()[0] for f in re.split(r", (?=\w+ )", JOB) if not f.startswith("video_path")]
+    return intake.select("id", *[data[f].alias(f) for f in shown], (F.coalesce(data["video_path"], F.lit("")) != "").alias("has_video_context"))
 
 
 def upsert_latest(rows: DataFrame, key: str, version: str, deleted: Column | None = None) -> DataFrame:

@@ -34,11 +34,12 @@ def asr_format(asr: DataFrame) -> DataFrame:
 
 
 def asr_windows(asr: DataFrame, most: int = 80) -> DataFrame:
-    """Clip times not below 0 and at least 0.05 s long, rounded, with numbers from 1 in each clip and short texts; a missing end: 0.1 s after the start."""
+    """Clip times not below 0 and at least 0.05 s long, rounded, with numbers from 1 in each clip and short texts; a missing end: 0.1 s after the start; a missing text: empty."""
+    text = F.coalesce("text", F.lit(""))
     s = F.greatest(F.coalesce("start_s", F.lit(0.0)), F.lit(0.0))
     e = F.greatest(F.coalesce(F.col("end_s"), s + 0.1), s + 0.05)
     w = Window.partitionBy("media_id", "segment_index").orderBy("start_s", "clip_index")
-    return asr.select("media_id", "clip_index", F.row_number().over(w).alias("number"), F.bround(s, 3).alias("start_s"), F.bround(e, 3).alias("end_s"), truncated(F.col("text"), most).alias("text"), preview(F.col("text"), most).alias("preview"))
+    return asr.select("media_id", "clip_index", F.row_number().over(w).alias("number"), F.bround(s, 3).alias("start_s"), F.bround(e, 3).alias("end_s"), truncated(text, most).alias("text"), preview(text, most).alias("preview"))
 
 
 def joined_text(asr: DataFrame) -> DataFrame:

@@ -229,8 +229,28 @@ def _old_files(s, d):
 _PLAIN_HISTORY = "concat('[', string_agg(concat('{\"role\":\"', role, '\",\"parts\":[', to_json({'text': coalesce(text, '')}), ']}'), ',' ORDER BY turn), ']')"
 add("retention_old_files", _old_files, f"SELECT concat('history_', conv_id, '_20240101.json') AS file_name, CAST(strlen({_PLAIN_HISTORY}) AS BIGINT) AS length FROM v4_history GROUP BY conv_id", "v4_history")
 add("job_param_fallback", lambda s, d: te.param_fallback(_j(s, d).select("id", F.when(F.col("id") % 3 == 0, F.lit("X")).otherwise("").alias("target_lang")), te.job_json(_j(s, d)), "target_lang"), "SELECT id, CASE WHEN id % 3 = 0 THEN 'X' ELSE json_extract_string(data, '$.target_lang') END AS target_lang FROM v8_jobs")
-add("job_intake", lambda s, d: te.job_intake(_j(s, d)), """SELECT id, concat('{"target_lang":"', json_extract_string(data, '$.target_lang'), '","batch_size":', json_extract_string(data, '$.batch_size'), ',"video_path":"/media/', CAST(id AS VARCHAR), '"}') AS data FROM v8_jobs""")
-add("job_public_view", lambda s, d: te.job_public_view(te.job_intake(_j(s, d))), "SELECT id, json_extract_string(data, '$.target_lang') AS target_lang, CAST(json_extract_string(data, '$.batch_size') AS INT) AS batch_size, true AS has_video_context FROM v8_jobs")
+
+
+def _forms(s, d):
+    """Forms with files, with pasted text, with neither; numbers and flags of all kinds, links with and without a video."""
+    n = F.col("id")
+    pick = lambda *xs: F.element_at(F.array(*[x if isinstance(x, F.Column) else F.lit(x) for x in xs]), (n % len(xs) + 1).cast("int"))
+    given = F.from_json("data", "batch_size STRING, target_lang STRING")
+    files = F.when(n % 4 == 0, F.array(F.struct(F.lit("a.srt").alias("name"), n.cast("string").alias("text"))))
+    return _j(s, d).select(
+        "id", files.alias("files"), pick("x", " ", "one \"two\"", None, "y").alias("srt_text"), F.when(n % 5 > 0, given["target_lang"]).alias("target_lang"), F.when(n % 7 == 0, "many").otherwise(given["batch_size"]).alias("batch_size"),
+        pick("8", None, "-1", "?").alias("thinking_budget"), pick(" on ", "TRUE", "true", None).alias("context_compression"), pick("9000", "", None).alias("context_limit"), pick(" m ", " ", None).alias("model"),
+        pick(" https://a/b ", None).alias("youtube_url"), F.when(n % 6 == 0, F.concat(F.lit("/media/"), n.cast("string"))).alias("video_path"), F.when(n % 6 == 0, "clip.mp4").alias("video_name"))
+
+
+_PICK = lambda *xs: f"[{', '.join(xs)}][CAST(id % {len(xs)} AS INT) + 1]"
+_INTAKE = f"""intake AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'a.srt' ELSE 'pasted.srt' END AS file, CASE WHEN id % 4 = 0 THEN CAST(id AS VARCHAR) ELSE {_PICK("'x'", "' '", "'one \"two\"'", "NULL", "'y'")} END AS said,
+  CASE WHEN id % 5 > 0 THEN json_extract_string(data, '$.target_lang') ELSE '한국어' END AS target_lang, CASE WHEN id % 7 = 0 THEN 10 ELSE CAST(json_extract_string(data, '$.batch_size') AS INT) END AS batch_size,
+  {_PICK("8", "0", "-1", "0")} AS thinking_budget, {_PICK("1", "0", "1", "0")} AS context_compression, {_PICK("9000", "NULL", "NULL")} AS context_limit, {_PICK("'m'", "'gemini-flash-latest'", "'gemini-flash-latest'")} AS model,
+  CASE WHEN id % 2 = 0 AND id % 6 <> 0 THEN 'https://a/b' ELSE '' END AS youtube_url, CASE WHEN id % 6 = 0 THEN concat('/media/', id) END AS video_path, CASE WHEN id % 6 = 0 THEN 'clip.mp4' END AS video_name
+  FROM v8_jobs WHERE id % 4 = 0 OR id % 5 IN (0, 2, 4))"""
+add("job_intake", lambda s, d: te.job_intake(_forms(s, d)), f"WITH {_INTAKE} SELECT id, CAST(to_json({{'files': [{{'name': file, 'text': said}}], 'target_lang': target_lang, 'batch_size': batch_size, 'custom_prompt': '', 'thinking_budget': thinking_budget, 'context_compression': context_compression, 'context_limit': context_limit, 'model': model, 'youtube_url': youtube_url, 'video_path': video_path, 'video_name': video_name}}) AS VARCHAR) AS data FROM intake", "v8_jobs")
+add("job_public_view", lambda s, d: te.job_public_view(te.job_intake(_forms(s, d))).withColumn("files", F.array_join(F.transform("files", lambda f: F.concat_ws(":", f["name"], f["text"])), "|")), f"WITH {_INTAKE} SELECT id, concat(file, ':', said) AS files, target_lang, batch_size, '' AS custom_prompt, thinking_budget, context_compression, context_limit, model, youtube_url, video_name, video_path IS NOT NULL AS has_video_context FROM intake", "v8_jobs")
 add("preset_cleaning", lambda s, d: te.preset_cleaning(_c(s, d).select(F.col("cfg_key").alias("name"), F.when(F.col("version") % 4 == 0, "x").otherwise(F.col("cfg_value")).alias("batch_size"), (F.col("version") % 5 - 2).cast("string").alias("thinking_budget"))), "SELECT cfg_key AS name, CASE WHEN version % 4 = 0 THEN NULL ELSE CAST(cfg_value AS INT) END AS batch_size, CASE WHEN version % 5 >= 1 THEN CAST(version % 5 - 2 AS INT) END AS thinking_budget, CASE WHEN version % 5 = 1 THEN 'auto' WHEN version % 5 > 1 THEN CAST(version % 5 - 2 AS VARCHAR) END AS shown FROM v8_config")
 add("config_typed_updates", lambda s, d: te.config_typed_updates(_c(s, d).select(F.col("version").alias("id"), (F.col("version") % 3).cast("string").alias("size"), F.when(F.col("version") % 2 == 0, "On").otherwise(" ").alias("fast")), ("size",), ("fast",)), "SELECT version AS id, 'size' AS cfg_key, CAST(version % 3 AS VARCHAR) AS cfg_value FROM v8_config WHERE version % 3 > 0 UNION ALL SELECT version, 'fast', '1' FROM v8_config WHERE version % 2 = 0", "v8_config")
 _flag = lambda s, d: _j(s, d).withColumn("raw", F.element_at(F.array(*map(F.lit, ("1", "True", "on", "yes", "utterance", "0"))), (F.col("id") % 6 + 1).cast("int")))

@@ -44,7 +44,7 @@ add("stream_json_objects", _entries, "SELECT file_id, attempt, entry_index, text
 add("stream_dedupe_results", lambda s, d: jobs.stream_dedupe_results(view(s, d, "v5_responses").withColumnRenamed("seq", "at").select("file_id", "entry_index", "text", "at")), "SELECT file_id, entry_index, arg_min(text, seq) AS text, min(seq) AS at FROM v5_responses GROUP BY 1, 2")
 add("stream_progress", lambda s, d: jobs.stream_progress(re_.to_event_lines(re_.match_first_wins(view(s, d, "v5_requests"), view(s, d, "v5_responses")).withColumn("error", F.lit(False)))), "SELECT file_id, count(*) AS received, false AS completed FROM (SELECT DISTINCT file_id, entry_index FROM v5_responses) x GROUP BY 1", "v5_requests", "v5_responses")
 add("stream_batch_state", lambda s, d: jobs.stream_batch_state(view(s, d, "v6_updates").select("batch_id", "status", "message", F.struct("updated_us", "event_id").alias("at"))), "SELECT batch_id, arg_max(status, updated_us * 100000 + event_id % 100000) AS status, arg_max(message, updated_us * 100000 + event_id % 100000) AS message, count(*) AS updates FROM v6_updates GROUP BY 1")
-add("stream_request_rate", lambda s, d: jobs.stream_request_rate(_stamped(s, d).select(F.col("user_id").alias("client_id"), "at"), span="60 seconds", slide="60 seconds").select("client_id", F.unix_seconds("until").alias("until"), "used"), "SELECT user_id AS client_id, CAST(floor(epoch_us(ts) / 60000000) * 60 + 60 AS BIGINT) AS until, count(*) AS used FROM events GROUP BY 1, 2")
+add("stream_request_rate", lambda s, d: jobs.stream_request_rate(_stamped(s, d).select(F.col("user_id").alias("client_id"), "at")).select("client_id", F.unix_seconds("until").alias("until"), "used"), "SELECT client_id, until, count(*) AS used FROM (SELECT user_id AS client_id, unnest(range(CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) + 1, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) + 61)) AS until FROM events) x GROUP BY 1, 2")
 _CHUNK_SQL = """WITH a AS (SELECT *, lag(end_ms) OVER (PARTITION BY media_id ORDER BY start_ms, event_id) AS b FROM v1_cues), c AS (SELECT *, sum(CASE WHEN start_ms - b <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY media_id ORDER BY start_ms, event_id ROWS UNBOUNDED PRECEDING) AS k FROM a) SELECT media_id, count(*) AS n, CAST(min(start_ms) AS BIGINT) AS begin_ms, CAST(arg_max(end_ms, pos) AS BIGINT) AS end_ms FROM c GROUP BY media_id, k"""
 add("stream_gap_chunks", lambda s, d: jobs.stream_gap_chunks(view(s, d, "v1_cues").select("media_id", F.timestamp_millis(F.col("start_ms").cast("long")).alias("at"), F.timestamp_millis(F.col("end_ms").cast("long")).alias("end_at"), F.col("event_id").alias("pos"))).select("media_id", "n", F.unix_millis("begin").alias("begin_ms"), F.unix_millis("until").alias("end_ms")), _CHUNK_SQL, "v1_cues")
 add("stream_partial_asr", lambda s, d: jobs.stream_partial_asr(view(s, d, "v6_asr").select("media_id", (F.col("clip_index") % 50 == 0).alias("is_last"))), "SELECT media_id, count(*) AS segments, bool_or(clip_index % 50 = 0) AS complete FROM v6_asr GROUP BY 1")
@@ -91,3 +91,15 @@ def _last_updates(s, d):
 
 
 add("stream_last_updates", _last_updates, "WITH a AS (SELECT *, event_id % 61 = 0 AS ended FROM v6_updates), b AS (SELECT *, coalesce(sum(CAST(ended AS INT)) OVER (PARTITION BY batch_id ORDER BY updated_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY batch_id, run ORDER BY updated_us DESC, event_id DESC) AS back, max(ended) OVER (PARTITION BY batch_id, run) AS done FROM b) SELECT CAST(batch_id AS BIGINT) AS batch_id, 'completed' AS status, string_agg(concat(message, event_id), ',' ORDER BY updated_us, event_id) AS queue FROM c WHERE back <= 8 AND done GROUP BY batch_id, run", "v6_updates")
+
+
+def _last_results(s, d):
+    """The table after the replies of three ranges of attempts were merged into it, one after the other."""
+    rows = view(s, d, "v5_responses").select("file_id", "entry_index", "text", F.col("seq").alias("at"), "attempt")
+    table = jobs.LastResults(shared_path(s, "results"), buckets=8)
+    for n, where in enumerate(("attempt >= 4", "attempt < 2", "attempt IN (2, 3)")):
+        table.merge(rows.where(where).drop("attempt"), n)
+    return table.read(s, rows.drop("attempt").schema)
+
+
+add("stream_last_results", _last_results, "SELECT file_id, entry_index, arg_max(text, seq) AS text, max(seq) AS at FROM v5_responses GROUP BY 1, 2")

@@ -282,10 +282,80 @@ def last_updates(updates: DataFrame, keep: int = QUEUE) -> DataFrame:
     return last.where(ended).select("batch_id", "status", F.transform("q", lambda x: x["message"]).alias("queue"))
 
 
-def stream_request_rate(requests: DataFrame, watermark: str = "1 hour", span: str = "60 seconds", slide: str = "10 seconds") -> DataFrame:
-    """client_id, until, used: requests of each sliding window. requests: client_id, at."""
-    source = requests.withWatermark("at", watermark) if requests.isStreaming else requests
-    return source.groupBy("client_id", F.window("at", span, slide).alias("w")).agg(F.count("*").alias("used")).select("client_id", F.col("w.end").alias("until"), "used")
+def _used(panes: dict[int, int], after: int, upto: int, span: int) -> list[tuple[int, int]]:
+    """until, used of the windows of ``span`` seconds that end after ``after``, up to ``upto``, and hold a request. panes: requests of each second, by its end."""
+    out, used, changes = [], 0, {}
+    for end, n in panes.items():
+        changes[end] = changes.get(end, 0) + n
+        changes[end + span] = changes.get(end + span, 0) - n
+    points = sorted(changes)
+    for point, following in zip(points, [*points[1:], None]):
+        used += changes[point]
+        if used and following is not None:
+            out += [(until, used) for until in range(max(point, after + 1), min(following, upto + 1))]
+    return out
+
+
+class _Rate(StatefulProcessor):
+    """Of each client, the requests of each second that windows to come still hold, and how far windows were given out."""
+
+    def __init__(self, span: int):
+        self.span = span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.panes = handle.getMapState("panes", "until long", "n long")
+        self.given = handle.getValueState("given", "until long")
+
+    def _advance(self, key, panes: dict[int, int], watermark_s: int) -> pd.DataFrame:
+        given = self.given.get()[0] if self.given.exists() else 0
+        upto = max(given, watermark_s)
+        rows = _used(panes, given, upto, self.span)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        for end in [e for e in panes if e + self.span <= upto + 1]:
+            del panes[end]
+            self.panes.removeKey((end,))
+        if panes:
+            self.given.update((upto,))
+            self.handle.registerTimer((max(panes) + self.span) * 1000 + 1)
+        else:
+            self.given.clear()
+        return pd.DataFrame([(key[0], pd.Timestamp(u, unit="s"), n) for u, n in rows], columns=["client_id", "until", "used"])
+
+    def _panes(self) -> dict[int, int]:
+        return {k[0]: v[0] for k, v in self.panes.iterator()}
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        panes = self._panes()
+        for end, n in pd.concat(list(rows))[["end_s", "n"]].itertuples(index=False):
+            panes[int(end)] = panes.get(int(end), 0) + int(n)
+            self.panes.updateValue((int(end),), (panes[int(end)],))
+        yield self._advance(key, panes, timerValues.getCurrentWatermarkInMs() // 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._advance(key, self._panes(), timerValues.getCurrentWatermarkInMs() // 1000)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_request_rate(requests: DataFrame, watermark: str = "1 hour", span: int = 60) -> DataFrame:
+    """client_id, until, used: requests of the ``span`` seconds before each second (``until`` not included), where there are any. requests: client_id, at.
+
+    Requests are counted by the second first, and the counts of seconds are what windows are put together from: a request is never copied into the windows that hold it.
+    In a stream, a window is given out when the watermark has passed its end.
+    """
+    if requests.isStreaming:
+        seconds = requests.withWatermark("at", watermark).groupBy("client_id", F.window("at", "1 second").alias("w")).agg(F.count("*").alias("n"))
+        panes = seconds.select("client_id", F.col("w.end").alias("at"), F.unix_seconds("w.end").alias("end_s"), "n")
+        return _keyed(panes, ["client_id"], _Rate(span), "client_id long, until timestamp, used long", time="eventTime")
+    panes = requests.groupBy("client_id", (F.unix_seconds("at") + 1).alias("end_s")).agg(F.count("*").alias("n"))
+    change = F.explode(F.array(F.struct(F.col("end_s").alias("s"), F.col("n").alias("d")), F.struct((F.col("end_s") + span).alias("s"), (-F.col("n")).alias("d"))))
+    changes = panes.select("client_id", change.alias("c")).groupBy("client_id", F.col("c.s").alias("s")).agg(F.sum("c.d").alias("d"))
+    w = Window.partitionBy("client_id").orderBy("s")
+    steps = changes.select("client_id", "s", F.sum("d").over(w).alias("used"), F.lead("s").over(w).alias("following")).where("used > 0")
+    return steps.select("client_id", F.explode(F.sequence("s", F.col("following") - 1)).alias("until"), "used").select("client_id", F.timestamp_seconds("until").alias("until"), "used")
 
 
 class _GapChunks(StatefulProcessor):

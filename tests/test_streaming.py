@@ -104,9 +104,15 @@ def results(spark):
 
 
 def test_stream_dedupe_results(spark, tmp_path):
+    """The first text of each key wins, in a stream the first that came; what comes in later batches is left out."""
     df = results(spark)
-    got = drained(spark, tmp_path, df, jobs.stream_dedupe_results, "append")
-    assert sorted(r[:2] for r in got) == sorted(tuple(r)[:2] for r in jobs.stream_dedupe_results(df).collect())
+    second = "unix_seconds(at)"
+    stream = in_batches(spark, tmp_path, df, [f"{second} < 10", f"{second} >= 10 AND {second} < 20", f"{second} >= 20"])
+    query = jobs.stream_dedupe_results(stream).writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert query.awaitTermination(100)
+    query.stop()
+    got = sorted(tuple(r) for r in spark.table("firsts").collect())
+    assert got == sorted(tuple(r) for r in jobs.stream_dedupe_results(df).collect()) and {r[2] for r in got} == {"t0"}
 
 
 def test_last_results(spark, tmp_path):
@@ -146,13 +152,12 @@ def test_store_last_results(spark, tmp_path):
     assert len(list((tmp_path / "out").rglob("*.parquet"))) <= 4
 
 
-@pytest.mark.parametrize("name", ["batch_state", "request_rate", "partial_asr"])
+@pytest.mark.parametrize("name", ["batch_state", "partial_asr"])
 def test_streams_give_what_batches_give(spark, tmp_path, name):
     at = lambda c: F.timestamp_seconds(c)
     made = spark.range(60).withColumn("key", F.col("id") % 3)
     df, build = {
         "batch_state": (made.select(F.col("key").alias("batch_id"), F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("status"), F.col("id").cast("string").alias("message"), at(F.col("id") * 5).alias("at")), jobs.stream_batch_state),
-        "request_rate": (made.select(F.col("key").alias("client_id"), at(F.col("id") * 7).alias("at")), jobs.stream_request_rate),
                 "partial_asr": (made.select(F.col("key").alias("media_id"), (F.col("id") == 58).alias("is_last")), jobs.stream_partial_asr),
     }[name]
     got = drained(spark, tmp_path, df, build, "complete")
@@ -160,9 +165,29 @@ def test_streams_give_what_batches_give(spark, tmp_path, name):
 
 
 def test_request_rate_slides(spark):
-    df = spark.createDataFrame([(1, s) for s in (0, 30, 59, 60)], "client_id long, s long").select("client_id", F.timestamp_seconds("s").alias("at"))
+    df = spark.createDataFrame([(1, s) for s in (0, 30, 30, 59, 60)], "client_id long, s long").select("client_id", F.timestamp_seconds("s").alias("at"))
     got = {r["until"]: r["used"] for r in jobs.stream_request_rate(df).select(F.unix_seconds("until").alias("until"), "used").collect()}
-    assert (got[10], got[60], got[70], got[90], got[120]) == (1, 3, 3, 3, 1)
+    assert (got[1], got[31], got[60], got[61], got[90], got[91], got[120]) == (1, 3, 4, 4, 4, 2, 1) and set(got) == set(range(1, 121))
+
+
+def test_stream_request_rate(spark, tmp_path):
+    """Late requests within the watermark, bursts, pauses longer than a window; every window is given out once, and equals that of the plain sliding window."""
+    rng, rows, at = random.Random(6), [], 1000
+    for _ in range(80):
+        at += rng.choice([0, 0, 1, 3, 20, 59, 61, 150])
+        rows.append((rng.randint(0, 2), at))
+    order = sorted(rows, key=lambda r: r[1] + rng.randint(0, 30)) + [(9, 100_000 + k * 10_000) for k in range(3)]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(order)], "n long, client_id long, s long").select("n", "client_id", F.timestamp_seconds("s").alias("at"))
+    stream = in_batches(spark, tmp_path, df.drop("n"), ["false"])
+    for where in ("n < 30", "n >= 30 AND n < 80", "n >= 80 AND n < 82", "n >= 82"):
+        df.where(where).drop("n").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query = jobs.stream_request_rate(stream, "60 seconds").writeStream.format("memory").queryName("rate").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert query.awaitTermination(100)
+    query.stop()
+    plain = df.where("client_id < 9").groupBy("client_id", F.window("at", "60 seconds", "1 second").alias("w")).agg(F.count("*").alias("used")).select("client_id", F.col("w.end").alias("until"), "used")
+    expected = sorted(map(tuple, plain.collect()))
+    assert sorted(map(tuple, spark.table("rate").where("client_id < 9").collect())) == expected
+    assert sorted(map(tuple, jobs.stream_request_rate(df.where("client_id < 9").drop("n")).collect())) == expected and len(expected) > 1000
 
 
 def in_batches(spark, tmp_path, df, parts):
