@@ -100,13 +100,13 @@ def test_stream_progress(spark, tmp_path):
 
 def results(spark):
     """Three results of each of ten keys, a second apart."""
-    return spark.createDataFrame([(i % 2, i % 10, f"t{i // 10}", i) for i in range(30)], "file_id long, entry_index int, text string, s long").select("file_id", "entry_index", "text", F.timestamp_seconds("s").alias("at"))
+    return spark.createDataFrame([(i % 2, i % 10, f"t{i // 10}", 1000 + i) for i in range(30)], "file_id long, entry_index int, text string, s long").select("file_id", "entry_index", "text", F.timestamp_seconds("s").alias("at"))
 
 
 def test_stream_dedupe_results(spark, tmp_path):
     """The first text of each key wins, in a stream the first that came; what comes in later batches is left out."""
     df = results(spark)
-    second = "unix_seconds(at)"
+    second = "unix_seconds(at) - 1000"
     stream = in_batches(spark, tmp_path, df, [f"{second} < 10", f"{second} >= 10 AND {second} < 20", f"{second} >= 20"])
     query = jobs.stream_dedupe_results(stream).writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert query.awaitTermination(100)
