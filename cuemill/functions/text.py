@@ -47,11 +47,15 @@ def decode_legacy(contents: pd.Series) -> pd.Series:
     return contents.map(one)
 
 
+#: Fixed characters that file names don't keep.
+FORBIDDEN = r'[<>:"/\\|?*\x00-\x1f]'
+
+
 def sanitized_filename(name: Column, fallback: str = "file", normalize: bool = True) -> Column:
     """Base name, composed, without forbidden characters and leading dots, at most 255 long; if nothing is left, the fallback."""
     base = strip(F.regexp_extract(F.regexp_replace(name, r"\\", "/"), r"([^/]*)$", 1))
     base = nfc(base) if normalize else base
-    clean = strip(F.regexp_replace(base, r'[<>:"/\\|?*\x00-\x1f]', "_"))
+    clean = strip(F.regexp_replace(base, FORBIDDEN, "_"))
     clean = F.left(F.regexp_replace(clean, r"^\.+", ""), F.lit(255))
     return F.coalesce(F.nullif(clean, F.lit("")), F.lit(fallback))
 
