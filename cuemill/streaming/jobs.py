@@ -157,52 +157,45 @@ class _Attempts(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.missing = handle.getMapState("missing", "entry_index int", "original string")
-        self.begun = handle.getValueState("begun", "yes boolean")
+        self.missing = handle.getListState("missing", "entry_index int, original string")
 
     def _frame(self, key, rows: list[tuple]) -> pd.DataFrame:
         found = pd.DataFrame([(*key, *r) for r in rows], columns=["file_id", "batch_no", "entry_index", "translated", "attempt", "error"])
         return found.astype({"attempt": "Int32"})
 
-    def _end(self) -> None:
-        self.missing.clear()
-        self.begun.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-
-    def _failures(self) -> list[tuple]:
-        return [(k[0], self.failed_text, None, True) for k, _ in sorted(self.missing.iterator())]
+    def _failures(self, missing) -> list[tuple]:
+        return [(index, self.failed_text, None, True) for index in sorted(missing)]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         came = pd.concat(list(rows)).sort_values(["attempt", "seq"], na_position="last")
-        if not self.begun.exists():
-            self.begun.update((True,))
-            for r in came["requested"].iloc[0]:
-                self.missing.updateValue((int(r["entry_index"]),), (r["original"],))
-        open_ = {k[0]: v[0] for k, v in self.missing.iterator()}
-        out = []
+        missing = {m[0]: m[1] for m in self.missing.get()}
+        known, out = bool(missing), []
+        if not known:
+            missing = {int(r["entry_index"]): r["original"] for r in came["requested"].iloc[0]}
         for index, text, attempt in zip(came["entry_index"], came["text"], came["attempt"]):
             if not pd.isna(index):
-                if (index := int(index)) in open_:
-                    original = open_.pop(index)
-                    self.missing.removeKey((index,))
+                if (index := int(index)) in missing:
+                    original = missing.pop(index)
                     out.append((index, original if pd.isna(text) else text, int(attempt), False))
             elif attempt >= self.most:
-                out += self._failures()
-                open_ = {}
-            if not open_:
+                out += self._failures(missing)
+                missing = {}
+            if not missing:
                 break
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if not open_:
-            self._end()
-        elif self.patience_ms:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
+        if known and self.patience_ms:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        if missing:
+            self.missing.put(list(missing.items()))
+            if self.patience_ms:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
+        elif known:
+            self.missing.clear()
         yield self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = self._failures()
-        self._end()
+        out = self._failures(m[0] for m in self.missing.get())
+        self.missing.clear()
         yield self._frame(key, out)
 
     def close(self) -> None:
