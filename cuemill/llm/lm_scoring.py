@@ -14,6 +14,10 @@ What is learned comes from the training documents, all of them and whole:
    Both get probabilities of their own: of each id, that it is attached to the one before, and of each word, its
    share among the words of the same ids.  With them the score is that of the text's words, as the base's is.
 
+5. A word's probability is mixed from the attention's and from its count's.  The count's share hangs on how many words came before; it is chosen
+   on all documents of the last round, scored before the model trains on them, each without its own count.  A word
+   without a count has the model's probability in the part that counts leave to such words, so that all words together have at most 1.
+
 Scoring is one pass: texts fall into overlapping context windows, each token is scored once.
 """
 
@@ -33,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import attention
-from .common import documents, id_and_text, id_hash, written
+from .common import discard, documents, id_and_text, id_hash, written
 from .vocabularies import kept, load_tokenizer, lowered, vocabulary, word_ids
 
 #: Documents of which a window each starts the model; all, and whole, go into what follows.
@@ -46,10 +50,12 @@ STEP_WINDOWS = 256
 WINDOW, HELD_WINDOWS = 48, 4096
 #: Words whose counts all tasks hold, the most frequent ones, at most so many; counts of the others are joined.
 HEAD_WORDS = 1 << 16
-#: Kinds of tokens that the model tells apart as inputs: the most frequent ones, the rest, and the beginning.
-KINDS = 512
 _TOKENS, _SLOTS = attention.CLASSES * attention.SLOTS, attention.SLOTS
 _END = _SLOTS - 1
+#: Kinds of tokens that the model tells apart as inputs: all tokens of their own, the rest, and the beginning.
+KINDS = attention.CLASSES * (_SLOTS - 1) + 2
+#: Shares of the counts' probability that are tried, and numbers of words before, from which on a share of its own is chosen.
+SHARES, GATES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99), (0, 1, 4, 16, 64)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Blocks that go through the model at a time.
 _BLOCKS = 1024
@@ -66,7 +72,8 @@ class Tokens:
         rest = (1 + rank % (classes - 1)) * _SLOTS + _SLOTS - 1
         self.token = np.where(rank < own, rank % classes * _SLOTS + rank // classes, rest).astype(np.int32)
         smooth = id_counts + 0.1
-        self.inside = np.log(smooth / np.bincount(self.token, smooth, _TOKENS)[self.token]).astype(np.float32)
+        self.counts = np.bincount(self.token, smooth, _TOKENS)
+        self.inside = np.log(smooth / self.counts[self.token]).astype(np.float32)
         order = np.arange(own)
         self.kinds = np.full(_TOKENS, KINDS - 2, np.int32)
         self.kinds[order % classes * _SLOTS + order // classes] = np.minimum(order, KINDS - 2)
@@ -222,10 +229,31 @@ def whole_windows(docs: Iterator[pa.RecordBatch], tokenizer_path: str, tokens: T
         yield held
 
 
+def _dealt(docs: DataFrame, n_docs: int) -> tuple[DataFrame, int]:
+    """docs with at and shard (shard % ROUNDS: the round), and the number of shards of a round."""
+    shards = min(MOST_SHARDS, max(1, -(-n_docs // SHARD_DOCS)))
+    return docs.withColumn("at", F.xxhash64("doc_id", "text")).withColumn("shard", F.pmod("at", F.lit(shards * ROUNDS))), shards
+
+
+def last_round(docs: DataFrame, n_docs: int) -> DataFrame:
+    """The documents of the last round of training."""
+    return _dealt(docs, n_docs)[0].where(F.col("shard") % ROUNDS == ROUNDS - 1).select("doc_id", "text")
+
+
 def fit(docs: DataFrame, tokenizer_path: str, tokens: Tokens, n_docs: int) -> dict[str, np.ndarray]:
     """Weights learned from all of ``docs`` (doc_id, text; ``n_docs`` rows)."""
+    *_, weights = fit_rounds(docs, tokenizer_path, tokens, n_docs)
+    return weights
+
+
+def fit_rounds(docs: DataFrame, tokenizer_path: str, tokens: Tokens, n_docs: int) -> Iterator[dict[str, np.ndarray]]:
+    """Weights before the first round of training and after each."""
     windows = training_windows(docs, tokenizer_path, tokens)
     first = attention.init(KINDS)
+    occurring = tokens.counts.reshape(attention.CLASSES, _SLOTS) + 0.1
+    occurring[0, _END] += n_docs
+    first["out_bias"] = np.log(occurring.sum(1) / occurring.sum()).astype(np.float32)
+    first["slot_bias"] = np.log(occurring / occurring.sum(1, keepdims=True)).astype(np.float32)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,8 +262,8 @@ def fit(docs: DataFrame, tokenizer_path: str, tokens: Tokens, n_docs: int) -> di
     chosen = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_DOCS)
     sample = docs.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(collect, "window binary").collect()
     started = attention.train(first, [np.frombuffer(x, "<i4") for x in sorted(bytes(r["window"]) for r in sample)], tokens.kinds, KINDS - 1, START_RATE, epochs=START_EPOCHS)
-    shards = min(MOST_SHARDS, max(1, -(-n_docs // SHARD_DOCS)))
-    dealt = docs.withColumn("at", F.xxhash64("doc_id", "text")).withColumn("shard", F.pmod("at", F.lit(shards * ROUNDS)))
+    yield started
+    dealt, shards = _dealt(docs, n_docs)
 
     def round_of(weights: dict[str, np.ndarray]):
         def texts_of(batches: Iterator[pa.RecordBatch]):
@@ -266,7 +294,7 @@ def fit(docs: DataFrame, tokenizer_path: str, tokens: Tokens, n_docs: int) -> di
         parts = sorted(grouped.applyInArrow(average, "part long, n long, weights binary").collect(), key=lambda r: r["part"])
         if total := sum(r["n"] for r in parts):
             started = attention.unflat(sum(r["n"] / total * np.frombuffer(r["weights"], np.float32).astype(np.float64) for r in parts), started)
-    return started
+        yield started
 
 
 def _stretches(values: np.ndarray) -> list[tuple[int, int]]:
@@ -279,73 +307,124 @@ def attachment(counts: np.ndarray) -> np.ndarray:
     return np.log((counts[1:] + 0.1) / (counts[1] + counts[2] + 0.2)).astype(np.float32)
 
 
-def score_texts(docs: DataFrame, params: dict[str, np.ndarray], tokenizer_path: str, tokens: Tokens, attach: np.ndarray, head: dict[bytes, tuple[int, float]], n_train: int, n_kinds: int) -> DataFrame:
-    """row (unique), doc_id, n_tokens, known (of the head), base (natural log, of the head and the end), rest (other words, with keys of their ids), score (natural log, without the spelling of the rest)."""
+def score_texts(docs: DataFrame, params: dict[str, np.ndarray], tokenizer_path: str, tokens: Tokens, attach: np.ndarray, head: dict[bytes, tuple[int, float]], n_train: int, n_kinds: int, shares: np.ndarray, held_in: bool = False) -> DataFrame:
+    """row (unique), doc_id, n_tokens, known (of the head), and natural logs: base (of the head and the end), model (without the spelling of the rest), mixed (of the head and the end,
+    for each row of ``shares``, which has a column for each of ``GATES``, and each gate); rest (other words, with keys of their ids, their gate and the model's log without spelling).
+
+    held_in: words are mixed as if they had occurred once less, as words of training texts.
+    """
     floor = math.log(n_train + 0.1 * (n_kinds + 1))
     logs = {w: math.log(n + 0.1) - floor for w, (n, _) in head.items()}
     spelling = {w: x for w, (_, x) in head.items()}
-    end_log, end_known = logs.get(b"", math.log(0.1) - floor), int(b"" in head)
+    unseen, own, other = math.log(0.1) - floor, np.log(shares), np.log1p(-shares)
+    end_log, end_known = logs.get(b"", unseen), int(b"" in head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, row = word_ids(tokenizer_path), TaskContext.get().partitionId() << 33
+        words, row, closing = word_ids(tokenizer_path), TaskContext.get().partitionId() << 33, closing_ids(tokenizer_path)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
             split = [t.translate(_LOWER).split() for t in texts]
-            known, base, rest, spelled = [], [], [], []
-            for ws in split:
-                got = list(map(logs.get, ws))
-                other = [w for w, x in zip(ws, got) if x is None]
-                rest.append(other)
-                spelled.append(math.fsum(map(spelling.get, ws, repeat(0.0))))
-                known.append(len(ws) - len(other) + end_known)
-                base.append(math.fsum(x for x in got if x is not None) + end_log)
-            own = [s if b"<|" not in t else lowered(t).split() for s, t in zip(split, texts)]
-            words.learn({w for ws in (*own, *split) for w in ws})
-            keyed = [[{"word": w, "key": k} for w, k in zip(ws, _ids_key(words, ws))] for ws in rest]
-            scores: list[float] = []
+            encoded = [s if b"<|" not in t else lowered(t).split() for s, t in zip(split, texts)]  # the same words, but for their case
+            words.learn({w for ws in (*encoded, *split) for w in ws})
+            models: list[np.ndarray] = []
             at = 0
-            while at < len(own):
+            while at < len(split):
                 upto, size = at, 0
-                while upto < len(own) and (size == 0 or size + len(own[upto]) < 60_000):
-                    size += len(own[upto]) + 1
+                while upto < len(split) and (size == 0 or size + len(split[upto]) < 60_000):
+                    size += len(split[upto]) + 1
                     upto += 1
-                places = [words.places(ws) for ws in own[at:upto]]
-                scores += [x + y for x, y in zip(_scores(params, [words.ids(p) for p in places], tokens), _attached(words, places, attach, closing_ids(tokenizer_path)))]
+                models += _word_scores(params, words, [words.places(ws) for ws in encoded[at:upto]], tokens, attach, closing)
                 at = upto
-            scores = [x + y for x, y in zip(scores, spelled)]
+            known, base, rest, mixed = [], [], [], []
+            for ws, model in zip(split, models):
+                counted = np.fromiter(map(logs.get, ws, repeat(math.nan)), np.float64, len(ws))
+                model[:-1] += np.fromiter(map(spelling.get, ws, repeat(0.0)), np.float64, len(ws))
+                gate = np.searchsorted(GATES, np.arange(len(ws) + 1), "right") - 1
+                outside = np.flatnonzero(np.isnan(counted))
+                rare = [ws[i] for i in outside.tolist()]
+                rest.append([{"word": w, "key": k, "gate": g, "model": x} for w, k, g, x in zip(rare, _ids_key(words, rare), gate[outside].tolist(), model[outside].tolist())])
+                counted = np.append(counted, end_log)
+                inside = np.flatnonzero(~np.isnan(counted))
+                known.append(len(inside) - 1 + end_known)
+                base.append(math.fsum(counted[inside].tolist()))
+                counted, found, gate = counted[inside], model[inside], gate[inside]
+                if held_in:
+                    n = np.maximum(np.exp(counted + floor) - 1.1, 0)
+                    counted = np.log(n + 0.1) - floor + np.where(n < 0.5, found, 0)
+                elif not end_known:
+                    counted[-1] += found[-1]
+                both = np.logaddexp(own[:, gate] + counted, other[:, gate] + found)
+                mixed.append(np.stack([np.bincount(gate, x, len(GATES)) for x in both]).ravel())
             n = len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), ids, pa.array([len(ws) + 1 for ws in split], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(keyed, pa.list_(pa.struct([("word", pa.binary()), ("key", pa.int64())]))), pa.array(scores, pa.float64())], names=["row", "doc_id", "n_tokens", "known", "base", "rest", "score"])
+            model = [float(x.sum()) for x in models]
+            keyed = pa.array(rest, pa.list_(pa.struct([("word", pa.binary()), ("key", pa.int64()), ("gate", pa.int32()), ("model", pa.float64())])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), ids, pa.array([len(ws) + 1 for ws in split], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), pa.array(mixed, pa.list_(pa.float64())), keyed], names=["row", "doc_id", "n_tokens", "known", "base", "model", "mixed", "rest"])
             row += n
 
-    return docs.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, rest array<struct<word:binary,key:long>>, score double")
+    return docs.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, model double, mixed array<double>, rest array<struct<word:binary,key:long,gate:int,model:double>>")
 
 
-def _attached(words, places: list[np.ndarray], attach: np.ndarray, closing: np.ndarray) -> list[float]:
-    """Natural log probability of where white space stands in each text."""
+def _word_scores(params: dict[str, np.ndarray], words, places: list[np.ndarray], tokens: Tokens, attach: np.ndarray, closing: np.ndarray) -> list[np.ndarray]:
+    """The model's natural log of each word of each text, where white space stands included, and of the text's end."""
+    ids = [words.ids(p) for p in places]
     out = []
-    for p in places:
-        ids, begins = words.ids(p), _begins(words.size[p])
-        out.append(float(attach[0, ids[begins]].sum(dtype=np.float64) + attach[1, ids[_attachable(ids, begins, closing)]].sum(dtype=np.float64)))
+    for p, i, logs in zip(places, ids, _scores(params, ids, tokens)):
+        begins = _begins(words.size[p])
+        logs[:-1] += tokens.inside[i]
+        logs[:-1] += np.where(begins, attach[0, i], np.where(_attachable(i, begins, closing), attach[1, i], 0))
+        upto = np.append(0, np.cumsum(logs))
+        ends = np.append(0, np.cumsum(words.size[p]))
+        out.append(np.append(upto[ends[1:]] - upto[ends[:-1]], logs[-1]))
     return out
 
 
-def _scores(params: dict[str, np.ndarray], ids: list[np.ndarray], tokens: Tokens) -> list[float]:
-    """Natural log probability of each text, its end included."""
+def _scores(params: dict[str, np.ndarray], ids: list[np.ndarray], tokens: Tokens) -> list[np.ndarray]:
+    """Natural log probability of each token of each text and of its end."""
     sequences = [np.append(tokens.token[x], _END).astype(np.int32) for x in ids]
     inputs, targets, first, used = attention.blocks_of(sequences, tokens.kinds, KINDS - 1)
     out = np.empty(targets.shape, np.float64)
     for b in range(0, len(inputs), _BLOCKS):
         before = int(b > 0)  # the block before is context only
         out[b : b + _BLOCKS] = attention.log_probabilities(params, inputs[b - before : b + _BLOCKS], targets[b - before : b + _BLOCKS], first[b - before : b + _BLOCKS])[before:]
-    out[~used] = 0
-    starts = np.flatnonzero(first)
-    return [float(x) + float(tokens.inside[i].sum(dtype=np.float64)) for x, i in zip(np.add.reduceat(out.sum(1), starts), ids)]
+    return np.split(out[used], np.cumsum([len(x) for x in sequences])[:-1])
+
+
+def _with_rest(scored: DataFrame, words: DataFrame, kinds: DataFrame, n_train: int, n_kinds: int, shares: np.ndarray, held_in: bool = False) -> DataFrame:
+    """What the words beyond the head add to the rows of ``scored``: row, known_rest, base_rest, spelled_rest, mixed_rest (as ``mixed``)."""
+    floor = F.lit(math.log(n_train + 0.1 * (n_kinds + 1)))
+    rest = scored.select("row", F.explode("rest").alias("w")).select("row", "w.word", "w.key", "w.gate", "w.model").join(words, "word", "left").join(kinds, "key", "left")
+    n, spelled = F.coalesce("n", F.lit(0)), F.coalesce("spelled", _share(F.lit(0)))
+    model, once_less = F.col("model") + spelled, F.greatest(n - 1, F.lit(0)) if held_in else n
+    counted = F.log(once_less + F.lit(0.1)) - floor + F.when(once_less > 0, 0.0).otherwise(model)
+
+    def mixed(share: float) -> Column:
+        a, b = counted + math.log(share), model + math.log1p(-share)
+        return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
+
+    sums = [F.sum(F.when(F.col("gate") == g, mixed(float(x)))) for row in shares for g, x in enumerate(row)]
+    return rest.groupBy("row").agg(F.count_if(n > 0).alias("known_rest"), F.sum(F.log(n + F.lit(0.1)) - floor).alias("base_rest"), F.sum(spelled).alias("spelled_rest"), F.array(*[F.coalesce(x, F.lit(0.0)) for x in sums]).alias("mixed_rest"))
+
+
+def _mixed(joined: DataFrame) -> DataFrame:
+    """mixed with the part of the rest, if a text has any."""
+    return joined.withColumn("mixed", F.when(F.col("mixed_rest").isNull(), F.col("mixed")).otherwise(F.zip_with("mixed", "mixed_rest", lambda a, b: a + b)))
+
+
+def best_shares(scored: DataFrame, rest: DataFrame, shares: np.ndarray) -> np.ndarray:
+    """One row of shares: for each gate, that of the largest sum over all texts."""
+    sums = _mixed(scored.select("row", "mixed").join(rest.select("row", "mixed_rest"), "row", "left")).select(F.posexplode("mixed").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()
+    total = np.zeros(shares.size)
+    for r in sums:
+        total[r["at"]] = round(r["x"], 6)
+    return shares[total.reshape(shares.shape).argmax(0), np.arange(shares.shape[1])][None, :]
 
 
 def score_documents(docs: DataFrame, training: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10): a row for each row of ``docs``.
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score, model_score (log10): a row for each row of ``docs``.
 
-    The model and the base learn from ``training``.  Null and empty texts are the end alone.  Null ids stay null;
+    score: of the attention and the counts mixed; model_score: of the attention alone.
+
+    The model, the base and their shares learn from ``training``.  Null and empty texts are the end alone.  Null ids stay null;
     repeated rows stay repeated.  Empty training data: every count is 0.  An empty table gives an
     empty table; other columns are ignored.
     """
@@ -358,19 +437,20 @@ def score_documents(docs: DataFrame, training: DataFrame, tokenizer_path: str, i
     size = load_tokenizer(tokenizer_path).get_vocab_size()
     found = id_counts(counts, tokenizer_path, size)
     tokens, attach = Tokens(found[0]), attachment(found)
-    params = fit(training, tokenizer_path, tokens, int(counts.where("word = X''").agg(F.sum("n")).first()[0] or 0))
-    scored = written(score_texts(docs, params, tokenizer_path, tokens, attach, head, n_train, n_kinds), "scored")
-    rest = scored.select("row", F.explode("rest").alias("w")).groupBy("w.word", "w.key", "row").agg(F.count(F.lit(1)).alias("times"))
-    floor = math.log(n_train + 0.1 * (n_kinds + 1))
-    rest = rest.join(words, "word", "left").join(kinds, "key", "left")
-    base, spelled = F.log(F.coalesce("n", F.lit(0)) + F.lit(0.1)) - F.lit(floor), F.coalesce("spelled", _share(F.lit(0)))
-    rest = rest.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known_rest"), F.sum(F.col("times") * base).alias("base_rest"), F.sum(F.col("times") * spelled).alias("spelled_rest"))
-    out = scored.drop("rest").join(rest, "row", "left")
-    log10 = lambda x, more: ((F.col(x) + F.coalesce(more, F.lit(0.0))) / math.log(10)).alias
-    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("known_rest", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), log10("base", "base_rest")("base_score"), log10("score", "spelled_rest")("score"))
+    n_docs = int(counts.where("word = X''").agg(F.sum("n")).first()[0] or 0)
+    *_, before, params = fit_rounds(training, tokenizer_path, tokens, n_docs)
+    tried = np.repeat(np.array(SHARES)[:, None], len(GATES), 1)
+    held = written(score_texts(last_round(training, n_docs), before, tokenizer_path, tokens, attach, head, n_train, n_kinds, tried, held_in=True), "held")
+    shares = best_shares(held, _with_rest(held, words, kinds, n_train, n_kinds, tried, held_in=True), tried)
+    discard(counts, held)
+    scored = written(score_texts(docs, params, tokenizer_path, tokens, attach, head, n_train, n_kinds, shares), "scored")
+    out = _mixed(scored.drop("rest").join(_with_rest(scored, words, kinds, n_train, n_kinds, shares), "row", "left"))
+    log10 = lambda x, more: ((x + F.coalesce(more, F.lit(0.0))) / math.log(10)).alias
+    score = F.aggregate("mixed", F.lit(0.0), lambda a, x: a + x) / math.log(10)
+    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("known_rest", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), log10(F.col("base"), "base_rest")("base_score"), score.alias("score"), log10(F.col("model"), "spelled_rest")("model_score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = score_documents(docs, docs.where(id_hash() % 10 != 0), vocabulary("word_bpe_49k.json"))
-    return scored.select("doc_id", (id_hash() % 10 == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", (id_hash() % 10 == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "model_score")

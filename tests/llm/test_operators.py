@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import re
 import unicodedata
@@ -13,6 +14,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cuemill.llm import attention, components, decontamination, jaccard_join, license_scans, lm_scoring, packing, quality_classifier, quality_rules, substring_dedup, token_counts, url_filters
 from cuemill.llm.common import prepare
@@ -584,12 +586,15 @@ def test_lm_scoring(docs, none):
     assert lm_scoring.score_documents(none, none, WORDS).count() == 0
 
 
-def test_lm_score_is_that_of_a_naive_loop(docs):
-    """The text's probability token by token: model, share of the id in its token, attachment and spelling."""
+def test_lm_score_is_that_of_a_naive_loop(docs, monkeypatch):
+    """The text's probability token by token: model, share of the id in its token, attachment and spelling; then word by word, mixed with the counts."""
     training = [(i, t) for i, t, *_ in corpus() if i is not None and i % 5]
-    got = {}
+    got, chosen, best = {}, [], lm_scoring.best_shares
+    monkeypatch.setattr(lm_scoring, "best_shares", lambda *a: chosen.append(best(*a)) or chosen[-1])
     for r in lm_scoring.score_documents(docs, docs.where("doc_id % 5 <> 0"), WORDS).collect():
-        got.setdefault(r["doc_id"], set()).add(round(r["score"], 2))
+        got.setdefault(r["doc_id"], set()).add((round(r["model_score"], 2), round(r["score"], 2)))
+    all_counts = Counter(w for _, t in training for w in [*words_of(lower(t or "")), ""])
+    floor = math.log(sum(all_counts.values()) + 0.1 * (len(all_counts) + 1))
     tokenizer, counts = load_tokenizer(WORDS), Counter()
     for _, t in training:
         counts.update(words_of(lower(t or "")))
@@ -615,21 +620,64 @@ def test_lm_score_is_that_of_a_naive_loop(docs):
         if "<|" in (text or ""):
             continue  # special strings are ids of their own
         sequence = [*tokens.token[ids].tolist(), lm_scoring._END]
-        total = float(tokens.inside[ids].sum(dtype=np.float64)) if ids else 0.0
+        by_token = []
         for k, target in enumerate(sequence):  # one place at a time, from the window of its block and the one before
             begin = max(0, (k // attention.BLOCK - 1) * attention.BLOCK)
             x = attention.blocks_of([np.array(sequence[begin : k + 1], np.int32)], tokens.kinds, lm_scoring.KINDS - 1)
             if begin:
                 x[0][0, 0] = tokens.kinds[sequence[begin - 1]]
-            total += float(attention.log_probabilities(params, x[0], x[1], x[2])[x[3]][-1])
-        for w in words:
-            own = ids_of(w)
+            by_token.append(float(attention.log_probabilities(params, x[0], x[1], x[2])[x[3]][-1]))
+        mixed, whole, at = 0.0, 0.0, 0
+        for place, w in enumerate([*words, ""]):
+            own = ids_of(w) if w else []
+            total = sum(by_token[at : at + len(own)]) + sum(float(tokens.inside[i]) for i in own) if w else by_token[-1]
+            at += len(own)
             for k, i in enumerate(own):
                 if k == 0 or own[k - 1] in closes:
                     total += math.log(((begins if k == 0 else attached)[i] + 0.1) / (begins[i] + attached[i] + 0.2))
             known = forms.get(tuple(own), [])
-            total += math.log((counts[w] + 0.1) / (sum(known) + 0.1 * (len(known) + 1)))
-        assert any(abs(total / math.log(10) - x) < 0.02 + 1e-4 * abs(x) for x in got[doc]), (doc, total / math.log(10), got[doc])
+            total += math.log((counts[w] + 0.1) / (sum(known) + 0.1 * (len(known) + 1))) if w else 0.0
+            share = chosen[0][0, max(g for g, least in enumerate(lm_scoring.GATES) if place >= least)]
+            counted = math.log(all_counts[w] + 0.1) - floor + (0.0 if all_counts[w] else total)
+            mixed += np.logaddexp(math.log(share) + counted, math.log1p(-share) + total)
+            whole += total
+        near = lambda x, y: abs(x / math.log(10) - y) < 0.02 + 1e-4 * abs(y)
+        assert any(near(whole, x) and near(mixed, y) for x, y in got[doc]), (doc, whole / math.log(10), mixed / math.log(10), got[doc])
+
+
+def test_lm_shares_are_the_best_and_words_beyond_the_head_count_as_others(docs, monkeypatch):
+    training, held, frequent, best = docs.where("doc_id % 5 <> 0"), [], lm_scoring.frequent_words, lm_scoring.best_shares
+
+    def kept_shares(scored, rest, shares):
+        sums = np.array([r["mixed"] for r in lm_scoring._mixed(scored.select("row", "mixed").join(rest.select("row", "mixed_rest"), "row", "left")).collect()]).sum(0)
+        out = best(scored, rest, shares)
+        sums = sums.reshape(shares.shape)
+        assert all(sums[list(shares[:, g]).index(out[0, g]), g] >= sums[:, g].max() - 1e-5 for g in range(shares.shape[1]))
+        held.append(out.tolist())
+        return out
+
+    monkeypatch.setattr(lm_scoring, "best_shares", kept_shares)
+    of = lambda: sorted((str(r["doc_id"]), r["n_known"], round(r["base_score"], 4), round(r["model_score"], 3), round(r["score"], 3)) for r in lm_scoring.score_documents(docs, training, WORDS).collect())
+    whole = of()
+    monkeypatch.setattr(lm_scoring, "frequent_words", lambda counts: frequent(counts, 12))
+    small = of()
+    assert held[0] == held[1] and len(whole) == len(small)
+    assert all(a[:2] == b[:2] and np.allclose(a[2:], b[2:], atol=0.01) for a, b in zip(whole, small))
+
+
+@pytest.mark.parametrize("sf", ["0.01", pytest.param("0.1", marks=pytest.mark.skipif("LM_WHOLE" not in os.environ, reason="takes minutes: set LM_WHOLE"))])
+def test_lm_beats_its_base_on_documents_held_out(spark, sf):
+    sums = {r["held_out"]: r for r in lm_scoring.query(spark, f"/root/testdata/sf{sf}").groupBy("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).collect()}
+    assert all(r["score"] > r["base"] for r in sums.values()), sums
+
+
+def test_lm_of_an_empty_training_table_and_odd_texts(spark, docs, none):
+    got = lm_scoring.score_documents(docs, none, WORDS).collect()
+    assert len(got) == docs.count() and all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) and r["score"] < 0 for r in got)
+    odd = spark.createDataFrame([(1, "<|endoftext|> One two <|startoftext|>three"), (2, " ".join(["one two three four"] * 40_000)), (3, "\u00a0\u2003 x \u200b"), (None, None)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in lm_scoring.score_documents(odd, docs, WORDS).collect()}
+    assert {k: r["n_tokens"] for k, r in rows.items()} == {1: 5, 2: 160_001, 3: 4, None: 1}
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows.values())
 
 
 def test_lm_scores_do_not_hang_on_partitions(docs):
