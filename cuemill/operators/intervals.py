@@ -121,21 +121,29 @@ def filter_silent_entries(cues: DataFrame, speech: DataFrame, share: float = 0.1
     return silence_measures(cues, speech).join(spoken, "media_id", "left").where(F.col("spoken").isNull() | F.coalesce(_is_noise(ratio), F.lit(False)) | enough).select(*cues.columns)
 
 
-def remove_silent_entries(cues: DataFrame, speech: DataFrame, share: float = 0.1, least_ms: float = 120, short_ms: float = 1200, enabled: bool = True) -> DataFrame:
-    """Entries, cut at the next one's start, that are short or have enough speech; media without speech pass unchanged."""
-    if not enabled:
-        return cues
+def mark_silent_entries(cues: DataFrame, speech: DataFrame, share: float = 0.1, least_ms: float = 120, short_ms: float = 1200, spoken: Column | None = None) -> DataFrame:
+    """cues, cut at the next one's start, with silent: long ones without enough speech.  Media without speech: unchanged, none silent.
+
+    spoken: whether a row's medium has speech, if the rows tell; speech is then read once.
+    """
     order = Window.partitionBy("media_id").orderBy("entry_index", "pos")
     following = F.lead("start_ms").over(order)
     end = F.when(F.col("end_ms") > following, F.greatest("start_ms", following)).otherwise(F.col("end_ms"))
-    spoken = speech.select("media_id").distinct().withColumn("spoken", F.lit(True))
-    cut = cues.join(spoken, "media_id", "left").withColumn("cut", end)
+    if spoken is None:
+        cut = cues.join(speech.select("media_id").distinct().withColumn("spoken", F.lit(True)), "media_id", "left").withColumn("spoken", F.col("spoken").isNotNull())
+    else:
+        cut = cues.withColumn("spoken", spoken)
+    cut = cut.withColumn("cut", end)
     cut = cut.withColumn("cut", F.when(F.col("cut") <= F.col("start_ms"), F.col("start_ms") + 1).otherwise(F.col("cut")))
     cut = cut.withColumn("end_ms", F.when(F.col("spoken"), F.col("cut")).otherwise(F.col("end_ms"))).drop("cut")
-    measured = with_overlap(cut, speech)
     whole = F.col("end_ms") - F.col("start_ms")
-    keep = F.col("spoken").isNull() | (whole < short_ms) | (F.col("overlap_ms") >= F.greatest(F.lit(float(least_ms)), whole * share))
-    return measured.where(keep).select(*cues.columns)
+    keep = ~F.col("spoken") | (whole < short_ms) | (F.col("overlap_ms") >= F.greatest(F.lit(float(least_ms)), whole * share))
+    return with_overlap(cut, speech).select(*cues.columns, (~F.coalesce(keep, F.lit(False))).alias("silent"))
+
+
+def remove_silent_entries(cues: DataFrame, speech: DataFrame, share: float = 0.1, least_ms: float = 120, short_ms: float = 1200, enabled: bool = True) -> DataFrame:
+    """Entries, cut at the next one's start, that are short or have enough speech; media without speech pass unchanged."""
+    return mark_silent_entries(cues, speech, share, least_ms, short_ms).where("NOT silent").drop("silent") if enabled else cues
 
 
 def boundary_score(target: Column, boundary: Column, s: Column, e: Column) -> Column:

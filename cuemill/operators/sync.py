@@ -319,28 +319,31 @@ def prepared_speech(speech: DataFrame, config: SyncConfig = SyncConfig()) -> Dat
     return intervals.filter_short_segments(intervals.merge_close_segments(intervals.valid_segments(speech), config.merge_gap_ms), config.min_speech_ms)
 
 
-def _retimed(cues: DataFrame, speech: DataFrame, c: SyncConfig) -> DataFrame:
+def _retimed(cues: DataFrame, speech: DataFrame, c: SyncConfig, keep_silent: bool = False) -> DataFrame:
     """Cues after the removal of silent ones and the snapping of chunks, with what the statistics count.
 
-    media_id, pos, entry_index, start_ms, end_ms, text, vad_segments (null: no speech, the row is as it came), fresh
-    (first of a chunk), corrected (the chunk moved).  One set of rows goes through: a row carries what it needs to the
+    media_id, pos, entry_index, start_ms, end_ms, text, vad_segments (null: no speech, the row is as it came), silent (kept if
+    ``keep_silent``, apart from the others), fresh (first of a chunk), corrected (the chunk moved).  One set of rows goes through: a row carries what it needs to the
     next step, so that nothing is computed twice and joined back.
     """
     segments = prepared_speech(speech, c)
     rows = cues.select("media_id", "pos", *_ENTRY).join(segments.groupBy("media_id").agg(F.count("*").alias("vad_segments")), "media_id", "left")
     if c.remove_silent_entries:
-        rows = intervals.remove_silent_entries(rows, segments, c.min_coverage_ratio, c.min_coverage_ms, c.min_silence_entry_ms)
-    w = Window.partitionBy("media_id").orderBy("pos")
+        rows = intervals.mark_silent_entries(rows, segments, c.min_coverage_ratio, c.min_coverage_ms, c.min_silence_entry_ms, F.col("vad_segments").isNotNull())
+        rows = rows if keep_silent else rows.where("NOT silent")
+    else:
+        rows = rows.withColumn("silent", F.lit(False))
+    w = Window.partitionBy("media_id", "silent").orderBy("pos")
     rows = rows.withColumns({"before": F.lag("end_ms").over(w), "after": F.lead("start_ms").over(w)})
     opens = F.coalesce(F.col("start_ms") - F.col("before") > c.gap_threshold_ms, F.lit(True)) if c.chunk_mode == "grouped" else F.lit(True)
     rows = rows.withColumn("fresh", opens).withColumn("chunk_id", F.sum(F.col("fresh").cast("int")).over(w))
-    whole = Window.partitionBy("media_id", "chunk_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = Window.partitionBy("media_id", "silent", "chunk_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     entry = F.struct(*_ENTRY)
     rows = rows.withColumns({"c_start": F.first("start_ms").over(whole), "c_end": F.last("end_ms").over(whole), "before": F.first("before").over(whole), "after": F.last("after").over(whole), "as_first": entry.eqNullSafe(F.first(entry).over(whole)), "as_last": entry.eqNullSafe(F.last(entry).over(whole))})
     # both boundaries of a chunk are searched in one join, from its first row
     width = max(intervals.BUCKET_MS, 2 * (c.lookback_start_ms + c.lookahead_start_ms), 2 * (c.lookback_end_ms + c.lookahead_end_ms))
     near = lambda at, back, ahead: F.sequence(F.floor((F.col(at) - back) / width), F.floor((F.col(at) + ahead) / width))
-    wanted = F.when(F.col("fresh") & F.col("vad_segments").isNotNull(), F.array_union(near("c_start", c.lookback_start_ms, c.lookahead_start_ms), near("c_end", c.lookback_end_ms, c.lookahead_end_ms)))
+    wanted = F.when(F.col("fresh") & ~F.col("silent") & F.col("vad_segments").isNotNull(), F.array_union(near("c_start", c.lookback_start_ms, c.lookahead_start_ms), near("c_end", c.lookback_end_ms, c.lookahead_end_ms)))
     a = rows.select(F.struct(*rows.columns).alias("row"), "media_id", "pos", "c_start", "c_end", F.explode_outer(wanted).alias("bucket")).alias("a")
     b = segments.select("media_id", "seg_id", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.explode(F.sequence(F.floor(F.col("start_ms") / width), F.floor(F.greatest("start_ms", "end_ms") / width))).alias("bucket")).alias("b")
     at_start = (F.col("e") >= F.col("c_start") - c.lookback_start_ms) & (F.col("s") <= F.col("c_start") + c.lookahead_start_ms)
@@ -363,7 +366,7 @@ def _retimed(cues: DataFrame, speech: DataFrame, c: SyncConfig) -> DataFrame:
         start, end = (F.when(F.col("c_end") > F.col("c_start"), F.col("new_start") + (F.col(x) - F.col("c_start")) * scale).otherwise(F.col(x)) for x in ("start_ms", "end_ms"))
     spoken = F.col("vad_segments").isNotNull()
     corrected = (F.abs(F.col("new_start") - F.col("c_start")) > 1) | (F.abs(F.col("new_end") - F.col("c_end")) > 1)
-    return found.select("media_id", "pos", "entry_index", F.when(spoken, start).otherwise(F.col("start_ms")).alias("start_ms"), F.when(spoken, end).otherwise(F.col("end_ms")).alias("end_ms"), "text", "vad_segments", "fresh", (F.col("fresh") & corrected).alias("corrected"))
+    return found.select("media_id", "pos", "entry_index", F.when(spoken, start).otherwise(F.col("start_ms")).alias("start_ms"), F.when(spoken, end).otherwise(F.col("end_ms")).alias("end_ms"), "text", "vad_segments", "silent", "fresh", (F.col("fresh") & corrected).alias("corrected"))
 
 
 def sync_pipeline(cues: DataFrame, speech: DataFrame, config: SyncConfig = SyncConfig()) -> DataFrame:
@@ -377,15 +380,12 @@ def sync_pipeline(cues: DataFrame, speech: DataFrame, config: SyncConfig = SyncC
 
 def sync_stats(cues: DataFrame, speech: DataFrame, config: SyncConfig = SyncConfig()) -> DataFrame:
     """A row for each medium: status, entries, chunks, vad_segments, corrections, overlaps_fixed, silent_removed."""
-    order = Window.partitionBy("media_id").orderBy("entry_index", "pos")
-    rows = _retimed(cues, speech, config).withColumn("over", F.lag("end_ms").over(order) > F.col("start_ms"))
-    counts = rows.groupBy("media_id").agg(F.count("*").alias("left"), F.max("vad_segments").alias("segments"), F.count_if("fresh").alias("opened"), F.count_if("corrected").alias("moved"), F.count_if("over").alias("over"))
-    before = cues.groupBy("media_id").agg(F.count("*").alias("n_before"))
-    spoken = prepared_speech(speech, config).groupBy("media_id").agg(F.count("*").alias("spoken"))  # of media all of whose entries went, too
-    out = before.join(counts, "media_id", "left").join(spoken, "media_id", "left")
-    of = lambda x: F.when(F.col("spoken").isNotNull(), F.coalesce(x, F.lit(0))).otherwise(0).cast("long")
-    entries = F.when(F.col("spoken").isNull(), F.col("n_before")).otherwise(F.coalesce("left", F.lit(0))).cast("long")
-    return out.select("media_id", F.when(F.col("spoken").isNull(), "no_segments").otherwise("success").alias("status"), entries.alias("entries"), of("opened").alias("chunks"), of("spoken").alias("vad_segments"), of("moved").alias("corrections"), of("over").alias("overlaps_fixed"), (F.col("n_before") - entries).cast("long").alias("silent_removed"))
+    order = Window.partitionBy("media_id", "silent").orderBy("entry_index", "pos")
+    rows = _retimed(cues, speech, config, keep_silent=True).withColumn("over", F.lag("end_ms").over(order) > F.col("start_ms"))
+    left = ~F.col("silent")
+    counts = rows.groupBy("media_id").agg(F.max("vad_segments").alias("spoken"), F.count("*").alias("n_before"), F.count_if(left).alias("left"), *[F.count_if(left & F.col(x)).alias(x) for x in ("fresh", "corrected", "over")])
+    of = lambda x: F.when(F.col("spoken").isNotNull(), F.col(x)).otherwise(0).cast("long")
+    return counts.select("media_id", F.when(F.col("spoken").isNull(), "no_segments").otherwise("success").alias("status"), F.col("left").alias("entries"), of("fresh").alias("chunks"), of("spoken").alias("vad_segments"), of("corrected").alias("corrections"), of("over").alias("overlaps_fixed"), (F.col("n_before") - F.col("left")).alias("silent_removed"))
 
 
 def cleanup_pipeline(cues: DataFrame, speech: DataFrame, config: SyncConfig = SyncConfig()) -> DataFrame:

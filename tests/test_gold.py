@@ -215,6 +215,19 @@ def test_sync_plans_shuffle_little(spark):
     for name, most in (("sync_stats", 12), ("sync_pipeline", 12), ("filter_silent_entries", 8)):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count(" Exchange ") <= most, name
+        assert name == "filter_silent_entries" or plan.count("FileScan") <= 4, name
+
+
+def test_sync_stats_count_media_whose_entries_all_go(spark):
+    """Silent entries are counted, and split no chunk of the others; a medium may lose all, have no speech, or have entries without a time."""
+    made = [("gone", 0, 1, 0.0, 5000.0, "a"), ("gone", 1, 2, 6000.0, 9000.0, "b"), ("mute", 0, 1, 0.0, 5000.0, "c"), ("some", 0, 1, 0.0, 1000.0, "d"), ("some", 1, 2, 1100.0, 9000.0, "e"), ("some", 2, 3, 9000.0, 10000.0, "f"), ("some", 3, 4, None, None, "g")]
+    cue_rows = spark.createDataFrame(made, "media_id string, pos long, entry_index long, start_ms double, end_ms double, text string")
+    speech = spark.createDataFrame([("gone", 1, 60_000.0, 61_000.0), ("some", 1, 0.0, 1000.0), ("some", 2, 9000.0, 10_000.0)], "media_id string, seg_id long, start_ms double, end_ms double")
+    got = {r["media_id"]: (r["status"], r["entries"], r["chunks"], r["vad_segments"], r["silent_removed"]) for r in sync.sync_stats(cue_rows, speech).collect()}
+    kept = {r["media_id"]: r["n"] for r in sync.sync_pipeline(cue_rows, speech).groupBy("media_id").agg(F.count("*").alias("n")).collect()}
+    assert got["gone"] == ("success", 0, 0, 1, 2) and got["mute"] == ("no_segments", 1, 0, 0, 0)
+    assert got["some"][0] == "success" and got["some"][1] == kept["some"] == 2 and got["some"][3:] == (2, 2)
+    assert kept == {"mute": 1, "some": 2}
 
 
 def test_cue_files_round_trip(spark, tmp_path):
