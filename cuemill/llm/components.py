@@ -14,7 +14,7 @@ def _minima(links: DataFrame) -> DataFrame:
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """node, component (smallest node that can be reached) of all nodes of ``links`` (columns a, b).
+    """node, component (smallest node that can be reached) of all nodes of ``links`` (columns a, b); a table in the shared folder.
 
     Each round hangs every node's larger neighbours under its smallest one (large star), then
     its smaller ones (small star), until nothing changes; a round halves the depth of what is
@@ -27,7 +27,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
         if state == seen or not state["n"]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v")).groupBy("node").agg(F.min("component").alias("component"))
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v")).groupBy("node").agg(F.min("component").alias("component"))
+            out = written(out, "components")
+            discard(now)
+            return out
         seen = state
         both = now.union(now.select(F.col("v"), F.col("u")))
         large = both.join(_minima(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))

@@ -15,8 +15,12 @@ and b shingles with a Jaccard similarity of at least p percent differ in at most
   one shingle, which many documents share by chance, give no keys.  In bands of small sets
   linked sets agree in two or three blocks beyond those left out, and the keys are all choices of so many blocks.
 * **Verification.**  First, members of a bucket are checked against its smallest one, on the whole
-  sets, and components are formed.  Buckets that still hold several components are open.  There,
-  members are compared with those of other components by longer parity sketches, in blocks of
+  sets, and components are formed.  Buckets that still hold several components are open.  Of
+  crowded ones, members meet again only where they share one of their rarest shingles: linked sets have
+  ``percent`` of each set in common, so of the shingles of a set, in order of how many such members have them, the first ones beyond
+  that share hold one of the other's.  A passage that many documents share is frequent there and makes no pairs.
+  In what is left,
+  members are compared with those of other components by longer parity sketches, in chunks of
   bounded size: XOR-ing two sketches leaves no more bits than the sets differ in.  Pairs that the
   sketches allow are checked on the whole sets.
 
@@ -43,6 +47,8 @@ from .vocabularies import kept
 
 #: Members of an open bucket that are compared at a time with as many others.
 CHUNK = 1024
+#: Comparisons for each member from which on an open bucket is crowded.
+CROWDED = 1024
 #: Tables of one or two numbers a row are broadcast up to so many rows, 8 MB.
 BROADCAST_ROWS = 1 << 19
 #: Keys that a task holds before it hands them on.
@@ -254,7 +260,54 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     near = pairs.join(light("a"), "a").join(light("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(allowed, "a long, b long")
     near = written(near, "pairs")
-    return near.join(full("a"), "a").join(full("b"), "b").select("a", "b", "x_a", "x_b").mapInArrow(run, "a long, b long")
+    out = written(near.join(full("a"), "a").join(full("b"), "b").select("a", "b", "x_a", "x_b").mapInArrow(run, "a long, b long"), "verified")
+    discard(near)
+    return out
+
+
+def rarest_shared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """k1, doc, component: buckets of the members (doc, component) that share one of their rarest shingles; linked ones share some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
+        for batch in batches:
+            for doc, of, n, blob in zip(*(batch.column(c).to_pylist() for c in ("doc", "of", "n", "shingles"))):
+                shingles = np.frombuffer(blob, np.int64)
+                for i in range(0, n, 1 << 16):
+                    part = shingles[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(part), x, np.int64)) for x in (doc, of, n)), pa.array(part)], names=["doc", "of", "n", "shingle"])
+
+    own = sets.join(_small(members.select("doc").distinct()), "doc", "left_semi").select("doc", F.xxhash64("shingles").alias("of"), "n", "shingles").dropDuplicates(["doc", "of"])
+    shingles = own.mapInArrow(run, "doc long, of long, n long, shingle long")
+    shared = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    each = Window.partitionBy("doc", "of")
+    ranked = shingles.join(shared, "shingle").select("*", F.row_number().over(each.orderBy("df", "shingle")).alias("place"), F.count(F.lit(1)).over(each).alias("held"))
+    # those that nobody shares come first and make no bucket
+    first = ranked.where(f"n - held + place <= n - (n * {percent} + 99) div 100 + 1").select("doc", F.xxhash64(F.lit("rare"), "shingle").alias("k1")).distinct()
+    return first.join(members, "doc").select("k1", "doc", "component")
+
+
+def open_buckets(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """k1, doc, component, size: members of the buckets whose pairs are to be compared; and the tables that this reads.
+
+    members: k1, doc, component.  Buckets of one component have nothing to compare, and of a bucket of
+    two the only pair was checked before.  Members of crowded buckets, in which each would be compared ``CROWDED`` times or more, are put in buckets of
+    their rarest shingles instead; these are compared as they are, so no pair is lost.
+    """
+
+    def sized(rows: DataFrame, least: int) -> DataFrame:
+        own = rows.groupBy("k1", "component").agg(F.count(F.lit(1)).alias("own"))
+        size = own.groupBy("k1").agg(F.sum("own").alias("size"), (F.pow(F.sum("own"), F.lit(2)) / 2 - F.sum(F.pow("own", F.lit(2))) / 2).alias("across"))
+        return rows.join(size.where(f"across > 0 AND size >= {least}"), "k1").select("k1", "doc", "component", "size", "across")
+
+    first = written(sized(members, 3), "sized")
+    crowded = F.col("across") >= CROWDED * F.col("size")
+    heavy = first.where(crowded).select("doc", "component").distinct()
+    light = first.where(~crowded).drop("across")
+    if heavy.isEmpty():
+        return light, [first]
+    again = written(rarest_shared(heavy, sets, percent), "rare")
+    return light.union(sized(again, 2).drop("across")), [first, again]
 
 
 def _sketch_matrix(sketches: list[bytes], size: int) -> np.ndarray:
@@ -266,6 +319,8 @@ def _allowed_pairs(rows: dict[str, np.ndarray], sketches: list[bytes], keys: lis
 
     rows: group (sorted), k1, doc, component, part, across, n.  keys: of each row, its smallest keys.
     """
+    order = np.lexsort((rows["component"], rows["group"]))  # a row meets the components behind its own one
+    rows, sketches, keys = {c: x[order] for c, x in rows.items()}, [sketches[i] for i in order], [keys[i] for i in order]
     group, n, lengths = rows["group"], rows["n"], np.fromiter(map(len, sketches), np.int64, len(sketches))
     first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     shortest = np.repeat(np.minimum.reduceat(lengths, first), np.diff(np.append(first, len(group))))
@@ -273,14 +328,16 @@ def _allowed_pairs(rows: dict[str, np.ndarray], sketches: list[bytes], keys: lis
     for size in np.unique(shortest).tolist():
         at = np.flatnonzero(shortest == size)
         bits, own = _sketch_matrix([sketches[i] for i in at], size), group[at]
-        later = np.searchsorted(own, own, "right") - np.arange(len(at)) - 1  # rows of the group behind each one
+        last = np.flatnonzero(np.append((own[1:] != own[:-1]) | (rows["component"][at][1:] != rows["component"][at][:-1]), True))
+        behind = last[np.searchsorted(last, np.arange(len(at)))] + 1
+        later = np.searchsorted(own, own, "right") - behind  # rows of the group in other components behind each one
         upto = np.cumsum(later)
         for low in range(0, int(upto[-1]), PAIR_BYTES // size):  # so many pairs at a time, whatever the groups
             k = np.arange(low, min(low + PAIR_BYTES // size, int(upto[-1])))
             x = np.searchsorted(upto, k, "right")
-            y = x + 1 + k - (upto[x] - later[x])
+            y = behind[x] + k - (upto[x] - later[x])
             i, j = at[x], at[y]
-            ok = (rows["component"][i] != rows["component"][j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             ok &= ~rows["across"][i] | (rows["part"][i] != rows["part"][j])
             x, y, i, j = x[ok], y[ok], i[ok], j[ok]
             ok = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
@@ -295,7 +352,7 @@ def _allowed_pairs(rows: dict[str, np.ndarray], sketches: list[bytes], keys: lis
 def open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of a bucket, in different components, that sketches allow.
 
-    members: k1, doc, component.  Of a bucket of two the only pair was checked before.  Buckets are dealt into
+    members: k1, doc, component, size (rows of the bucket).  Buckets are dealt into
     chunks, and each two chunks of a bucket meet once: no task holds more than two chunks and some thousand rows besides.
     A pair is given out by the bucket of the smallest key that is known to hold both.
     """
@@ -327,9 +384,8 @@ def open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if held:
             yield found(pa.Table.from_batches(held))
 
-    size = members.groupBy("k1").agg(F.count(F.lit(1)).alias("size")).where("size > 2").select("k1", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    members = members.join(size, "k1")
-    lists = members.groupBy("doc").agg(F.slice(F.sort_array(F.collect_list("k1")), 1, KEYS_ALONG).alias("keys"))  # no more are collected than a set has buckets
+    members = members.withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
+    lists = members.groupBy("doc").agg(F.slice(F.sort_array(F.collect_set("k1")), 1, KEYS_ALONG).alias("keys"))  # no more are collected than a set has buckets
     dealt = members.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
     dealt = dealt.select("k1", "doc", "component", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     dealt = dealt.select("k1", "doc", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
@@ -363,7 +419,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     star = written(buckets.where("doc <> lo").select(F.col("lo").alias("a"), F.col("doc").alias("b")).distinct(), "star")
     wanted = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct()
     sets = written(shingle_sets(docs.join(_small(wanted), "doc_id", "left_semi"), width), "sets")
-    labels = written(connected_components(same.union(verified(star, sets, percent))), "components")
+    links = verified(star, sets, percent)
+    labels = connected_components(same.union(links))
+    discard(links)
     # a bucket all of whose members are linked to their smallest one is settled; one with a pair that isn't is open
     label = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
     apart = star.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(F.col("a").alias("lo"), F.col("b").alias("doc"))
@@ -374,13 +432,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     members = members.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("k1", "doc", F.coalesce("component", "doc").alias("component"))
     members = written(members, "members")
     discard(apart, still)
-    found = verified(open_pairs(members, sets, percent), sets, percent)
-    found = found.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    buckets, tables = open_buckets(members, sets, percent)
+    links = verified(open_pairs(buckets, sets, percent), sets, percent)
+    found = links.join(label("a"), "a", "left").join(label("b"), "b", "left")
     merged = written(found.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")), "links")
     if not merged.isEmpty():
-        old, labels = labels, written(connected_components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(merged)), "components")
+        old, labels = labels, connected_components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(merged))
         discard(old)
-    discard(rows, star, sets, members, merged)
+    discard(rows, star, sets, members, links, merged, *tables)
     out = each.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 

@@ -152,6 +152,41 @@ def test_jaccard_components(docs, none, width, percent):
     assert jaccard_join.jaccard_components(none, width, percent).count() == 0
 
 
+def test_crowded_buckets(spark, monkeypatch):
+    """1,500 documents share half of their words, so that their buckets are open and large; 30 have a near copy. No link is lost, and pairs compared fall."""
+    prepare(spark)
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randint(0, 200_000)}"
+    passage = [word() for _ in range(60)]
+    texts = {i: passage + [word() for _ in range(60)] for i in range(1500)}
+    for i in range(30):
+        copy = list(texts[50 * i + 7])
+        copy[-1] = "other"
+        texts[2000 + i] = copy
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(4)
+    compared = []
+    inner = jaccard_join.open_buckets
+
+    def watched(members, sets, percent):
+        before = members.groupBy("k1").count().selectExpr("sum(count * count)").first()[0]
+        out, tables = inner(members, sets, percent)
+        compared.append((before, out.groupBy("k1").count().selectExpr("sum(count * count)").first()[0] or 0))
+        return out, tables
+
+    monkeypatch.setattr(jaccard_join, "open_buckets", watched)
+    monkeypatch.setattr(jaccard_join, "CROWDED", 16)
+    got = jaccard_join.jaccard_components(docs, 3, 80)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: 50 * (i - 2000) + 7 if i >= 2000 else i for i in texts}
+    assert compared[0][0] > 100 * len(texts) and compared[0][1] < 20 * len(texts), compared
+
+
+@pytest.mark.parametrize("width,percent", [(3, 90), (1, 60)])
+def test_jaccard_components_with_every_open_bucket_crowded(docs, none, width, percent, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CROWDED", 0)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 2)
+    test_jaccard_components(docs, none, width, percent)
+
+
 def test_every_linked_pair_shares_a_key():
     rng = np.random.default_rng(0)
     for percent in (80, 90):
