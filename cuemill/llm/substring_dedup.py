@@ -17,8 +17,8 @@ stays, so nothing goes without one occurrence being left.
 
 Tasks read texts once.  A task keeps the earliest occurrence of what it has read for the
 shuffle and knows all others to be removed; so a digest of very many spans is no large group.
-Digests travel in packed columns, by ranges of digests; ranges are as many as the session's shuffle
-partitions, so that what a task holds follows from how the cluster is set up.
+Digests travel in packed columns, by ranges of digests; there is a range for every ``RANGE_BYTES`` of text, and
+one for every shuffle partition at least, so that what a task holds is bounded whatever the session's settings.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ from .vocabularies import kept
 MIN_WORDS, LINE_WORDS = 20, 5
 #: Spans that a task holds before it hands them on, and words whose hashes it remembers.
 HELD_SPANS, REMEMBERED = 1 << 19, 250_000
+#: Bytes of text whose digests make a range: some three million spans in running text.
+RANGE_BYTES = 128 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _STOP = np.isin(np.arange(256), list(b".!?"))
@@ -264,10 +266,14 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int
     Columns named like the ones used inside don't clash: the rows' own columns are held in one struct.  A column
     removed_units of ``docs`` gives way to the result's.
     """
-    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.withColumn("fp", F.xxhash64("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(partitions, -(-size // RANGE_BYTES))
     handed = span_rows(rows.where(F.length("text") > 0).select("doc", "fp", "text"), min_words, line_words, ranges)
+    if ranges > partitions:  # else Spark's own shuffle, which adaptive execution may coalesce
+        handed = handed.repartition(ranges, "bucket")
     gone = removed_spans(handed).groupBy("doc", "fp").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
     gone = gone.select(F.col("doc").alias("g_doc"), F.col("fp").alias("g_fp"), "gone")
     out = rows.join(gone, (F.coalesce("doc", F.lit(_NO_ID)) == F.col("g_doc")) & (F.col("fp") == F.col("g_fp")), "left")
