@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-The benchmark's items are the queries, in blocks of bounded size, against all documents:
+The benchmark's items are the queries, in blocks of bounded size, against all documents.  Documents are read once for the
+frequencies, and once for every ``BLOCKS`` blocks of items (6,400) that are searched:
 
-1. Document frequencies of the items' words over all documents.
+1. Document frequencies of all items' words over all documents.
 2. A randomised SVD of TF-IDF passages: ``(A'A)^2`` is applied to random vectors, each
    product summed by Spark over the passages of a bounded sample of documents and the items themselves.
 3. Every document falls into overlapping windows of a few sizes.  Windows and items are compared
@@ -17,6 +18,7 @@ The benchmark's items are the queries, in blocks of bounded size, against all do
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 from itertools import chain, repeat
 
 import numpy as np
@@ -24,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_and_text, map_texts, written
+from .common import discard, documents, id_and_text, map_texts, written
 from .license_scans import text_words
 
-#: Items that are searched at a time: bounds the vectors that tasks get.
-ITEMS = 400
+#: Items of a block, which have a latent space of their own, and blocks that one pass over the documents searches: together they bound the
+#: vectors that a task gets, some 3 MB a block.
+ITEMS, BLOCKS = 400, 16
 #: Length of a latent vector.
 DIM = 128
 #: Bound of the sample of documents whose passages the SVD is fitted on; all documents are searched.
@@ -263,52 +266,52 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     docs = id_and_text(docs, id_col, text_col)
     schema = "doc_id long, item_id long, cosine double, lcs long, item_words long, start long, answer boolean"
     numbered = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).distinct()
-    n_items = numbered.count()
-    blocks = max(1, -(-n_items // ITEMS))
-    sample = None
-    out = []
-    for block in range(blocks):
-        part = numbered if blocks == 1 else numbered.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
-        rows = sorted((r["item"], words) for r in part.where("text IS NOT NULL").collect() if (words := text_words(r["text"].encode())))
-        if not rows:
-            continue
-        if sample is None:
-            chosen = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
-            sample = written(docs.join(F.broadcast(chosen), "doc_id", "left_semi").coalesce(8), "fit")
-        out.append(_search(docs, sample, rows, schema, min_cosine))
-    if not out:  # an empty table without Python data, which would start workers of another kind
+    rows = sorted((r["item"], words) for r in numbered.where("text IS NOT NULL").collect() if (words := text_words(r["text"].encode())))
+    if not rows:  # an empty table without Python data, which would start workers of another kind
         return docs.sparkSession.range(0).select(*[F.lit(None).cast(x.split(" ")[1]).alias(x.split(" ")[0]) for x in schema.split(", ")])
-    result = out[0]
-    for x in out[1:]:
-        result = result.unionByName(x)
-    return result
-
-
-def _search(docs: DataFrame, sample: DataFrame, rows: list, schema: str, min_cosine: float) -> DataFrame:
-    item_ids, items = [r[0] for r in rows], [r[1] for r in rows]
-    df, n_docs = document_frequencies(docs, {w for x in items for w in x})
-    terms = Terms(items, df, n_docs)
-    vectors = fit_latent(sample, items, terms)
-    queries = np.stack([vectors[(y := terms.ids(x))[y >= 0]].sum(0) for x in items])
-    queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
-    least = max(1, min(4, min(int((terms.ids(x) >= 0).sum()) for x in items)))
-    sizes = list(WINDOW_SIZES)
-    while sizes[-1] < max(map(len, items)):
-        sizes.append(2 * sizes[-1])
-    overlaps = Overlaps(items, df, sizes)
+    n_blocks = -(-len(rows) // ITEMS)
+    blocks = [rows[i::n_blocks] for i in range(n_blocks)]
+    chosen = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
+    sample = written(docs.join(F.broadcast(chosen), "doc_id", "left_semi").coalesce(8), "fit")
+    df, n_docs = document_frequencies(docs, {w for _, words in rows for w in words})
+    found = [_search(docs, [Block(sample, x, df, n_docs) for x in blocks[i : i + BLOCKS]], schema, min_cosine) for i in range(0, n_blocks, BLOCKS)]
+    discard(sample)
+    return reduce(DataFrame.unionByName, found)
+
+
+class Block:
+    """What a task needs to search a block of items."""
+
+    def __init__(self, sample: DataFrame, rows: list[tuple[int, list[bytes]]], df: dict[bytes, int], n_docs: int):
+        self.item_ids, self.items = [r[0] for r in rows], [r[1] for r in rows]
+        words = {w for x in self.items for w in x}
+        df = {w: df[w] for w in words if w in df}
+        self.terms = Terms(self.items, df, n_docs)
+        self.vectors = fit_latent(sample, self.items, self.terms)
+        self.queries = np.stack([self.vectors[(y := self.terms.ids(x))[y >= 0]].sum(0) for x in self.items])
+        self.queries /= np.maximum(np.linalg.norm(self.queries, axis=1, keepdims=True), 1e-9)
+        self.least = max(1, min(4, min(int((self.terms.ids(x) >= 0).sum()) for x in self.items)))
+        sizes = list(WINDOW_SIZES)
+        while sizes[-1] < max(map(len, self.items)):
+            sizes.append(2 * sizes[-1])
+        self.overlaps = Overlaps(self.items, df, sizes)
+
+    def hits(self, ids: list, docs_words: list[list[bytes]], min_cosine: float):
+        for d, q, windows in candidates(docs_words, self.terms, self.vectors, self.queries, self.overlaps, self.least, min_cosine):
+            item, words = self.items[q], docs_words[d]
+            for cosine, size, first in windows:
+                low = max(0, first - len(item))
+                if hit := accepted(item, words[low : first + size + len(item)]):
+                    yield ids[d], self.item_ids[q], cosine, hit[0], len(item), low, hit[1]
+                    break
+
 
+def _search(docs: DataFrame, blocks: list[Block], schema: str, min_cosine: float) -> DataFrame:
     def make():
         def work(ids, texts):
             split = [text_words(t) for t in texts]
-            hits = []
-            for begin, end in _slices([len(w) for w in split]):
-                for d, q, windows in candidates(split[begin:end], terms, vectors, queries, overlaps, least, min_cosine):
-                    item, words = items[q], split[begin + d]
-                    for cosine, size, first in windows:
-                        low = max(0, first - len(item))
-                        if hit := accepted(item, words[low : first + size + len(item)]):
-                            hits.append((ids[begin + d], item_ids[q], cosine, hit[0], len(item), low, hit[1]))
-                            break
+            slices = list(_slices([len(w) for w in split]))
+            hits = [x for begin, end in slices for block in blocks for x in block.hits(ids[begin:end], split[begin:end], min_cosine)]
             return list(zip(*hits)) if hits else [[]] * 7
 
         return work

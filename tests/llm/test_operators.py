@@ -271,6 +271,11 @@ def test_substring_dedup(spark, docs, none, min_words, line_words):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+def test_substring_dedup_in_more_ranges_than_partitions(spark, docs, none, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "RANGE_BYTES", 4000)
+    test_substring_dedup(spark, docs, none, 6, 2)
+
+
 def test_substring_dedup_catches_passages_of_over_50_words(spark):
     """Passages set into the middle of other texts' sentences go from all but the first; the other words stay."""
     rng, words = random.Random(8), [w.lower() for w in vocabulary_of(900, 3)]
@@ -323,6 +328,14 @@ def test_decontamination(spark, docs, none):
     assert decontamination.decontaminate(none, benchmark).count() == 0 and decontamination.decontaminate(table, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_in_blocks(spark, docs, none, monkeypatch):
+    """Blocks of two items, two of them in one pass over the documents, or one: all planted items are found."""
+    monkeypatch.setattr(decontamination, "ITEMS", 2)
+    for blocks in (2, 1):
+        monkeypatch.setattr(decontamination, "BLOCKS", blocks)
+        test_decontamination(spark, docs, none)
+
+
 def test_decontamination_of_odd_tables(spark):
     """Ties, repeated rows, clashing columns, very long texts, items that repeat or have null ids."""
     rng = random.Random(2)
