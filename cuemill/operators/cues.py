@@ -139,9 +139,9 @@ def renumber_entries(cues: DataFrame) -> DataFrame:
 
 
 def speech_windows(speech: DataFrame, max_s: float = 10, pad_s: float = 0.25) -> DataFrame:
-    """Each segment in pieces of at most ``max_s``, padded at its first start and last end."""
+    """Each segment in pieces of at most ``max_s``, padded at its first start and last end; a length is taken in milliseconds, since a difference of seconds is rounded."""
     s, e = F.col("start_ms") / 1000, F.col("end_ms") / 1000
-    pieces = F.greatest(F.ceil((e - s) / max_s), F.lit(1)).cast("int")
+    pieces = F.greatest(F.ceil((F.col("end_ms") - F.col("start_ms")) / (max_s * 1000)), F.lit(1)).cast("int")
     cut = speech.where("end_ms > start_ms").select("media_id", "seg_id", s.alias("s"), e.alias("e"), pieces.alias("k"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
     start = F.when(F.col("piece") == 0, F.greatest(F.col("s") - pad_s, F.lit(0.0))).otherwise(F.col("s") + F.col("piece") * max_s)
     end = F.when(F.col("piece") == F.col("k") - 1, F.col("e") + pad_s).otherwise(F.col("s") + (F.col("piece") + 1) * max_s)

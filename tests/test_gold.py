@@ -126,6 +126,15 @@ def test_asr_windows_have_a_least_length_and_numbers(spark):
     assert got == [(5, 1, 0.0, 0.05), (6, 2, 2.0, 2.05), (7, 3, 3.0, 3.1), (8, 1, 1.0, 4.0)]
 
 
+def test_segments_of_whole_pieces(spark):
+    """A segment of exactly n pieces has n, wherever it begins; one of a millisecond more has another."""
+    made = [(length, start, float(start), float(start + length)) for start in range(0, 200_000, 97) for length in (1000, 2000, 2001)]
+    cut = cues.speech_windows(spark.createDataFrame(made, SPEECH), 1, 0.25)
+    got = cut.groupBy("media_id", "seg_id").agg(F.count("*").alias("n")).groupBy("media_id", "n").count()
+    assert rows(got, "media_id", "n", "count") == [(1000, 1, 2062), (2000, 2, 2062), (2001, 3, 2062)]
+    assert rows(cut.where("media_id = 2000 AND seg_id = 0"), "piece", "start_s", "end_s") == [(0, 0.0, 1.0), (1, 1.0, 2.25)]
+
+
 def test_compact_history_under_a_limit(spark):
     turns = [(c, t, "model" if t % 2 else "user", "word " * 10) for c in (1, 2, 3) for t in range(6 if c < 3 else 2)]  # 12 + 4 tokens each
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
