@@ -53,16 +53,23 @@ add("stream_partial_asr", lambda s, d: jobs.stream_partial_asr(view(s, d, "v6_as
 def _drained(spark, df, parts, job):
     """What a streaming job gives for all rows of a table that come in several batches, one for each condition."""
     ship_package(spark)
-    path, no_data = shared_path(spark, "stream"), "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(no_data)
-    spark.conf.set(no_data, "false")  # else batches for timers alone go on for ever
+    path = shared_path(spark, "stream")
+    parallel, shuffle = spark.sparkContext.defaultParallelism, "spark.sql.shuffle.partitions"
+    settings = {
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",  # else batches for timers alone go on for ever
+        shuffle: str(min(int(spark.conf.get(shuffle)), parallel)),  # each partition of state opens a store and a Python worker in every run
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         for where in parts:  # each run goes on from the checkpoint of the one before
             df.where(where).write.mode("append").parquet(f"{path}/in")
             stream = spark.readStream.schema(df.schema).parquet(f"{path}/in")
             job(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(no_data, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.parquet(f"{path}/out")
 
 
@@ -76,7 +83,9 @@ def _attempts(s, d):
     open_ = requested.join(answered, ["file_id", "batch_no"], "left").where(F.coalesce("answered", F.lit(0)) < F.col("n"))
     ends = open_.select("file_id", "batch_no", F.lit(5).alias("attempt"), F.lit(1 << 30).alias("seq"), F.lit(None).cast("int").alias("entry_index"), F.lit(None).cast("string").alias("text"))
     rows = replies.select(*ends.columns).union(ends).join(requested.drop("n"), ["file_id", "batch_no"])
-    return _drained(s, rows, ["attempt < 3", "attempt IN (3, 4)", "attempt = 5"], jobs.stream_attempts)
+    made = shared_path(s, "replies")
+    rows.write.parquet(made)  # made once, not once for each batch
+    return _drained(s, s.read.parquet(made), ["attempt < 3", "attempt IN (3, 4)", "attempt = 5"], jobs.stream_attempts)
 
 
 add("stream_attempts", _attempts, f"WITH f AS (SELECT file_id, entry_index, arg_min(text, attempt * 100000 + seq) AS t, min(attempt) AS attempt FROM v5_responses GROUP BY 1, 2) SELECT file_id, CAST((entry_index - 1) // 3 AS INT) AS batch_no, entry_index, CASE WHEN attempt IS NULL THEN '{re_.FAILED_TEXT}' ELSE coalesce(t, original) END AS translated, attempt, attempt IS NULL AS error FROM v5_requests LEFT JOIN f USING (file_id, entry_index)", "v5_requests", "v5_responses")

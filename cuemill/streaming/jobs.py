@@ -6,10 +6,12 @@ data has an event time of its own and no rule for late rows.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -149,68 +151,110 @@ def _last(results: DataFrame, keys: tuple[str, ...] = ("file_id", "entry_index")
 RESULT = "file_id long, batch_no int, entry_index int, translated string, attempt int, error boolean"
 
 
+#: Buckets of keyed state that is kept for many small keys together, unless a job says otherwise; fixed for as long as a stream's checkpoint lives.
+STATE_BUCKETS = 512
+
+
 class _Attempts(StatefulProcessor):
-    """Of each batch of entries, those that have no reply yet, with their originals; a batch that is done with has no state."""
+    """Of a bucket of batches: the entries that have no reply yet, with their originals, and when each batch is given up; a batch that is done with has no state.
+
+    State is asked for once a bucket, not once a batch: each call to it goes from Python to the JVM and back.
+    """
+
+    STATE = pa.schema([("file_id", pa.int64()), ("batch_no", pa.int64()), ("entry_index", pa.int64()), ("original", pa.string()), ("due_ms", pa.int64())])
 
     def __init__(self, most: int, patience_ms: int, failed_text: str):
         self.most, self.patience_ms, self.failed_text = most, patience_ms, failed_text
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.missing = handle.getListState("missing", "entry_index int, original string")
+        self.held = handle.getValueState("missing", "rows binary")
+
+    def _load(self) -> tuple[dict, dict]:
+        """The missing entries of each batch, and its due time."""
+        missing, due = {}, {}
+        if held := self.held.get():
+            table = pa.ipc.open_stream(pa.py_buffer(held[0])).read_all()
+            for file, batch, index, original, at in zip(*(c.to_pylist() for c in table.columns)):
+                missing.setdefault((file, batch), {})[index] = original
+                due[file, batch] = at
+        return missing, due
+
+    def _keep(self, missing: dict, due: dict, timer: int | None) -> None:
+        """Keeps what is missing, and one timer, for the batch that is due first. timer: the one that there is."""
+        first = min(due.values(), default=None)
+        if self.patience_ms and timer != first:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        if missing:
+            rows = [(*which, index, original, due[which]) for which, entries in missing.items() for index, original in entries.items()]
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, self.STATE) as out:
+                out.write_table(pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), self.STATE)], schema=self.STATE))
+            self.held.update((sink.getvalue().to_pybytes(),))
+        else:
+            self.held.clear()
 
-    def _frame(self, key, rows: list[tuple]) -> pd.DataFrame:
-        found = pd.DataFrame([(*key, *r) for r in rows], columns=["file_id", "batch_no", "entry_index", "translated", "attempt", "error"])
-        return found.astype({"attempt": "Int32"})
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["file_id", "batch_no", "entry_index", "translated", "attempt", "error"]).astype({"attempt": "Int32"})
 
-    def _failures(self, missing) -> list[tuple]:
-        return [(index, self.failed_text, None, True) for index in sorted(missing)]
+    def _failures(self, which: tuple, entries: dict) -> list[tuple]:
+        return [(*which, index, self.failed_text, None, True) for index in sorted(entries)]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         came = pd.concat(list(rows)).sort_values(["attempt", "seq"], na_position="last")
-        missing = {m[0]: m[1] for m in self.missing.get()}
-        known, out = bool(missing), []
-        if not known:
-            missing = {int(r["entry_index"]): r["original"] for r in came["requested"].iloc[0]}
-        for index, text, attempt in zip(came["entry_index"], came["text"], came["attempt"]):
-            if not pd.isna(index):
-                if (index := int(index)) in missing:
-                    original = missing.pop(index)
-                    out.append((index, original if pd.isna(text) else text, int(attempt), False))
+        missing, due = self._load()
+        timer, until = min(due.values(), default=None), timerValues.getCurrentProcessingTimeInMs() + self.patience_ms
+        done, out = set(), []
+        columns = (came[c].tolist() for c in ("file_id", "batch_no", "requested", "entry_index", "text", "attempt"))
+        for file, batch, requested, index, text, attempt in zip(*columns):
+            which = file, batch
+            if which in done:
+                continue
+            if (entries := missing.get(which)) is None:
+                entries = missing[which] = {r["entry_index"]: r.get("original") for r in json.loads(requested)}
+            due[which] = until
+            if index is not None and index == index:  # not null
+                if (index := int(index)) in entries:
+                    original = entries.pop(index)
+                    out.append((file, batch, index, text if isinstance(text, str) else original, int(attempt), False))
             elif attempt >= self.most:
-                out += self._failures(missing)
-                missing = {}
-            if not missing:
-                break
-        if known and self.patience_ms:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-        if missing:
-            self.missing.put(list(missing.items()))
-            if self.patience_ms:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
-        elif known:
-            self.missing.clear()
-        yield self._frame(key, out)
+                out += self._failures(which, entries)
+                entries.clear()
+            if not entries:
+                done.add(which)
+                del missing[which], due[which]
+        self._keep(missing, due, timer)
+        yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = self._failures(m[0] for m in self.missing.get())
-        self.missing.clear()
-        yield self._frame(key, out)
+        missing, due = self._load()
+        now, out = timerValues.getCurrentProcessingTimeInMs(), []
+        for which in [w for w, at in due.items() if at <= now]:
+            out += self._failures(which, missing.pop(which))
+            del due[which]
+        self._keep(missing, due, None)
+        yield self._frame(out)
 
     def close(self) -> None:
         pass
 
 
-def stream_attempts(responses: DataFrame, most: int = 5, patience: timedelta = timedelta(hours=1), failed_text: str = FAILED_TEXT) -> DataFrame:
+def stream_attempts(responses: DataFrame, most: int = 5, patience: timedelta = timedelta(hours=1), failed_text: str = FAILED_TEXT, buckets: int = STATE_BUCKETS) -> DataFrame:
     """file_id, batch_no, entry_index, translated, attempt, error: the first reply to each entry of a batch, as it comes, and an error row for each that gets none.
 
     responses: file_id, batch_no, requested (array of entry_index, original), attempt, seq, entry_index, text.  A row whose entry_index is null says that the attempt has
     ended; when attempt ``most`` has, or when nothing came for ``patience`` (0: wait for ever), the entries that are missing have failed.  Replies without a text stand for the
     original; replies to what wasn't asked, and more than one to an entry, are left out.  A batch of which all entries are answered or failed
     leaves no state, and rows that come for it later begin it anew.
+
+    State is kept for ``buckets`` hashes of batches: what is missing of a bucket is read and written once a micro-batch, and a task holds one bucket at a time.
     """
-    return _keyed(responses, ["file_id", "batch_no"], _Attempts(most, int(patience.total_seconds() * 1000), failed_text), RESULT)
+    bucket = F.pmod(F.xxhash64("file_id", "batch_no"), F.lit(buckets)).cast("int").alias("bucket")
+    rows = responses.select(bucket, "file_id", "batch_no", F.to_json("requested").alias("requested"), "attempt", "seq", "entry_index", "text")
+    return _keyed(rows, ["bucket"], _Attempts(most, int(patience.total_seconds() * 1000), failed_text), RESULT)
 
 
 def stream_progress(events: DataFrame) -> DataFrame:

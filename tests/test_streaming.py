@@ -6,7 +6,9 @@ import json
 import random
 import time
 from datetime import timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,6 +245,62 @@ def test_attempts_that_stop(spark, tmp_path):
     assert sorted(map(tuple, spark.table("stopped").collect()), key=str) == [(1, 0, 1, "x", 1, False), (1, 0, 2, responses.FAILED_TEXT, None, True), (2, 0, 5, "y", 1, False)]
 
 
+def test_attempts_ask_state_by_buckets(spark, tmp_path):
+    """However many batches are open, a bucket is one value and one timer of state."""
+    schema = "file_id long, batch_no int, requested array<struct<entry_index:int,original:string>>, attempt int, seq int, entry_index int, text string"
+    asked, text = [(1, "a"), (2, None)], lambda f: "x" if f % 3 else None
+    rows = [(f, 0, asked, a, 1, i, text(f)) for f in range(1500) for a, i in ((1, 1 + f % 2), (2, 2 - f % 2)) if a == 1 or f >= 500]
+    stream = in_batches(spark, tmp_path, spark.createDataFrame(rows, schema), ["attempt = 1", "attempt = 2"])
+    got, left = until_done(spark, jobs.stream_attempts(stream, buckets=8), tmp_path)
+    assert got == sorted([(f, 0, i, x or dict(asked)[i], a, False) for f, _, _, a, _, i, x in rows], key=str)
+    assert 8 <= left <= 8 * 3
+
+
+def test_batches_of_a_bucket_fail_each_in_its_time():
+    class Held:
+        rows = None
+
+        def get(self):
+            return self.rows
+
+        def update(self, rows):
+            self.rows = rows
+
+        def clear(self):
+            self.rows = None
+
+    class Handle:
+        def __init__(self):
+            self.held, self.timers = Held(), set()
+            self.registerTimer, self.deleteTimer = self.timers.add, self.timers.remove
+
+        def getValueState(self, *_):
+            return self.held
+
+    handle, now = Handle(), [0]
+    clock = SimpleNamespace(getCurrentProcessingTimeInMs=lambda: now[0])
+    job = jobs._Attempts(5, 1000, "failed")
+    job.init(handle)
+
+    def came(at, file, index):
+        now[0] = at
+        rows = pd.DataFrame([(0, file, 0, '[{"entry_index":1,"original":"a"},{"entry_index":2}]', 1, 1, index, "x")], columns=["bucket", "file_id", "batch_no", "requested", "attempt", "seq", "entry_index", "text"])
+        return [tuple(r) for f in job.handleInputRows((0,), iter([rows]), clock) for r in f.drop(columns="attempt").itertuples(index=False)]
+
+    def fired(at):
+        now[0] = at
+        handle.timers -= {t for t in handle.timers if t <= at}
+        return [tuple(r) for f in job.handleExpiredTimer((0,), clock, None) for r in f.drop(columns="attempt").itertuples(index=False)]
+
+    assert came(0, 1, 1) == [(1, 0, 1, "x", False)] and handle.timers == {1000}
+    assert came(400, 2, 9) == [] and handle.timers == {1000}
+    assert came(600, 1, 1) == [] and handle.timers == {1400}
+    assert fired(1500) == [(2, 0, 1, "failed", True), (2, 0, 2, "failed", True)] and handle.timers == {1600}
+    assert came(1550, 3, 1) == [(3, 0, 1, "x", False)] and handle.timers == {1600}
+    assert came(1560, 3, 2) == [(3, 0, 2, "x", False)] and handle.timers == {1600}
+    assert fired(1600) == [(1, 0, 2, "failed", True)] and handle.timers == set() and handle.held.rows is None
+
+
 def test_stream_last_updates(spark, tmp_path):
     """The oldest are dropped; a batch ends with its queue as it was then, and leaves no state."""
     rows = [(1, "completed" if i in (9, 40) else "running", f"m{i}", i, i) for i in range(41)] + [(2, "running", f"n{i}", i, 1) for i in range(3)] + [(3, "failed", "only", 20, 1)]
