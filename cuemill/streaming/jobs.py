@@ -7,6 +7,7 @@ data has an event time of its own and no rule for late rows.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -81,12 +82,12 @@ def stream_dedupe_results(results: DataFrame, watermark: str = "1 hour") -> Data
     return results.withWatermark("at", watermark).dropDuplicatesWithinWatermark(["file_id", "entry_index"]) if results.isStreaming else results.groupBy("file_id", "entry_index").agg(F.min_by(F.struct("text", "at"), "at").alias("r")).select("file_id", "entry_index", "r.*")
 
 
-#: Buckets of a table of last results, unless a job says otherwise.
-BUCKETS = 64
+#: Buckets of a table of last results, unless a job says otherwise, and rows that a file (and so a task that writes one) has at most, but for the unevenness of hashes.
+BUCKETS, FILE_ROWS = 64, 500_000
 
 
 class LastResults:
-    """A table of the last result of each key, in buckets by its hash; every bucket is one file.
+    """A table of the last result of each key, in buckets by its hash; a bucket is one file, or several once it has more than ``FILE_ROWS`` rows.
 
     ``merge`` writes the buckets that a batch touches anew, as a version of the number of the batch, and
     takes away what they replace.  A version counts once it is whole; a batch that is tried again changes nothing.
@@ -121,14 +122,20 @@ class LastResults:
         spark = batch.sparkSession
         if number in self._versions(spark):
             return
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("bucket")
-        new = _last(batch, self.keys)
-        touched = sorted(r[0] for r in new.select(bucket).distinct().collect())
-        current = self._current(spark)
+        hashed = F.xxhash64(*self.keys)
+        bucket = F.pmod(hashed, F.lit(self.buckets)).cast("int").alias("bucket")
+        came = {r["bucket"]: r["count"] for r in batch.groupBy(bucket).count().collect()}
+        touched, current = sorted(came), self._current(spark)
         old = [current[b] for b in touched if b in current]
-        rows = _last(new.unionByName(spark.read.schema(new.schema).parquet(*old)), self.keys) if old else new
-        # numbered by their place among those touched: a task for each bucket, and so a file
-        rows.withColumn("bucket", bucket).repartition(max(1, len(touched)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/version={number}")
+        new = _last(batch, self.keys)
+        kept = spark.read.schema(new.schema).parquet(*old) if old else None
+        rows = new if kept is None else _last(new.unionByName(kept), self.keys)
+        # a task, and so a file, for each piece of a bucket: a bucket's share of the same hash, cut further
+        pieces = max(1, math.ceil((sum(came.values()) + (kept.count() if old else 0)) / max(1, len(touched)) / FILE_ROWS))
+        place = F.array_position(F.array(*map(F.lit, touched)), F.col("bucket")) - 1
+        piece = F.floor(F.pmod(hashed, F.lit(self.buckets * pieces)) / self.buckets)
+        tasks = max(1, len(touched)) * pieces
+        rows.withColumn("bucket", bucket).repartitionById(tasks, (place * pieces + piece).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/version={number}")
         for folder in old:
             place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -142,6 +142,26 @@ def test_last_results(spark, tmp_path):
     assert jobs.last_results(spark, str(tmp_path / "out")).where("text = 'newest'").count() == 1 and len(files_of()) <= 4
 
 
+def test_last_results_of_large_buckets(spark, tmp_path, monkeypatch):
+    """A bucket of many rows is several files of a bounded number, which no task exceeds; the next version replaces them all."""
+    monkeypatch.setattr(jobs, "FILE_ROWS", 100)
+    table = jobs.LastResults(str(tmp_path / "out"), buckets=2)
+    for number in range(3):
+        made = spark.range(2000 * number, 2000 * number + 3000).selectExpr("id AS file_id", "1 AS entry_index", f"'b{number}' AS text", f"timestamp_seconds({number}) AS at")
+        table.merge(made, number)
+    got = {r["file_id"]: r["text"] for r in jobs.last_results(spark, str(tmp_path / "out")).collect()}
+    assert got == {i: f"b{min(i // 2000, 2)}" for i in range(7000)}
+    sizes = [r["count"] for r in jobs.last_results(spark, str(tmp_path / "out")).groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 7000 and max(sizes) <= 150 and len({f.parent for f in (tmp_path / "out").rglob("*.parquet")}) == 2
+
+
+def test_last_results_of_an_empty_batch(spark, tmp_path):
+    table = jobs.LastResults(str(tmp_path / "out"), buckets=2)
+    empty = spark.createDataFrame([], "file_id long, entry_index int, text string, at timestamp")
+    table.merge(empty, 0)
+    assert jobs.last_results(spark, str(tmp_path / "out")).count() == 0
+
+
 def test_store_last_results(spark, tmp_path):
     df = results(spark)
     df.repartition(3).write.parquet(str(tmp_path / "in"))
