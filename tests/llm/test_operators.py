@@ -825,3 +825,17 @@ def test_pipeline_stages(spark):
         docs = kept
     ids = {r["doc_id"] for r in docs.collect()}
     assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).select("doc_id").distinct().collect()} == ids
+
+
+def test_known_words_are_looked_up_once():
+    """Only new words are learnt; when the memory is full, all words of the call are learnt anew, and places stay right."""
+    from cuemill.llm.vocabularies import WordIds
+
+    asked = []
+    words = WordIds(lambda ws: asked.append(sorted(ws)) or [[len(w), w[0]] for w in ws], most=12)
+    ids = lambda ws: words.ids(words.learned(ws)).tolist()
+    expected = lambda ws: [i for w in ws for i in (len(w), w[0])]
+    for text in (b"a bb a", b"bb ccc bb a", b"a bb ccc", b"", b"d e f g a bb", b"a d"):
+        assert ids(text.split()) == expected(text.split())
+    assert asked[:2] == [[b"a", b"bb"], [b"ccc"]] and len(asked) == 3 and sorted(asked[2]) == [b"d", b"e", b"f", b"g"]
+    assert ids(b"x y z a".split()) == expected(b"x y z a".split()) and asked[3] == [b"a", b"x", b"y", b"z"]
