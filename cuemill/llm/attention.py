@@ -4,11 +4,16 @@ Token sequences lie in blocks of ``BLOCK`` places.  The context window of a bloc
 it and itself, so that neighbouring windows overlap by a block; each place is scored once, in the
 window whose last block it is in, under a mask that hides later places (and, in the first
 block of a sequence, the block before).  All windows of a batch go through the same matrix products.
+
+What hangs on the kind of an input alone (query, key, value and its part of the hidden layer) is a table by kind:
+a place looks its row up, and the gradient is summed by kind before it goes back through the weights.  Outputs are
+computed for places in the order of their classes, so that the weights of a class meet one piece of an array.
 """
 
 from __future__ import annotations
 
 import numpy as np
+from numpy.lib.stride_tricks import as_strided
 
 BLOCK, DIM, HIDDEN = 16, 16, 32
 CLASSES, SLOTS = 64, 64
@@ -38,16 +43,25 @@ def flat(params: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def unflat(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {k: p.astype(np.float32) for k, p in views(values, like).items()}
+
+
+def views(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The weights that ``flat`` put one after the other, as views."""
     out, at = {}, 0
     for k, p in like.items():
-        out[k] = values[at : at + p.size].reshape(p.shape).astype(np.float32)
+        out[k] = values[at : at + p.size].reshape(p.shape)
         at += p.size
     return out
 
 
 _DISTANCE = np.clip(np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :], 0, None)
-_ONES = np.ones((2 * BLOCK, 1), np.float32)
 _LATER = np.arange(2 * BLOCK)[None, :] > np.arange(BLOCK)[:, None] + BLOCK
+_SCALE = np.float32(1 / np.sqrt(DIM))
+#: Columns of the table by kind: query, key, value and a one (it sums the attention), part of the hidden layer.
+_QUERY, _KEY, _VALUE, _ONE, _DIRECT = slice(0, DIM), slice(DIM, 2 * DIM), slice(2 * DIM, 3 * DIM), slice(2 * DIM, 3 * DIM + 1), slice(3 * DIM + 1, 3 * DIM + 1 + HIDDEN)
+#: Blocks whose attention is computed at a time: they stay in a core's cache.
+_NEAR = 128
 
 
 def blocks_of(sequences: list[np.ndarray], kinds: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -70,109 +84,173 @@ def blocks_of(sequences: list[np.ndarray], kinds: np.ndarray, start: int) -> tup
     return inputs.reshape(-1, BLOCK), targets.reshape(-1, BLOCK), first, used.reshape(-1, BLOCK)
 
 
-def _forward(p: dict[str, np.ndarray], inputs: np.ndarray, first: np.ndarray) -> tuple:
-    x = p["embed"][inputs]
-    n = len(x)
-    q, k, v = ((x.reshape(-1, DIM) @ p[name]).reshape(n, BLOCK, DIM) for name in ("query", "key", "value"))
-    keys, values = np.empty((n, 2 * BLOCK, DIM), np.float32), np.empty((n, 2 * BLOCK, DIM), np.float32)
-    keys[:, BLOCK:], values[:, BLOCK:] = k, v
-    keys[1:, :BLOCK], values[1:, :BLOCK] = k[:-1], v[:-1]
-    keys[:1, :BLOCK], values[:1, :BLOCK] = 0, 0
-    scores = np.matmul(q, keys.transpose(0, 2, 1))
-    scores *= np.float32(1 / np.sqrt(DIM))
-    scores += np.where(_LATER, np.float32(-1e4), p["distance"][_DISTANCE])
-    np.minimum(scores, 60, out=scores)
-    np.exp(scores, out=scores)
+def _into_table(p: dict[str, np.ndarray]) -> np.ndarray:
+    """Weights from an input to its row of the table."""
+    return np.concatenate([p["query"] * _SCALE, p["key"], p["value"], np.zeros((DIM, 1), np.float32), p["mix"][:DIM]], 1)
+
+
+def prepared(p: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """What all places share: the table by kind, biases by distance, and the outputs' weights with their biases as a last row."""
+    table = p["embed"] @ _into_table(p)
+    table[:, 3 * DIM] = 1
+    table[:, _DIRECT] += p["mix_bias"]
+    bias = np.where(_LATER, np.float32(-1e4), p["distance"][_DISTANCE])
+    return table, bias, np.vstack([p["out"], p["out_bias"]]), np.concatenate([p["slot"], p["slot_bias"][:, None]], 1)
+
+
+def _seen_twice(rows: np.ndarray, columns: slice) -> np.ndarray:
+    """Of rows of blocks, one more block than there are windows: the columns of each window's two blocks, as a view."""
+    part = rows[:, columns]
+    return as_strided(part, (len(rows) // BLOCK - 1, 2 * BLOCK, part.shape[1]), (BLOCK * part.strides[0], *part.strides), writeable=False)
+
+
+def _exp(x: np.ndarray, most: float) -> None:
+    """Turns exponents, ``most`` at most, into their powers."""
+    if x.size and not x.max() <= most:
+        np.minimum(x, most, out=x)
+    np.exp(x, out=x)
+
+
+def _attended(rows: np.ndarray, bias: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of the table (the block before, then the blocks): exponents of the attention, their sums, and what is seen."""
+    n = len(first)
+    scores = np.matmul(rows[BLOCK:, _QUERY].reshape(n, BLOCK, DIM), _seen_twice(rows, _KEY).transpose(0, 2, 1))
+    scores += bias
+    _exp(scores, 60)
     scores[first, :, :BLOCK] = 0
-    scores *= 1 / np.matmul(scores, _ONES)
-    mixed = np.concatenate([x, np.matmul(scores, values)], axis=-1).reshape(-1, 2 * DIM)
-    hidden = np.tanh(mixed @ p["mix"] + p["mix_bias"])
-    logits = hidden @ p["out"] + p["out_bias"]
-    return x, q, keys, values, scores, mixed, hidden, logits
+    seen = np.matmul(scores, _seen_twice(rows, _ONE))
+    return scores, seen[..., DIM:], seen[..., :DIM] / seen[..., DIM:]
 
 
-def _groups(classes: np.ndarray):
-    """Places of each class that occurs."""
-    order = np.argsort(classes, kind="stable")
+def _hidden(p: dict[str, np.ndarray], rows: np.ndarray, seen: np.ndarray, out: np.ndarray) -> None:
+    pre = seen.reshape(-1, DIM) @ p["mix"][DIM:]
+    pre += rows[BLOCK:, _DIRECT]
+    np.tanh(pre, out=out[:, :HIDDEN])
+
+
+def _rows(table: np.ndarray, inputs: np.ndarray, at: int, upto: int) -> np.ndarray:
+    """Rows of the table for a block before (zeros before the first, without a one: not seen) and blocks at to upto."""
+    rows = np.empty(((upto - at + 1) * BLOCK, table.shape[1]), np.float32)
+    begin = max(0, at - 1)
+    np.take(table, inputs[begin:upto].ravel(), 0, rows[(begin - at + 1) * BLOCK :], "clip")
+    if at == 0:
+        rows[:BLOCK] = 0
+    return rows
+
+
+def _by_class(classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order of places by class; of each class that occurs, its piece of that order."""
     counts = np.bincount(classes, minlength=CLASSES)
     ends = np.cumsum(counts)
-    for c in np.flatnonzero(counts):
-        yield c, order[ends[c] - counts[c] : ends[c]]
+    return np.argsort(classes.astype(np.uint16), kind="stable"), [(c, ends[c] - counts[c], ends[c]) for c in np.flatnonzero(counts).tolist()]
+
 
+def _exponents(logits: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Turns logits into their exponents; their sums, and log probabilities of chosen outputs."""
+    own = logits[np.arange(len(logits)), chosen]
+    _exp(logits, 80)
+    total = np.maximum(logits @ np.ones(logits.shape[1], np.float32), np.float32(1e-37))
+    return total, own - np.log(total)
 
-def log_probabilities(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Natural log probability of each target."""
-    hidden, logits = _forward(p, inputs, first)[-2:]
+
+def log_probabilities(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, first: np.ndarray, ready: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
+    """Natural log probability of each target.  ready: ``prepared(p)``, if at hand."""
+    table, bias, out, slot = ready or prepared(p)
+    hidden = np.ones((targets.size, HIDDEN + 1), np.float32)
+    for at in range(0, len(inputs), _NEAR):
+        upto = min(at + _NEAR, len(inputs))
+        rows = _rows(table, inputs, at, upto)
+        _hidden(p, rows, _attended(rows, bias, first[at:upto])[2], hidden[at * BLOCK : upto * BLOCK])
     classes, slots = np.divmod(targets.ravel(), SLOTS)
-    own = logits[np.arange(len(logits)), classes]
-    np.minimum(logits, 80, out=logits)
-    np.exp(logits, out=logits)
-    out = own - np.log(logits @ np.ones(CLASSES, np.float32))
-    for c, at in _groups(classes):
-        inner = hidden[at] @ p["slot"][c] + p["slot_bias"][c]
-        own = inner[np.arange(len(at)), slots[at]]
-        np.minimum(inner, 80, out=inner)
-        np.exp(inner, out=inner)
-        out[at] += own - np.log(inner @ np.ones(SLOTS, np.float32))
-    return out.reshape(targets.shape)
-
-
-def _softmax_step(logits: np.ndarray, chosen: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
-    """Weighted loss of chosen outputs and its gradient by the logits."""
-    logits = logits - logits.max(-1, keepdims=True)
-    probability = np.exp(logits)
-    total = probability.sum(-1, keepdims=True)
-    at = np.arange(len(logits))
-    loss = float((weight * (np.log(total[:, 0]) - logits[at, chosen])).sum())
-    probability /= total
-    probability[at, chosen] -= 1
-    return loss, probability * weight[:, None]
+    order, pieces = _by_class(classes)
+    hidden, classes, slots = hidden[order], classes[order], slots[order]
+    found = _exponents(hidden @ out, classes)[1]
+    for c, a, b in pieces:
+        found[a:b] += _exponents(hidden[a:b] @ slot[c], slots[a:b])[1]
+    result = np.empty_like(found)
+    result[order] = found
+    return result.reshape(targets.shape)
+
+
+def _gradient_by_logits(logits: np.ndarray, chosen: np.ndarray) -> float:
+    """Turns logits into the gradient of the mean loss of chosen outputs; the loss."""
+    total, own = _exponents(logits, chosen)
+    share = np.float32(1 / len(logits))
+    logits *= (share / total)[:, None]
+    logits[np.arange(len(logits)), chosen] -= share
+    return -float(own.mean())
 
 
 def loss_and_gradient(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, first: np.ndarray, used: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean negative log probability of the used places, and its gradient."""
-    x, q, keys, values, attention, mixed, hidden, logits = _forward(p, inputs, first)
-    n, weight = len(x), used.ravel().astype(np.float32)
-    weight /= max(1.0, weight.sum())
-    classes, slots = np.divmod(targets.ravel(), SLOTS)
-    loss, d_logits = _softmax_step(logits, classes, weight)
-    g = {"out": hidden.T @ d_logits, "out_bias": d_logits.sum(0), "slot": np.zeros_like(p["slot"]), "slot_bias": np.zeros_like(p["slot_bias"])}
-    d_hidden = d_logits @ p["out"].T
-    for c, at in _groups(classes):
-        more, d_inner = _softmax_step(hidden[at] @ p["slot"][c] + p["slot_bias"][c], slots[at], weight[at])
-        loss += more
-        g["slot"][c], g["slot_bias"][c] = hidden[at].T @ d_inner, d_inner.sum(0)
-        d_hidden[at] += d_inner @ p["slot"][c].T
-    d_hidden *= 1 - hidden * hidden
-    g |= {"mix": mixed.T @ d_hidden, "mix_bias": d_hidden.sum(0)}
-    d_mixed = (d_hidden @ p["mix"].T).reshape(n, BLOCK, 2 * DIM)
-    d_x, d_seen = d_mixed[..., :DIM].copy(), d_mixed[..., DIM:]
-    d_attention = np.matmul(d_seen, values.transpose(0, 2, 1))
-    d_values = np.matmul(attention.transpose(0, 2, 1), d_seen)
-    d_scores = attention * (d_attention - (d_attention * attention).sum(-1, keepdims=True))
-    g["distance"] = np.bincount(_DISTANCE.ravel(), np.where(_LATER, 0, d_scores.sum(0)).ravel(), 2 * BLOCK).astype(np.float32)
-    d_scores *= np.float32(1 / np.sqrt(DIM))
-    d_keys = np.matmul(d_scores.transpose(0, 2, 1), q)
-    flows = {"query": np.matmul(d_scores, keys)}
-    for name, d in (("key", d_keys), ("value", d_values)):
-        own = d[:, BLOCK:].copy()
-        own[:-1] += np.where(first[1:, None, None], 0, d[1:, :BLOCK])
-        flows[name] = own
-    for name, d in flows.items():
-        g[name] = x.reshape(-1, DIM).T @ d.reshape(-1, DIM)
-        d_x += d @ p[name].T
-    kind, d_x = inputs.ravel(), d_x.reshape(-1, DIM)
-    order = np.argsort(kind, kind="stable")
-    at = np.flatnonzero(np.append(True, kind[order][1:] != kind[order][:-1]))
-    g["embed"] = np.zeros_like(p["embed"])
-    g["embed"][kind[order][at]] = np.add.reduceat(d_x[order], at)
-    return loss, g
+    table, bias, out, slot = prepared(p)
+    n, parts = len(inputs), []
+    hidden = np.ones((targets.size, HIDDEN + 1), np.float32)
+    for at in range(0, n, _NEAR):
+        upto = min(at + _NEAR, n)
+        rows = _rows(table, inputs, at, upto)
+        attended = _attended(rows, bias, first[at:upto])
+        _hidden(p, rows, attended[2], hidden[at * BLOCK : upto * BLOCK])
+        parts.append((at, upto, rows, *attended))
+    places = np.flatnonzero(used)
+    classes, slots = np.divmod(targets.ravel()[places], SLOTS)
+    order, pieces = _by_class(classes)
+    places, classes, slots = places[order], classes[order], slots[order]
+    by_class = hidden[places]
+    outer, inner = by_class @ out, np.empty((len(places), SLOTS), np.float32)
+    for c, a, b in pieces:
+        np.matmul(by_class[a:b], slot[c], out=inner[a:b])
+    loss = _gradient_by_logits(outer, classes) + _gradient_by_logits(inner, slots)
+    d_out, d_slot, d_by_class = by_class.T @ outer, np.zeros_like(slot), outer @ p["out"].T
+    for c, a, b in pieces:
+        np.matmul(by_class[a:b].T, inner[a:b], out=d_slot[c])
+        d_by_class[a:b] += inner[a:b] @ p["slot"][c].T
+    d_by_class *= 1 - np.square(by_class[:, :HIDDEN])
+    d_hidden = np.zeros((targets.size, HIDDEN), np.float32)
+    d_hidden[places] = d_by_class
+    d_rows = np.zeros((targets.size + BLOCK, table.shape[1]), np.float32)
+    d_rows[BLOCK:, _DIRECT] = d_hidden
+    d_mix, d_bias = np.zeros_like(p["mix"]), np.zeros_like(bias)
+    for at, upto, rows, scores, total, seen in parts:
+        before, own, m = d_rows[at * BLOCK : upto * BLOCK], d_rows[(at + 1) * BLOCK : (upto + 1) * BLOCK], upto - at
+        d = d_hidden[at * BLOCK : upto * BLOCK]
+        d_mix[DIM:] += seen.reshape(-1, DIM).T @ d
+        d_seen = np.empty((m, BLOCK, DIM + 1), np.float32)
+        np.divide((d @ p["mix"][DIM:].T).reshape(m, BLOCK, DIM), total, out=d_seen[..., :DIM])
+        d_seen[..., DIM] = -np.einsum("ijk,ijk->ij", d_seen[..., :DIM], seen)
+        d_scores = np.matmul(d_seen, _seen_twice(rows, _ONE).transpose(0, 2, 1))
+        d_scores *= scores
+        d_bias += d_scores.sum(0)
+        own[:, _QUERY] = np.matmul(d_scores, _seen_twice(rows, _KEY)).reshape(-1, DIM)
+        flows = np.matmul(d_scores.transpose(0, 2, 1), rows[BLOCK:, _QUERY].reshape(m, BLOCK, DIM)), np.matmul(scores.transpose(0, 2, 1), d_seen[..., :DIM])
+        for columns, flow in zip((_KEY, _VALUE), flows):
+            own[:, columns] += flow[:, BLOCK:].reshape(-1, DIM)
+            before[:, columns] += flow[:, :BLOCK].reshape(-1, DIM)
+    into, x, d_rows = _into_table(p), p["embed"][inputs.ravel()], d_rows[BLOCK:]
+    d_into, d_x = x.T @ d_rows, (d_rows @ into.T).T.astype(np.float64)
+    d_mix[:DIM] = d_into[:, _DIRECT]
+    d_embed = np.stack([np.bincount(inputs.ravel(), column, len(p["embed"])) for column in d_x], 1).astype(np.float32)
+    return loss, {
+        "embed": d_embed,
+        "query": d_into[:, _QUERY] * _SCALE,
+        "key": d_into[:, _KEY],
+        "value": d_into[:, _VALUE],
+        "distance": np.bincount(_DISTANCE.ravel(), np.where(_LATER, 0, d_bias).ravel(), 2 * BLOCK).astype(np.float32),
+        "mix": d_mix,
+        "mix_bias": d_hidden.sum(0),
+        "out": d_out[:-1],
+        "out_bias": d_out[-1],
+        "slot": d_slot[:, :-1],
+        "slot_bias": d_slot[:, -1],
+    }
 
 
 def train(params: dict[str, np.ndarray], sequences: list[np.ndarray], kinds: np.ndarray, start: int, rate: float, batch: int = 64, epochs: int = 1, seed: int = 5) -> dict[str, np.ndarray]:
     """Stochastic gradient descent with moment estimates over the sequences."""
-    p = {k: v.copy() for k, v in params.items()}
-    m, s = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
+    values = flat(params).astype(np.float32)
+    p = views(values, params)
+    m, s, g, work = (np.zeros_like(values) for _ in range(4))
+    gradient = views(g, params)
     rng, step = np.random.default_rng(seed), 0
     total = max(1, epochs * -(-len(sequences) // batch))
     for _ in range(epochs):
@@ -181,8 +259,11 @@ def train(params: dict[str, np.ndarray], sequences: list[np.ndarray], kinds: np.
             inputs, targets, first, used = blocks_of([sequences[j] for j in order[i : i + batch]], kinds, start)
             step += 1
             now = rate * (1 - (step - 1) / total)
-            for k, g in loss_and_gradient(p, inputs, targets, first, used)[1].items():
-                m[k] += 0.1 * (g - m[k])
-                s[k] += 0.02 * (g * g - s[k])
-                p[k] -= (now / (1 - 0.9**step)) * m[k] / (np.sqrt(s[k] / (1 - 0.98**step)) + 1e-8)
-    return p
+            for k, found in loss_and_gradient(p, inputs, targets, first, used)[1].items():
+                gradient[k][...] = found
+            m += np.multiply(np.subtract(g, m, out=work), np.float32(0.1), out=work)
+            s += np.multiply(np.subtract(np.square(g, out=g), s, out=work), np.float32(0.02), out=work)
+            np.sqrt(np.multiply(s, np.float32(1 / (1 - 0.98**step)), out=work), out=work)
+            work += np.float32(1e-8)
+            values -= np.multiply(np.divide(m, work, out=work), np.float32(now / (1 - 0.9**step)), out=work)
+    return {k: v.copy() for k, v in p.items()}

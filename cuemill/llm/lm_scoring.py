@@ -27,7 +27,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby, repeat
+from itertools import chain, groupby, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +57,8 @@ KINDS = attention.CLASSES * (_SLOTS - 1) + 2
 #: Shares of the counts' probability that are tried, and numbers of words before, from which on a share of its own is chosen.
 SHARES, GATES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99), (0, 1, 4, 16, 64)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Blocks that go through the model at a time.
-_BLOCKS = 1024
+#: Blocks that go through the model at a time, and words of texts (or one text) that are laid out for it.
+_BLOCKS, _WORDS = 1024, 60_000
 
 
 class Tokens:
@@ -147,11 +147,10 @@ def id_counts(words: DataFrame, tokenizer_path: str, size: int) -> np.ndarray:
     return out
 
 
-def _ids_key(known, words: list[bytes]) -> list[int]:
-    places = known.places(words)
-    ends = np.cumsum(known.size[places])
-    flat = known.ids(places).astype("<i4")
-    return [xxhash.xxh64_intdigest(flat[e - n : e].tobytes()) - (1 << 63) for e, n in zip(ends.tolist(), known.size[places].tolist())]
+def _ids_key(known, places: np.ndarray) -> list[int]:
+    ends = 4 * np.cumsum(known.size[places])
+    flat = known.ids(places).astype("<i4").tobytes()
+    return [xxhash.xxh64_intdigest(flat[a:e]) - (1 << 63) for a, e in zip(chain((0,), ends.tolist()), ends.tolist())]
 
 
 def spelled_words(counts: DataFrame, tokenizer_path: str) -> tuple[DataFrame, DataFrame]:
@@ -162,7 +161,7 @@ def spelled_words(counts: DataFrame, tokenizer_path: str) -> tuple[DataFrame, Da
         for batch in batches:
             words = batch.column(0).to_pylist()
             known.learn(set(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_ids_key(known, words), pa.int64())], names=["word", "n", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_ids_key(known, known.places(words)), pa.int64())], names=["word", "n", "key"])
 
     keyed = counts.select("word", "n").mapInArrow(run, "word binary, n long, key long")
     kinds = keyed.groupBy("key").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("forms"))
@@ -235,6 +234,11 @@ def _dealt(docs: DataFrame, n_docs: int) -> tuple[DataFrame, int]:
     return docs.withColumn("at", F.xxhash64("doc_id", "text")).withColumn("shard", F.pmod("at", F.lit(shards * ROUNDS))), shards
 
 
+def _round(dealt: DataFrame, shards: int, k: int) -> DataFrame:
+    """The rows of a round, each shard a task of its own: no two meet in one, as hashes of their numbers might."""
+    return dealt.where(F.col("shard") % ROUNDS == k).repartitionById(shards, F.floor(F.col("shard") / ROUNDS).cast("int")).sortWithinPartitions("shard", "at", "doc_id")
+
+
 def last_round(docs: DataFrame, n_docs: int) -> DataFrame:
     """The documents of the last round of training."""
     return _dealt(docs, n_docs)[0].where(F.col("shard") % ROUNDS == ROUNDS - 1).select("doc_id", "text")
@@ -288,8 +292,7 @@ def fit_rounds(docs: DataFrame, tokenizer_path: str, tokens: Tokens, n_docs: int
         return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int64()), "n": pa.array([n], pa.int64()), "weights": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
 
     for k in range(ROUNDS):
-        own = dealt.where(F.col("shard") % ROUNDS == k).repartition("shard").sortWithinPartitions("shard", "at", "doc_id")
-        tasks = own.select("doc_id", "text", "shard").mapInArrow(round_of(started), "shard long, n long, weights binary")
+        tasks = _round(dealt, shards, k).select("doc_id", "text", "shard").mapInArrow(round_of(started), "shard long, n long, weights binary")
         grouped = tasks.withColumn("part", F.pmod(F.floor(F.col("shard") / ROUNDS), F.lit(-(-shards // 64)))).groupBy("part")
         parts = sorted(grouped.applyInArrow(average, "part long, n long, weights binary").collect(), key=lambda r: r["part"])
         if total := sum(r["n"] for r in parts):
@@ -316,77 +319,111 @@ def score_texts(docs: DataFrame, params: dict[str, np.ndarray], tokenizer_path:
     floor = math.log(n_train + 0.1 * (n_kinds + 1))
     logs = {w: math.log(n + 0.1) - floor for w, (n, _) in head.items()}
     spelling = {w: x for w, (_, x) in head.items()}
-    unseen, own, other = math.log(0.1) - floor, np.log(shares), np.log1p(-shares)
+    unseen = math.log(0.1) - floor
     end_log, end_known = logs.get(b"", unseen), int(b"" in head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, row, closing = word_ids(tokenizer_path), TaskContext.get().partitionId() << 33, closing_ids(tokenizer_path)
+        words, row, closing, ready = word_ids(tokenizer_path), TaskContext.get().partitionId() << 33, closing_ids(tokenizer_path), attention.prepared(params)
+        of_place = _OfPlaces(words, logs, spelling)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
             split = [t.translate(_LOWER).split() for t in texts]
-            encoded = [s if b"<|" not in t else lowered(t).split() for s, t in zip(split, texts)]  # the same words, but for their case
-            words.learn({w for ws in (*encoded, *split) for w in ws})
-            models: list[np.ndarray] = []
+            all_words, n = list(chain.from_iterable(split)), len(texts)
+            sizes = np.fromiter(map(len, split), np.int64, n)
+            special = [lowered(t).split() if b"<|" in t else s for s, t in zip(split, texts)]  # the same words, but for their case
+            if differ := [i for i in range(n) if special[i] is not split[i]]:
+                words.learn({w for ws in (*split, *special) for w in ws})
+            places = encoded = words.learned(all_words)
+            if differ:
+                encoded = words.places(list(chain.from_iterable(special)))
+            counted_word, spelled_word = of_place(places)
+            # a text's words, then its end: all texts one after the other
+            doc, ends = np.repeat(np.arange(n), sizes + 1), np.cumsum(sizes + 1) - 1
+            is_word = np.ones(len(doc), bool)
+            is_word[ends] = False
+            place = np.arange(len(doc)) - np.repeat(ends - sizes, sizes + 1)
+            counted, found = np.full(len(doc), end_log), np.empty(len(doc))
+            counted[is_word] = counted_word
+            bounds = np.append(0, np.cumsum(sizes))
             at = 0
-            while at < len(split):
-                upto, size = at, 0
-                while upto < len(split) and (size == 0 or size + len(split[upto]) < 60_000):
-                    size += len(split[upto]) + 1
-                    upto += 1
-                models += _word_scores(params, words, [words.places(ws) for ws in encoded[at:upto]], tokens, attach, closing)
+            while at < n:
+                upto = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _WORDS, "right")) - 1)
+                found[bounds[at] + at : bounds[upto] + upto] = _word_scores(params, words, encoded[bounds[at] : bounds[upto]], sizes[at:upto], tokens, attach, closing, ready)
                 at = upto
-            known, base, rest, mixed = [], [], [], []
-            for ws, model in zip(split, models):
-                counted = np.fromiter(map(logs.get, ws, repeat(math.nan)), np.float64, len(ws))
-                model[:-1] += np.fromiter(map(spelling.get, ws, repeat(0.0)), np.float64, len(ws))
-                gate = np.searchsorted(GATES, np.arange(len(ws) + 1), "right") - 1
-                outside = np.flatnonzero(np.isnan(counted))
-                rare = [ws[i] for i in outside.tolist()]
-                rest.append([{"word": w, "key": k, "gate": g, "model": x} for w, k, g, x in zip(rare, _ids_key(words, rare), gate[outside].tolist(), model[outside].tolist())])
-                counted = np.append(counted, end_log)
-                inside = np.flatnonzero(~np.isnan(counted))
-                known.append(len(inside) - 1 + end_known)
-                base.append(math.fsum(counted[inside].tolist()))
-                counted, found, gate = counted[inside], model[inside], gate[inside]
-                if held_in:
-                    n = np.maximum(np.exp(counted + floor) - 1.1, 0)
-                    counted = np.log(n + 0.1) - floor + np.where(n < 0.5, found, 0)
-                elif not end_known:
-                    counted[-1] += found[-1]
-                both = np.logaddexp(own[:, gate] + counted, other[:, gate] + found)
-                mixed.append(np.stack([np.bincount(gate, x, len(GATES)) for x in both]).ravel())
-            n = len(texts)
-            model = [float(x.sum()) for x in models]
-            keyed = pa.array(rest, pa.list_(pa.struct([("word", pa.binary()), ("key", pa.int64()), ("gate", pa.int32()), ("model", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), ids, pa.array([len(ws) + 1 for ws in split], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), pa.array(mixed, pa.list_(pa.float64())), keyed], names=["row", "doc_id", "n_tokens", "known", "base", "model", "mixed", "rest"])
+            found[is_word] += spelled_word
+            inside = ~np.isnan(counted)
+            model = np.bincount(doc, found, n)
+            rare, gate = np.flatnonzero(~inside), np.searchsorted(GATES, place, "right") - 1
+            rare_word = rare - doc[rare]
+            rare_places = places[rare_word]
+            fields = [pa.array([all_words[i] for i in rare_word.tolist()], pa.binary()), pa.array(_ids_key(words, rare_places), pa.int64()), pa.array(gate[rare], pa.int32()), pa.array(found[rare])]
+            starts = np.append(0, np.cumsum(np.bincount(doc[rare], minlength=n)))
+            rest = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.StructArray.from_arrays(fields, names=["word", "key", "gate", "model"]))
+            doc, gate, counted, found, is_word = doc[inside], gate[inside], counted[inside], found[inside], is_word[inside]
+            base = np.bincount(doc, counted, n)
+            if held_in:
+                times = np.maximum(np.exp(counted + floor) - 1.1, 0)
+                counted = np.log(times + 0.1) - floor + np.where(times < 0.5, found, 0)
+            elif not end_known:
+                counted = np.where(is_word, counted, counted + found)
+            most, key = np.maximum(counted, found), doc * len(GATES) + gate
+            a, b, whole = np.exp(counted - most), np.exp(found - most), np.bincount(key, most, n * len(GATES))
+            mixed = np.stack([(whole + np.bincount(key, np.log(share[gate] * a + (1 - share)[gate] * b), n * len(GATES))).reshape(n, -1) for share in shares], 1)
+            known = np.bincount(doc, minlength=n) - 1 + end_known
+            each = pa.array(np.arange(n + 1, dtype=np.int32) * shares.size)
+            columns = [pa.array(np.arange(row, row + n)), ids, pa.array(sizes + 1), pa.array(known), pa.array(base), pa.array(model), pa.ListArray.from_arrays(each, pa.array(mixed.ravel())), rest]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "known", "base", "model", "mixed", "rest"])
             row += n
 
     return docs.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, model double, mixed array<double>, rest array<struct<word:binary,key:long,gate:int,model:double>>")
 
 
-def _word_scores(params: dict[str, np.ndarray], words, places: list[np.ndarray], tokens: Tokens, attach: np.ndarray, closing: np.ndarray) -> list[np.ndarray]:
-    """The model's natural log of each word of each text, where white space stands included, and of the text's end."""
-    ids = [words.ids(p) for p in places]
-    out = []
-    for p, i, logs in zip(places, ids, _scores(params, ids, tokens)):
-        begins = _begins(words.size[p])
-        logs[:-1] += tokens.inside[i]
-        logs[:-1] += np.where(begins, attach[0, i], np.where(_attachable(i, begins, closing), attach[1, i], 0))
-        upto = np.append(0, np.cumsum(logs))
-        ends = np.append(0, np.cumsum(words.size[p]))
-        out.append(np.append(upto[ends[1:]] - upto[ends[:-1]], logs[-1]))
+class _OfPlaces:
+    """Logs of counts (nan: not of the head) and of spelling (0: none), by the places of words: asked once for each word that is remembered."""
+
+    def __init__(self, words, logs: dict[bytes, float], spelling: dict[bytes, float]):
+        self.words, self.logs, self.spelling, self.at = words, logs, spelling, None
+
+    def __call__(self, places: np.ndarray) -> np.ndarray:
+        if self.at is not self.words.at:  # the first call, or all that was remembered went
+            self.at, self.values = self.words.at, np.empty((2, 0))
+        if more := len(self.at) - self.values.shape[1]:
+            new = list(islice(self.at, self.values.shape[1], None))  # words stand in the order of their places
+            found = np.stack([np.fromiter(map(x.get, new, repeat(none)), np.float64, more) for x, none in ((self.logs, math.nan), (self.spelling, 0.0))])
+            self.values = np.concatenate([self.values, found], 1)
+        return self.values[:, places]
+
+
+def _word_scores(params: dict[str, np.ndarray], words, places: np.ndarray, n_words: np.ndarray, tokens: Tokens, attach: np.ndarray, closing: np.ndarray, ready: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The model's natural log of each word of each text, where white space stands included, and after each text that of its end. places: of the words of all texts; n_words: their numbers."""
+    ids, sizes = words.ids(places), words.size[places]
+    upto = np.append(0, np.cumsum(sizes))
+    last_word = np.cumsum(n_words)
+    n_ids = np.diff(upto[last_word], prepend=0)
+    ends = np.cumsum(n_ids + 1) - 1
+    is_id = np.ones(len(ids) + len(n_words), bool)
+    is_id[ends] = False
+    sequence = np.full(len(is_id), _END, np.int32)
+    sequence[is_id] = tokens.token[ids]
+    logs = _scores(params, np.split(sequence, ends[:-1] + 1), tokens, ready)
+    begins = _begins(sizes)
+    by_id = logs[is_id] + tokens.inside[ids] + np.where(begins, attach[0, ids], np.where(_attachable(ids, begins, closing), attach[1, ids], 0))
+    so_far = np.append(0, np.cumsum(by_id))
+    out = np.empty(len(places) + len(n_words))
+    is_word = np.ones(len(out), bool)
+    is_word[np.cumsum(n_words + 1) - 1] = False
+    out[is_word], out[~is_word] = so_far[upto[1:]] - so_far[upto[:-1]], logs[ends]
     return out
 
 
-def _scores(params: dict[str, np.ndarray], ids: list[np.ndarray], tokens: Tokens) -> list[np.ndarray]:
-    """Natural log probability of each token of each text and of its end."""
-    sequences = [np.append(tokens.token[x], _END).astype(np.int32) for x in ids]
+def _scores(params: dict[str, np.ndarray], sequences: list[np.ndarray], tokens: Tokens, ready: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Natural log probability of each token of each sequence."""
     inputs, targets, first, used = attention.blocks_of(sequences, tokens.kinds, KINDS - 1)
     out = np.empty(targets.shape, np.float64)
     for b in range(0, len(inputs), _BLOCKS):
         before = int(b > 0)  # the block before is context only
-        out[b : b + _BLOCKS] = attention.log_probabilities(params, inputs[b - before : b + _BLOCKS], targets[b - before : b + _BLOCKS], first[b - before : b + _BLOCKS])[before:]
-    return np.split(out[used], np.cumsum([len(x) for x in sequences])[:-1])
+        out[b : b + _BLOCKS] = attention.log_probabilities(params, inputs[b - before : b + _BLOCKS], targets[b - before : b + _BLOCKS], first[b - before : b + _BLOCKS], ready)[before:]
+    return out[used]
 
 
 def _with_rest(scored: DataFrame, words: DataFrame, kinds: DataFrame, n_train: int, n_kinds: int, shares: np.ndarray, held_in: bool = False) -> DataFrame:

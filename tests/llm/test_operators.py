@@ -757,6 +757,58 @@ def test_lm_training_takes_whole_texts(docs):
     assert (a["slot"] != b["slot"]).any()
 
 
+def test_lm_shards_are_tasks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD_DOCS", 40)
+    dealt, shards = lm_scoring._dealt(spark.range(800).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")), 800)
+    assert shards == 20
+    for k in range(lm_scoring.ROUNDS):
+        tasks = lm_scoring._round(dealt, shards, k).groupBy(F.spark_partition_id()).agg(F.count_distinct("shard").alias("shards"), F.count(F.lit(1)).alias("rows")).collect()
+        assert len(tasks) == shards and all(r["shards"] == 1 for r in tasks)
+        assert sum(r["rows"] for r in tasks) == dealt.where(F.col("shard") % lm_scoring.ROUNDS == k).count()
+
+
+def test_lm_counts_are_looked_up_once_a_word():
+    """For each word that a worker remembers, not for each place; anew once the memory was emptied."""
+    from cuemill.llm.vocabularies import WordIds
+
+    class Counted(dict):
+        asked: Counter = Counter()
+
+        def get(self, word, none=None):
+            self.asked[word] += 1
+            return super().get(word, none)
+
+    words = WordIds(lambda ws: [[len(w)] for w in ws], most=8)
+    logs = Counted({b"a": -1.0, b"bb": -2.0})
+    of_place = lm_scoring._OfPlaces(words, logs, {b"a": -0.5})
+    for text, expected in ((b"a bb a ccc a", [-1, -2, -1, None, -1]), (b"bb bb dddd", [-2, -2, None]), (b"a a", [-1, -1])):
+        counted, spelled = of_place(words.learned(text.split()))
+        assert [None if math.isnan(x) else x for x in counted.tolist()] == expected
+        assert spelled.tolist() == [-0.5 if w == b"a" else 0.0 for w in text.split()]
+    assert logs.asked == {b"a": 1, b"bb": 1, b"ccc": 1, b"dddd": 1}
+    counted, _ = of_place(words.learned([b"x%d" % i for i in range(4)] + [b"a"]))  # more than is remembered
+    assert math.isnan(counted[0]) and counted[4] == -1 and logs.asked[b"a"] == 2
+
+
+def test_lm_scores_of_texts_do_not_hang_on_their_batch(spark, docs):
+    """Special strings, empty texts and words beyond the head, beside others or alone."""
+    texts = ["one two three", "", "<|endoftext|> One two <|startoftext|>three", None, "\u00c9 mo " * 700, "one", " \n ", "zzz <| yyy"]
+    table = lm_scoring.id_and_text(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+    counts = lm_scoring.id_counts(lm_scoring.word_counts(lm_scoring.id_and_text(docs)), WORDS, load_tokenizer(WORDS).get_vocab_size())
+    tokens, shares = lm_scoring.Tokens(counts[0]), np.repeat(np.array([[0.1], [0.7]]), len(lm_scoring.GATES), 1)
+    params, most = attention.init(lm_scoring.KINDS), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = []
+    try:
+        for rows in ("1", "256"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            scored = lm_scoring.score_texts(table, params, WORDS, tokens, lm_scoring.attachment(counts), {b"": (9, 0.0), b"one": (5, -0.1), b"mo": (3, 0.0)}, 100, 20, shares)
+            got.append([(r["doc_id"], r["n_tokens"], r["known"], [(bytes(w["word"]), w["key"], w["gate"]) for w in r["rest"]], [r["base"], r["model"], *r["mixed"]]) for r in scored.orderBy("row").collect()])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    assert [r[:4] for r in got[0]] == [r[:4] for r in got[1]] and all(np.allclose(a[4], b[4], rtol=1e-5, atol=1e-4) for a, b in zip(*got))
+    assert [(r[1], r[2], len(r[3])) for r in got[0]] == [(4, 2, 2), (1, 1, 0), (5, 2, 3), (1, 1, 0), (1401, 701, 700), (2, 2, 0), (1, 1, 0), (4, 1, 3)]
+
+
 def test_attention_gradient_and_blocks():
     rng = np.random.default_rng(0)
     params, kinds = attention.init(50), rng.integers(0, 49, attention.CLASSES * attention.SLOTS).astype(np.int32)
