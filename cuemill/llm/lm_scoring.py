@@ -33,12 +33,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import attention
 from .common import discard, documents, id_and_text, id_hash, written
-from .vocabularies import kept, load_tokenizer, lowered, vocabulary, word_ids
+from .vocabularies import end_marks, kept, load_tokenizer, lowered, vocabulary, word_ids
 
 #: Documents of which a window each starts the model; all, and whole, go into what follows.
 START_DOCS, START_EPOCHS, START_RATE, GO_ON_RATE = 6000, 6, 0.01, 0.012
@@ -49,7 +49,7 @@ STEP_WINDOWS = 256
 #: Tokens of a training window, and windows that a task holds at a time.
 WINDOW, HELD_WINDOWS = 48, 4096
 #: Words whose counts all tasks hold, the most frequent ones, at most so many; counts of the others are joined.
-HEAD_WORDS = 1 << 16
+HEAD_WORDS = 1 << 18
 _TOKENS, _SLOTS = attention.CLASSES * attention.SLOTS, attention.SLOTS
 _END = _SLOTS - 1
 #: Kinds of tokens that the model tells apart as inputs: all tokens of their own, the rest, and the beginning.
@@ -111,9 +111,7 @@ def closing_ids(tokenizer_path: str) -> np.ndarray:
     """Ids after which a word may end: those with the vocabulary's mark for it, or all if it has none."""
 
     def make() -> np.ndarray:
-        vocab = load_tokenizer(tokenizer_path).get_vocab(with_added_tokens=True)
-        out = np.zeros(max(vocab.values()) + 1, bool)
-        out[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        out = end_marks(load_tokenizer(tokenizer_path))
         return out if out.any() else ~out
 
     return kept(("closing ids", tokenizer_path), make, small=True)
@@ -124,16 +122,37 @@ def _attachable(ids: np.ndarray, begins: np.ndarray, closing: np.ndarray) -> np.
     return ~begins & np.append(False, closing[ids[:-1]])[: len(ids)]
 
 
+def encoded_words(counts: DataFrame, tokenizer_path: str) -> DataFrame:
+    """word, n, ids (bytes, 32 bits each) and a key of them: each distinct word is encoded here, once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = word_ids(tokenizer_path)
+        for batch in batches:
+            places = known.learned(batch.column("word").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(_ids_bytes(known, places), pa.binary()), pa.array(_ids_key(known, places), pa.int64())], names=["word", "n", "ids", "key"])
+
+    return counts.select("word", "n").mapInArrow(run, "word binary, n long, ids binary, key long")
+
+
+def _ids_bytes(known, places: np.ndarray) -> Iterator[bytes]:
+    ends = 4 * np.cumsum(known.size[places])
+    flat = known.ids(places).astype("<i4").tobytes()
+    return [flat[a:e] for a, e in zip(chain((0,), ends.tolist()), ends.tolist())]
+
+
+def _ids_key(known, places: np.ndarray) -> list[int]:
+    return [xxhash.xxh64_intdigest(x) - (1 << 63) for x in _ids_bytes(known, places)]
+
+
 def id_counts(words: DataFrame, tokenizer_path: str, size: int) -> np.ndarray:
     """Counts of each id, from the words and their counts, in three rows: all; beginning a word; attached to an id after which a word may end. Tasks send sums."""
+    encoded = words if "ids" in words.columns else encoded_words(words, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total, closing = word_ids(tokenizer_path), np.zeros((3, size), np.int64), closing_ids(tokenizer_path)
+        total, closing = np.zeros((3, size), np.int64), closing_ids(tokenizer_path)
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            known.learn(set(words))
-            places = known.places(words)
-            flat, sizes = known.ids(places), known.size[places]
+            ids = batch.column("ids").to_pylist()
+            flat, sizes = np.frombuffer(b"".join(ids), "<i4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             times, begins = np.repeat(batch.column("n").to_numpy(), sizes), _begins(sizes)
             for row, use in enumerate((slice(None), begins, _attachable(flat, begins, closing))):
                 total[row] += np.bincount(flat[use], times[use], size).astype(np.int64)
@@ -142,30 +161,16 @@ def id_counts(words: DataFrame, tokenizer_path: str, size: int) -> np.ndarray:
 
     out = np.zeros((3, size))
     sums = [F.sum(c).alias(c) for c in ("n", "begins", "attached")]
-    for r in words.where("word <> X''").select("word", "n").mapInArrow(run, "id long, n long, begins long, attached long").groupBy("id").agg(*sums).collect():
+    for r in encoded.where("word <> X''").select("n", "ids").mapInArrow(run, "id long, n long, begins long, attached long").groupBy("id").agg(*sums).collect():
         out[:, r["id"]] = r["n"], r["begins"], r["attached"]
     return out
 
 
-def _ids_key(known, places: np.ndarray) -> list[int]:
-    ends = 4 * np.cumsum(known.size[places])
-    flat = known.ids(places).astype("<i4").tobytes()
-    return [xxhash.xxh64_intdigest(flat[a:e]) - (1 << 63) for a, e in zip(chain((0,), ends.tolist()), ends.tolist())]
-
-
-def spelled_words(counts: DataFrame, tokenizer_path: str) -> tuple[DataFrame, DataFrame]:
-    """words: word, n, spelled (natural log of its share among the words of the same ids); kinds: key of ids, their words' total and number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = word_ids(tokenizer_path)
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            known.learn(set(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_ids_key(known, known.places(words)), pa.int64())], names=["word", "n", "key"])
-
-    keyed = counts.select("word", "n").mapInArrow(run, "word binary, n long, key long")
-    kinds = keyed.groupBy("key").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("forms"))
-    return keyed.join(kinds, "key").select("word", "n", _share(F.col("n")).alias("spelled")), kinds
+def spelled_words(encoded: DataFrame) -> DataFrame:
+    """word, n, spelled (natural log of its share among the words of the same ids); key of ids, their words' total and number, and whether the word is the first of them."""
+    same = Window.partitionBy("key")
+    among = encoded.select("word", "n", "key", F.sum("n").over(same).alias("total"), F.count(F.lit(1)).over(same).alias("forms"), (F.min("word").over(same) == F.col("word")).alias("first"))
+    return among.withColumn("spelled", _share(F.col("n")))
 
 
 def _share(n: Column) -> Column:
@@ -183,7 +188,8 @@ def frequent_words(counts: DataFrame, most: int = HEAD_WORDS) -> dict[bytes, tup
             break
         least = at
     chosen = counts.where((F.col("word") == F.lit(b"")) | ((step >= least) if least is not None else F.lit(False)))
-    return {bytes(r["word"]): (r["n"], r["spelled"]) for r in chosen.collect()}
+    found = chosen.select("word", "n", "spelled").toArrow()
+    return dict(zip(found.column(0).cast(pa.binary()).to_pylist(), zip(found.column(1).to_pylist(), found.column(2).to_pylist())))
 
 
 def training_windows(docs: DataFrame, tokenizer_path: str, tokens: Tokens):
@@ -209,25 +215,36 @@ def whole_windows(docs: Iterator[pa.RecordBatch], tokenizer_path: str, tokens: T
     """Consecutive windows that cover each text and its end, ``HELD_WINDOWS`` at a time or, at the end, fewer."""
     words, held = word_ids(tokenizer_path), []
     for batch in docs:
-        for text in batch.column(1).cast(pa.binary()).to_pylist():
-            split = lowered(text).split()
-            words.learn(set(split))
-            for at in range(0, len(split) + 1, WINDOW * HELD_WINDOWS):  # a word has a token at least: pieces of a long text
-                piece = split[at : at + WINDOW * HELD_WINDOWS]
-                sequence = tokens.token[words.ids(words.places(piece))].astype(np.int32)
-                if at + len(piece) == len(split):
-                    sequence = np.append(sequence, np.int32(_END))
-                for i in range(0, len(sequence), WINDOW):
-                    held.append(sequence[i : i + WINDOW])
+        for pieces in _together([lowered(text).split() for text in batch.column(1).cast(pa.binary()).to_pylist()]):
+            places = words.learned(list(chain.from_iterable(piece for piece, _ in pieces)))
+            sequence = tokens.token[words.ids(places)]
+            ids = np.append(0, np.cumsum(words.size[places]))[np.cumsum([len(piece) for piece, _ in pieces])]
+            for (_, ends), begin, end in zip(pieces, [0, *ids.tolist()], ids.tolist()):
+                own = np.append(sequence[begin:end], np.int32(_END)) if ends else sequence[begin:end]
+                for i in range(0, len(own), WINDOW):
+                    held.append(own[i : i + WINDOW])
                     if len(held) == HELD_WINDOWS:
                         yield held
                         held = []
-                if at + len(piece) == len(split):
-                    break
     if held:
         yield held
 
 
+def _together(texts: list[list[bytes]]) -> Iterator[list[tuple[list[bytes], bool]]]:
+    """Words of texts, and whether a text ends with them: some texts at a time, or a piece of a long one."""
+    out, n = [], 0
+    for text in texts:
+        for at in range(0, max(1, len(text)), WINDOW * HELD_WINDOWS):  # a word has a token at least
+            piece = text[at : at + WINDOW * HELD_WINDOWS]
+            if out and n + len(piece) > _WORDS:
+                yield out
+                out, n = [], 0
+            out.append((piece, at + len(piece) == len(text)))
+            n += len(piece)
+    if out:
+        yield out
+
+
 def _dealt(docs: DataFrame, n_docs: int) -> tuple[DataFrame, int]:
     """docs with at and shard (shard % ROUNDS: the round), and the number of shards of a round."""
     shards = min(MOST_SHARDS, max(1, -(-n_docs // SHARD_DOCS)))
@@ -254,10 +271,9 @@ def fit_rounds(docs: DataFrame, tokenizer_path: str, tokens: Tokens, n_docs: int
     """Weights before the first round of training and after each."""
     windows = training_windows(docs, tokenizer_path, tokens)
     first = attention.init(KINDS)
-    occurring = tokens.counts.reshape(attention.CLASSES, _SLOTS) + 0.1
-    occurring[0, _END] += n_docs
-    first["out_bias"] = np.log(occurring.sum(1) / occurring.sum()).astype(np.float32)
-    first["slot_bias"] = np.log(occurring / occurring.sum(1, keepdims=True)).astype(np.float32)
+    occurring = tokens.counts + 0.1
+    occurring[_END] += n_docs
+    first |= attention.biases(occurring)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,6 +340,7 @@ def score_texts(docs: DataFrame, params: dict[str, np.ndarray], tokenizer_path:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, row, closing, ready = word_ids(tokenizer_path), TaskContext.get().partitionId() << 33, closing_ids(tokenizer_path), attention.prepared(params)
+        work = attention.Work()
         of_place = _OfPlaces(words, logs, spelling)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
@@ -348,7 +365,7 @@ def score_texts(docs: DataFrame, params: dict[str, np.ndarray], tokenizer_path:
             at = 0
             while at < n:
                 upto = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _WORDS, "right")) - 1)
-                found[bounds[at] + at : bounds[upto] + upto] = _word_scores(params, words, encoded[bounds[at] : bounds[upto]], sizes[at:upto], tokens, attach, closing, ready)
+                found[bounds[at] + at : bounds[upto] + upto] = _word_scores(params, words, encoded[bounds[at] : bounds[upto]], sizes[at:upto], tokens, attach, closing, ready, work)
                 at = upto
             found[is_word] += spelled_word
             inside = ~np.isnan(counted)
@@ -394,7 +411,7 @@ class _OfPlaces:
         return self.values[:, places]
 
 
-def _word_scores(params: dict[str, np.ndarray], words, places: np.ndarray, n_words: np.ndarray, tokens: Tokens, attach: np.ndarray, closing: np.ndarray, ready: tuple[np.ndarray, ...]) -> np.ndarray:
+def _word_scores(params: dict[str, np.ndarray], words, places: np.ndarray, n_words: np.ndarray, tokens: Tokens, attach: np.ndarray, closing: np.ndarray, ready: tuple[np.ndarray, ...], work) -> np.ndarray:
     """The model's natural log of each word of each text, where white space stands included, and after each text that of its end. places: of the words of all texts; n_words: their numbers."""
     ids, sizes = words.ids(places), words.size[places]
     upto = np.append(0, np.cumsum(sizes))
@@ -405,7 +422,7 @@ def _word_scores(params: dict[str, np.ndarray], words, places: np.ndarray, n_wor
     is_id[ends] = False
     sequence = np.full(len(is_id), _END, np.int32)
     sequence[is_id] = tokens.token[ids]
-    logs = _scores(params, np.split(sequence, ends[:-1] + 1), tokens, ready)
+    logs = _scores(params, np.split(sequence, ends[:-1] + 1), tokens, ready, work)
     begins = _begins(sizes)
     by_id = logs[is_id] + tokens.inside[ids] + np.where(begins, attach[0, ids], np.where(_attachable(ids, begins, closing), attach[1, ids], 0))
     so_far = np.append(0, np.cumsum(by_id))
@@ -416,30 +433,47 @@ def _word_scores(params: dict[str, np.ndarray], words, places: np.ndarray, n_wor
     return out
 
 
-def _scores(params: dict[str, np.ndarray], sequences: list[np.ndarray], tokens: Tokens, ready: tuple[np.ndarray, ...]) -> np.ndarray:
+def _scores(params: dict[str, np.ndarray], sequences: list[np.ndarray], tokens: Tokens, ready: tuple[np.ndarray, ...], work) -> np.ndarray:
     """Natural log probability of each token of each sequence."""
     inputs, targets, first, used = attention.blocks_of(sequences, tokens.kinds, KINDS - 1)
     out = np.empty(targets.shape, np.float64)
     for b in range(0, len(inputs), _BLOCKS):
         before = int(b > 0)  # the block before is context only
-        out[b : b + _BLOCKS] = attention.log_probabilities(params, inputs[b - before : b + _BLOCKS], targets[b - before : b + _BLOCKS], first[b - before : b + _BLOCKS], ready)[before:]
+        out[b : b + _BLOCKS] = attention.log_probabilities(params, inputs[b - before : b + _BLOCKS], targets[b - before : b + _BLOCKS], first[b - before : b + _BLOCKS], ready, work)[before:]
     return out[used]
 
 
-def _with_rest(scored: DataFrame, words: DataFrame, kinds: DataFrame, n_train: int, n_kinds: int, shares: np.ndarray, held_in: bool = False) -> DataFrame:
-    """What the words beyond the head add to the rows of ``scored``: row, known_rest, base_rest, spelled_rest, mixed_rest (as ``mixed``)."""
+def _with_rest(scored: DataFrame, words: DataFrame, n_train: int, n_kinds: int, shares: np.ndarray, held_in: bool = False) -> DataFrame:
+    """What the words beyond the head add to the rows of ``scored``: row, known_rest, base_rest, spelled_rest, mixed_rest (as ``mixed``).
+
+    One join finds the counts; the few words that it finds none for are listed with their texts, and these alone meet the words of the same ids.
+    """
     floor = F.lit(math.log(n_train + 0.1 * (n_kinds + 1)))
-    rest = scored.select("row", F.explode("rest").alias("w")).select("row", "w.word", "w.key", "w.gate", "w.model").join(words, "word", "left").join(kinds, "key", "left")
-    n, spelled = F.coalesce("n", F.lit(0)), F.coalesce("spelled", _share(F.lit(0)))
-    model, once_less = F.col("model") + spelled, F.greatest(n - 1, F.lit(0)) if held_in else n
-    counted = F.log(once_less + F.lit(0.1)) - floor + F.when(once_less > 0, 0.0).otherwise(model)
+    added = ["known_rest", "base_rest", "spelled_rest"], [f"mixed_{i}" for i in range(len(shares))]
 
-    def mixed(share: float) -> Column:
-        a, b = counted + math.log(share), model + math.log1p(-share)
-        return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
+    def sums(found: DataFrame, *more: Column) -> DataFrame:
+        """By row and gate. found: row, gate, model, n, spelled."""
+        model, once_less = F.col("model") + F.col("spelled"), F.greatest(F.col("n") - 1, F.lit(0)) if held_in else F.col("n")
+        counted = F.log(once_less + F.lit(0.1)) - floor + F.when(once_less > 0, 0.0).otherwise(model)
 
-    sums = [F.sum(F.when(F.col("gate") == g, mixed(float(x)))) for row in shares for g, x in enumerate(row)]
-    return rest.groupBy("row").agg(F.count_if(n > 0).alias("known_rest"), F.sum(F.log(n + F.lit(0.1)) - floor).alias("base_rest"), F.sum(spelled).alias("spelled_rest"), F.array(*[F.coalesce(x, F.lit(0.0)) for x in sums]).alias("mixed_rest"))
+        def mixed(of_gates: np.ndarray) -> Column:
+            of_gate = lambda values: F.element_at(F.array(*[F.lit(float(x)) for x in values]), F.col("gate") + 1)
+            a, b = F.col("counted") + of_gate(np.log(of_gates)), F.col("whole") + of_gate(np.log1p(-of_gates))
+            return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
+
+        each = found.withColumns({"counted": counted, "whole": model, "base": F.log(F.col("n") + F.lit(0.1)) - floor})
+        columns = [F.count_if(F.col("n") > 0), F.sum("base"), F.sum("spelled"), *(F.sum(mixed(x)) for x in shares)]
+        return each.groupBy("row", "gate").agg(*(x.alias(name) for x, name in zip(columns, sum(added, []))), *more)
+
+    rest = scored.select("row", F.explode("rest").alias("w")).select("row", "w.word", "w.key", "w.gate", "w.model")
+    found = rest.join(words.select("word", "n", "spelled").hint("shuffle_hash"), "word", "left").repartition("row")
+    unseen = F.collect_list(F.when(F.col("n").isNull(), F.struct("key", "gate", "model"))).alias("unseen")
+    first = written(sums(found, unseen), "rest")
+    listed = first.where(F.size("unseen") > 0).select("row", F.explode("unseen").alias("w")).select("row", "w.*")
+    kinds = listed.join(words.where("first").select("key", "total", "forms"), "key", "left")
+    every = first.drop("unseen").unionByName(sums(kinds.withColumns({"n": F.lit(0).cast("long"), "spelled": _share(F.lit(0))})))
+    whole = [F.coalesce(F.sum(F.when(F.col("gate") == g, F.col(name))), F.lit(0.0)) for name in added[1] for g in range(shares.shape[1])]
+    return every.groupBy("row").agg(*(F.sum(c).alias(c) for c in added[0]), F.array(*whole).alias("mixed_rest"))
 
 
 def _mixed(joined: DataFrame) -> DataFrame:
@@ -466,22 +500,21 @@ def score_documents(docs: DataFrame, training: DataFrame, tokenizer_path: str, i
     empty table; other columns are ignored.
     """
     docs, training = id_and_text(docs, id_col, text_col), id_and_text(training, id_col, text_col)
-    counts = written(word_counts(training), "words")
-    totals = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).first()
-    n_train, n_kinds = totals["n"] or 0, totals["kinds"]
-    words, kinds = (written(x, name) for x, name in zip(spelled_words(counts, tokenizer_path), ("spelled", "kinds")))
-    head = frequent_words(words)
-    size = load_tokenizer(tokenizer_path).get_vocab_size()
-    found = id_counts(counts, tokenizer_path, size)
+    counts = written(encoded_words(word_counts(training), tokenizer_path), "words")
+    totals = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.sum(F.when(F.col("word") == F.lit(b""), F.col("n"))).alias("docs")).first()
+    n_train, n_kinds, n_docs = totals["n"] or 0, totals["kinds"], totals["docs"] or 0
+    found = id_counts(counts, tokenizer_path, load_tokenizer(tokenizer_path).get_vocab_size())
     tokens, attach = Tokens(found[0]), attachment(found)
-    n_docs = int(counts.where("word = X''").agg(F.sum("n")).first()[0] or 0)
+    words = written(spelled_words(counts), "spelled")
+    discard(counts)
+    head = frequent_words(words)
     *_, before, params = fit_rounds(training, tokenizer_path, tokens, n_docs)
     tried = np.repeat(np.array(SHARES)[:, None], len(GATES), 1)
     held = written(score_texts(last_round(training, n_docs), before, tokenizer_path, tokens, attach, head, n_train, n_kinds, tried, held_in=True), "held")
-    shares = best_shares(held, _with_rest(held, words, kinds, n_train, n_kinds, tried, held_in=True), tried)
-    discard(counts, held)
+    shares = best_shares(held, _with_rest(held, words, n_train, n_kinds, tried, held_in=True), tried)
+    discard(held)
     scored = written(score_texts(docs, params, tokenizer_path, tokens, attach, head, n_train, n_kinds, shares), "scored")
-    out = _mixed(scored.drop("rest").join(_with_rest(scored, words, kinds, n_train, n_kinds, shares), "row", "left"))
+    out = _mixed(scored.drop("rest").join(_with_rest(scored, words, n_train, n_kinds, shares), "row", "left"))
     log10 = lambda x, more: ((x + F.coalesce(more, F.lit(0.0))) / math.log(10)).alias
     score = F.aggregate("mixed", F.lit(0.0), lambda a, x: a + x) / math.log(10)
     return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("known_rest", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), log10(F.col("base"), "base_rest")("base_score"), score.alias("score"), log10(F.col("model"), "spelled_rest")("model_score"))
