@@ -134,7 +134,7 @@ def encoded_words(counts: DataFrame, tokenizer_path: str) -> DataFrame:
     return counts.select("word", "n").mapInArrow(run, "word binary, n long, ids binary, key long")
 
 
-def _ids_bytes(known, places: np.ndarray) -> Iterator[bytes]:
+def _ids_bytes(known, places: np.ndarray) -> list[bytes]:
     ends = 4 * np.cumsum(known.size[places])
     flat = known.ids(places).astype("<i4").tobytes()
     return [flat[a:e] for a, e in zip(chain((0,), ends.tolist()), ends.tolist())]
